@@ -2,26 +2,38 @@
 
 A pair matches when both raw strings are non-empty and the token-set
 similarity of their normalised forms reaches the threshold.  The join never
-forms the full cross product (except at threshold 0, where every pair
-matches by definition):
-
-1. Both sides are reduced to their *distinct normalised* strings; only those
-   pairs are scored, then the matches are equi-joined back to every record
-   and every query (duplicate queries keep giving duplicate rows).
-2. Candidate pairs come from equi-joins on lossless keys:
-   * broadcast strategy: the (bounded, size-checked) query side is exploded by
-     every name length that can still reach the threshold and broadcast; the
-     name side probes it with a hash join on length, with a native
-     ``levenshtein(a, b, budget)`` bound as join condition;
-   * shuffle strategy (query side too big to broadcast): equi-join on
-     (length, shared character bigram) where the threshold forces a shared
-     bigram, and on length alone where it does not.  Then duplicate
-     candidates are dropped and the same Levenshtein bound applied.
-   * names or queries that hold several tokens (inner non-space whitespace)
-     also meet every partner that shares a token (equi-join on token).
-3. Survivors are verified exactly: single-token pairs by the LCS pandas UDF
-   and the integer test ``200·LCS >= t·L``; multi-token pairs by the
-   token-set score.
+forms the cross product (except at threshold 0, where every pair matches by
+definition).  Candidates come from one equi-join on an exploded key column
+whose keys are lossless for the threshold:
+
+* ``L`` keys (length): the query side is exploded by every name length that
+  can still reach ``t`` (LCS <= min length); the join condition adds the
+  native bound ``levenshtein(a, b, budget) >= 0`` (Levenshtein <= Indel).
+* ``G`` keys (length, bigram), shuffle strategy only: where ``t`` forces a
+  shared character bigram (common bigrams >= 3·LCS − L − 1), pairs meet on
+  each shared bigram; the row of the *smallest* shared bigram is kept, so a
+  pair is produced once without a de-duplicating shuffle.
+* ``T`` keys (token): names or queries with several tokens (inner non-space
+  whitespace) also meet every partner that shares a token (the token-set
+  score is 100 there or not bounded by length); again only the smallest
+  shared token's row is kept, and pairs that the ``L``/``G`` keys already
+  give are left out.
+
+Strategies:
+
+* ``broadcast`` (query side checked small): records probe the broadcast,
+  exploded query keys directly: no shuffle at all, one pass over the pages,
+  map-side only, so a hot name cannot skew it.  The verifying UDF memoises
+  repeated pairs within an Arrow batch.
+* ``shuffle`` (query side too big to broadcast): distinct normalised names
+  and distinct normalised queries are joined on ``L``/``G``/``T`` keys with a
+  shuffle; the (small) matching pair table is then joined back to all
+  records and all queries (AQE broadcasts it when its measured size allows
+  and splits skewed names otherwise).
+
+Survivors are verified exactly by the token-set score in an Arrow UDF
+(for single tokens this is the Indel ratio ``200·LCS/L``, compared with
+``t`` without rounding error).
 """
 
 from __future__ import annotations
@@ -31,32 +43,30 @@ from pyspark.sql import functions as F
 
 from rollscan.functions.similarity import (
     indel_budget,
-    lcs_udf,
     length_window,
     levenshtein_within,
-    ratio_score,
     token_set_ratio_udf,
 )
 from rollscan.functions.text import has_inner_whitespace, normalize_bn, py_split, token_set_key
 from rollscan.params import SearchParams
 
 # Below this threshold the length window explodes too many rows per query;
-# the broadcast strategy then evaluates the native bounds in a nested loop.
+# the broadcast strategy then evaluates the native bounds in a nested loop
+# against the (size-checked) query side.
 _MIN_EXPLODE_THRESHOLD = 10
 
+_KEY = "struct<kind:string,len:int,tok:string>"
 
-def _prepare(df: DataFrame, raw: str, key: str) -> DataFrame:
-    """Distinct normalised strings of non-empty raw values, with their token-set form."""
+
+def _with_forms(df: DataFrame, raw: str, p: str) -> DataFrame:
+    """Add normalised form ``p``, token-set form, multi-token flag, length, tokens."""
     return (
         df.where(F.col(raw).isNotNull() & (F.col(raw) != ""))
-        .select(normalize_bn(raw).alias(key))
-        .distinct()
-        .select(
-            key,
-            token_set_key(key).alias(key + "_k"),
-            has_inner_whitespace(key).alias(key + "_m"),
-        )
-        .select("*", F.length(key + "_k").alias(key + "_l"))
+        .withColumn(p, normalize_bn(raw))
+        .withColumn(p + "_t", F.array_distinct(py_split(F.col(p))))
+        .withColumn(p + "_k", F.array_join(F.array_sort(F.col(p + "_t")), " "))
+        .withColumn(p + "_m", has_inner_whitespace(F.col(p)))
+        .withColumn(p + "_l", F.length(F.col(p + "_k")))
     )
 
 
@@ -70,16 +80,51 @@ def _bigrams(c: Column) -> Column:
 
 
 def _forced_bigram(total: Column, threshold: int) -> Column:
-    """True when every pair of total length ``L`` reaching ``t`` shares a bigram.
-
-    Common bigrams >= 3·LCS − L − 1 and LCS >= ceil(t·L / 200).
-    """
+    """True when every pair of total length ``L`` reaching ``t`` shares a bigram."""
     t = int(threshold)
     min_lcs = F.floor((F.lit(t) * total + F.lit(199)) / F.lit(200))
     return F.lit(3) * min_lcs - total - F.lit(1) >= F.lit(1)
 
 
-def _bound_condition(t: int) -> Column:
+def _key(kind: str, length: Column, tok: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), length.cast("int").alias("len"), tok.alias("tok"))
+
+
+def _token_keys(p: str) -> Column:
+    return F.transform(F.col(p + "_t"), lambda tok: _key("T", F.lit(0), tok))
+
+
+def _a_keys(use_bigrams: bool) -> Column:
+    length_key = F.when(
+        F.col("_a_l") > 0, F.array(_key("L", F.col("_a_l"), F.lit("")))
+    ).otherwise(F.array().cast(f"array<{_KEY}>"))
+    keys = F.concat(length_key, _token_keys("_a"))
+    if use_bigrams:
+        grams = F.transform(_bigrams(F.col("_a_k")), lambda g: _key("G", F.col("_a_l"), g))
+        keys = F.concat(keys, grams)
+    return keys
+
+
+def _b_keys(t: int, use_bigrams: bool) -> Column:
+    lo, hi = length_window(F.col("_b_l"), t)
+    lengths = F.when(F.col("_b_l") > 0, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    if not use_bigrams:
+        length_keys = F.transform(lengths, lambda n: _key("L", n, F.lit("")))
+    else:
+        grams = _bigrams(F.col("_b_k"))
+        length_keys = F.flatten(
+            F.transform(
+                lengths,
+                lambda n: F.when(
+                    _forced_bigram(n + F.col("_b_l"), t),
+                    F.transform(grams, lambda g: _key("G", n, g)),
+                ).otherwise(F.array(_key("L", n, F.lit("")))),
+            )
+        )
+    return F.concat(length_keys, _token_keys("_b"))
+
+
+def _bound(t: int) -> Column:
     """Native, lossless pre-filter on the token-set forms: length window + Levenshtein."""
     lo, hi = length_window(F.col("_b_l"), t)
     budget = indel_budget(F.col("_a_l"), F.col("_b_l"), t)
@@ -92,55 +137,37 @@ def _bound_condition(t: int) -> Column:
     )
 
 
-def _length_candidates_broadcast(a: DataFrame, b: DataFrame, t: int) -> DataFrame:
-    if t < _MIN_EXPLODE_THRESHOLD:
-        return a.join(F.broadcast(b), _bound_condition(t), "inner")
-    lo, hi = length_window(F.col("_b_l"), t)
-    bexp = b.where(F.col("_b_l") > 0).withColumn("_lk", F.explode(F.sequence(lo, hi)))
+def _join_condition(t: int) -> Column:
+    kind, tok = F.col("_ka.kind"), F.col("_ka.tok")
+    same_key = F.col("_ka") == F.col("_kb")
     budget = indel_budget(F.col("_a_l"), F.col("_b_l"), t)
     lev = levenshtein_within(F.col("_a_k"), F.col("_b_k"), budget)
-    return (
-        a.where(F.col("_a_l") > 0)
-        .join(F.broadcast(bexp), (F.col("_a_l") == F.col("_lk")) & lev, "inner")
-        .drop("_lk")
+    first_gram = F.array_min(F.array_intersect(_bigrams(F.col("_a_k")), _bigrams(F.col("_b_k"))))
+    first_tok = F.array_min(F.array_intersect(F.col("_a_t"), F.col("_b_t")))
+    return same_key & (
+        ((kind == "L") & lev)
+        | ((kind == "G") & lev & (tok == first_gram))
+        | ((kind == "T") & (F.col("_a_m") | F.col("_b_m")) & ~_bound(t) & (tok == first_tok))
     )
 
 
-def _length_candidates_shuffle(a: DataFrame, b: DataFrame, t: int) -> DataFrame:
-    lo, hi = length_window(F.col("_b_l"), t)
-    bexp = b.where(F.col("_b_l") > 0).withColumn("_lk", F.explode(F.sequence(lo, hi)))
-    forced = _forced_bigram(F.col("_lk") + F.col("_b_l"), t)
-    bkeys = bexp.withColumn(
-        "_g",
-        F.explode(F.when(forced, _bigrams(F.col("_b_k"))).otherwise(F.array(F.lit("")))),
-    )
-    akeys = a.where(F.col("_a_l") > 0).withColumn(
-        "_g", F.explode(F.array_union(F.array(F.lit("")), _bigrams(F.col("_a_k"))))
-    )
-    cand = akeys.join(
-        bkeys.withColumnRenamed("_g", "_gb"),
-        (F.col("_a_l") == F.col("_lk")) & (F.col("_g") == F.col("_gb")),
-        "inner",
-    )
-    deduped = cand.select(*a.columns, *b.columns).dropDuplicates(["_a", "_b"])
-    budget = indel_budget(F.col("_a_l"), F.col("_b_l"), t)
-    return deduped.where(levenshtein_within(F.col("_a_k"), F.col("_b_k"), budget))
-
+def _candidates(a: DataFrame, b: DataFrame, t: int, broadcast_b: bool) -> DataFrame:
+    """Candidate pairs of ``a`` (``_a`` forms) and ``b`` (``_b`` forms), each pair once."""
+    if broadcast_b and t < _MIN_EXPLODE_THRESHOLD:
+        shares_token = F.size(F.array_intersect(F.col("_a_t"), F.col("_b_t"))) > 0
+        cond = _bound(t) | ((F.col("_a_m") | F.col("_b_m")) & shares_token)
+        return a.join(F.broadcast(b), cond, "inner")
+    use_bigrams = not broadcast_b
+    ak = a.withColumn("_ka", F.explode(_a_keys(use_bigrams)))
+    bk = b.withColumn("_kb", F.explode(_b_keys(t, use_bigrams)))
+    bk = F.broadcast(bk) if broadcast_b else bk
+    return ak.join(bk, _join_condition(t), "inner").drop("_ka", "_kb")
 
-def _token_candidates(a: DataFrame, b: DataFrame, t: int, broadcast_b: bool) -> DataFrame:
-    """Pairs sharing a token where at least one side has several tokens.
 
-    Pairs that the length/Levenshtein channel already yields are left out, so
-    the two channels are disjoint and need no common de-duplication; only
-    this (rare) multi-token channel is de-duplicated.
-    """
-    at = a.withColumn("_t", F.explode(F.array_distinct(py_split(F.col("_a")))))
-    bt = b.withColumn("_tb", F.explode(F.array_distinct(py_split(F.col("_b")))))
-    bt = F.broadcast(bt) if broadcast_b else bt
-    cand = at.join(bt, F.col("_t") == F.col("_tb"), "inner").where(
-        (F.col("_a_m") | F.col("_b_m")) & ~_bound_condition(t)
+def _verify(cand: DataFrame, t: int) -> DataFrame:
+    return cand.withColumn("score", token_set_ratio_udf(F.col("_a"), F.col("_b"))).where(
+        F.col("score") >= F.lit(float(t))
     )
-    return cand.select(*a.columns, *b.columns).dropDuplicates(["_a", "_b"])
 
 
 def choose_strategy(queries: DataFrame, params: SearchParams, query_col: str = "query") -> str:
@@ -156,40 +183,24 @@ def choose_strategy(queries: DataFrame, params: SearchParams, query_col: str = "
     return "shuffle"
 
 
+def _drop_work(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_a") or c.startswith("_b")])
+
+
 def match_pairs(
-    names: DataFrame,
-    queries: DataFrame,
-    threshold: int,
-    strategy: str = "broadcast",
-    name_col: str = "name",
-    query_col: str = "query",
+    names: DataFrame, queries: DataFrame, threshold: int, name_col: str = "name", query_col: str = "query"
 ) -> DataFrame:
-    """Distinct matching (normalised name ``_a``, normalised query ``_b``) pairs with ``score``."""
+    """Distinct matching (normalised name ``_a``, normalised query ``_b``, ``score``) pairs.
+
+    Shuffle form: both sides reduced to distinct normalised strings first.
+    """
     t = int(threshold)
-    a = _prepare(names, name_col, "_a")
-    b = _prepare(queries, query_col, "_b")
+    a = _with_forms(names.select(F.col(name_col).alias("_raw")), "_raw", "_a").drop("_raw")
+    b = _with_forms(queries.select(F.col(query_col).alias("_raw")), "_raw", "_b").drop("_raw")
+    a, b = a.dropDuplicates(["_a"]), b.dropDuplicates(["_b"])
     if t <= 0:
-        # Every pair of non-empty raw strings reaches threshold 0.
-        return a.crossJoin(F.broadcast(b) if strategy == "broadcast" else b).select(
-            "_a", "_b", F.lit(None).cast("double").alias("score")
-        )
-    if strategy == "broadcast":
-        cand = _length_candidates_broadcast(a, b, t)
-    else:
-        cand = _length_candidates_shuffle(a, b, t)
-    cand = cand.unionByName(_token_candidates(a, b, t, strategy == "broadcast"))
-    single = ~(F.col("_a_m") | F.col("_b_m"))
-    singles = cand.where(single).withColumn("_lcs", lcs_udf(F.col("_a"), F.col("_b")))
-    singles = singles.where(
-        F.lit(200) * F.col("_lcs") >= F.lit(t) * (F.col("_a_l") + F.col("_b_l"))
-    ).select("_a", "_b", ratio_score(F.col("_lcs"), F.col("_a_l"), F.col("_b_l")).alias("score"))
-    multis = (
-        cand.where(~single)
-        .withColumn("score", token_set_ratio_udf(F.col("_a"), F.col("_b")))
-        .where(F.col("score") >= F.lit(float(t)))
-        .select("_a", "_b", "score")
-    )
-    return singles.unionByName(multis)
+        return a.crossJoin(b).select("_a", "_b", F.lit(None).cast("double").alias("score"))
+    return _verify(_candidates(a, b, t, broadcast_b=False), t).select("_a", "_b", "score")
 
 
 def fuzzy_join(
@@ -199,18 +210,27 @@ def fuzzy_join(
     name_col: str = "name",
     query_col: str = "query",
 ) -> DataFrame:
-    """One row per (record, query) whose names match; all columns of both sides + ``score``."""
+    """One row per (record, query) whose names match; all columns of both sides + ``score``.
+
+    Duplicate queries give duplicate rows; the column ``score`` is the
+    token-set similarity (null at threshold 0, where it is not computed).
+    """
     params = params or SearchParams()
+    t = int(params.threshold)
     strategy = choose_strategy(queries, params, query_col)
-    pairs = match_pairs(records, queries, params.threshold, strategy, name_col, query_col)
+    if strategy == "broadcast":
+        a = _with_forms(records, name_col, "_a")
+        b = _with_forms(queries, query_col, "_b")
+        if t <= 0:
+            out = a.crossJoin(F.broadcast(b)).withColumn("score", F.lit(None).cast("double"))
+        else:
+            out = _verify(_candidates(a, b, t, broadcast_b=True), t)
+        return _drop_work(out)
+    pairs = match_pairs(records, queries, t, name_col, query_col)
     rec = records.where(F.col(name_col).isNotNull() & (F.col(name_col) != "")).withColumn(
         "_a", normalize_bn(name_col)
     )
     qs = queries.where(F.col(query_col).isNotNull() & (F.col(query_col) != "")).withColumn(
         "_b", normalize_bn(query_col)
     )
-    # The pair table is small in practice; AQE turns this join into a broadcast
-    # at run time when its measured size allows, and splits skewed names otherwise.
-    joined = rec.join(pairs, "_a", "inner")
-    qside = F.broadcast(qs) if strategy == "broadcast" else qs
-    return joined.join(qside, "_b", "inner").drop("_a", "_b")
+    return rec.join(pairs, "_a", "inner").join(qs, "_b", "inner").drop("_a", "_b")
