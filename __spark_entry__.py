@@ -22,7 +22,11 @@ from rollscan.operators.filters import cap_pages
 from rollscan.functions.text import normalize_bn
 from rollscan.params import SearchParams
 from rollscan.plans import rolls
-from rollscan.plans.search import search_text, text_matches
+from rollscan.operators.boxes import best_words, page_texts, record_tokens
+from rollscan.operators.filters import filter_words
+from rollscan.operators.fuzzy_join import fuzzy_join
+from rollscan.operators.views import csv_view, report_view
+from rollscan.plans.search import search_boxes, search_text, text_matches
 
 
 # ---------------------------------------------------------------------------
@@ -83,6 +87,70 @@ def q_fuzzy_search_detail(spark, sf_dir):
     return m.select("path", "page", "block_pos", "name", "father", "query")
 
 
+def _words(spark, sf_dir):
+    return rolls.roll_words(spark, sf_dir)
+
+
+BOX_LINES = SearchParams(box_level=True, layout="lines", strategy="broadcast")
+BOX_FLAT = SearchParams(box_level=True, layout="flat", strategy="broadcast")
+
+
+def q_word_filter(spark, sf_dir):
+    """S4 + F6: OCR words kept at confidence >= 60, text stripped."""
+    w = filter_words(_words(spark, sf_dir), 60.0)
+    return w.select("path", "page", "word_pos", "text", "confidence")
+
+
+def q_rebuild_text(spark, sf_dir):
+    """A4, lines layout: page text rebuilt from the kept words."""
+    return page_texts(_words(spark, sf_dir), BOX_LINES).select("path", "file", "page", "text")
+
+
+def q_rebuild_text_flat(spark, sf_dir):
+    """A4, flat layout (reference): all kept words joined by one space."""
+    return page_texts(_words(spark, sf_dir), BOX_FLAT).select("path", "file", "page", "text")
+
+
+def q_best_word(spark, sf_dir):
+    """J2 + W1 + F11: best page word per token of every matched record."""
+    words = _words(spark, sf_dir)
+    recs = extract_records(page_texts(words, BOX_LINES), BOX_LINES)
+    matched = fuzzy_join(recs, _queries(spark, sf_dir), BOX_LINES)
+    key = ["path", "page", "block_pos"]
+    toks = record_tokens(matched.select(*key, "name", "father").dropDuplicates(key), key)
+    best = best_words(toks, filter_words(words, 60.0), 70, key, broadcast_tokens=True)
+    return best.select(*key, "field", "tok_pos", "word_pos", "w_text", "w_conf", "w_score")
+
+
+def _flat_boxes(df):
+    cols = ["file", "page", "name", "father"]
+    return df.select(
+        *cols,
+        *[F.col(f"bbox.{k}").alias(f"bbox_{k}") for k in ("left", "top", "width", "height")],
+        "confidence",
+    )
+
+
+def q_record_boxes(spark, sf_dir):
+    """X3 + A2 + A3 + A8 + P2 (box mode, lines layout): matches with name box and confidence."""
+    return _flat_boxes(search_boxes(_words(spark, sf_dir), _queries(spark, sf_dir), BOX_LINES))
+
+
+def q_record_boxes_flat(spark, sf_dir):
+    """Box mode with the reference's flat layout (one block per page, Q4)."""
+    return _flat_boxes(search_boxes(_words(spark, sf_dir), _queries(spark, sf_dir), BOX_FLAT))
+
+
+def q_csv_view(spark, sf_dir):
+    """CSV columns of box-mode results (bbox flattened, confidence %.2f)."""
+    return csv_view(search_boxes(_words(spark, sf_dir), _queries(spark, sf_dir), BOX_LINES))
+
+
+def q_report_view(spark, sf_dir):
+    """K7: console report columns of box-mode results."""
+    return report_view(search_boxes(_words(spark, sf_dir), _queries(spark, sf_dir), BOX_LINES))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: text-mode search of the sf0.001 roll pages at threshold 82."""
     return _fuzzy(82, "auto")(spark, "/root/testdata/sf0.001")
@@ -102,6 +170,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fuzzy_search_shuffled": _fuzzy(82, "shuffle"),
         "fuzzy_search_shuffled_t70": _fuzzy(70, "shuffle"),
         "fuzzy_search_detail": q_fuzzy_search_detail,
+        "word_filter": q_word_filter,
+        "rebuild_text": q_rebuild_text,
+        "rebuild_text_flat": q_rebuild_text_flat,
+        "best_word": q_best_word,
+        "record_boxes": q_record_boxes,
+        "record_boxes_flat": q_record_boxes_flat,
+        "csv_view": q_csv_view,
+        "report_view": q_report_view,
     }
 
 
@@ -132,14 +208,18 @@ def _lcs(a: str, b: str) -> str:
     )
 
 
-BLOCKS_SQL = """
+def _blocks_sql(src: str = "roll_pages") -> str:
+    return f"""
 blocks AS (
   SELECT path, file, page, s.i - 1 AS block_pos, s.blk AS block
-  FROM roll_pages, LATERAL (SELECT unnest(string_split(text, chr(10) || chr(10))) AS blk,
+  FROM {src}, LATERAL (SELECT unnest(string_split(text, chr(10) || chr(10))) AS blk,
                                    generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i) s)
 """
 
 
+BLOCKS_SQL = _blocks_sql()
+
+
 def _records_sql(npat: str = NPAT, max_pages: int = 100) -> str:
     return f"""
 recs0 AS (
@@ -158,8 +238,8 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n"
 
 
-def _fuzzy_sql(threshold: int, detail: bool = False) -> str:
-    pairs = f"""
+def _pairs_sql(threshold: int) -> str:
+    return f"""
 rn AS (SELECT DISTINCT {_norm('name')} AS a FROM recs WHERE name <> ''),
 qn AS (SELECT DISTINCT {_norm('query')} AS b FROM roll_queries WHERE query <> ''),
 pairs AS (
@@ -167,6 +247,10 @@ pairs AS (
   WHERE length(a) > 0 AND length(b) > 0
     AND 200 * {_lcs('a', 'b')} >= {int(threshold)} * (length(a) + length(b)))
 """
+
+
+def _fuzzy_sql(threshold: int, detail: bool = False) -> str:
+    pairs = _pairs_sql(threshold)
     cols = "r.path, r.page, r.block_pos, r.name, r.father, q.query" if detail else "r.file, r.page, r.name, r.father"
     return _with(rolls.ROLL_PAGES_SQL, rolls.ROLL_QUERIES_SQL, BLOCKS_SQL, _records_sql(), pairs) + f"""
 SELECT {cols}
@@ -176,9 +260,123 @@ WHERE r.name <> '' AND q.query <> ''
 """
 
 
+KEPT_SQL = f"""
+kept AS (
+  SELECT path, page, word_pos, block_num, par_num, line_num, {_strip('text')} AS text, confidence,
+         bbox_left, bbox_top, bbox_width, bbox_height
+  FROM roll_words WHERE {_strip('text')} <> '' AND confidence >= 60)
+"""
+
+BOX_PAGES_LINES_SQL = """
+seq AS (
+  SELECT path, page, block_num, par_num, line_num, word_pos, text,
+         lag(block_num) OVER w AS pb, lag(par_num) OVER w AS pp, lag(line_num) OVER w AS pl
+  FROM kept WINDOW w AS (PARTITION BY path, page ORDER BY block_num, par_num, line_num, word_pos)),
+box_pages AS (
+  SELECT path, regexp_extract(path, '[^/]*$') AS file, page,
+         string_agg(CASE WHEN pb IS NULL THEN '' WHEN pb <> block_num THEN chr(10) || chr(10)
+                         WHEN pp <> par_num OR pl <> line_num THEN chr(10) ELSE ' ' END || text, ''
+                    ORDER BY block_num, par_num, line_num, word_pos) AS text
+  FROM seq GROUP BY path, page)
+"""
+
+BOX_PAGES_FLAT_SQL = """
+box_pages AS (
+  SELECT path, regexp_extract(path, '[^/]*$') AS file, page, string_agg(text, ' ' ORDER BY word_pos) AS text
+  FROM kept GROUP BY path, page)
+"""
+
+
+def _split_tokens(x: str) -> str:
+    return f"regexp_split_to_array({_strip(x)}, '{WS_CLASS}+')"
+
+
+def _box_sql(layout: str, select: str) -> str:
+    pages_sql = BOX_PAGES_LINES_SQL if layout == "lines" else BOX_PAGES_FLAT_SQL
+    box = f"""
+matches AS (
+  SELECT r.path, r.file, r.page, r.block_pos, r.name, r.father
+  FROM recs r JOIN pairs p ON {_norm('r.name')} = p.a
+  JOIN roll_queries q ON {_norm('q.query')} = p.b
+  WHERE r.name <> '' AND q.query <> ''),
+mrec AS (SELECT DISTINCT path, page, block_pos, name, father FROM matches),
+toks AS (
+  SELECT path, page, block_pos, 'name' AS field, s.i - 1 AS tok_pos, s.tok AS token
+  FROM mrec, LATERAL (SELECT unnest({_split_tokens('name')}) AS tok,
+                             generate_subscripts({_split_tokens('name')}, 1) AS i) s
+  WHERE {_strip('name')} <> ''
+  UNION ALL
+  SELECT path, page, block_pos, 'father' AS field, s.i - 1 AS tok_pos, s.tok AS token
+  FROM mrec, LATERAL (SELECT unnest({_split_tokens('father')}) AS tok,
+                             generate_subscripts({_split_tokens('father')}, 1) AS i) s
+  WHERE {_strip('father')} <> ''),
+tn AS (SELECT *, {_norm('token')} AS t, length({_norm('token')}) AS tl FROM toks),
+wn AS (SELECT path, page, word_pos, text AS w_text, confidence AS w_conf,
+              bbox_left, bbox_top, bbox_width, bbox_height,
+              {_norm('text')} AS w, length({_norm('text')}) AS wl FROM kept),
+cand AS (
+  SELECT tn.path, tn.page, tn.block_pos, tn.field, tn.tok_pos, tn.t, tn.tl,
+         wn.word_pos, wn.w_text, wn.w_conf, wn.bbox_left, wn.bbox_top, wn.bbox_width, wn.bbox_height, wn.w, wn.wl
+  FROM tn JOIN wn ON tn.path = wn.path AND tn.page = wn.page
+  WHERE 200 * least(tl, wl) >= 70 * (tl + wl)),
+sc AS (SELECT *, CASE WHEN tl = 0 OR wl = 0 THEN 0 ELSE {_lcs('t', 'w')} END AS lcs FROM cand),
+ok AS (
+  SELECT *, CASE WHEN tl + wl = 0 THEN 100.0 ELSE 200.0 * lcs / (tl + wl) END AS w_score
+  FROM sc WHERE 200 * lcs >= 70 * (tl + wl)),
+best AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY path, page, block_pos, field, tok_pos
+                                 ORDER BY w_score DESC, word_pos) AS rn FROM ok)
+  WHERE rn = 1 AND w_score > 0),
+dw AS (SELECT DISTINCT path, page, block_pos, field, w_text, w_conf, bbox_left, bbox_top, bbox_width, bbox_height FROM best),
+pf AS (
+  SELECT path, page, block_pos, field, min(bbox_left) AS l, min(bbox_top) AS t,
+         max(bbox_left + bbox_width) AS r, max(bbox_top + bbox_height) AS b, sum(w_conf) AS cs, count(*) AS n
+  FROM dw GROUP BY path, page, block_pos, field),
+boxes AS (
+  SELECT path, page, block_pos,
+         max(CASE WHEN field = 'name' THEN l END) AS bbox_left,
+         max(CASE WHEN field = 'name' THEN t END) AS bbox_top,
+         max(CASE WHEN field = 'name' THEN r - l END) AS bbox_width,
+         max(CASE WHEN field = 'name' THEN b - t END) AS bbox_height,
+         sum(cs) / sum(n) AS confidence
+  FROM pf GROUP BY path, page, block_pos),
+results AS (
+  SELECT m.file, m.page, m.name, m.father,
+         CAST(x.bbox_left AS INTEGER) AS bbox_left, CAST(x.bbox_top AS INTEGER) AS bbox_top,
+         CAST(x.bbox_width AS INTEGER) AS bbox_width, CAST(x.bbox_height AS INTEGER) AS bbox_height,
+         x.confidence
+  FROM matches m LEFT JOIN boxes x ON m.path = x.path AND m.page = x.page AND m.block_pos = x.block_pos)
+"""
+    return _with(
+        rolls.ROLL_PAGES_SQL, rolls.ROLL_WORDS_SQL, rolls.ROLL_QUERIES_SQL, KEPT_SQL, pages_sql,
+        _blocks_sql("box_pages"), _records_sql(), _pairs_sql(82), box,
+    ) + select
+
+
 def oracle_sql() -> dict[str, str]:
     pages = rolls.ROLL_PAGES_SQL
+    words = _with(pages, rolls.ROLL_WORDS_SQL, KEPT_SQL)
     return {
+        "word_filter": words + "SELECT path, page, word_pos, text, confidence FROM kept",
+        "rebuild_text": _with(pages, rolls.ROLL_WORDS_SQL, KEPT_SQL, BOX_PAGES_LINES_SQL)
+        + "SELECT path, file, page, text FROM box_pages",
+        "rebuild_text_flat": _with(pages, rolls.ROLL_WORDS_SQL, KEPT_SQL, BOX_PAGES_FLAT_SQL)
+        + "SELECT path, file, page, text FROM box_pages",
+        "best_word": _box_sql("lines", "SELECT path, page, block_pos, field, tok_pos, word_pos, w_text, w_conf, w_score FROM best"),
+        "record_boxes": _box_sql("lines", "SELECT * FROM results"),
+        "record_boxes_flat": _box_sql("flat", "SELECT * FROM results"),
+        "csv_view": _box_sql(
+            "lines",
+            "SELECT file, page, name, father, bbox_left, bbox_top, bbox_width, bbox_height, "
+            "printf('%.2f', confidence) AS confidence FROM results",
+        ),
+        "report_view": _box_sql(
+            "lines",
+            "SELECT file AS \"File\", CAST(page AS VARCHAR) AS \"Page\", name AS \"Name\", "
+            "father AS \"Father / Guardian\", CASE WHEN confidence IS NULL THEN 'N/A' "
+            "ELSE printf('%.1f%%', confidence) END AS \"Confidence\" FROM results",
+        ),
         "normalize_names": _with(pages, BLOCKS_SQL)
         + f"SELECT path, page, block_pos, {_norm('block')} AS norm FROM blocks",
         "block_split": _with(pages, BLOCKS_SQL)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from rollscan.operators.boxes import locate_records, page_texts
 from rollscan.operators.extract import extract_records
 from rollscan.operators.filters import cap_pages
 from rollscan.operators.fuzzy_join import fuzzy_join
@@ -32,11 +33,10 @@ def search_text(pages: DataFrame, queries: DataFrame, params: SearchParams | Non
 
 def box_matches(words: DataFrame, queries: DataFrame, params: SearchParams | None = None) -> DataFrame:
     """Detail rows of a box-mode search (records with name box and mean confidence)."""
-    from rollscan.operators.boxes import locate_records, page_texts
-
-    params = params or SearchParams()
+    params = params or SearchParams(box_level=True)
+    words = cap_pages(words, params.max_pdf_pages)
     pages = page_texts(words, params)
-    records = extract_records(cap_pages(pages, params.max_pdf_pages), params)
+    records = extract_records(pages, params)
     matched = fuzzy_join(records, queries, params)
     return locate_records(matched, words, params)
 
