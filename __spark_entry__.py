@@ -11,6 +11,7 @@ engine's operators run on them unchanged.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,22 @@ from rollscan.operators.boxes import best_words, page_texts, record_tokens
 from rollscan.operators.filters import filter_words
 from rollscan.operators.fuzzy_join import fuzzy_join
 from rollscan.operators.views import csv_view, report_view
+from rollscan.functions.text import basename
+from rollscan.operators.filters import normalize_path, pdf_suffix, within_base
+from rollscan.operators.stats import error_summary, run_stats
 from rollscan.plans.search import search_boxes, search_text, text_matches
+from rollscan.session import checkpoint_dir
+from rollscan.sinks.ledger import (
+    names_hash,
+    names_hash_expr,
+    oldest_valid,
+    search_entries,
+    split_hits,
+    valid_predicate,
+)
+from rollscan.sources.files import content_hash, validate_files
+from rollscan.sources.names import names_from_texts
+from rollscan.sources.ocr import error_rows, ocr_pages, page_rows
 
 
 # ---------------------------------------------------------------------------
@@ -151,6 +167,112 @@ def q_report_view(spark, sf_dir):
     return report_view(search_boxes(_words(spark, sf_dir), _queries(spark, sf_dir), BOX_LINES))
 
 
+# -- file-level operators on the document "PDF" files ------------------------
+FILE_PARAMS = SearchParams(max_pdf_size_mb=0.02, max_pdf_pages=3)
+
+
+def _files(spark, sf_dir):
+    return rolls.doc_files(spark, sf_dir)
+
+
+def q_path_filter(spark, sf_dir):
+    """F1 + F4 + P1: PDF-suffixed files strictly under /data/src1 (after resolving ..)."""
+    f = _files(spark, sf_dir)
+    kept = f.where(pdf_suffix("path") & within_base("path", "/data/src1"))
+    return kept.select("path", basename(F.col("path")).alias("file"), normalize_path(F.col("path")).alias("resolved"))
+
+
+def q_validate_files(spark, sf_dir):
+    """F2 + F3 + P4: first failing check per file (size cap 0.02 MB, then magic number)."""
+    v = validate_files(_files(spark, sf_dir).where(pdf_suffix("path")), FILE_PARAMS)
+    return v.select("path", "file", "length", "error")
+
+
+def q_content_hash(spark, sf_dir):
+    """P5 + N6: SHA-256 of every file's bytes."""
+    return _files(spark, sf_dir).select("path", content_hash("content").alias("file_hash"))
+
+
+def q_ocr_pages(spark, sf_dir):
+    """T1 + E1 + F5/L2: per-file page function over the valid files, errors isolated."""
+    files = _files(spark, sf_dir).where(pdf_suffix("path"))
+    out = ocr_pages(files, rolls.text_page_fn, FILE_PARAMS)
+    return out.select("path", "page", "text", "level", "message")
+
+
+def _ocr(spark, sf_dir):
+    """OCR output is used by several steps: written once to the checkpoint folder."""
+    files = _files(spark, sf_dir).where(pdf_suffix("path"))
+    checkpoint_dir(spark)
+    return files, ocr_pages(files, rolls.text_page_fn, FILE_PARAMS).checkpoint(eager=True)
+
+
+def q_run_stats(spark, sf_dir):
+    """A1 + A6: run statistics of a text search over the OCR'd document pages."""
+    files, out = _ocr(spark, sf_dir)
+    pages = page_rows(out)
+    matches = search_text(pages, _queries(spark, sf_dir), SearchParams(strategy="broadcast"))
+    return run_stats(files, error_rows(out), pages, matches)
+
+
+def q_error_summary(spark, sf_dir):
+    """A9 + L3 + E1: error count, first 10 errors, "... and N more"."""
+    _, out = _ocr(spark, sf_dir)
+    return error_summary(error_rows(out))
+
+
+def _names(spark, sf_dir):
+    return names_from_texts(rolls.roll_name_files(spark, sf_dir), SearchParams(max_search_names=300))
+
+
+def q_query_list(spark, sf_dir):
+    """S2 + F7 + L1: name-list files → stripped, non-blank names, first 300 per file."""
+    return _names(spark, sf_dir)
+
+
+def q_names_hash(spark, sf_dir):
+    """A7 + O2 + N6: names hash of every name-list file."""
+    return _names(spark, sf_dir).groupBy("path").agg(names_hash_expr(F.col("query")).alias("names_hash"))
+
+
+LEDGER_PARAMS = SearchParams(threshold=82, box_level=False, min_confidence=60.0)
+LEDGER_NOW = datetime.datetime(2026, 1, 1)
+
+
+def _ledger_inputs(spark, sf_dir):
+    nhash = names_hash(_queries(spark, sf_dir))
+    files = _files(spark, sf_dir).where(pdf_suffix("path")).withColumn("file_hash", content_hash("content"))
+    entries = search_entries(rolls.doc_ledger(spark, sf_dir, nhash), nhash, LEDGER_PARAMS, LEDGER_NOW)
+    return files.select("path", "file_hash"), entries
+
+
+def q_ledger_hits(spark, sf_dir):
+    """J3 (inner) + S5 + F12 + F13 + K4 newest-wins: stored rows of files searched before."""
+    files, entries = _ledger_inputs(spark, sf_dir)
+    hits, _ = split_hits(files, entries)
+    return hits.select("path", "file", "page", "name", "father")
+
+
+def q_ledger_misses(spark, sf_dir):
+    """J3 (left anti): files that must be searched in this run."""
+    files, entries = _ledger_inputs(spark, sf_dir)
+    _, misses = split_hits(files, entries)
+    return misses.select("path")
+
+
+def q_ledger_expire(spark, sf_dir):
+    """K6 + A5 + F12: entries, expired entries and survivors of the ledger at the fixed now."""
+    nhash = names_hash(_queries(spark, sf_dir))
+    entries = rolls.doc_ledger(spark, sf_dir, nhash)
+    oldest = oldest_valid(LEDGER_NOW, LEDGER_PARAMS)
+    return entries.agg(
+        F.count(F.lit(1)).alias("total_entries"),
+        F.count_if(F.col("ts") < oldest).alias("expired"),
+        F.count_if(F.col("ts") >= oldest).alias("kept"),
+        F.count_if(valid_predicate(LEDGER_NOW, LEDGER_PARAMS)).alias("valid"),
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: text-mode search of the sf0.001 roll pages at threshold 82."""
     return _fuzzy(82, "auto")(spark, "/root/testdata/sf0.001")
@@ -178,6 +300,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "record_boxes_flat": q_record_boxes_flat,
         "csv_view": q_csv_view,
         "report_view": q_report_view,
+        "path_filter": q_path_filter,
+        "validate_files": q_validate_files,
+        "content_hash": q_content_hash,
+        "ocr_pages": q_ocr_pages,
+        "run_stats": q_run_stats,
+        "error_summary": q_error_summary,
+        "query_list": q_query_list,
+        "names_hash": q_names_hash,
+        "ledger_hits": q_ledger_hits,
+        "ledger_misses": q_ledger_misses,
+        "ledger_expire": q_ledger_expire,
     }
 
 
@@ -354,10 +487,135 @@ results AS (
     ) + select
 
 
+PDF_WHERE = "ends_with(lower(path), '.pdf')"
+FILE_OF = "regexp_extract(path, '[^/]*$')"
+RESOLVED = (
+    "'/' || array_to_string(list_reduce(list_filter(string_split(path, '/'), lambda s: s <> '' AND s <> '.'), "
+    "lambda acc, seg: CASE WHEN seg = '..' THEN acc[1:len(acc) - 1] ELSE list_append(acc, seg) END, "
+    "[]::VARCHAR[]), '/')"
+)
+FILE_ERROR = (
+    "CASE WHEN octet_length(content) / 1048576.0 > 0.02 "
+    "THEN printf('PDF file too large: %.1fMB (max: 0.02MB)', octet_length(content) / 1048576.0) "
+    "WHEN NOT starts_with(hex(content), '255044462D') THEN 'File is not a valid PDF: ' || path END"
+)
+OCR_SQL = f"""
+chk AS (
+  SELECT f.doc_id, f.path, {FILE_OF.replace('path', 'f.path')} AS file, f.content, d.text,
+         {FILE_ERROR.replace('path', 'f.path')} AS error
+  FROM doc_files f JOIN documents d ON f.doc_id = d.doc_id WHERE {PDF_WHERE.replace('path', 'f.path')}),
+lns AS (
+  SELECT path, file, l.i AS i, l.ln AS ln
+  FROM chk, LATERAL (SELECT unnest(string_split(text, chr(10))) AS ln,
+                            generate_subscripts(string_split(text, chr(10)), 1) AS i) l
+  WHERE error IS NULL),
+pg AS (
+  SELECT path, file, CAST((i - 1) // 4 + 1 AS INTEGER) AS page, string_agg(ln, chr(10) ORDER BY i) AS text
+  FROM lns GROUP BY path, file, (i - 1) // 4 + 1),
+ocr AS (
+  SELECT path, file, page, CASE WHEN contains(text, '@') THEN NULL ELSE text END AS text,
+         CASE WHEN contains(text, '@') THEN 'page' END AS level,
+         CASE WHEN contains(text, '@') THEN 'Error processing page ' || CAST(page AS VARCHAR)
+              || ': page holds an e-mail address' END AS message
+  FROM pg WHERE page <= 3
+  UNION ALL
+  SELECT path, file, CAST(NULL AS INTEGER), NULL, 'file', file || ': ' || error FROM chk WHERE error IS NOT NULL),
+doc_pages AS (SELECT path, file, page, text FROM ocr WHERE level IS NULL),
+errs AS (SELECT path, file, page, level, message FROM ocr WHERE level IS NOT NULL)
+"""
+NAME_FILES_SQL = """
+name_files AS (
+  SELECT '/data/names/names_' || lpad(CAST(p_partkey // 1000 AS VARCHAR), 5, '0') || '.txt' AS path,
+         string_agg(CASE WHEN p_partkey % 10 = 9 THEN '  ' || p_name || chr(10) ELSE p_name END, chr(10)
+                    ORDER BY p_partkey) AS value
+  FROM part GROUP BY p_partkey // 1000)
+"""
+NAMES_SQL = NAME_FILES_SQL + f""",
+kept_names AS (
+  SELECT path, list_filter(list_transform(regexp_split_to_array(regexp_replace(value, '^\\x{{feff}}', ''), '\\r\\n|\\r|\\n'),
+                                          lambda s: {_strip('s')}), lambda s: s <> '') AS names
+  FROM name_files),
+names AS (
+  SELECT path, CAST(n.i AS INTEGER) AS query_pos, n.q AS query
+  FROM kept_names, LATERAL (SELECT unnest(names) AS q, generate_subscripts(names, 1) AS i) n
+  WHERE n.i <= 300)
+"""
+NH_SQL = "(SELECT substr(sha256(string_agg(query, '|' ORDER BY query)), 1, 16) FROM roll_queries)"
+LEDGER_SQL = f"""
+le0 AS (
+  SELECT doc_id, sha256(content) AS file_hash, {NH_SQL} AS names_hash,
+         CASE WHEN doc_id % 3 = 0 THEN 90 ELSE 82 END AS threshold, false AS box_level, 60.0 AS min_confidence,
+         CASE WHEN doc_id % 11 = 0 THEN '0.9' ELSE '1.0' END AS version,
+         TIMESTAMP '{rolls.LEDGER_NOW}' - to_days(CAST(doc_id % 45 AS INTEGER)) AS ts, path AS pdf_path,
+         CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS n_results, 1 AS res_page
+  FROM doc_files),
+ledger AS (
+  SELECT * FROM le0
+  UNION ALL
+  SELECT doc_id, file_hash, names_hash, threshold, box_level, min_confidence, version,
+         ts - INTERVAL 1 DAY, pdf_path, n_results, 2 FROM le0 WHERE doc_id % 7 = 0),
+valid AS (
+  SELECT * FROM ledger
+  WHERE names_hash = {NH_SQL} AND threshold = 82 AND NOT box_level AND min_confidence = 60.0
+    AND version = '1.0' AND ts >= TIMESTAMP '{rolls.LEDGER_NOW}' - INTERVAL 30 DAY),
+newest AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY file_hash, names_hash, threshold, box_level, min_confidence, version
+                                 ORDER BY ts DESC, pdf_path DESC) AS rn FROM valid) WHERE rn = 1),
+pdfs AS (SELECT path, sha256(content) AS file_hash FROM doc_files WHERE {PDF_WHERE})
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     pages = rolls.ROLL_PAGES_SQL
+    files = rolls.DOC_FILES_SQL
+    ocr = _with(files, OCR_SQL)
     words = _with(pages, rolls.ROLL_WORDS_SQL, KEPT_SQL)
     return {
+        "path_filter": _with(files, f"np AS (SELECT path, {RESOLVED} AS resolved FROM doc_files)")
+        + f"SELECT path, {FILE_OF} AS file, resolved FROM np WHERE {PDF_WHERE} "
+        "AND (resolved = '/data/src1' OR starts_with(resolved, '/data/src1/'))",
+        "validate_files": _with(files)
+        + f"SELECT path, {FILE_OF} AS file, octet_length(content) AS length, {FILE_ERROR} AS error "
+        f"FROM doc_files WHERE {PDF_WHERE}",
+        "content_hash": _with(files) + "SELECT path, sha256(content) AS file_hash FROM doc_files",
+        "ocr_pages": ocr + "SELECT path, page, text, level, message FROM ocr",
+        "run_stats": _with(
+            files, OCR_SQL, rolls.ROLL_QUERIES_SQL, _blocks_sql("doc_pages"), _records_sql(), _pairs_sql(82),
+            """matches AS (
+  SELECT r.file FROM recs r JOIN pairs p ON """ + _norm("r.name") + """ = p.a
+  JOIN roll_queries q ON """ + _norm("q.query") + """ = p.b WHERE r.name <> '' AND q.query <> '')""",
+        )
+        + f"""SELECT
+  (SELECT count(*) FROM chk WHERE error IS NULL) AS files_processed,
+  (SELECT count(*) FROM chk WHERE error IS NOT NULL) AS files_failed,
+  (SELECT count(*) FROM doc_pages) AS pages_processed,
+  (SELECT count(*) FROM matches) AS matches_found,
+  (SELECT count(*) FROM errs) AS error_count""",
+        "error_summary": _with(
+            files, OCR_SQL,
+            "msgs AS (SELECT path, page, CASE WHEN level = 'page' THEN file || ': ' || message ELSE message END AS message FROM errs)",
+            "top AS (SELECT * FROM msgs ORDER BY path, page NULLS FIRST, message LIMIT 10)",
+            "cnt AS (SELECT count(*) AS n FROM msgs)",
+        )
+        + """SELECT n AS error_count,
+  (SELECT list(message ORDER BY path, page NULLS FIRST, message) FROM top) AS first_errors,
+  CASE WHEN n > 10 THEN '... and ' || CAST(n - 10 AS VARCHAR) || ' more' END AS more FROM cnt""",
+        "query_list": _with(NAMES_SQL) + "SELECT path, query_pos, query FROM names",
+        "names_hash": _with(NAMES_SQL)
+        + "SELECT path, substr(sha256(string_agg(query, '|' ORDER BY query)), 1, 16) AS names_hash FROM names GROUP BY path",
+        "ledger_hits": _with(files, rolls.ROLL_QUERIES_SQL, LEDGER_SQL)
+        + f"""SELECT f.path, {FILE_OF.replace('path', 'f.path')} AS file, n.res_page AS page,
+  'name ' || CAST(n.doc_id AS VARCHAR) AS name, 'guardian' AS father
+FROM pdfs f JOIN newest n ON f.file_hash = n.file_hash WHERE n.n_results > 0""",
+        "ledger_misses": _with(files, rolls.ROLL_QUERIES_SQL, LEDGER_SQL)
+        + "SELECT path FROM pdfs f WHERE NOT EXISTS (SELECT 1 FROM newest n WHERE n.file_hash = f.file_hash)",
+        "ledger_expire": _with(files, rolls.ROLL_QUERIES_SQL, LEDGER_SQL)
+        + f"""SELECT count(*) AS total_entries,
+  count(*) FILTER (WHERE ts < TIMESTAMP '{rolls.LEDGER_NOW}' - INTERVAL 30 DAY) AS expired,
+  count(*) FILTER (WHERE ts >= TIMESTAMP '{rolls.LEDGER_NOW}' - INTERVAL 30 DAY) AS kept,
+  count(*) FILTER (WHERE version = '1.0' AND ts >= TIMESTAMP '{rolls.LEDGER_NOW}' - INTERVAL 30 DAY) AS valid
+FROM ledger""",
         "word_filter": words + "SELECT path, page, word_pos, text, confidence FROM kept",
         "rebuild_text": _with(pages, rolls.ROLL_WORDS_SQL, KEPT_SQL, BOX_PAGES_LINES_SQL)
         + "SELECT path, file, page, text FROM box_pages",

@@ -26,9 +26,9 @@ class SearchParams:
     threshold: int = DEFAULT_THRESHOLD
     box_level: bool = False
     min_confidence: float = DEFAULT_MIN_CONFIDENCE
-    max_pdf_size_mb: int = MAX_PDF_SIZE_MB
+    max_pdf_size_mb: float = MAX_PDF_SIZE_MB
     max_pdf_pages: int = MAX_PDF_PAGES
-    max_names_file_size_mb: int = MAX_NAMES_FILE_SIZE_MB
+    max_names_file_size_mb: float = MAX_NAMES_FILE_SIZE_MB
     max_search_names: int = MAX_SEARCH_NAMES
     word_match_threshold: int = WORD_MATCH_THRESHOLD
     ttl_days: int = LEDGER_TTL_DAYS
@@ -59,7 +59,7 @@ class SearchParams:
         if self.strategy not in ("auto", "broadcast", "shuffle"):
             raise ValueError(f"strategy must be auto, broadcast or shuffle, got {self.strategy!r}")
         for name in ("max_pdf_size_mb", "max_pdf_pages", "max_search_names", "ttl_days"):
-            if int(getattr(self, name)) < 0:
+            if float(getattr(self, name)) < 0:
                 raise ValueError(f"{name} must not be negative")
 
     def with_(self, **changes) -> "SearchParams":

@@ -201,3 +201,110 @@ roll_words AS (
          CAST(length(text) * 7 AS INTEGER) AS bbox_width, 12 AS bbox_height
   FROM roll_tok WHERE text <> '')
 """
+
+
+# ---------------------------------------------------------------------------
+# File-level stand-ins from ``documents``: one "PDF" file per document
+# ---------------------------------------------------------------------------
+# Fixed "now" of the ledger stand-in and its queries (repeatable runs).
+LEDGER_NOW = "2026-01-01 00:00:00"
+LINES_PER_PAGE = 4
+
+
+def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``binaryFile``-shaped rows (``path, modificationTime, length, content``).
+
+    Suffix by doc_id mod 5 (0 → ``.txt``, 1 → ``.PDF``, else ``.pdf``); every
+    13th path takes a ``/../src1`` detour; doc_id mod 9 = 4 lacks the PDF
+    header.  Content is the UTF-8 text after a ``%PDF-1.7`` line.
+    """
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    ext = F.when(F.col("doc_id") % 5 == 0, ".txt").when(F.col("doc_id") % 5 == 1, ".PDF").otherwise(".pdf")
+    detour = F.when(F.col("doc_id") % 13 == 0, "/../src1").otherwise("")
+    path = F.concat(
+        F.lit("/data/"), F.col("source"), detour, F.lit("/doc_"),
+        F.lpad(F.col("doc_id").cast("string"), 7, "0"), ext,
+    )
+    body = F.when(F.col("doc_id") % 9 == 4, F.concat(F.lit("NOT A PDF "), F.col("text"))).otherwise(
+        F.concat(F.lit("%PDF-1.7\n"), F.col("text"))
+    )
+    content = F.encode(body, "UTF-8")
+    return d.select(
+        path.alias("path"),
+        F.lit(LEDGER_NOW).cast("timestamp").alias("modificationTime"),
+        F.octet_length(content).cast("long").alias("length"),
+        content.alias("content"),
+        "doc_id",
+    )
+
+
+def text_page_fn(path: str, content: bytes):
+    """Stand-in page function for T1 (where a user plugs the OCR engine).
+
+    Pages are runs of four lines of the text after the header line; a page
+    holding an ``@`` is reported as a failed page.
+    """
+    from rollscan.sources.ocr import PageError
+
+    text = content.decode("utf-8")
+    lines = text.split("\n")[1:]
+    for i in range(0, len(lines), LINES_PER_PAGE):
+        page = "\n".join(lines[i : i + LINES_PER_PAGE])
+        yield PageError("page holds an e-mail address") if "@" in page else page
+
+
+def doc_ledger(spark: SparkSession, sf_dir: str, nhash: str) -> DataFrame:
+    """Ledger entries "written by earlier runs" for the document files.
+
+    threshold 90 when doc_id mod 3 = 0 else 82; version 0.9 when doc_id
+    mod 11 = 0; age doc_id mod 45 days; no results when doc_id mod 4 = 0;
+    every 7th file also has an older, superseded entry.
+    """
+    f = doc_files(spark, sf_dir)
+    now = F.lit(LEDGER_NOW).cast("timestamp")
+    item = F.struct(
+        F.lit("old_name.pdf").alias("file"),
+        F.lit(1).alias("page"),
+        F.concat(F.lit("name "), F.col("doc_id").cast("string")).alias("name"),
+        F.lit("guardian").alias("father"),
+        F.lit(None).cast("struct<left:int,top:int,width:int,height:int>").alias("bbox"),
+        F.lit(None).cast("double").alias("confidence"),
+    )
+
+    def entry(age_extra: int, page: int) -> DataFrame:
+        it = item.withField("page", F.lit(page))
+        return f.select(
+            F.sha2("content", 256).alias("file_hash"),
+            F.lit(nhash).alias("names_hash"),
+            F.when(F.col("doc_id") % 3 == 0, 90).otherwise(82).alias("threshold"),
+            F.lit(False).alias("box_level"),
+            F.lit(60.0).alias("min_confidence"),
+            F.when(F.col("doc_id") % 11 == 0, "0.9").otherwise("1.0").alias("version"),
+            (now - F.make_dt_interval(((F.col("doc_id") % 45) + age_extra).cast("int"))).alias("ts"),
+            F.col("path").alias("pdf_path"),
+            F.lit("old_name.pdf").alias("pdf_name"),
+            F.lit(192).alias("num_names"),
+            F.when(F.col("doc_id") % 4 == 0, F.array().cast(f"array<{item_type()}>"))
+            .otherwise(F.array(it))
+            .alias("results"),
+            "doc_id",
+        )
+
+    return entry(0, 1).unionByName(entry(1, 2).where(F.col("doc_id") % 7 == 0)).drop("doc_id")
+
+
+def item_type() -> str:
+    from rollscan.schemas import RESULT_ITEM
+
+    return RESULT_ITEM.simpleString()
+
+
+DOC_FILES_SQL = """
+doc_files AS (
+  SELECT doc_id,
+         '/data/' || source || CASE WHEN doc_id % 13 = 0 THEN '/../src1' ELSE '' END || '/doc_'
+           || lpad(CAST(doc_id AS VARCHAR), 7, '0')
+           || CASE WHEN doc_id % 5 = 0 THEN '.txt' WHEN doc_id % 5 = 1 THEN '.PDF' ELSE '.pdf' END AS path,
+         encode(CASE WHEN doc_id % 9 = 4 THEN 'NOT A PDF ' || text ELSE '%PDF-1.7' || chr(10) || text END) AS content
+  FROM documents)
+"""
