@@ -31,7 +31,7 @@ from rollscan.functions.text import basename
 from rollscan.operators.filters import normalize_path, pdf_suffix, within_base
 from rollscan.operators.stats import error_summary, run_stats
 from rollscan.plans.search import search_boxes, search_text, text_matches
-from rollscan.session import checkpoint_dir
+from rollscan.session import checkpoint_dir, ship_package
 from rollscan.sinks.ledger import (
     names_hash,
     names_hash_expr,
@@ -275,10 +275,26 @@ def q_ledger_expire(spark, sf_dir):
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: text-mode search of the sf0.001 roll pages at threshold 82."""
+    ship_package(spark)
     return _fuzzy(82, "auto")(spark, "/root/testdata/sf0.001")
 
 
+def _shipped(fn):
+    """Ship the package to the executors before a query builds its plan."""
+
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: _shipped(v) for k, v in _queries_raw().items()}
+
+
+def _queries_raw() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "normalize_names": q_normalize_names,
         "block_split": q_block_split,

@@ -36,10 +36,12 @@ def extract_records(
     stripping, so a captured blank still counts).  Output: the page's key
     columns, ``block_pos``, ``name``, ``father`` and ``relation`` (which
     guardian label matched).  With ``all_records`` the k-th name of a block
-    pairs with its k-th guardian field instead of keeping only the first.
+    pairs with its k-th guardian field instead of keeping only the first;
+    name labels are then anchored to line starts (otherwise every guardian
+    line would also count as a name line and shift the pairing).
     """
     params = params or SearchParams()
-    npat = name_pattern(params.strict_labels)
+    npat = name_pattern(params.strict_labels or params.all_records)
     gpat = guardian_pattern()
     blocks = split_blocks(pages, text_col)
     keep = [c for c in blocks.columns if c != "block"]

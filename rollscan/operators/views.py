@@ -30,7 +30,9 @@ def csv_view(results: DataFrame) -> DataFrame:
     if "bbox" in results.columns:
         cols += [F.col(f"bbox.{k}").alias(f"bbox_{k}") for k in ("left", "top", "width", "height")]
     if "confidence" in results.columns:
-        cols.append(F.format_string("%.2f", F.col("confidence")).alias("confidence"))
+        conf = F.col("confidence")
+        # format_string of a null gives "null" cut to the precision; keep null instead.
+        cols.append(F.when(conf.isNotNull(), F.format_string("%.2f", conf)).alias("confidence"))
     return results.select(*cols)
 
 

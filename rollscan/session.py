@@ -45,3 +45,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.sparkContext.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rollscan`` importable on executors (``addPyFile`` of a zip of the package).
+
+    Python UDFs and ``mapInPandas`` functions refer to this package by module
+    name; on a cluster the executors need a copy.  Done once per session.
+    """
+    import os
+    import zipfile
+
+    key = id(spark.sparkContext)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="rollscan-pkg-"), "rollscan.zip")
+    with zipfile.ZipFile(out, "w") as zf:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    spark.sparkContext.addPyFile(out)
+    _SHIPPED.add(key)

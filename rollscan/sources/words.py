@@ -33,9 +33,8 @@ def read_ocr_tsv(spark: SparkSession, path: str, source_suffix: str = ".tsv") ->
     src = F.url_decode(F.replace(F.col("_src"), F.lit("+"), F.lit("%2B")))
     src = F.regexp_replace(src, "^file:(//)?", "")
     src = F.regexp_replace(src, F.lit(source_suffix.replace(".", "\\.") + "$"), "")
-    word_pos = ((F.col("block_num") * 1000 + F.col("par_num")) * 1000 + F.col("line_num")) * 10000 + F.col(
-        "word_num"
-    )
+    num = [F.col(c).cast("long") for c in ("block_num", "par_num", "line_num", "word_num")]
+    word_pos = ((num[0] * 1000 + num[1]) * 1000 + num[2]) * 10000 + num[3]
     return df.where(F.col("level") == WORD_LEVEL).select(
         src.alias("path"),
         F.col("page_num").alias("page"),
