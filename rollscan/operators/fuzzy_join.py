@@ -60,14 +60,8 @@ _KEY = "struct<kind:string,len:int,tok:string>"
 
 def _with_forms(df: DataFrame, raw: str, p: str) -> DataFrame:
     """Add normalised form ``p``, token-set form, multi-token flag, length, tokens."""
-    return (
-        df.where(F.col(raw).isNotNull() & (F.col(raw) != ""))
-        .withColumn(p, normalize_bn(raw))
-        .withColumn(p + "_t", F.array_distinct(py_split(F.col(p))))
-        .withColumn(p + "_k", F.array_join(F.array_sort(F.col(p + "_t")), " "))
-        .withColumn(p + "_m", has_inner_whitespace(F.col(p)))
-        .withColumn(p + "_l", F.length(F.col(p + "_k")))
-    )
+    kept = df.where(F.col(raw).isNotNull() & (F.col(raw) != ""))
+    return _forms_of_normalised(kept.withColumn(p, normalize_bn(raw)), p)
 
 
 def _bigrams(c: Column) -> Column:
@@ -187,20 +181,54 @@ def _drop_work(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_a") or c.startswith("_b")])
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Round-robin the (small, CPU-heavy) distinct strings over all shuffle partitions.
+
+    AQE coalesces small shuffle outputs into very few partitions by byte
+    size; candidate scoring costs CPU per row, not per byte, so the distinct
+    names are spread again (a small shuffle of distinct strings only).
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, 1))
+
+
 def match_pairs(
-    names: DataFrame, queries: DataFrame, threshold: int, name_col: str = "name", query_col: str = "query"
+    names: DataFrame,
+    queries: DataFrame,
+    threshold: int,
+    strategy: str = "broadcast",
+    name_col: str = "name",
+    query_col: str = "query",
 ) -> DataFrame:
     """Distinct matching (normalised name ``_a``, normalised query ``_b``, ``score``) pairs.
 
-    Shuffle form: both sides reduced to distinct normalised strings first.
+    Both sides are first reduced to distinct normalised strings (partial
+    aggregation before the shuffle, so repeated names cost little).
     """
     t = int(threshold)
-    a = _with_forms(names.select(F.col(name_col).alias("_raw")), "_raw", "_a").drop("_raw")
-    b = _with_forms(queries.select(F.col(query_col).alias("_raw")), "_raw", "_b").drop("_raw")
-    a, b = a.dropDuplicates(["_a"]), b.dropDuplicates(["_b"])
+    a = names.where(F.col(name_col).isNotNull() & (F.col(name_col) != "")).select(
+        normalize_bn(name_col).alias("_a")
+    ).distinct()
+    b = queries.where(F.col(query_col).isNotNull() & (F.col(query_col) != "")).select(
+        normalize_bn(query_col).alias("_b")
+    ).distinct()
+    a = _forms_of_normalised(_spread(a), "_a")
+    b = _forms_of_normalised(b, "_b")
+    broadcast_b = strategy == "broadcast"
     if t <= 0:
-        return a.crossJoin(b).select("_a", "_b", F.lit(None).cast("double").alias("score"))
-    return _verify(_candidates(a, b, t, broadcast_b=False), t).select("_a", "_b", "score")
+        bb = F.broadcast(b) if broadcast_b else b
+        return a.crossJoin(bb).select("_a", "_b", F.lit(None).cast("double").alias("score"))
+    return _verify(_candidates(a, b, t, broadcast_b=broadcast_b), t).select("_a", "_b", "score")
+
+
+def _forms_of_normalised(df: DataFrame, p: str) -> DataFrame:
+    """Token-set form, multi-token flag, length and tokens of an already normalised column ``p``."""
+    return (
+        df.withColumn(p + "_t", F.array_distinct(py_split(F.col(p))))
+        .withColumn(p + "_k", F.array_join(F.array_sort(F.col(p + "_t")), " "))
+        .withColumn(p + "_m", has_inner_whitespace(F.col(p)))
+        .withColumn(p + "_l", F.length(F.col(p + "_k")))
+    )
 
 
 def fuzzy_join(
@@ -209,16 +237,25 @@ def fuzzy_join(
     params: SearchParams | None = None,
     name_col: str = "name",
     query_col: str = "query",
+    dedupe: bool = True,
 ) -> DataFrame:
     """One row per (record, query) whose names match; all columns of both sides + ``score``.
 
-    Duplicate queries give duplicate rows; the column ``score`` is the
-    token-set similarity (null at threshold 0, where it is not computed).
+    Duplicate queries give duplicate rows; ``score`` is the token-set
+    similarity (null at threshold 0, where it is not computed).
+
+    ``dedupe=True`` (batch default): score distinct normalised names only,
+    then join the (small) pair table back to all records (AQE broadcasts it
+    when its measured size allows, and splits skewed names otherwise) and to
+    the queries.  ``dedupe=False`` (streams): records probe the broadcast
+    query keys directly, one pass, no state.
     """
     params = params or SearchParams()
     t = int(params.threshold)
     strategy = choose_strategy(queries, params, query_col)
-    if strategy == "broadcast":
+    if not dedupe:
+        if strategy != "broadcast":
+            raise ValueError("the single-pass join needs a broadcastable query side")
         a = _with_forms(records, name_col, "_a")
         b = _with_forms(queries, query_col, "_b")
         if t <= 0:
@@ -226,11 +263,12 @@ def fuzzy_join(
         else:
             out = _verify(_candidates(a, b, t, broadcast_b=True), t)
         return _drop_work(out)
-    pairs = match_pairs(records, queries, t, name_col, query_col)
+    pairs = match_pairs(records, queries, t, strategy, name_col, query_col)
     rec = records.where(F.col(name_col).isNotNull() & (F.col(name_col) != "")).withColumn(
         "_a", normalize_bn(name_col)
     )
     qs = queries.where(F.col(query_col).isNotNull() & (F.col(query_col) != "")).withColumn(
         "_b", normalize_bn(query_col)
     )
-    return rec.join(pairs, "_a", "inner").join(qs, "_b", "inner").drop("_a", "_b")
+    qside = F.broadcast(qs) if strategy == "broadcast" else qs
+    return rec.join(pairs, "_a", "inner").join(qside, "_b", "inner").drop("_a", "_b")

@@ -13,7 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rollscan.operators.fuzzy_join import choose_strategy
 from rollscan.params import SearchParams
-from rollscan.plans.search import search_text, text_matches
+from rollscan.operators.extract import extract_records
+from rollscan.operators.filters import cap_pages
+from rollscan.operators.fuzzy_join import fuzzy_join
+from rollscan.operators.views import result_view
 from rollscan.schemas import PAGES
 from rollscan.session import checkpoint_dir
 
@@ -23,15 +26,14 @@ def stream_matches(pages: DataFrame, queries: DataFrame, params: SearchParams |
     params = params or SearchParams()
     if choose_strategy(queries, params) != "broadcast":
         raise ValueError("a streaming search needs a name list small enough to broadcast")
-    return text_matches(pages, queries, params.with_(strategy="broadcast"))
+    params = params.with_(strategy="broadcast")
+    records = extract_records(cap_pages(pages, params.max_pdf_pages), params)
+    return fuzzy_join(records, queries, params, dedupe=False)
 
 
 def stream_search(pages: DataFrame, queries: DataFrame, params: SearchParams | None = None) -> DataFrame:
     """Result rows ``(file, page, name, father)`` of a streaming text search."""
-    params = params or SearchParams()
-    if choose_strategy(queries, params) != "broadcast":
-        raise ValueError("a streaming search needs a name list small enough to broadcast")
-    return search_text(pages, queries, params.with_(strategy="broadcast"))
+    return result_view(stream_matches(pages, queries, params), box_level=False)
 
 
 def start_search_stream(

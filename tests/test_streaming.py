@@ -30,6 +30,6 @@ def test_stream_equals_batch(spark):
     want = sorted(tuple(r) for r in search_text(pages, queries, params).collect())
     assert got == want and len(want) > 0
 
-    sq = start_search_stream(spark, os.path.join(root, "in", "*"), queries, os.path.join(root, "out"), params, name="t1")
+    sq = start_search_stream(spark, os.path.join(root, "in", "*"), queries, os.path.join(root, "out"), params, name=f"t_{os.path.basename(root)}")
     sq.awaitTermination(300)
     assert spark.read.parquet(os.path.join(root, "out")).count() == len(want)
