@@ -91,18 +91,22 @@ def record_tokens(records: DataFrame, key: list[str]) -> DataFrame:
 def best_words(tokens: DataFrame, words: DataFrame, threshold: int, key: list[str], broadcast_tokens: bool) -> DataFrame:
     """J2 + W1 + F11: per token, the page word with the highest ratio >= threshold.
 
-    Equi-join on (path, page, normalised word length) over the lengths that
-    can reach the threshold, native Levenshtein bound, exact LCS check, then
-    arg-max per token with the earliest word winning ties.
+    The best word depends only on the page and the normalised token, so each
+    distinct (page, normalised token) is scored once and the winners are
+    joined back to every token.  Candidates: equi-join on (path, page,
+    normalised word length) over the lengths that can reach the threshold,
+    native Levenshtein bound, exact LCS check; then arg-max per token with
+    the earliest word winning ties (a partial + final aggregate, no window).
     """
     t = int(threshold)
-    tk = tokens.withColumn("_t", normalize_bn("token")).withColumn("_tl", F.length("_t"))
+    tk = tokens.withColumn("_t", normalize_bn("token"))
+    uniq = tk.select("path", "page", "_t").distinct().withColumn("_tl", F.length("_t"))
     if t > 0:
         lo, hi = length_window(F.col("_tl"), t)
         lengths = F.when(F.col("_tl") == 0, F.array(F.lit(0))).otherwise(F.sequence(lo, hi))
     else:
         lengths = F.sequence(F.lit(0), F.lit(1 << 12))
-    tk = tk.withColumn("_wl", F.explode(lengths))
+    uniq = uniq.withColumn("_wl", F.explode(lengths))
     wk = words.select(
         F.col("path").alias("_wpath"),
         F.col("page").alias("_wpage"),
@@ -112,7 +116,7 @@ def best_words(tokens: DataFrame, words: DataFrame, threshold: int, key: list[st
         F.col("bbox").alias("w_bbox"),
         normalize_bn("text").alias("_w"),
     ).withColumn("_wlen", F.length("_w"))
-    tk = F.broadcast(tk) if broadcast_tokens else tk
+    uniq = F.broadcast(uniq) if broadcast_tokens else uniq
     budget = indel_budget(F.col("_tl"), F.col("_wlen"), t)
     cond = (
         (F.col("_wpath") == F.col("path"))
@@ -120,7 +124,7 @@ def best_words(tokens: DataFrame, words: DataFrame, threshold: int, key: list[st
         & (F.col("_wlen") == F.col("_wl"))
         & levenshtein_within(F.col("_t"), F.col("_w"), budget)
     )
-    cand = wk.join(tk, cond, "inner")
+    cand = wk.join(uniq, cond, "inner")
     scored = cand.withColumn("_lcs", lcs_udf(F.col("_t"), F.col("_w"))).withColumn(
         "w_score", ratio_score(F.col("_lcs"), F.col("_tl"), F.col("_wlen"))
     )
@@ -128,7 +132,7 @@ def best_words(tokens: DataFrame, words: DataFrame, threshold: int, key: list[st
     scored = scored.where(
         (F.lit(200) * F.col("_lcs") >= F.lit(t) * total) | (total == 0)
     ).where(F.col("w_score") > 0)
-    best = scored.groupBy(*key, "field", "tok_pos").agg(
+    best = scored.groupBy("path", "page", "_t").agg(
         F.max(
             F.struct(
                 F.col("w_score"),
@@ -140,7 +144,11 @@ def best_words(tokens: DataFrame, words: DataFrame, threshold: int, key: list[st
             )
         ).alias("best")
     )
-    return best.select(*key, "field", "tok_pos", "best.*").drop("neg_pos")
+    best = best.select("path", "page", "_t", "best.*").drop("neg_pos")
+    best = F.broadcast(best) if broadcast_tokens else best
+    return tk.join(best, ["path", "page", "_t"], "inner").select(
+        *key, "field", "tok_pos", "word_pos", "w_text", "w_conf", "w_bbox", "w_score"
+    )
 
 
 def field_boxes(best: DataFrame, key: list[str]) -> DataFrame:
