@@ -180,15 +180,16 @@ def locate_records(
 ) -> DataFrame:
     """X3 for matched records: add ``name_bbox``, ``father_bbox``, ``confidence`` and ``bbox``.
 
-    The distinct matched records are checkpointed to the shared checkpoint
-    folder (they are needed twice and are small); their count decides
-    whether their tokens are broadcast to the word scan or shuffled.
+    The matched rows are checkpointed to the shared checkpoint folder (they
+    are needed twice, are few, and the lineage behind them is the whole
+    search); the count of distinct matched records decides whether their
+    tokens are broadcast to the word scan or shuffled.
     """
     params = params or SearchParams()
     key = key or [c for c in RECORD_KEY + ["record_pos"] if c in matches.columns]
-    recs = matches.select(*key, "name", "father").dropDuplicates(key)
     checkpoint_dir(matches.sparkSession)
-    recs = recs.checkpoint(eager=True)
+    matches = matches.checkpoint(eager=True)
+    recs = matches.select(*key, "name", "father").dropDuplicates(key)
     small = recs.count() <= BROADCAST_MAX_RECORDS
     tokens = record_tokens(recs, key)
     kept = filter_words(words, params.min_confidence)

@@ -177,6 +177,14 @@ def choose_strategy(queries: DataFrame, params: SearchParams, query_col: str = "
     return "shuffle"
 
 
+def _rename_collisions(queries: DataFrame, record_cols: list[str], query_col: str) -> DataFrame:
+    """Query-side columns that also exist on the record side get a ``query_`` prefix."""
+    for c in queries.columns:
+        if c in record_cols and c != query_col:
+            queries = queries.withColumnRenamed(c, f"query_{c}")
+    return queries
+
+
 def _drop_work(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_a") or c.startswith("_b")])
 
@@ -252,6 +260,7 @@ def fuzzy_join(
     """
     params = params or SearchParams()
     t = int(params.threshold)
+    queries = _rename_collisions(queries, records.columns, query_col)
     strategy = choose_strategy(queries, params, query_col)
     if not dedupe:
         if strategy != "broadcast":
