@@ -33,6 +33,7 @@ from rollscan.operators.stats import error_summary, run_stats
 from rollscan.plans.search import search_boxes, search_text, text_matches
 from rollscan.session import checkpoint_dir, ship_package
 from rollscan.sinks.ledger import (
+    ledger_key,
     names_hash,
     names_hash_expr,
     oldest_valid,
@@ -40,7 +41,7 @@ from rollscan.sinks.ledger import (
     split_hits,
     valid_predicate,
 )
-from rollscan.sources.files import content_hash, validate_files
+from rollscan.sources.files import content_hash, size_mb, validate_files
 from rollscan.sources.names import names_from_texts
 from rollscan.sources.ocr import error_rows, ocr_pages, page_rows
 
@@ -185,7 +186,26 @@ def q_path_filter(spark, sf_dir):
 def q_validate_files(spark, sf_dir):
     """F2 + F3 + P4: first failing check per file (size cap 0.02 MB, then magic number)."""
     v = validate_files(_files(spark, sf_dir).where(pdf_suffix("path")), FILE_PARAMS)
-    return v.select("path", "file", "length", "error")
+    return v.select("path", "file", "length", size_mb(F.col("length")).alias("size_mb"), "error")
+
+
+def q_ledger_keys(spark, sf_dir):
+    """P6 + P5 + A7: ledger key of every PDF file for the roll name list (threshold 82, text mode)."""
+    nhash = names_hash(_queries(spark, sf_dir))
+    files = _files(spark, sf_dir).where(pdf_suffix("path"))
+    return files.select("path", ledger_key(content_hash("content"), F.lit(nhash), LEDGER_PARAMS).alias("ledger_key"))
+
+
+def q_extract_records_all(spark, sf_dir):
+    """X2 with the all-records option (Q3): every anchored name line pairs with its guardian line."""
+    return extract_records(_pages(spark, sf_dir), SearchParams(all_records=True)).select(
+        "path", "file", "page", "block_pos", "record_pos", "name", "father", "relation"
+    )
+
+
+def q_report_view_text(spark, sf_dir):
+    """K7 in text mode (no Confidence column) over the flagship search."""
+    return report_view(search_text(_pages(spark, sf_dir), _queries(spark, sf_dir), SearchParams(strategy="broadcast")))
 
 
 def q_content_hash(spark, sf_dir):
@@ -327,6 +347,9 @@ def _queries_raw() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ledger_hits": q_ledger_hits,
         "ledger_misses": q_ledger_misses,
         "ledger_expire": q_ledger_expire,
+        "ledger_keys": q_ledger_keys,
+        "extract_records_all": q_extract_records_all,
+        "report_view_text": q_report_view_text,
     }
 
 
@@ -592,8 +615,26 @@ def oracle_sql() -> dict[str, str]:
         + f"SELECT path, {FILE_OF} AS file, resolved FROM np WHERE {PDF_WHERE} "
         "AND (resolved = '/data/src1' OR starts_with(resolved, '/data/src1/'))",
         "validate_files": _with(files)
-        + f"SELECT path, {FILE_OF} AS file, octet_length(content) AS length, {FILE_ERROR} AS error "
+        + f"SELECT path, {FILE_OF} AS file, octet_length(content) AS length, "
+        f"octet_length(content) / 1048576.0 AS size_mb, {FILE_ERROR} AS error "
         f"FROM doc_files WHERE {PDF_WHERE}",
+        "ledger_keys": _with(files, rolls.ROLL_QUERIES_SQL)
+        + f"SELECT path, sha256(content) || '_' || {NH_SQL} || '_82_text_60' AS ledger_key "
+        f"FROM doc_files WHERE {PDF_WHERE}",
+        "extract_records_all": _with(pages, BLOCKS_SQL)
+        + f"""SELECT path, file, page, block_pos, CAST(r.i - 1 AS INTEGER) AS record_pos,
+  {_strip('r.n')} AS name, {_strip('r.f')} AS father, r.rel AS relation
+FROM blocks, LATERAL (
+  SELECT unnest(ns) AS n, unnest(fs) AS f, unnest(rs) AS rel, generate_subscripts(ns, 1) AS i
+  FROM (SELECT regexp_extract_all(block, '{NPAT_STRICT}', 1) AS ns,
+               regexp_extract_all(block, '{GPAT}', 2) AS fs,
+               regexp_extract_all(block, '{GPAT}', 1) AS rs)) r
+WHERE r.n IS NOT NULL AND r.f IS NOT NULL""",
+        "report_view_text": _with(rolls.ROLL_PAGES_SQL, rolls.ROLL_QUERIES_SQL, BLOCKS_SQL, _records_sql(), _pairs_sql(82))
+        + f"""SELECT r.file AS "File", CAST(r.page AS VARCHAR) AS "Page", r.name AS "Name", r.father AS "Father / Guardian"
+FROM recs r JOIN pairs p ON {_norm('r.name')} = p.a
+JOIN roll_queries q ON {_norm('q.query')} = p.b
+WHERE r.name <> '' AND q.query <> ''""",
         "content_hash": _with(files) + "SELECT path, sha256(content) AS file_hash FROM doc_files",
         "ocr_pages": ocr + "SELECT path, page, text, level, message FROM ocr",
         "run_stats": _with(

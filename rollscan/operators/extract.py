@@ -43,21 +43,32 @@ def extract_records(
     params = params or SearchParams()
     npat = name_pattern(params.strict_labels or params.all_records)
     gpat = guardian_pattern()
-    blocks = split_blocks(pages, text_col)
-    keep = [c for c in blocks.columns if c != "block"]
     if not params.all_records:
-        raw = blocks.select(
-            *keep,
-            F.regexp_extract("block", npat, 1).alias("_name"),
-            F.regexp_extract("block", gpat, 2).alias("_father"),
-            F.regexp_extract("block", gpat, 1).alias("relation"),
-        ).where((F.col("_name") != "") & (F.col("_father") != ""))
+        # One expression per page: every block's two patterns run exactly once
+        # (a Filter on the extracted columns would be pushed below the Project
+        # and evaluate the patterns twice); only kept blocks are emitted.
+        keep = [c for c in pages.columns if c != text_col]
+        blocks = F.split(F.coalesce(F.col(text_col), F.lit("")), BLOCK_SEPARATOR, -1)
+        found = F.transform(
+            blocks,
+            lambda b, i: F.struct(
+                i.alias("block_pos"),
+                F.regexp_extract(b, npat, 1).alias("_name"),
+                F.regexp_extract(b, gpat, 2).alias("_father"),
+                b.alias("_block"),
+            ),
+        )
+        kept = F.filter(found, lambda r: (r["_name"] != "") & (r["_father"] != ""))
+        raw = pages.select(*keep, F.inline(kept))
         return raw.select(
             *keep,
+            "block_pos",
             py_strip("_name").alias("name"),
             py_strip("_father").alias("father"),
-            "relation",
+            F.regexp_extract("_block", gpat, 1).alias("relation"),
         )
+    blocks = split_blocks(pages, text_col)
+    keep = [c for c in blocks.columns if c != "block"]
     zipped = blocks.select(
         *keep,
         F.posexplode(
