@@ -109,7 +109,9 @@ def _words(spark, sf_dir):
 
 
 BOX_LINES = SearchParams(box_level=True, layout="lines", strategy="broadcast")
-BOX_FLAT = SearchParams(box_level=True, layout="flat", strategy="broadcast")
+# Flat layout (reference): a page is one block and its "name" runs to the page
+# end, so only a low threshold yields matches to compare.
+BOX_FLAT = SearchParams(box_level=True, layout="flat", strategy="broadcast", threshold=10)
 
 
 def q_word_filter(spark, sf_dir):
@@ -463,7 +465,7 @@ def _split_tokens(x: str) -> str:
     return f"regexp_split_to_array({_strip(x)}, '{WS_CLASS}+')"
 
 
-def _box_sql(layout: str, select: str) -> str:
+def _box_sql(layout: str, select: str, threshold: int = 82) -> str:
     pages_sql = BOX_PAGES_LINES_SQL if layout == "lines" else BOX_PAGES_FLAT_SQL
     box = f"""
 matches AS (
@@ -522,7 +524,7 @@ results AS (
 """
     return _with(
         rolls.ROLL_PAGES_SQL, rolls.ROLL_WORDS_SQL, rolls.ROLL_QUERIES_SQL, KEPT_SQL, pages_sql,
-        _blocks_sql("box_pages"), _records_sql(), _pairs_sql(82), box,
+        _blocks_sql("box_pages"), _records_sql(), _pairs_sql(threshold), box,
     ) + select
 
 
@@ -680,7 +682,7 @@ FROM ledger""",
         + "SELECT path, file, page, text FROM box_pages",
         "best_word": _box_sql("lines", "SELECT path, page, block_pos, field, tok_pos, word_pos, w_text, w_conf, w_score FROM best"),
         "record_boxes": _box_sql("lines", "SELECT * FROM results"),
-        "record_boxes_flat": _box_sql("flat", "SELECT * FROM results"),
+        "record_boxes_flat": _box_sql("flat", "SELECT * FROM results", threshold=10),
         "csv_view": _box_sql(
             "lines",
             "SELECT file, page, name, father, bbox_left, bbox_top, bbox_width, bbox_height, "
