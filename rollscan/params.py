@@ -46,6 +46,12 @@ class SearchParams:
     broadcast_max_queries: int = 100_000
     # Largest query side (total characters) that the broadcast strategy accepts.
     broadcast_max_chars: int = 8 * 1024 * 1024
+    # Write extracted records once to the checkpoint folder: the join reads them
+    # twice (distinct names, join back), which is cheaper than scanning and
+    # regex-matching big page inputs twice.  None = decide by Catalyst's size
+    # estimate of the page input against ``materialize_min_bytes``.
+    materialize_records: bool | None = None
+    materialize_min_bytes: int = 256 * 1024 * 1024
 
     def __post_init__(self) -> None:
         if not 0 <= int(self.threshold) <= 100:

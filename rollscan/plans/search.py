@@ -17,12 +17,26 @@ from rollscan.operators.filters import cap_pages
 from rollscan.operators.fuzzy_join import fuzzy_join
 from rollscan.operators.views import result_view
 from rollscan.params import SearchParams
+from rollscan.session import materialize
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (file sizes for scans), as for broadcast decisions."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _materialize(source: DataFrame, params: SearchParams) -> bool:
+    if params.materialize_records is not None:
+        return bool(params.materialize_records)
+    return estimated_bytes(source) >= params.materialize_min_bytes
 
 
 def text_matches(pages: DataFrame, queries: DataFrame, params: SearchParams | None = None) -> DataFrame:
     """Detail rows of a text-mode search: record keys, name, father, relation, query, score."""
     params = params or SearchParams()
     records = extract_records(cap_pages(pages, params.max_pdf_pages), params)
+    if _materialize(pages, params):
+        records = materialize(records)
     return fuzzy_join(records, queries, params)
 
 
@@ -37,6 +51,8 @@ def box_matches(words: DataFrame, queries: DataFrame, params: SearchParams | Non
     words = cap_pages(words, params.max_pdf_pages)
     pages = page_texts(words, params)
     records = extract_records(pages, params)
+    if _materialize(words, params):
+        records = materialize(records)
     matched = fuzzy_join(records, queries, params)
     return locate_records(matched, words, params)
 

@@ -47,6 +47,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and return the read-back plan.
+
+    Used for intermediate tables that a plan reads more than once; it also
+    cuts the lineage, so a lost executor recomputes from the checkpoint.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 _SHIPPED: set[int] = set()
 
 
