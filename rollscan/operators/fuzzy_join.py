@@ -9,10 +9,12 @@ whose keys are lossless for the threshold:
 * ``L`` keys (length): the query side is exploded by every name length that
   can still reach ``t`` (LCS <= min length); the join condition adds the
   native bound ``levenshtein(a, b, budget) >= 0`` (Levenshtein <= Indel).
-* ``G`` keys (length, bigram), shuffle strategy only: where ``t`` forces a
-  shared character bigram (common bigrams >= 3·LCS − L − 1), pairs meet on
-  each shared bigram; the row of the *smallest* shared bigram is kept, so a
-  pair is produced once without a de-duplicating shuffle.
+* ``P`` keys (length, bigram occurrence), shuffle strategy only: where ``t``
+  forces ``m >= 1`` common bigram occurrences (common bigrams >= 3·LCS − L − 1),
+  both sides keep only the prefix of ``n − m + 1`` elements in one global
+  order (rarest first; prefix filtering), so frequent bigrams mostly drop
+  out; the row of the *smallest* shared prefix element is kept, so a pair is
+  produced once without a de-duplicating shuffle.
 * ``T`` keys (token): names or queries with several tokens (inner non-space
   whitespace) also meet every partner that shares a token (the token-set
   score is 100 there or not bounded by length); again only the smallest
@@ -55,7 +57,10 @@ from rollscan.params import SearchParams
 # against the (size-checked) query side.
 _MIN_EXPLODE_THRESHOLD = 10
 
-_KEY = "struct<kind:string,len:int,tok:string>"
+_KEY = "struct<kind:string,len:int,tok:string,cnt:bigint,occ:int>"
+_ELEM = "struct<cnt:bigint,g:string,k:int>"
+# Distinct prefix elements up to this many rows are broadcast to the element rows.
+_BROADCAST_MAX_ELEMENTS = 2_000_000
 
 
 def _with_forms(df: DataFrame, raw: str, p: str) -> DataFrame:
@@ -64,58 +69,113 @@ def _with_forms(df: DataFrame, raw: str, p: str) -> DataFrame:
     return _forms_of_normalised(kept.withColumn(p, normalize_bn(raw)), p)
 
 
-def _bigrams(c: Column) -> Column:
-    """Distinct character bigrams of a string (empty array below two characters)."""
-    return F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, 2))
-        )
+def _key(kind: str, length: Column, tok: Column, cnt: Column | None = None, occ: Column | None = None) -> Column:
+    return F.struct(
+        F.lit(kind).alias("kind"),
+        length.cast("int").alias("len"),
+        tok.alias("tok"),
+        (cnt if cnt is not None else F.lit(0)).cast("bigint").alias("cnt"),
+        (occ if occ is not None else F.lit(0)).cast("int").alias("occ"),
     )
 
 
-def _forced_bigram(total: Column, threshold: int) -> Column:
-    """True when every pair of total length ``L`` reaching ``t`` shares a bigram."""
-    t = int(threshold)
-    min_lcs = F.floor((F.lit(t) * total + F.lit(199)) / F.lit(200))
-    return F.lit(3) * min_lcs - total - F.lit(1) >= F.lit(1)
+def _elem_key(length: Column, e: Column) -> Column:
+    return _key("P", length, e["g"], e["cnt"], e["k"])
+
+
+def _indexed_bigrams(c: Column) -> Column:
+    """Bigram occurrences ``(g, k)``: the k-th occurrence of bigram g (multiset as a set)."""
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, 2))
+    grams = F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(grams)
+    return F.transform(
+        grams,
+        lambda g, i: F.struct(
+            g.alias("g"), F.size(F.filter(F.slice(grams, 1, i + 1), lambda x: x == g)).cast("int").alias("k")
+        ),
+    )
+
 
+def _required_common(total: Column, t: int) -> Column:
+    """Least number of common bigram occurrences of a pair of total length L reaching t:
+    3·ceil(t·L/200) − L − 1 (it forces a shared bigram when >= 1)."""
+    min_lcs = F.floor((F.lit(int(t)) * total + F.lit(199)) / F.lit(200))
+    return (F.lit(3) * min_lcs - total - F.lit(1)).cast("int")
 
-def _key(kind: str, length: Column, tok: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), length.cast("int").alias("len"), tok.alias("tok"))
+
+def _sorted_elements(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add ``_a_s`` / ``_b_s``: each string's bigram occurrences in one global order
+    (how many strings hold the occurrence, then bigram, then occurrence number),
+    so prefixes hold the rarest elements and frequent bigrams drop out of them."""
+    ea = a.select(F.explode(_indexed_bigrams(F.col("_a_k"))).alias("e"))
+    eb = b.select(F.explode(_indexed_bigrams(F.col("_b_k"))).alias("e"))
+    freq = ea.unionByName(eb).groupBy(F.col("e.g").alias("g"), F.col("e.k").alias("k")).agg(
+        F.count(F.lit(1)).alias("cnt")
+    )
+    if freq.count() <= _BROADCAST_MAX_ELEMENTS:
+        freq = F.broadcast(freq)
+
+    def attach(df: DataFrame, p: str) -> DataFrame:
+        rows = df.select(p, F.explode_outer(_indexed_bigrams(F.col(p + "_k"))).alias("e"))
+        rows = rows.select(p, F.col("e.g").alias("g"), F.col("e.k").alias("k"))
+        rows = rows.join(freq, ["g", "k"], "left")
+        elem = F.when(F.col("g").isNotNull(), F.struct("cnt", "g", "k"))
+        sorted_ = rows.groupBy(p).agg(F.array_sort(F.collect_list(elem)).cast(f"array<{_ELEM}>").alias(p + "_s"))
+        return df.join(sorted_, p, "inner")
+
+    return attach(a, "_a"), attach(b, "_b")
 
 
 def _token_keys(p: str) -> Column:
     return F.transform(F.col(p + "_t"), lambda tok: _key("T", F.lit(0), tok))
 
 
+def _a_prefix(t: int) -> Column:
+    """Prefix of ``_a_s`` long enough for every forced partner length:
+    ``n − m + 1`` elements for the smallest positive required overlap m."""
+    lo, hi = length_window(F.col("_a_l"), t)
+    ms = F.transform(F.sequence(lo, hi), lambda lb: _required_common(F.col("_a_l") + lb, t))
+    m = F.array_min(F.filter(ms, lambda x: x >= 1))
+    n = F.size(F.col("_a_s"))
+    return F.when(m.isNull() | (F.col("_a_l") <= 0), F.array().cast(f"array<{_ELEM}>")).otherwise(
+        F.slice(F.col("_a_s"), 1, F.greatest(n - m + 1, F.lit(0)))
+    )
+
+
 def _a_keys(use_bigrams: bool) -> Column:
     length_key = F.when(
         F.col("_a_l") > 0, F.array(_key("L", F.col("_a_l"), F.lit("")))
     ).otherwise(F.array().cast(f"array<{_KEY}>"))
     keys = F.concat(length_key, _token_keys("_a"))
     if use_bigrams:
-        grams = F.transform(_bigrams(F.col("_a_k")), lambda g: _key("G", F.col("_a_l"), g))
-        keys = F.concat(keys, grams)
-    return keys
+        keys = F.concat(keys, F.transform(F.col("_a_pre"), lambda e: _elem_key(F.col("_a_l"), e)))
+    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.lit(0).alias("pl")))
 
 
 def _b_keys(t: int, use_bigrams: bool) -> Column:
+    """Keys of a query: per name length that can reach t, either its prefix
+    elements (when t forces common bigrams) or the bare length; plus tokens.
+    Each key carries ``pl``, the prefix length used for it."""
     lo, hi = length_window(F.col("_b_l"), t)
     lengths = F.when(F.col("_b_l") > 0, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+    def plain(k: Column) -> Column:
+        return F.struct(k.alias("k"), F.lit(0).alias("pl"))
+
     if not use_bigrams:
-        length_keys = F.transform(lengths, lambda n: _key("L", n, F.lit("")))
+        length_keys = F.transform(lengths, lambda n: plain(_key("L", n, F.lit(""))))
     else:
-        grams = _bigrams(F.col("_b_k"))
-        length_keys = F.flatten(
-            F.transform(
-                lengths,
-                lambda n: F.when(
-                    _forced_bigram(n + F.col("_b_l"), t),
-                    F.transform(grams, lambda g: _key("G", n, g)),
-                ).otherwise(F.array(_key("L", n, F.lit("")))),
-            )
-        )
-    return F.concat(length_keys, _token_keys("_b"))
+        n_b = F.size(F.col("_b_s"))
+
+        def per_length(n: Column) -> Column:
+            m = _required_common(n + F.col("_b_l"), t)
+            pl = F.greatest(n_b - m + 1, F.lit(0))
+            pre = F.slice(F.col("_b_s"), 1, pl)
+            return F.when(
+                m >= 1, F.transform(pre, lambda e: F.struct(_elem_key(n, e).alias("k"), pl.alias("pl")))
+            ).otherwise(F.array(plain(_key("L", n, F.lit("")))))
+
+        length_keys = F.flatten(F.transform(lengths, per_length))
+    return F.concat(length_keys, F.transform(_token_keys("_b"), plain))
 
 
 def _bound(t: int) -> Column:
@@ -136,13 +196,20 @@ def _join_condition(t: int) -> Column:
     same_key = F.col("_ka") == F.col("_kb")
     budget = indel_budget(F.col("_a_l"), F.col("_b_l"), t)
     lev = levenshtein_within(F.col("_a_k"), F.col("_b_k"), budget)
-    first_gram = F.array_min(F.array_intersect(_bigrams(F.col("_a_k")), _bigrams(F.col("_b_k"))))
     first_tok = F.array_min(F.array_intersect(F.col("_a_t"), F.col("_b_t")))
-    return same_key & (
-        ((kind == "L") & lev)
-        | ((kind == "G") & lev & (tok == first_gram))
-        | ((kind == "T") & (F.col("_a_m") | F.col("_b_m")) & ~_bound(t) & (tok == first_tok))
+    cond = ((kind == "L") & lev) | (
+        (kind == "T") & (F.col("_a_m") | F.col("_b_m")) & ~_bound(t) & (tok == first_tok)
     )
+    return same_key & cond
+
+
+def _prefix_condition(t: int) -> Column:
+    """P keys: the pair is kept only under its smallest shared prefix element."""
+    budget = indel_budget(F.col("_a_l"), F.col("_b_l"), t)
+    lev = levenshtein_within(F.col("_a_k"), F.col("_b_k"), budget)
+    elem = F.struct(F.col("_ka.cnt").alias("cnt"), F.col("_ka.tok").alias("g"), F.col("_ka.occ").alias("k"))
+    first = F.array_min(F.array_intersect(F.col("_a_pre"), F.slice(F.col("_b_s"), 1, F.col("_b_pl"))))
+    return (F.col("_ka.kind") == "P") & (F.col("_ka") == F.col("_kb")) & (elem == first) & lev
 
 
 def _candidates(a: DataFrame, b: DataFrame, t: int, broadcast_b: bool) -> DataFrame:
@@ -152,10 +219,21 @@ def _candidates(a: DataFrame, b: DataFrame, t: int, broadcast_b: bool) -> DataFr
         cond = _bound(t) | ((F.col("_a_m") | F.col("_b_m")) & shares_token)
         return a.join(F.broadcast(b), cond, "inner")
     use_bigrams = not broadcast_b
-    ak = a.withColumn("_ka", F.explode(_a_keys(use_bigrams)))
-    bk = b.withColumn("_kb", F.explode(_b_keys(t, use_bigrams)))
+    if use_bigrams:
+        a, b = _sorted_elements(a, b)
+        a = a.withColumn("_a_pre", _a_prefix(t))
+    ak = a.select("*", F.explode(_a_keys(use_bigrams)).alias("_kx")).select(
+        "*", F.col("_kx.k").alias("_ka")
+    ).drop("_kx")
+    bk = b.select("*", F.explode(_b_keys(t, use_bigrams)).alias("_kx")).select(
+        "*", F.col("_kx.k").alias("_kb"), F.col("_kx.pl").alias("_b_pl")
+    ).drop("_kx")
     bk = F.broadcast(bk) if broadcast_b else bk
-    return ak.join(bk, _join_condition(t), "inner").drop("_ka", "_kb")
+    cond = _join_condition(t)
+    if use_bigrams:
+        cond = cond | _prefix_condition(t)
+    drop = [c for c in ("_ka", "_kb", "_b_pl", "_a_s", "_b_s", "_a_pre") if c in ak.columns + bk.columns]
+    return ak.join(bk, cond, "inner").drop(*drop)
 
 
 def _verify(cand: DataFrame, t: int) -> DataFrame:

@@ -75,3 +75,20 @@ def test_no_cartesian_product_in_plan(spark, cases):
         plan = fuzzy_join(rec, qs, SearchParams(threshold=82, strategy=strategy))._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
         assert "ArrowEvalPython" in plan
+
+
+@pytest.mark.parametrize("threshold", [75, 82, 90])
+def test_shuffle_prefix_filter_on_skewed_bigrams(spark, threshold):
+    r = random.Random(threshold)
+    stem = "রহিমউদ্দিন"  # every name shares these bigrams
+    names = [stem + "".join(r.choice("কখগঘআলী") for _ in range(r.randint(0, 8))) for _ in range(250)]
+    names += ["".join(r.choice("কখ") for _ in range(r.randint(2, 20))) for _ in range(50)]
+    queries = names[::17] + [stem, stem + "আলী", "কখকখকখ"]
+    rec = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "rid int, name string")
+    qs = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "query_pos int, query string")
+    got = fuzzy_join(rec, qs, SearchParams(threshold=threshold, strategy="shuffle"))
+    got_pairs = sorted((x.rid, x.query_pos) for x in got.select("rid", "query_pos").collect())
+    want = sorted(
+        (i, j) for i, n in enumerate(names) for j, q in enumerate(queries) if fuzzy_match_py(n, q, threshold)
+    )
+    assert got_pairs == want and len(want) > 0
