@@ -59,8 +59,6 @@ _MIN_EXPLODE_THRESHOLD = 10
 
 _KEY = "struct<kind:string,len:int,tok:string,cnt:bigint,occ:int>"
 _ELEM = "struct<cnt:bigint,g:string,k:int>"
-# Distinct prefix elements up to this many rows are broadcast to the element rows.
-_BROADCAST_MAX_ELEMENTS = 2_000_000
 
 
 def _with_forms(df: DataFrame, raw: str, p: str) -> DataFrame:
@@ -105,22 +103,28 @@ def _required_common(total: Column, t: int) -> Column:
 def _sorted_elements(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add ``_a_s`` / ``_b_s``: each string's bigram occurrences in one global order
     (how many strings hold the occurrence, then bigram, then occurrence number),
-    so prefixes hold the rarest elements and frequent bigrams drop out of them."""
+    so prefixes hold the rarest elements and frequent bigrams drop out of them.
+
+    The frequency table has one row per distinct bigram occurrence; AQE
+    broadcasts it to the element rows when its measured size allows.  The
+    string forms are functions of the string, so they are recomputed after
+    the regrouping instead of joined back.
+    """
     ea = a.select(F.explode(_indexed_bigrams(F.col("_a_k"))).alias("e"))
     eb = b.select(F.explode(_indexed_bigrams(F.col("_b_k"))).alias("e"))
     freq = ea.unionByName(eb).groupBy(F.col("e.g").alias("g"), F.col("e.k").alias("k")).agg(
         F.count(F.lit(1)).alias("cnt")
     )
-    if freq.count() <= _BROADCAST_MAX_ELEMENTS:
-        freq = F.broadcast(freq)
 
     def attach(df: DataFrame, p: str) -> DataFrame:
         rows = df.select(p, F.explode_outer(_indexed_bigrams(F.col(p + "_k"))).alias("e"))
         rows = rows.select(p, F.col("e.g").alias("g"), F.col("e.k").alias("k"))
         rows = rows.join(freq, ["g", "k"], "left")
         elem = F.when(F.col("g").isNotNull(), F.struct("cnt", "g", "k"))
-        sorted_ = rows.groupBy(p).agg(F.array_sort(F.collect_list(elem)).cast(f"array<{_ELEM}>").alias(p + "_s"))
-        return df.join(sorted_, p, "inner")
+        grouped = rows.groupBy(p).agg(
+            F.array_sort(F.collect_list(elem)).cast(f"array<{_ELEM}>").alias(p + "_s")
+        )
+        return _forms_of_normalised(grouped, p)
 
     return attach(a, "_a"), attach(b, "_b")
 
