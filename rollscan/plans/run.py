@@ -22,9 +22,9 @@ from rollscan.operators.views import result_view
 from rollscan.params import SearchParams
 from rollscan.plans.search import box_matches, text_matches
 from rollscan.session import checkpoint_dir
-from rollscan.sinks.ledger import Ledger, names_hash
+from rollscan.sinks.ledger import Ledger, file_hashes, names_hash
 from rollscan.sinks.results import resolve_format, write_results
-from rollscan.sources.files import content_hash, scan_pdf_files
+from rollscan.sources.files import scan_pdf_files
 from rollscan.sources.ocr import PageFn, error_rows, ocr_pages, page_rows, word_rows
 
 
@@ -65,13 +65,16 @@ def run_search(
         "bbox struct<left:int,top:int,width:int,height:int>, confidence double"
     )
     hits, todo = empty_hits, files
-    ledger = nhash = None
+    ledger = nhash = hashes = None
     if ledger_root:
         ledger = Ledger(spark, ledger_root, params)
         if clear_ledger:
             ledger.clear()
         nhash = names_hash(queries)
-        hits, todo = ledger.lookup(files, nhash, now)
+        # Small (path, file_hash) rows, written once: used by the lookup and the append.
+        hashes = file_hashes(files).checkpoint(eager=True)
+        misses = ledger.misses(hashes, nhash, now).checkpoint(eager=True)
+        hits, todo = ledger.lookup(files, nhash, now, hashes)
         hits = hits.checkpoint(eager=True)
         todo = todo.drop("file_hash")
 
@@ -86,8 +89,9 @@ def run_search(
     fresh = fresh.checkpoint(eager=True)
 
     if ledger is not None:
+        # Searched files = misses without a file-level error (small rows, no file bytes).
         failed = errors.where(F.col("level") == "file").select("path")
-        done = todo.join(failed, "path", "left_anti")
+        done = misses.join(failed, "path", "left_anti")
         ledger.append(done, fresh, nhash, queries.count(), now)
 
     hit_rows = result_view(hits, params.box_level)

@@ -26,6 +26,13 @@ from rollscan.schemas import LEDGER, RESULT_ITEM
 from rollscan.sources.files import MB, content_hash
 
 KEY = ["file_hash", "names_hash", "threshold", "box_level", "min_confidence", "version"]
+# Size check for broadcasting ledger entries or missed files (rows of a hash and a path).
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def file_hashes(files: DataFrame) -> DataFrame:
+    """P5 as small rows: ``(path, file_hash)``; the bytes are read once and dropped."""
+    return files.select("path", content_hash("content").alias("file_hash"))
 
 
 def names_hash_expr(query: Column) -> Column:
@@ -191,16 +198,49 @@ class Ledger:
         path = self._gen_path(self._current())
         return self.spark.read.schema(LEDGER).option("basePath", path).parquet(path)
 
-    def lookup(self, files: DataFrame, nhash: str, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
-        """(hit result rows, files to search); ``files`` needs ``path`` and ``content``."""
-        hashed = files.withColumn("file_hash", content_hash("content"))
-        return split_hits(hashed, search_entries(self.entries(), nhash, self.params, now))
+    def lookup(
+        self, files: DataFrame, nhash: str, now: dt.datetime, hashes: DataFrame | None = None
+    ) -> tuple[DataFrame, DataFrame]:
+        """(hit result rows, files to search, still holding ``content``).
+
+        ``misses(...)`` gives the same files as small ``(path, file_hash)`` rows.
+
+        File bytes never go through a shuffle: the hashes are small
+        ``(path, file_hash)`` rows (pass ``hashes`` when already computed), and
+        the side that passes a size check is broadcast — the valid entries
+        (first runs, small ledgers) or else the missed files (reruns, where
+        most files hit); only when both are large do the file rows shuffle.
+        """
+        hashes = hashes if hashes is not None else file_hashes(files)
+        entries = self._valid(nhash, now)
+        if entries.count() <= BROADCAST_MAX_ROWS:
+            entries = F.broadcast(entries)
+            hits, _ = split_hits(hashes, entries)
+            todo = files.withColumn("file_hash", content_hash("content")).join(
+                entries.select("file_hash"), "file_hash", "left_anti"
+            )
+            return hits, todo
+        hits, miss = split_hits(hashes, entries)
+        miss = miss.select("path")
+        if miss.count() <= BROADCAST_MAX_ROWS:
+            miss = F.broadcast(miss)
+        return hits, files.join(miss, "path", "left_semi")
+
+    def _valid(self, nhash: str, now: dt.datetime) -> DataFrame:
+        return search_entries(self.entries(), nhash, self.params, now)
+
+    def misses(self, hashes: DataFrame, nhash: str, now: dt.datetime) -> DataFrame:
+        """Files without a valid entry, as ``(path, file_hash)`` rows (no file bytes)."""
+        return split_hits(hashes, self._valid(nhash, now))[1].select("path", "file_hash")
 
     # -- writes ----------------------------------------------------------------
-    def append(self, files: DataFrame, results: DataFrame, nhash: str, num_names: int, now: dt.datetime) -> None:
-        """K4: store one entry per searched file."""
-        hashed = files.withColumn("file_hash", content_hash("content")).select("path", "file_hash")
-        self._write(entries_from_results(hashed, results, nhash, num_names, self.params, now), self._current(), "append")
+    def append(self, hashes: DataFrame, results: DataFrame, nhash: str, num_names: int, now: dt.datetime) -> None:
+        """K4: store one entry per searched file; ``hashes`` holds ``path, file_hash``."""
+        self._write(
+            entries_from_results(hashes.select("path", "file_hash"), results, nhash, num_names, self.params, now),
+            self._current(),
+            "append",
+        )
 
     def clear(self) -> int:
         """K5: remove all entries; returns how many there were."""

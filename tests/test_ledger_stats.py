@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rollscan.operators.stats import error_summary, run_stats
 from rollscan.params import SearchParams
-from rollscan.sinks.ledger import Ledger, names_hash
+from rollscan.sinks.ledger import Ledger, file_hashes, names_hash
 from rollscan.sources.files import scan_pdf_files
 
 NOW = dt.datetime(2026, 1, 31, 12, 0, 0)
@@ -44,10 +44,11 @@ def test_ledger_round_trip(spark):
     hits, misses = led.lookup(files, "abc", NOW)
     assert hits.count() == 0 and misses.count() == 2  # miss on first look-up
 
-    led.append(files, _results(spark, [(path, "test.pdf", 1, "test", "t")]), "abc", 1, NOW)
+    led.append(file_hashes(files), _results(spark, [(path, "test.pdf", 1, "test", "t")]), "abc", 1, NOW)
     hits, misses = led.lookup(files, "abc", NOW)
     assert [(r.file, r.page, r.name) for r in hits.collect()] == [("test.pdf", 1, "test")]
     assert misses.count() == 0  # other.pdf was stored with zero results: a hit without rows
+    assert "content" in misses.columns and led.misses(file_hashes(files), "abc", NOW).count() == 0
 
     led90 = Ledger(spark, os.path.join(root, "ledger"), SearchParams(threshold=90))
     assert led90.lookup(files, "abc", NOW)[1].count() == 2  # other threshold misses
@@ -60,7 +61,7 @@ def test_ledger_round_trip(spark):
     assert led.lookup(files, "abc", later + dt.timedelta(microseconds=1))[1].count() == 2
 
     # newest entry wins
-    led.append(files, _results(spark, [(path, "test.pdf", 2, "new", "t")]), "abc", 1, NOW + dt.timedelta(hours=1))
+    led.append(file_hashes(files), _results(spark, [(path, "test.pdf", 2, "new", "t")]), "abc", 1, NOW + dt.timedelta(hours=1))
     hits, _ = led.lookup(files, "abc", NOW + dt.timedelta(hours=2))
     assert [r.name for r in hits.collect()] == ["new"]
 
@@ -87,3 +88,13 @@ def test_run_stats_and_error_summary(spark):
     e = error_summary(errors).first()
     assert e.error_count == 13 and len(e.first_errors) == 10 and e.more == "... and 3 more"
     assert e.first_errors[0] == "f0.pdf: Error processing page 1: x"
+
+
+def test_lookup_never_shuffles_file_bytes(spark):
+    root = tempfile.mkdtemp(prefix="rollscan-ledger-")
+    files = _files(spark, os.path.join(root, "pdfs"), {"a.pdf": b"%PDF-a", "b.pdf": b"%PDF-b"})
+    led = Ledger(spark, os.path.join(root, "ledger"), SearchParams())
+    led.append(file_hashes(files), _results(spark, []), "h", 1, NOW)
+    _, todo = led.lookup(files, "h", NOW)
+    plan = todo._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
