@@ -20,7 +20,7 @@ from rollscan.functions.similarity import (
     levenshtein_within,
     ratio_score,
 )
-from rollscan.functions.text import normalize_bn, py_split
+from rollscan.functions.text import normalize_bn, py_split, py_strip
 from rollscan.operators.filters import filter_words
 from rollscan.params import SearchParams
 from rollscan.session import checkpoint_dir
@@ -32,27 +32,14 @@ BROADCAST_MAX_RECORDS = 200_000
 RECORD_KEY = ["path", "page", "block_pos"]
 
 
-def page_texts(words: DataFrame, params: SearchParams | None = None) -> DataFrame:
-    """A4: one text per page from its words (after the F6 word filter).
+def _text_from_items(items: Column, layout: str) -> Column:
+    """Page text from its words sorted in reading order (A4).
 
-    ``flat``: words joined by one space in ``word_pos`` order (reference).
-    ``lines``: one space inside a line, a newline between lines and a blank
-    line between blocks, so every record block stays its own block.
+    ``flat``: words joined by one space (reference).  ``lines``: one space
+    inside a line, a newline between lines, a blank line between blocks.
     """
-    params = params or SearchParams()
-    kept = filter_words(words, params.min_confidence)
-    if params.layout == "flat":
-        items = F.array_sort(F.collect_list(F.struct("word_pos", "text")))
-        text = F.array_join(F.transform(items, lambda w: w["text"]), " ")
-        return kept.groupBy("path", "page").agg(text.alias("text")).select(
-            "path", _file_of("path"), "page", "text"
-        )
-    grouped = kept.groupBy("path", "page").agg(
-        F.array_sort(
-            F.collect_list(F.struct("block_num", "par_num", "line_num", "word_pos", "text"))
-        ).alias("_items")
-    )
-    items = F.col("_items")
+    if layout == "flat":
+        return F.array_join(F.transform(items, lambda w: w["text"]), " ")
 
     def piece(w: Column, i: Column) -> Column:
         prev = items[i - 1]
@@ -66,10 +53,65 @@ def page_texts(words: DataFrame, params: SearchParams | None = None) -> DataFram
         )
         return F.concat(sep, w["text"])
 
-    text = F.array_join(F.transform(items, piece), "")
+    return F.array_join(F.transform(items, piece), "")
+
+
+def _item(w) -> Column:
+    if w is None:
+        return F.struct("block_num", "par_num", "line_num", "word_pos", "text")
+    return F.struct(
+        w["block_num"].alias("block_num"),
+        w["par_num"].alias("par_num"),
+        w["line_num"].alias("line_num"),
+        w["word_pos"].alias("word_pos"),
+        w["text"].alias("text"),
+    )
+
+
+def page_texts(words: DataFrame, params: SearchParams | None = None) -> DataFrame:
+    """A4: one text per page from its word rows (after the F6 word filter).
+
+    Word rows of one page meet in one group; a page is bounded by one
+    physical page's words.
+    """
+    params = params or SearchParams()
+    kept = filter_words(words, params.min_confidence)
+    if params.layout == "flat":
+        items = F.array_sort(F.collect_list(F.struct("word_pos", "block_num", "par_num", "line_num", "text")))
+    else:
+        items = F.array_sort(F.collect_list(_item(None)))
+    grouped = kept.groupBy("path", "page").agg(items.alias("_items"))
+    text = _text_from_items(F.col("_items"), params.layout)
     return grouped.select("path", _file_of("path"), "page", text.alias("text"))
 
 
+def page_texts_from_arrays(pages: DataFrame, params: SearchParams | None = None, words_col: str = "words") -> DataFrame:
+    """A4 for pages that already hold their words as one array (``ocr_pages`` output):
+    the same text, built row by row without regrouping the words."""
+    params = params or SearchParams()
+    floor = F.lit(float(params.min_confidence))
+    kept = F.filter(
+        F.transform(F.col(words_col), lambda w: w.withField("text", py_strip(w["text"]))),
+        lambda w: (w["text"] != "") & (w["confidence"] >= floor),
+    )
+    if params.layout == "flat":
+        items = F.array_sort(
+            F.transform(
+                kept,
+                lambda w: F.struct(
+                    w["word_pos"].alias("word_pos"), w["block_num"].alias("block_num"),
+                    w["par_num"].alias("par_num"), w["line_num"].alias("line_num"), w["text"].alias("text"),
+                ),
+            )
+        )
+    else:
+        items = F.array_sort(F.transform(kept, _item))
+    text = _text_from_items(F.col("_items"), params.layout)
+    return pages.select("path", "page", items.alias("_items")).select(
+        "path", _file_of("path"), "page", text.alias("text")
+    )
+
+
 def _file_of(path: str) -> Column:
     return F.element_at(F.split(F.col(path), "/", -1), -1).alias("file")
 

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollscan.operators.boxes import page_texts_from_arrays
 from rollscan.operators.stats import error_summary, run_stats
 from rollscan.operators.views import result_view
 from rollscan.params import SearchParams
@@ -81,8 +82,9 @@ def run_search(
     ocr = ocr_pages(todo, page_fn, params).checkpoint(eager=True)
     errors = error_rows(ocr)
     if params.box_level:
-        fresh = box_matches(word_rows(ocr), queries, params)
-        searched_pages = ocr.where(F.col("level").isNull())
+        searched_pages = ocr.where(F.col("level").isNull() & F.col("words").isNotNull())
+        texts = page_texts_from_arrays(searched_pages, params)
+        fresh = box_matches(word_rows(ocr), queries, params, pages=texts)
     else:
         searched_pages = page_rows(ocr)
         fresh = text_matches(searched_pages, queries, params)

@@ -45,11 +45,17 @@ def search_text(pages: DataFrame, queries: DataFrame, params: SearchParams | Non
     return result_view(text_matches(pages, queries, params), box_level=False)
 
 
-def box_matches(words: DataFrame, queries: DataFrame, params: SearchParams | None = None) -> DataFrame:
-    """Detail rows of a box-mode search (records with name box and mean confidence)."""
+def box_matches(
+    words: DataFrame, queries: DataFrame, params: SearchParams | None = None, pages: DataFrame | None = None
+) -> DataFrame:
+    """Detail rows of a box-mode search (records with name box and mean confidence).
+
+    ``pages``: page texts already built from the words (e.g. from the OCR
+    step's word arrays); otherwise they are rebuilt from the word rows.
+    """
     params = params or SearchParams(box_level=True)
     words = cap_pages(words, params.max_pdf_pages)
-    pages = page_texts(words, params)
+    pages = cap_pages(pages, params.max_pdf_pages) if pages is not None else page_texts(words, params)
     records = extract_records(pages, params)
     if _materialize(words, params):
         records = materialize(records)

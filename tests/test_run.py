@@ -1,6 +1,8 @@
 """End-to-end run: scan, validate, ledger, page function, search, results, stats."""
 
 import datetime as dt
+
+from pyspark.sql import functions as F
 import json
 import os
 import tempfile
@@ -92,3 +94,18 @@ def test_box_run(spark):
     assert set(got) == {("a.pdf", 1, "রহিম আলী"), ("a.pdf", 3, "রহীম আলী"), ("b.PDF", 1, "রহীম আলী")}
     first = got[("a.pdf", 1, "রহিম আলী")]
     assert first.confidence == 90.0 and first.bbox.left == 20 and first.bbox.width == 18
+
+
+def test_page_text_from_arrays_equals_regrouped(spark):
+    from rollscan.operators.boxes import page_texts, page_texts_from_arrays
+    from rollscan.plans import rolls
+
+    words = rolls.roll_words(spark, "/root/testdata/sf0.001")
+    arrays = words.groupBy("path", "page").agg(
+        F.collect_list(F.struct("word_pos", "block_num", "par_num", "line_num", "text", "confidence", "bbox")).alias("words")
+    )
+    for layout in ("flat", "lines"):
+        p = SearchParams(layout=layout)
+        a = sorted(tuple(r) for r in page_texts(words, p).collect())
+        b = sorted(tuple(r) for r in page_texts_from_arrays(arrays, p).collect())
+        assert a == b and len(a) > 0
