@@ -272,14 +272,14 @@ def _drop_work(df: DataFrame) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Round-robin the (small, CPU-heavy) distinct strings over all shuffle partitions.
+    """Round-robin the (CPU-heavy) distinct strings over one partition per core.
 
     AQE coalesces small shuffle outputs into very few partitions by byte
     size; candidate scoring costs CPU per row, not per byte, so the distinct
-    names are spread again (a small shuffle of distinct strings only).
+    names are spread again (a shuffle of distinct strings only) over the
+    cluster's cores — more partitions than cores would only add task overhead.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(n, 1))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1))
 
 
 def match_pairs(

@@ -133,8 +133,7 @@ def roll_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     # short, so a fixed stride keeps the order.
     word_pos = (F.col("block_num") * 100 + F.col("line_num")) * 100 + F.col("tok_pos")
     # Laid out like a stored word table: spread over partitions by page.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    toks = toks.repartition(parts, "path", "page")
+    toks = toks.repartition(max(spark.sparkContext.defaultParallelism, 1), "path", "page")
     return toks.select(
         "path",
         F.col("page").cast("int").alias("page"),
