@@ -18,20 +18,24 @@ whose keys are lossless for the threshold:
 * ``T`` keys (token): names or queries with several tokens (inner non-space
   whitespace) also meet every partner that shares a token (the token-set
   score is 100 there or not bounded by length); again only the smallest
-  shared token's row is kept, and pairs that the ``L``/``G`` keys already
+  shared token's row is kept, and pairs that the ``L``/``P`` keys already
   give are left out.
 
-Strategies:
-
-* ``broadcast`` (query side checked small): records probe the broadcast,
-  exploded query keys directly: no shuffle at all, one pass over the pages,
-  map-side only, so a hot name cannot skew it.  The verifying UDF memoises
-  repeated pairs within an Arrow batch.
-* ``shuffle`` (query side too big to broadcast): distinct normalised names
-  and distinct normalised queries are joined on ``L``/``G``/``T`` keys with a
-  shuffle; the (small) matching pair table is then joined back to all
-  records and all queries (AQE broadcasts it when its measured size allows
-  and splits skewed names otherwise).
+Batch form (``dedupe=True``): names and queries are first reduced to
+distinct normalised strings (partial aggregation before the shuffle, so
+repeated names cost little) and the names are spread over one partition per
+core; the matching pair table is then joined back to all records and all
+queries (AQE broadcasts it when its measured size allows and splits skewed
+names otherwise).  Strategies differ in how the query side meets the names:
+
+* ``broadcast`` (query side checked small by one aggregate): ``L`` and ``T``
+  keys, the exploded query keys are broadcast, names probe them map-side;
+* ``shuffle`` (beyond the check): ``L``, ``P`` and ``T`` keys, both sides
+  shuffled on the key.
+
+Stream form (``dedupe=False``): records probe the broadcast query keys
+directly, one pass, no state (a stream-static join).  The verifying UDF
+memoises repeated pairs within an Arrow batch.
 
 Survivors are verified exactly by the token-set score in an Arrow UDF
 (for single tokens this is the Indel ratio ``200·LCS/L``, compared with
