@@ -53,13 +53,14 @@ from rollscan.functions.similarity import (
     levenshtein_within,
     token_set_ratio_udf,
 )
-from rollscan.functions.text import has_inner_whitespace, normalize_bn, py_split, token_set_key
+from rollscan.functions.text import MAX_FIELD_CHARS, has_inner_whitespace, normalize_bn, py_split
 from rollscan.params import SearchParams
 
-# Below this threshold the length window explodes too many rows per query;
-# the broadcast strategy then evaluates the native bounds in a nested loop
-# against the (size-checked) query side.
+# Below this threshold the length window of a query grows past the longest
+# name, so it is capped at the longest name present (one small aggregate).
 _MIN_EXPLODE_THRESHOLD = 10
+# Bigram prefixes can only be forced (m >= 1) above this threshold.
+_MAX_UNFORCED_THRESHOLD = 66
 
 _KEY = "struct<kind:string,len:int,tok:string,cnt:bigint,occ:int>"
 _ELEM = "struct<cnt:bigint,g:string,k:int>"
@@ -159,12 +160,17 @@ def _a_keys(use_bigrams: bool) -> Column:
     return F.transform(keys, lambda k: F.struct(k.alias("k"), F.lit(0).alias("pl")))
 
 
-def _b_keys(t: int, use_bigrams: bool) -> Column:
+def _b_keys(t: int, use_bigrams: bool, max_len: int | None = None) -> Column:
     """Keys of a query: per name length that can reach t, either its prefix
     elements (when t forces common bigrams) or the bare length; plus tokens.
-    Each key carries ``pl``, the prefix length used for it."""
+    Each key carries ``pl``, the prefix length used for it.  ``max_len`` caps
+    the lengths at the longest name present."""
     lo, hi = length_window(F.col("_b_l"), t)
-    lengths = F.when(F.col("_b_l") > 0, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    if max_len is not None:
+        hi = F.least(hi, F.lit(int(max_len)))
+    lengths = F.when((F.col("_b_l") > 0) & (lo <= hi), F.sequence(lo, hi)).otherwise(
+        F.array().cast("array<int>")
+    )
 
     def plain(k: Column) -> Column:
         return F.struct(k.alias("k"), F.lit(0).alias("pl"))
@@ -220,20 +226,19 @@ def _prefix_condition(t: int) -> Column:
     return (F.col("_ka.kind") == "P") & (F.col("_ka") == F.col("_kb")) & (elem == first) & lev
 
 
-def _candidates(a: DataFrame, b: DataFrame, t: int, broadcast_b: bool) -> DataFrame:
-    """Candidate pairs of ``a`` (``_a`` forms) and ``b`` (``_b`` forms), each pair once."""
-    if broadcast_b and t < _MIN_EXPLODE_THRESHOLD:
-        shares_token = F.size(F.array_intersect(F.col("_a_t"), F.col("_b_t"))) > 0
-        cond = _bound(t) | ((F.col("_a_m") | F.col("_b_m")) & shares_token)
-        return a.join(F.broadcast(b), cond, "inner")
-    use_bigrams = not broadcast_b
+def _candidates(a: DataFrame, b: DataFrame, t: int, broadcast_b: bool, max_len: int | None = None) -> DataFrame:
+    """Candidate pairs of ``a`` (``_a`` forms) and ``b`` (``_b`` forms), each pair once.
+
+    Always an equi-join on the exploded keys (hash join), never a nested loop.
+    """
+    use_bigrams = (not broadcast_b) and t > _MAX_UNFORCED_THRESHOLD
     if use_bigrams:
         a, b = _sorted_elements(a, b)
         a = a.withColumn("_a_pre", _a_prefix(t))
     ak = a.select("*", F.explode(_a_keys(use_bigrams)).alias("_kx")).select(
         "*", F.col("_kx.k").alias("_ka")
     ).drop("_kx")
-    bk = b.select("*", F.explode(_b_keys(t, use_bigrams)).alias("_kx")).select(
+    bk = b.select("*", F.explode(_b_keys(t, use_bigrams, max_len)).alias("_kx")).select(
         "*", F.col("_kx.k").alias("_kb"), F.col("_kx.pl").alias("_b_pl")
     ).drop("_kx")
     bk = F.broadcast(bk) if broadcast_b else bk
@@ -244,6 +249,13 @@ def _candidates(a: DataFrame, b: DataFrame, t: int, broadcast_b: bool) -> DataFr
     return ak.join(bk, cond, "inner").drop(*drop)
 
 
+def _longest(a: DataFrame, t: int) -> int | None:
+    """Longest token-set form among the names, needed only for low thresholds."""
+    if t >= _MIN_EXPLODE_THRESHOLD:
+        return None
+    return int(a.agg(F.coalesce(F.max("_a_l"), F.lit(0))).first()[0])
+
+
 def _verify(cand: DataFrame, t: int) -> DataFrame:
     return cand.withColumn("score", token_set_ratio_udf(F.col("_a"), F.col("_b"))).where(
         F.col("score") >= F.lit(float(t))
@@ -312,7 +324,8 @@ def match_pairs(
     if t <= 0:
         bb = F.broadcast(b) if broadcast_b else b
         return a.crossJoin(bb).select("_a", "_b", F.lit(None).cast("double").alias("score"))
-    return _verify(_candidates(a, b, t, broadcast_b=broadcast_b), t).select("_a", "_b", "score")
+    cand = _candidates(a, b, t, broadcast_b=broadcast_b, max_len=_longest(a, t))
+    return _verify(cand, t).select("_a", "_b", "score")
 
 
 def _forms_of_normalised(df: DataFrame, p: str) -> DataFrame:
@@ -347,6 +360,8 @@ def fuzzy_join(
     params = params or SearchParams()
     t = int(params.threshold)
     queries = _rename_collisions(queries, records.columns, query_col)
+    # Longest possible name in the stream form (names from the extractor are capped).
+    stream_max_len = MAX_FIELD_CHARS if t < _MIN_EXPLODE_THRESHOLD else None
     strategy = choose_strategy(queries, params, query_col)
     if not dedupe:
         if strategy != "broadcast":
@@ -356,7 +371,7 @@ def fuzzy_join(
         if t <= 0:
             out = a.crossJoin(F.broadcast(b)).withColumn("score", F.lit(None).cast("double"))
         else:
-            out = _verify(_candidates(a, b, t, broadcast_b=True), t)
+            out = _verify(_candidates(a, b, t, broadcast_b=True, max_len=stream_max_len), t)
         return _drop_work(out)
     pairs = match_pairs(records, queries, t, strategy, name_col, query_col)
     rec = records.where(F.col(name_col).isNotNull() & (F.col(name_col) != "")).withColumn(

@@ -72,9 +72,11 @@ def test_no_cartesian_product_in_plan(spark, cases):
     rec = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "rid int, name string")
     qs = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "query_pos int, query string")
     for strategy in ("broadcast", "shuffle"):
-        plan = fuzzy_join(rec, qs, SearchParams(threshold=82, strategy=strategy))._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-        assert "ArrowEvalPython" in plan
+        for t in (5, 50, 82):
+            df = fuzzy_join(rec, qs, SearchParams(threshold=t, strategy=strategy))
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+            assert "ArrowEvalPython" in plan
 
 
 @pytest.mark.parametrize("threshold", [75, 82, 90])
