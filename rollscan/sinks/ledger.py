@@ -40,9 +40,29 @@ def names_hash_expr(query: Column) -> Column:
     return F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(query)), "|"), 256), 1, 16)
 
 
+# Name lists up to this size get the exact A7 hash (gathered in one row);
+# larger ones a distributed, order-independent digest.
+EXACT_NAMES_HASH_MAX = 100_000
+
+
 def names_hash(queries: DataFrame, query_col: str = "query") -> str:
-    """A7 for one (bounded, ≤ max_search_names) name list, as a literal for partition pruning."""
-    return queries.agg(names_hash_expr(F.col(query_col)).alias("h")).first()["h"]
+    """A7 as a literal (for partition pruning of the ledger).
+
+    Lists up to ``EXACT_NAMES_HASH_MAX`` names: first 16 hex of SHA-256 over
+    the names sorted by code point and joined by '|'.  Longer lists never go
+    through one row: their key hashes the count and two sums of per-name
+    64/32-bit hashes (order-independent, counts duplicates), prefixed ``x``.
+    """
+    q = F.col(query_col)
+    row = queries.agg(F.count(F.lit(1)).alias("n")).first()
+    if row["n"] <= EXACT_NAMES_HASH_MAX:
+        return queries.agg(names_hash_expr(q).alias("h")).first()["h"]
+    digest = queries.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64(q).cast("decimal(38,0)")).alias("s1"),
+        F.sum(F.hash(q).cast("decimal(38,0)")).alias("s2"),
+    ).select(F.substring(F.sha2(F.concat_ws("|", "n", "s1", "s2"), 256), 1, 15).alias("h"))
+    return "x" + digest.first()["h"]
 
 
 def ledger_key(file_hash: Column, names_hash_col: Column, params: SearchParams) -> Column:

@@ -98,3 +98,14 @@ def test_lookup_never_shuffles_file_bytes(spark):
     _, todo = led.lookup(files, "h", NOW)
     plan = todo._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_names_hash_large_lists_are_distributed(spark, monkeypatch):
+    import rollscan.sinks.ledger as ledger_mod
+
+    monkeypatch.setattr(ledger_mod, "EXACT_NAMES_HASH_MAX", 2)
+    a = spark.createDataFrame([("x",), ("y",), ("z",)], "query string")
+    b = spark.createDataFrame([("z",), ("x",), ("y",)], "query string")
+    c = spark.createDataFrame([("z",), ("x",), ("y",), ("y",)], "query string")
+    ha, hb, hc = (ledger_mod.names_hash(d) for d in (a, b, c))
+    assert ha == hb and ha != hc and ha.startswith("x") and len(ha) == 16
