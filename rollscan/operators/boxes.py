@@ -25,9 +25,9 @@ from rollscan.operators.filters import filter_words
 from rollscan.params import SearchParams
 from rollscan.session import checkpoint_dir
 
-# Matched-record tables up to this many rows are broadcast to the word scan
-# (size checked with a count on the checkpointed table); larger ones shuffle.
-BROADCAST_MAX_RECORDS = 200_000
+# Exploded (page, token, length) rows up to this many are broadcast to the
+# word scan (counted first); beyond it both sides shuffle on (path, page, length).
+BROADCAST_MAX_TOKEN_ROWS = 500_000
 
 RECORD_KEY = ["path", "page", "block_pos"]
 
@@ -130,7 +130,9 @@ def record_tokens(records: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def best_words(tokens: DataFrame, words: DataFrame, threshold: int, key: list[str], broadcast_tokens: bool) -> DataFrame:
+def best_words(
+    tokens: DataFrame, words: DataFrame, threshold: int, key: list[str], broadcast_tokens: bool | None = None
+) -> DataFrame:
     """J2 + W1 + F11: per token, the page word with the highest ratio >= threshold.
 
     The best word depends only on the page and the normalised token, so each
@@ -149,6 +151,8 @@ def best_words(tokens: DataFrame, words: DataFrame, threshold: int, key: list[st
     else:
         lengths = F.sequence(F.lit(0), F.lit(1 << 12))
     uniq = uniq.withColumn("_wl", F.explode(lengths))
+    if broadcast_tokens is None:
+        broadcast_tokens = uniq.count() <= BROADCAST_MAX_TOKEN_ROWS
     wk = words.select(
         F.col("path").alias("_wpath"),
         F.col("page").alias("_wpage"),
@@ -224,19 +228,18 @@ def locate_records(
 
     The matched rows are checkpointed to the shared checkpoint folder (they
     are needed twice, are few, and the lineage behind them is the whole
-    search); the count of distinct matched records decides whether their
-    tokens are broadcast to the word scan or shuffled.
+    search); the count of the exploded token rows decides whether they are
+    broadcast to the word scan or shuffled.
     """
     params = params or SearchParams()
     key = key or [c for c in RECORD_KEY + ["record_pos"] if c in matches.columns]
     checkpoint_dir(matches.sparkSession)
     matches = matches.checkpoint(eager=True)
     recs = matches.select(*key, "name", "father").dropDuplicates(key)
-    small = recs.count() <= BROADCAST_MAX_RECORDS
     tokens = record_tokens(recs, key)
     kept = filter_words(words, params.min_confidence)
-    best = best_words(tokens, kept, params.word_match_threshold, key, broadcast_tokens=small)
+    best = best_words(tokens, kept, params.word_match_threshold, key)
     boxes = field_boxes(best, key)
-    boxes = F.broadcast(boxes) if small else boxes
+    # one box row per matched record: AQE broadcasts it when its measured size allows
     out = matches.join(boxes, key, "left")
     return out.withColumn("bbox", F.col("name_bbox"))
