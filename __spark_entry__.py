@@ -385,7 +385,7 @@ def _lcs(a: str, b: str) -> str:
 def _blocks_sql(src: str = "roll_pages") -> str:
     return f"""
 blocks AS (
-  SELECT path, file, page, s.i - 1 AS block_pos, s.blk AS block
+  SELECT path, file, page, CAST(s.i - 1 AS INTEGER) AS block_pos, s.blk AS block
   FROM {src}, LATERAL (SELECT unnest(string_split(text, chr(10) || chr(10))) AS blk,
                                    generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i) s)
 """
@@ -475,12 +475,12 @@ matches AS (
   WHERE r.name <> '' AND q.query <> ''),
 mrec AS (SELECT DISTINCT path, page, block_pos, name, father FROM matches),
 toks AS (
-  SELECT path, page, block_pos, 'name' AS field, s.i - 1 AS tok_pos, s.tok AS token
+  SELECT path, page, block_pos, 'name' AS field, CAST(s.i - 1 AS INTEGER) AS tok_pos, s.tok AS token
   FROM mrec, LATERAL (SELECT unnest({_split_tokens('name')}) AS tok,
                              generate_subscripts({_split_tokens('name')}, 1) AS i) s
   WHERE {_strip('name')} <> ''
   UNION ALL
-  SELECT path, page, block_pos, 'father' AS field, s.i - 1 AS tok_pos, s.tok AS token
+  SELECT path, page, block_pos, 'father' AS field, CAST(s.i - 1 AS INTEGER) AS tok_pos, s.tok AS token
   FROM mrec, LATERAL (SELECT unnest({_split_tokens('father')}) AS tok,
                              generate_subscripts({_split_tokens('father')}, 1) AS i) s
   WHERE {_strip('father')} <> ''),
@@ -697,12 +697,12 @@ FROM ledger""",
         "normalize_names": _with(pages, BLOCKS_SQL)
         + f"SELECT path, page, block_pos, {_norm('block')} AS norm FROM blocks",
         "block_split": _with(pages, BLOCKS_SQL)
-        + "SELECT path, page, block_pos, length(block) AS block_chars, block FROM blocks",
+        + "SELECT path, page, block_pos, CAST(length(block) AS INTEGER) AS block_chars, block FROM blocks",
         "extract_records": _with(pages, BLOCKS_SQL, _records_sql())
         + "SELECT path, file, page, block_pos, name, father, relation FROM recs",
         "extract_records_strict": _with(pages, BLOCKS_SQL, _records_sql(NPAT_STRICT))
         + "SELECT path, file, page, block_pos, name, father, relation FROM recs",
-        "page_cap": _with(pages) + "SELECT path, page, length(text) AS chars FROM roll_pages WHERE page <= 3",
+        "page_cap": _with(pages) + "SELECT path, page, CAST(length(text) AS INTEGER) AS chars FROM roll_pages WHERE page <= 3",
         "fuzzy_search": _fuzzy_sql(82),
         "fuzzy_search_t70": _fuzzy_sql(70),
         "fuzzy_search_t100": _fuzzy_sql(100),
