@@ -182,7 +182,9 @@ class Ledger:
         self._fs = self._Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     # -- generations ---------------------------------------------------------
-    def _generations(self) -> list[int]:
+    def _generations(self, complete_only: bool = True) -> list[int]:
+        """Generation folders; by default only completely written ones (``_SUCCESS``),
+        so a rewrite that died midway is never read."""
         root = self._Path(self.root)
         if not self._fs.exists(root):
             return []
@@ -190,7 +192,9 @@ class Ledger:
         for st in self._fs.listStatus(root):
             name = st.getPath().getName()
             if st.isDirectory() and name.startswith("gen="):
-                gens.append(int(name[4:]))
+                done = self._fs.exists(self._Path(st.getPath(), "_SUCCESS"))
+                if done or not complete_only:
+                    gens.append(int(name[4:]))
         return sorted(gens)
 
     def _gen_path(self, gen: int) -> str:
@@ -209,8 +213,12 @@ class Ledger:
         ).parquet(self._gen_path(gen))
 
     def _drop_older(self, keep: int) -> None:
-        for g in self._generations():
-            if g < keep:
+        """Delete generations below ``keep`` (and unfinished ones), once ``keep`` is complete."""
+        complete = set(self._generations())
+        if keep not in complete:
+            return
+        for g in self._generations(complete_only=False):
+            if g != keep and (g < keep or g not in complete):
                 self._fs.delete(self._Path(self._gen_path(g)), True)
 
     # -- reads -----------------------------------------------------------------

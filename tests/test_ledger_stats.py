@@ -109,3 +109,13 @@ def test_names_hash_large_lists_are_distributed(spark, monkeypatch):
     c = spark.createDataFrame([("z",), ("x",), ("y",), ("y",)], "query string")
     ha, hb, hc = (ledger_mod.names_hash(d) for d in (a, b, c))
     assert ha == hb and ha != hc and ha.startswith("x") and len(ha) == 16
+
+
+def test_unfinished_generation_is_ignored(spark):
+    root = tempfile.mkdtemp(prefix="rollscan-ledger-")
+    files = _files(spark, os.path.join(root, "pdfs"), {"a.pdf": b"%PDF-a"})
+    led = Ledger(spark, os.path.join(root, "ledger"), SearchParams())
+    led.append(file_hashes(files), _results(spark, []), "h", 1, NOW)
+    os.makedirs(os.path.join(root, "ledger", "gen=000099"))  # a rewrite that died before committing
+    assert led.stats()["total_entries"] == 1
+    assert led.clear() == 1 and not os.path.exists(os.path.join(root, "ledger", "gen=000099"))
