@@ -412,14 +412,42 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n"
 
 
+def _tokens(x: str) -> str:
+    """str.split() of an already stripped string (no tokens for '')."""
+    return f"CASE WHEN {x} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({x}, '{WS_CLASS}+') END"
+
+
 def _pairs_sql(threshold: int) -> str:
+    """Token-set score of distinct normalised pairs (brute force over all pairs)."""
     return f"""
 rn AS (SELECT DISTINCT {_norm('name')} AS a FROM recs WHERE name <> ''),
 qn AS (SELECT DISTINCT {_norm('query')} AS b FROM roll_queries WHERE query <> ''),
-pairs AS (
-  SELECT a, b FROM rn, qn
-  WHERE length(a) > 0 AND length(b) > 0
-    AND 200 * {_lcs('a', 'b')} >= {int(threshold)} * (length(a) + length(b)))
+tp AS (
+  SELECT a, b, list_distinct({_tokens('a')}) AS ta, list_distinct({_tokens('b')}) AS tb FROM rn, qn),
+tq AS (
+  SELECT a, b, ta, tb,
+         array_to_string(list_sort(list_filter(ta, lambda x: NOT list_contains(tb, x))), ' ') AS x,
+         array_to_string(list_sort(list_filter(tb, lambda y: NOT list_contains(ta, y))), ' ') AS y,
+         length(array_to_string(list_sort(list_intersect(ta, tb)), ' ')) AS sect
+  FROM tp),
+tr AS (
+  SELECT *, CASE WHEN sect > 0 THEN 1 ELSE 0 END AS glue,
+         CASE WHEN x = '' OR y = '' THEN 0 ELSE {_lcs('x', 'y')} END AS lcs
+  FROM tq),
+ts AS (
+  SELECT a, b,
+    CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0
+         WHEN sect > 0 AND (x = '' OR y = '') THEN 100.0
+         ELSE greatest(
+           100.0 - 100.0 * CAST(length(x) + length(y) - 2 * lcs AS DOUBLE)
+                 / CAST(2 * (sect + glue) + length(x) + length(y) AS DOUBLE),
+           CASE WHEN sect = 0 THEN 0.0 ELSE 100.0 - 100.0 * CAST(glue + length(x) AS DOUBLE)
+                                              / CAST(2 * sect + glue + length(x) AS DOUBLE) END,
+           CASE WHEN sect = 0 THEN 0.0 ELSE 100.0 - 100.0 * CAST(glue + length(y) AS DOUBLE)
+                                              / CAST(2 * sect + glue + length(y) AS DOUBLE) END)
+    END AS score
+  FROM tr),
+pairs AS (SELECT a, b FROM ts WHERE score >= {int(threshold)})
 """
 
 

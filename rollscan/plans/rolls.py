@@ -13,7 +13,8 @@ Layout (fixed values of the stand-in data, not of the engine):
 * one roll file per 1000 part keys, five pages per file, at most 200 record
   blocks per page, blocks separated by one blank line in key order;
 * block kind by key modulo 7: 0-2 name line then father line, 3 husband
-  label, 4 father line first, 5 full-width colons, 6 name line only;
+  label, 4 father line first, 5 full-width colons and a tab between the
+  name's words (a two-token name after normalisation), 6 name line only;
 * OCR words: the page's whitespace tokens; block/line numbers from the
   text's blocks and lines; left = 10·pos, top = 20·line, width = 7·length,
   height = 12, confidence = 50 + (7·pos + 11·page) mod 50.
@@ -43,7 +44,7 @@ def roll_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind <= 2, F.concat(name_line, F.lit(NL), father_line))
         .when(kind == 3, F.concat(name_line, F.lit(NL), F.lit("স্বামীর নাম : "), b))
         .when(kind == 4, F.concat(father_line, F.lit(NL), name_line))
-        .when(kind == 5, F.concat(F.lit("নাম ： "), n, F.lit(NL), F.lit("পিতার নাম： "), b))
+        .when(kind == 5, F.concat(F.lit("নাম ： "), F.translate(n, " ", "\t"), F.lit(NL), F.lit("পিতার নাম： "), b))
         .otherwise(name_line)
     )
     file = F.concat(
@@ -76,7 +77,8 @@ def roll_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roll_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``queries(query)``: every distinct part name, the same without its first
-    character, and the same with its two words swapped (bag union)."""
+    character, the same with its two words swapped, and swapped joined by a
+    tab (a two-token query) (bag union)."""
     part = _part(spark, sf_dir)
     names = part.select(F.col("p_name").alias("query")).distinct()
     cut = part.select(F.substring("p_name", 2, 1 << 20).alias("query")).distinct()
@@ -89,7 +91,16 @@ def roll_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .distinct()
     )
-    return names.unionByName(cut).unionByName(swapped)
+    tabbed = (
+        part.where(F.col("p_name").contains(" "))
+        .select(
+            F.concat_ws(
+                "\t", F.split_part("p_name", F.lit(" "), F.lit(2)), F.split_part("p_name", F.lit(" "), F.lit(1))
+            ).alias("query")
+        )
+        .distinct()
+    )
+    return names.unionByName(cut).unionByName(swapped).unionByName(tabbed)
 
 
 def roll_name_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +175,7 @@ roll_blocks AS (
          CASE WHEN p_partkey % 7 <= 2 THEN 'নাম : ' || p_name || chr(10) || 'পিতার নাম : ' || p_brand
               WHEN p_partkey % 7 = 3 THEN 'নাম : ' || p_name || chr(10) || 'স্বামীর নাম : ' || p_brand
               WHEN p_partkey % 7 = 4 THEN 'পিতার নাম : ' || p_brand || chr(10) || 'নাম : ' || p_name
-              WHEN p_partkey % 7 = 5 THEN 'নাম ： ' || p_name || chr(10) || 'পিতার নাম： ' || p_brand
+              WHEN p_partkey % 7 = 5 THEN 'নাম ： ' || replace(p_name, ' ', chr(9)) || chr(10) || 'পিতার নাম： ' || p_brand
               ELSE 'নাম : ' || p_name END AS block
   FROM part),
 roll_pages AS (
@@ -177,6 +188,8 @@ roll_queries AS (
   SELECT query FROM (SELECT DISTINCT p_name AS query FROM part)
   UNION ALL SELECT query FROM (SELECT DISTINCT substr(p_name, 2) AS query FROM part)
   UNION ALL SELECT query FROM (SELECT DISTINCT split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) AS query
+                               FROM part WHERE contains(p_name, ' '))
+  UNION ALL SELECT query FROM (SELECT DISTINCT split_part(p_name, ' ', 2) || chr(9) || split_part(p_name, ' ', 1) AS query
                                FROM part WHERE contains(p_name, ' ')))
 """
 
