@@ -137,7 +137,7 @@ def q_best_word(spark, sf_dir):
     matched = fuzzy_join(recs, _queries(spark, sf_dir), BOX_LINES)
     key = ["path", "page", "block_pos"]
     toks = record_tokens(matched.select(*key, "name", "father").dropDuplicates(key), key)
-    best = best_words(toks, filter_words(words, 60.0), 70, key, broadcast_tokens=True)
+    best = best_words(toks, filter_words(words, 60.0), 70, key)
     return best.select(*key, "field", "tok_pos", "word_pos", "w_text", "w_conf", "w_score")
 
 

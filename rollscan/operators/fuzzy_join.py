@@ -249,11 +249,11 @@ def _candidates(a: DataFrame, b: DataFrame, t: int, broadcast_b: bool, max_len:
     return ak.join(bk, cond, "inner").drop(*drop)
 
 
-def _longest(a: DataFrame, t: int) -> int | None:
-    """Longest token-set form among the names, needed only for low thresholds."""
+def _longest(records: DataFrame, name_col: str, t: int) -> int | None:
+    """Longest normalised name (>= its token-set form), needed only for low thresholds."""
     if t >= _MIN_EXPLODE_THRESHOLD:
         return None
-    return int(a.agg(F.coalesce(F.max("_a_l"), F.lit(0))).first()[0])
+    return int(records.agg(F.coalesce(F.max(F.length(normalize_bn(name_col))), F.lit(0))).first()[0])
 
 
 def _verify(cand: DataFrame, t: int) -> DataFrame:
@@ -262,15 +262,37 @@ def _verify(cand: DataFrame, t: int) -> DataFrame:
     )
 
 
-def choose_strategy(queries: DataFrame, params: SearchParams, query_col: str = "query") -> str:
-    """Broadcast only behind a size check: one small aggregate over the query side."""
+def choose_strategy(
+    queries: DataFrame,
+    params: SearchParams,
+    query_col: str = "query",
+    max_len: int | None = None,
+) -> str:
+    """Broadcast only behind a size check: one small aggregate over the query side.
+
+    The check bounds what is actually broadcast: the query rows exploded by
+    every name length that can reach the threshold (capped at ``max_len``,
+    the longest name, when given), estimated at two bytes per character plus
+    a fixed row overhead.
+    """
     if params.strategy != "auto":
         return params.strategy
+    t = int(params.threshold)
+    lq = F.length(normalize_bn(query_col))
+    if t > 0:
+        lo, hi = length_window(lq, t)
+        if max_len is not None:
+            hi = F.least(hi, F.lit(int(max_len)))
+        rows = F.greatest(hi - lo + 1, F.lit(0)) + F.lit(1)
+    else:
+        rows = F.lit(1)
     row = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(query_col)), F.lit(0)).alias("c")
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.length(query_col)), F.lit(0)).alias("c"),
+        F.coalesce(F.sum(rows.cast("long") * (lq * 4 + 64)), F.lit(0)).alias("b"),
     ).first()
-    n, chars = int(row["n"]), int(row["c"])
-    if n <= params.broadcast_max_queries and chars <= params.broadcast_max_chars:
+    n, chars, est = int(row["n"]), int(row["c"]), int(row["b"])
+    if n <= params.broadcast_max_queries and chars <= params.broadcast_max_chars and est <= params.broadcast_max_bytes:
         return "broadcast"
     return "shuffle"
 
@@ -305,6 +327,7 @@ def match_pairs(
     strategy: str = "broadcast",
     name_col: str = "name",
     query_col: str = "query",
+    max_len: int | None = None,
 ) -> DataFrame:
     """Distinct matching (normalised name ``_a``, normalised query ``_b``, ``score``) pairs.
 
@@ -324,7 +347,9 @@ def match_pairs(
     if t <= 0:
         bb = F.broadcast(b) if broadcast_b else b
         return a.crossJoin(bb).select("_a", "_b", F.lit(None).cast("double").alias("score"))
-    cand = _candidates(a, b, t, broadcast_b=broadcast_b, max_len=_longest(a, t))
+    if max_len is None:
+        max_len = _longest(names, name_col, t)
+    cand = _candidates(a, b, t, broadcast_b=broadcast_b, max_len=max_len)
     return _verify(cand, t).select("_a", "_b", "score")
 
 
@@ -360,9 +385,13 @@ def fuzzy_join(
     params = params or SearchParams()
     t = int(params.threshold)
     queries = _rename_collisions(queries, records.columns, query_col)
-    # Longest possible name in the stream form (names from the extractor are capped).
-    stream_max_len = MAX_FIELD_CHARS if t < _MIN_EXPLODE_THRESHOLD else None
-    strategy = choose_strategy(queries, params, query_col)
+    # Longest name, only needed below threshold 10: measured in batches; in the
+    # stream form the extractor's field cap bounds it.
+    if t < _MIN_EXPLODE_THRESHOLD:
+        max_len = _longest(records, name_col, t) if dedupe else MAX_FIELD_CHARS
+    else:
+        max_len = None
+    strategy = choose_strategy(queries, params, query_col, max_len)
     if not dedupe:
         if strategy != "broadcast":
             raise ValueError("the single-pass join needs a broadcastable query side")
@@ -371,9 +400,9 @@ def fuzzy_join(
         if t <= 0:
             out = a.crossJoin(F.broadcast(b)).withColumn("score", F.lit(None).cast("double"))
         else:
-            out = _verify(_candidates(a, b, t, broadcast_b=True, max_len=stream_max_len), t)
+            out = _verify(_candidates(a, b, t, broadcast_b=True, max_len=max_len), t)
         return _drop_work(out)
-    pairs = match_pairs(records, queries, t, strategy, name_col, query_col)
+    pairs = match_pairs(records, queries, t, strategy, name_col, query_col, max_len)
     rec = records.where(F.col(name_col).isNotNull() & (F.col(name_col) != "")).withColumn(
         "_a", normalize_bn(name_col)
     )

@@ -46,6 +46,9 @@ class SearchParams:
     broadcast_max_queries: int = 100_000
     # Largest query side (total characters) that the broadcast strategy accepts.
     broadcast_max_chars: int = 8 * 1024 * 1024
+    # Largest estimated size of the broadcast query keys (queries exploded by
+    # the name lengths that can reach the threshold).
+    broadcast_max_bytes: int = 64 * 1024 * 1024
     # Write extracted records once to the checkpoint folder: the join reads them
     # twice (distinct names, join back), which is cheaper than scanning and
     # regex-matching big page inputs twice.  None = decide by Catalyst's size

@@ -24,7 +24,9 @@ from rollscan.session import checkpoint_dir
 def stream_matches(pages: DataFrame, queries: DataFrame, params: SearchParams | None = None) -> DataFrame:
     """Detail rows of a streaming text search (``pages`` is a streaming DataFrame)."""
     params = params or SearchParams()
-    if choose_strategy(queries, params) != "broadcast":
+    from rollscan.functions.text import MAX_FIELD_CHARS
+
+    if choose_strategy(queries, params, max_len=MAX_FIELD_CHARS) != "broadcast":
         raise ValueError("a streaming search needs a name list small enough to broadcast")
     params = params.with_(strategy="broadcast")
     records = extract_records(cap_pages(pages, params.max_pdf_pages), params)

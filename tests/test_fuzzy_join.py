@@ -94,3 +94,16 @@ def test_shuffle_prefix_filter_on_skewed_bigrams(spark, threshold):
         (i, j) for i, n in enumerate(names) for j, q in enumerate(queries) if fuzzy_match_py(n, q, threshold)
     )
     assert got_pairs == want and len(want) > 0
+
+
+def test_broadcast_size_check_counts_exploded_keys(spark):
+    from rollscan.operators.fuzzy_join import choose_strategy
+
+    qs = spark.createDataFrame([("রহিম আলী",), ("করিম",)], "query string")
+    assert choose_strategy(qs, SearchParams()) == "broadcast"
+    assert choose_strategy(qs, SearchParams(broadcast_max_bytes=100)) == "shuffle"
+    assert choose_strategy(qs, SearchParams(broadcast_max_queries=1)) == "shuffle"
+    # low thresholds explode more lengths; the cap at the longest name bounds them
+    low = SearchParams(threshold=1, broadcast_max_bytes=20_000)
+    assert choose_strategy(qs, low) == "shuffle"
+    assert choose_strategy(qs, low, max_len=20) == "broadcast"
