@@ -31,7 +31,7 @@ from rollscan.functions.text import basename
 from rollscan.operators.filters import normalize_path, pdf_suffix, within_base
 from rollscan.operators.stats import error_summary, run_stats
 from rollscan.plans.search import search_boxes, search_text, text_matches
-from rollscan.session import checkpoint_dir, ship_package
+from rollscan.session import checkpoint_dir, materialize, ship_package
 from rollscan.sinks.ledger import (
     ledger_key,
     names_hash,
@@ -136,7 +136,8 @@ def q_best_word(spark, sf_dir):
     recs = extract_records(page_texts(words, BOX_LINES), BOX_LINES)
     matched = fuzzy_join(recs, _queries(spark, sf_dir), BOX_LINES)
     key = ["path", "page", "block_pos"]
-    toks = record_tokens(matched.select(*key, "name", "father").dropDuplicates(key), key)
+    recs = materialize(matched.select(*key, "name", "father").dropDuplicates(key))
+    toks = record_tokens(recs, key)
     best = best_words(toks, filter_words(words, 60.0), 70, key)
     return best.select(*key, "field", "tok_pos", "word_pos", "w_text", "w_conf", "w_score")
 

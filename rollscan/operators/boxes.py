@@ -18,6 +18,7 @@ from rollscan.functions.similarity import (
     lcs_udf,
     length_window,
     levenshtein_within,
+    ratio_at_least,
     ratio_score,
 )
 from rollscan.functions.text import normalize_bn, py_split, py_strip
@@ -174,10 +175,9 @@ def best_words(
     scored = cand.withColumn("_lcs", lcs_udf(F.col("_t"), F.col("_w"))).withColumn(
         "w_score", ratio_score(F.col("_lcs"), F.col("_tl"), F.col("_wlen"))
     )
-    total = F.col("_tl") + F.col("_wlen")
-    scored = scored.where(
-        (F.lit(200) * F.col("_lcs") >= F.lit(t) * total) | (total == 0)
-    ).where(F.col("w_score") > 0)
+    scored = scored.where(ratio_at_least(F.col("_lcs"), F.col("_tl"), F.col("_wlen"), t)).where(
+        F.col("w_score") > 0
+    )
     best = scored.groupBy("path", "page", "_t").agg(
         F.max(
             F.struct(

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from rollscan.functions.similarity import fuzzy_match_py, indel_ratio, lcs_length, token_set_ratio
 from rollscan.operators.fuzzy_join import fuzzy_join

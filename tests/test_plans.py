@@ -1,7 +1,6 @@
 """Plan checks over every registered driver query (sf0.001)."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rollscan.operators.filters import cap_pages

@@ -93,6 +93,10 @@ def test_ocr_pages_isolates_errors(spark, scratch):
     pages = sorted((r.file, r.page) for r in page_rows(out).select("file", "page").collect())
     assert pages == [("a.pdf", 1)]
     assert [r.text for r in word_rows(out).collect()] == ["রহিম"]
+    from rollscan.schemas import ERRORS, WORDS
+
+    assert error_rows(out).schema.fieldNames() == ERRORS.fieldNames()
+    assert set(word_rows(out).columns) == set(WORDS.fieldNames())
     errs = sorted((r.path.split("/")[-1], r.page, r.level) for r in error_rows(out).collect())
     assert errs == [("a.pdf", 2, "page"), ("b.pdf", None, "file"), ("c.pdf", None, "file")]
 
@@ -156,5 +160,8 @@ def test_report_view(spark):
 
 
 def test_names_from_list(spark):
+    from rollscan.schemas import QUERIES
+
     q = names_from_list(spark, ["  a ", "", "b"])
+    assert set(QUERIES.fieldNames()) <= set(q.columns)
     assert [(r.query_pos, r.query) for r in q.orderBy("query_pos").collect()] == [(1, "a"), (2, "b")]
