@@ -106,3 +106,19 @@ def test_broadcast_size_check_counts_exploded_keys(spark):
     low = SearchParams(threshold=1, broadcast_max_bytes=20_000)
     assert choose_strategy(qs, low) == "shuffle"
     assert choose_strategy(qs, low, max_len=20) == "broadcast"
+
+
+def test_hot_name_is_combined_before_the_shuffle(spark):
+    r = random.Random(3)
+    hot = "রহিম আলী"
+    names = [hot] * 600 + [_rand_name(r) for _ in range(1200)]
+    queries = ["রহিম", hot, "করিম আলী"]
+    rec = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "rid int, name string").repartition(8)
+    qs = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "query_pos int, query string")
+    got = fuzzy_join(rec, qs, SearchParams(threshold=70, strategy="broadcast"))
+    pairs = sorted((x.rid, x.query_pos) for x in got.select("rid", "query_pos").collect())
+    want = sorted((i, j) for i, n in enumerate(names) for j, q in enumerate(queries) if fuzzy_match_py(n, q, 70))
+    assert pairs == want and sum(1 for i, _ in want if names[i] == hot) >= 600
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # distinct names: a partial aggregate runs before the exchange (map-side combine)
+    assert plan.count("HashAggregate(keys=[_a") >= 2
