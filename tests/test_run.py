@@ -109,3 +109,17 @@ def test_page_text_from_arrays_equals_regrouped(spark):
         a = sorted(tuple(r) for r in page_texts(words, p).collect())
         b = sorted(tuple(r) for r in page_texts_from_arrays(arrays, p).collect())
         assert a == b and len(a) > 0
+
+
+def test_cli_search(spark):
+    from rollscan.cli import main
+
+    root, pdfs = _setup()
+    names = os.path.join(root, "names.txt")
+    with open(names, "w", encoding="utf-8") as f:
+        f.write("রহিম আলী\n")
+    out = os.path.join(root, "res.csv")
+    assert main(["search", pdfs, "-n", names, "--page-fn", "test_run:page_fn", "-o", out,
+                 "--ledger", os.path.join(root, "ledger")], spark=spark) == 0
+    text = "".join(open(os.path.join(out, f), encoding="utf-8").read() for f in os.listdir(out) if f.endswith(".csv"))
+    assert text.startswith("file,page,name,father") and text.count("রহীম আলী") == 2
