@@ -55,6 +55,7 @@ from rollscan.functions.similarity import (
 )
 from rollscan.functions.text import MAX_FIELD_CHARS, has_inner_whitespace, normalize_bn, py_split
 from rollscan.params import SearchParams
+from rollscan.session import materialize
 
 # Below this threshold the length window of a query grows past the longest
 # name, so it is capped at the longest name present (one small aggregate).
@@ -62,6 +63,10 @@ _MIN_EXPLODE_THRESHOLD = 10
 # Bigram prefixes can only be forced (m >= 1) above this threshold.
 _MAX_UNFORCED_THRESHOLD = 66
 
+# Matching (name, query) pair tables up to this many rows are broadcast to the
+# records (counted after they are written once); larger ones shuffle.
+BROADCAST_MAX_PAIRS = 1_000_000
+
 _KEY = "struct<kind:string,len:int,tok:string,cnt:bigint,occ:int>"
 _ELEM = "struct<cnt:bigint,g:string,k:int>"
 
@@ -377,9 +382,9 @@ def fuzzy_join(
     similarity (null at threshold 0, where it is not computed).
 
     ``dedupe=True`` (batch default): score distinct normalised names only,
-    then join the (small) pair table back to all records (AQE broadcasts it
-    when its measured size allows, and splits skewed names otherwise) and to
-    the queries.  ``dedupe=False`` (streams): records probe the broadcast
+    write the pair table once, and join it back to all records (broadcast
+    when its row count is small, else a shuffle join where AQE splits skewed
+    names) and to the queries.  ``dedupe=False`` (streams): records probe the broadcast
     query keys directly, one pass, no state.
     """
     params = params or SearchParams()
@@ -403,6 +408,12 @@ def fuzzy_join(
             out = _verify(_candidates(a, b, t, broadcast_b=True, max_len=max_len), t)
         return _drop_work(out)
     pairs = match_pairs(records, queries, t, strategy, name_col, query_col, max_len)
+    # The pair table is written once (it is the end of the CPU-heavy part) and
+    # counted: broadcast to the records when small, so records never shuffle;
+    # otherwise a shuffle join, where AQE splits skewed names.
+    pairs = materialize(pairs)
+    if pairs.count() <= BROADCAST_MAX_PAIRS:
+        pairs = F.broadcast(pairs)
     rec = records.where(F.col(name_col).isNotNull() & (F.col(name_col) != "")).withColumn(
         "_a", normalize_bn(name_col)
     )

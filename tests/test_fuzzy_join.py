@@ -70,12 +70,17 @@ def test_no_cartesian_product_in_plan(spark, cases):
     names, queries = cases
     rec = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "rid int, name string")
     qs = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "query_pos int, query string")
+    from rollscan.operators.fuzzy_join import match_pairs
+
     for strategy in ("broadcast", "shuffle"):
         for t in (5, 50, 82):
-            df = fuzzy_join(rec, qs, SearchParams(threshold=t, strategy=strategy))
-            plan = df._jdf.queryExecution().executedPlan().toString()
+            scoring = match_pairs(rec, qs, t, strategy)
+            plan = scoring._jdf.queryExecution().executedPlan().toString()
             assert "CartesianProduct" not in plan and "NestedLoop" not in plan
             assert "ArrowEvalPython" in plan
+            joined = fuzzy_join(rec, qs, SearchParams(threshold=t, strategy=strategy))
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 @pytest.mark.parametrize("threshold", [75, 82, 90])
@@ -119,6 +124,11 @@ def test_hot_name_is_combined_before_the_shuffle(spark):
     pairs = sorted((x.rid, x.query_pos) for x in got.select("rid", "query_pos").collect())
     want = sorted((i, j) for i, n in enumerate(names) for j, q in enumerate(queries) if fuzzy_match_py(n, q, 70))
     assert pairs == want and sum(1 for i, _ in want if names[i] == hot) >= 600
-    plan = got._jdf.queryExecution().executedPlan().toString()
+    from rollscan.operators.fuzzy_join import match_pairs
+
+    plan = match_pairs(rec, qs, 70, "broadcast")._jdf.queryExecution().executedPlan().toString()
     # distinct names: a partial aggregate runs before the exchange (map-side combine)
     assert plan.count("HashAggregate(keys=[_a") >= 2
+    # the pair table is small: records are not shuffled for the join back
+    final = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final

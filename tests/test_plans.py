@@ -36,7 +36,11 @@ def test_page_cap_pushed_to_scan(spark, tmp_path):
 
 
 def test_python_udf_runs_after_native_bounds(spark):
-    plan = _plan(entry.queries()["fuzzy_search"](spark, SF))
+    from rollscan.operators.extract import extract_records
+    from rollscan.operators.fuzzy_join import match_pairs
+
+    recs = extract_records(rolls.roll_pages(spark, SF))
+    plan = _plan(match_pairs(recs, rolls.roll_queries(spark, SF), 82, "broadcast"))
     # the Arrow UDF sits above the bounded hash join, never below it
     udf_at = plan.index("ArrowEvalPython")
     join_at = plan.index("BroadcastHashJoin", udf_at)
