@@ -108,11 +108,13 @@ def _err(path, file, page, level, message) -> dict:
 def ocr_pages(files: DataFrame, page_fn: PageFn, params: SearchParams | None = None) -> DataFrame:
     """``binaryFile`` rows → page rows and error rows (see module doc).
 
-    One task handles the files of its input split one by one; rows holding
-    whole files are kept in small Arrow batches
-    (``spark.sql.execution.arrow.maxBytesPerBatch``).  Spread files over more
-    tasks with ``spark.sql.files.maxPartitionBytes`` rather than a shuffle of
-    the file bytes.
+    One task handles the files of its input split one by one.  The scan packs
+    files into splits of at most ``spark.sql.files.maxPartitionBytes`` (plus
+    one file), which also bounds the Arrow batch that carries their bytes to
+    Python; lower it to spread files over more tasks (and less memory per
+    task) rather than shuffling the file bytes.  Every step before this one
+    (validation, ledger anti-join against a broadcast side) keeps that
+    partitioning.
     """
     params = params or SearchParams()
     checked = validate_files(files, params).select("path", "file", "content", "error")
