@@ -157,7 +157,7 @@ def q_record_boxes(spark, sf_dir):
 
 
 def q_record_boxes_flat(spark, sf_dir):
-    """Box mode with the reference's flat layout (one block per page, Q4)."""
+    """Box mode with the reference's flat layout (one block per page, Q4), threshold 10."""
     return _flat_boxes(search_boxes(_words(spark, sf_dir), _queries(spark, sf_dir), BOX_FLAT))
 
 
@@ -217,7 +217,8 @@ def q_content_hash(spark, sf_dir):
 
 
 def q_ocr_pages(spark, sf_dir):
-    """T1 + E1 + F5/L2: per-file page function over the valid files, errors isolated."""
+    """T1 + E1 + F2/F3 + F5/L2: per-file page function over the PDF-suffixed files; invalid
+    files and failed pages become error rows, pages after the third are not requested."""
     files = _files(spark, sf_dir).where(pdf_suffix("path"))
     out = ocr_pages(files, rolls.text_page_fn, FILE_PARAMS)
     return out.select("path", "page", "text", "level", "message")
@@ -284,7 +285,8 @@ def q_ledger_misses(spark, sf_dir):
 
 
 def q_ledger_expire(spark, sf_dir):
-    """K6 + A5 + F12: entries, expired entries and survivors of the ledger at the fixed now."""
+    """F12 + F13 over the whole ledger at the fixed now: entries, how many the expiry (K6)
+    removes and keeps, and how many are valid; the rewrite itself is ``Ledger.clear_expired``."""
     nhash = names_hash(_queries(spark, sf_dir))
     entries = rolls.doc_ledger(spark, sf_dir, nhash)
     oldest = oldest_valid(LEDGER_NOW, LEDGER_PARAMS)
