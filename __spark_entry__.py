@@ -228,7 +228,7 @@ def _ocr(spark, sf_dir):
     """OCR output is used by several steps: written once to the checkpoint folder."""
     files = _files(spark, sf_dir).where(pdf_suffix("path"))
     checkpoint_dir(spark)
-    return files, ocr_pages(files, rolls.text_page_fn, FILE_PARAMS).checkpoint(eager=True)
+    return files, materialize(ocr_pages(files, rolls.text_page_fn, FILE_PARAMS))
 
 
 def q_run_stats(spark, sf_dir):

@@ -6,6 +6,8 @@ whole-stage code generation; no Python runs per row.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,21 +44,37 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _reuse_for_names(fn):
+    """Build the expression once per column name: a Column is an immutable,
+    unresolved expression, and each new one costs many Python→JVM calls."""
+    cached = functools.lru_cache(maxsize=256)(fn)
+
+    @functools.wraps(fn)
+    def wrapper(c):
+        return cached(c) if isinstance(c, str) else fn(c)
+
+    return wrapper
+
+
+@_reuse_for_names
 def py_strip(c) -> Column:
     """``str.strip()``: drop Python whitespace at both ends (``trim`` only drops U+0020)."""
     return F.btrim(_col(c), F.lit(PY_WHITESPACE))
 
 
+@_reuse_for_names
 def normalize_bn(c) -> Column:
     """Delete visarga, danda, hasanta and U+0020, then strip; null → ''."""
     return F.coalesce(py_strip(F.translate(_col(c), NORMALIZE_DELETE, "")), F.lit(""))
 
 
+@_reuse_for_names
 def has_inner_whitespace(c) -> Column:
     """True when a (stripped) string still holds whitespace, i.e. splits into >1 token."""
     return _col(c).rlike(WS_CLASS)
 
 
+@_reuse_for_names
 def py_split(c) -> Column:
     """``str.split()`` with no argument: tokens between runs of Python whitespace."""
     stripped = py_strip(c)
@@ -65,6 +83,7 @@ def py_split(c) -> Column:
     )
 
 
+@_reuse_for_names
 def token_set_key(c) -> Column:
     """Sorted distinct tokens joined by one space (the token-set form of a string)."""
     return F.array_join(F.array_sort(F.array_distinct(py_split(c))), " ")
@@ -94,6 +113,7 @@ def guardian_pattern() -> str:
     )
 
 
+@_reuse_for_names
 def basename(c) -> Column:
     """Last path segment (the reference's result ``file``)."""
     return F.element_at(F.split(_col(c), "/", -1), -1)

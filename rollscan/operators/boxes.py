@@ -24,7 +24,7 @@ from rollscan.functions.similarity import (
 from rollscan.functions.text import normalize_bn, py_split, py_strip
 from rollscan.operators.filters import filter_words
 from rollscan.params import SearchParams
-from rollscan.session import checkpoint_dir
+from rollscan.session import checkpoint_dir, materialize
 
 # Exploded (page, token, length) rows up to this many are broadcast to the
 # word scan (counted first); beyond it both sides shuffle on (path, page, length).
@@ -234,7 +234,7 @@ def locate_records(
     params = params or SearchParams()
     key = key or [c for c in RECORD_KEY + ["record_pos"] if c in matches.columns]
     checkpoint_dir(matches.sparkSession)
-    matches = matches.checkpoint(eager=True)
+    matches = materialize(matches)
     recs = matches.select(*key, "name", "father").dropDuplicates(key)
     tokens = record_tokens(recs, key)
     kept = filter_words(words, params.min_confidence)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollscan.functions.text import guardian_pattern, name_pattern, py_strip
@@ -27,6 +29,32 @@ def split_blocks(pages: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+@functools.lru_cache(maxsize=32)
+def _first_record_columns(text_col: str, npat: str, gpat: str) -> tuple[Column, tuple[Column, ...]]:
+    """One expression per page: every block's two patterns run exactly once (a
+    Filter on extracted columns would be pushed below the Project and evaluate
+    the patterns twice); only blocks with both fields are emitted.  Built once
+    per pattern set and reused (Columns are immutable expressions)."""
+    blocks = F.split(F.coalesce(F.col(text_col), F.lit("")), BLOCK_SEPARATOR, -1)
+    found = F.transform(
+        blocks,
+        lambda b, i: F.struct(
+            i.alias("block_pos"),
+            F.regexp_extract(b, npat, 1).alias("_name"),
+            F.regexp_extract(b, gpat, 2).alias("_father"),
+            b.alias("_block"),
+        ),
+    )
+    kept = F.filter(found, lambda r: (r["_name"] != "") & (r["_father"] != ""))
+    finish = (
+        F.col("block_pos"),
+        py_strip("_name").alias("name"),
+        py_strip("_father").alias("father"),
+        F.regexp_extract("_block", gpat, 1).alias("relation"),
+    )
+    return F.inline(kept), finish
+
+
 def extract_records(
     pages: DataFrame, params: SearchParams | None = None, text_col: str = "text"
 ) -> DataFrame:
@@ -44,29 +72,9 @@ def extract_records(
     npat = name_pattern(params.strict_labels or params.all_records)
     gpat = guardian_pattern()
     if not params.all_records:
-        # One expression per page: every block's two patterns run exactly once
-        # (a Filter on the extracted columns would be pushed below the Project
-        # and evaluate the patterns twice); only kept blocks are emitted.
         keep = [c for c in pages.columns if c != text_col]
-        blocks = F.split(F.coalesce(F.col(text_col), F.lit("")), BLOCK_SEPARATOR, -1)
-        found = F.transform(
-            blocks,
-            lambda b, i: F.struct(
-                i.alias("block_pos"),
-                F.regexp_extract(b, npat, 1).alias("_name"),
-                F.regexp_extract(b, gpat, 2).alias("_father"),
-                b.alias("_block"),
-            ),
-        )
-        kept = F.filter(found, lambda r: (r["_name"] != "") & (r["_father"] != ""))
-        raw = pages.select(*keep, F.inline(kept))
-        return raw.select(
-            *keep,
-            "block_pos",
-            py_strip("_name").alias("name"),
-            py_strip("_father").alias("father"),
-            F.regexp_extract("_block", gpat, 1).alias("relation"),
-        )
+        found, finish = _first_record_columns(text_col, npat, gpat)
+        return pages.select(*keep, found).select(*keep, *finish)
     blocks = split_blocks(pages, text_col)
     keep = [c for c in blocks.columns if c != "block"]
     zipped = blocks.select(

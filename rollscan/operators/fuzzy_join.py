@@ -44,6 +44,8 @@ Survivors are verified exactly by the token-set score in an Arrow UDF
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,8 +75,8 @@ _ELEM = "struct<cnt:bigint,g:string,k:int>"
 
 def _with_forms(df: DataFrame, raw: str, p: str) -> DataFrame:
     """Add normalised form ``p``, token-set form, multi-token flag, length, tokens."""
-    kept = df.where(F.col(raw).isNotNull() & (F.col(raw) != ""))
-    return _forms_of_normalised(kept.withColumn(p, normalize_bn(raw)), p)
+    kept = df.where(F.col(raw) != "")  # null != '' is null: dropped too
+    return _forms_of_normalised(kept.select("*", normalize_bn(raw).alias(p)), p)
 
 
 def _key(kind: str, length: Column, tok: Column, cnt: Column | None = None, occ: Column | None = None) -> Column:
@@ -139,10 +141,12 @@ def _sorted_elements(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return attach(a, "_a"), attach(b, "_b")
 
 
+@functools.lru_cache(maxsize=128)
 def _token_keys(p: str) -> Column:
     return F.transform(F.col(p + "_t"), lambda tok: _key("T", F.lit(0), tok))
 
 
+@functools.lru_cache(maxsize=128)
 def _a_prefix(t: int) -> Column:
     """Prefix of ``_a_s`` long enough for every forced partner length:
     ``n − m + 1`` elements for the smallest positive required overlap m."""
@@ -155,6 +159,7 @@ def _a_prefix(t: int) -> Column:
     )
 
 
+@functools.lru_cache(maxsize=128)
 def _a_keys(use_bigrams: bool) -> Column:
     length_key = F.when(
         F.col("_a_l") > 0, F.array(_key("L", F.col("_a_l"), F.lit("")))
@@ -162,9 +167,10 @@ def _a_keys(use_bigrams: bool) -> Column:
     keys = F.concat(length_key, _token_keys("_a"))
     if use_bigrams:
         keys = F.concat(keys, F.transform(F.col("_a_pre"), lambda e: _elem_key(F.col("_a_l"), e)))
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.lit(0).alias("pl")))
+    return F.transform(keys, lambda k: F.struct(k.alias("_ka")))
 
 
+@functools.lru_cache(maxsize=128)
 def _b_keys(t: int, use_bigrams: bool, max_len: int | None = None) -> Column:
     """Keys of a query: per name length that can reach t, either its prefix
     elements (when t forces common bigrams) or the bare length; plus tokens.
@@ -178,7 +184,7 @@ def _b_keys(t: int, use_bigrams: bool, max_len: int | None = None) -> Column:
     )
 
     def plain(k: Column) -> Column:
-        return F.struct(k.alias("k"), F.lit(0).alias("pl"))
+        return F.struct(k.alias("_kb"), F.lit(0).alias("_b_pl"))
 
     if not use_bigrams:
         length_keys = F.transform(lengths, lambda n: plain(_key("L", n, F.lit(""))))
@@ -190,13 +196,14 @@ def _b_keys(t: int, use_bigrams: bool, max_len: int | None = None) -> Column:
             pl = F.greatest(n_b - m + 1, F.lit(0))
             pre = F.slice(F.col("_b_s"), 1, pl)
             return F.when(
-                m >= 1, F.transform(pre, lambda e: F.struct(_elem_key(n, e).alias("k"), pl.alias("pl")))
+                m >= 1, F.transform(pre, lambda e: F.struct(_elem_key(n, e).alias("_kb"), pl.alias("_b_pl")))
             ).otherwise(F.array(plain(_key("L", n, F.lit("")))))
 
         length_keys = F.flatten(F.transform(lengths, per_length))
     return F.concat(length_keys, F.transform(_token_keys("_b"), plain))
 
 
+@functools.lru_cache(maxsize=128)
 def _bound(t: int) -> Column:
     """Native, lossless pre-filter on the token-set forms: length window + Levenshtein."""
     lo, hi = length_window(F.col("_b_l"), t)
@@ -210,6 +217,7 @@ def _bound(t: int) -> Column:
     )
 
 
+@functools.lru_cache(maxsize=128)
 def _join_condition(t: int) -> Column:
     kind, tok = F.col("_ka.kind"), F.col("_ka.tok")
     same_key = F.col("_ka") == F.col("_kb")
@@ -222,6 +230,7 @@ def _join_condition(t: int) -> Column:
     return same_key & cond
 
 
+@functools.lru_cache(maxsize=128)
 def _prefix_condition(t: int) -> Column:
     """P keys: the pair is kept only under its smallest shared prefix element."""
     budget = indel_budget(F.col("_a_l"), F.col("_b_l"), t)
@@ -240,12 +249,8 @@ def _candidates(a: DataFrame, b: DataFrame, t: int, broadcast_b: bool, max_len:
     if use_bigrams:
         a, b = _sorted_elements(a, b)
         a = a.withColumn("_a_pre", _a_prefix(t))
-    ak = a.select("*", F.explode(_a_keys(use_bigrams)).alias("_kx")).select(
-        "*", F.col("_kx.k").alias("_ka")
-    ).drop("_kx")
-    bk = b.select("*", F.explode(_b_keys(t, use_bigrams, max_len)).alias("_kx")).select(
-        "*", F.col("_kx.k").alias("_kb"), F.col("_kx.pl").alias("_b_pl")
-    ).drop("_kx")
+    ak = a.select("*", F.inline(_a_keys(use_bigrams)))
+    bk = b.select("*", F.inline(_b_keys(t, use_bigrams, max_len)))
     bk = F.broadcast(bk) if broadcast_b else bk
     cond = _join_condition(t)
     if use_bigrams:
@@ -340,12 +345,8 @@ def match_pairs(
     aggregation before the shuffle, so repeated names cost little).
     """
     t = int(threshold)
-    a = names.where(F.col(name_col).isNotNull() & (F.col(name_col) != "")).select(
-        normalize_bn(name_col).alias("_a")
-    ).distinct()
-    b = queries.where(F.col(query_col).isNotNull() & (F.col(query_col) != "")).select(
-        normalize_bn(query_col).alias("_b")
-    ).distinct()
+    a = names.where(F.col(name_col) != "").select(normalize_bn(name_col).alias("_a")).distinct()
+    b = queries.where(F.col(query_col) != "").select(normalize_bn(query_col).alias("_b")).distinct()
     a = _forms_of_normalised(_spread(a), "_a")
     b = _forms_of_normalised(b, "_b")
     broadcast_b = strategy == "broadcast"
@@ -358,16 +359,24 @@ def match_pairs(
     return _verify(cand, t).select("_a", "_b", "score")
 
 
-def _forms_of_normalised(df: DataFrame, p: str) -> DataFrame:
-    """Token-set form, multi-token flag, length and tokens of an already normalised column ``p``."""
+@functools.lru_cache(maxsize=16)
+def _form_columns(p: str) -> tuple[Column, ...]:
+    toks = F.array_distinct(py_split(p))
+    key = F.array_join(F.array_sort(toks), " ")
     return (
-        df.withColumn(p + "_t", F.array_distinct(py_split(F.col(p))))
-        .withColumn(p + "_k", F.array_join(F.array_sort(F.col(p + "_t")), " "))
-        .withColumn(p + "_m", has_inner_whitespace(F.col(p)))
-        .withColumn(p + "_l", F.length(F.col(p + "_k")))
+        toks.alias(p + "_t"),
+        key.alias(p + "_k"),
+        has_inner_whitespace(p).alias(p + "_m"),
+        F.length(key).alias(p + "_l"),
     )
 
 
+def _forms_of_normalised(df: DataFrame, p: str) -> DataFrame:
+    """Token-set form, multi-token flag, length and tokens of an already normalised column ``p``
+    (one projection)."""
+    return df.select("*", *_form_columns(p))
+
+
 def fuzzy_join(
     records: DataFrame,
     queries: DataFrame,
@@ -414,11 +423,7 @@ def fuzzy_join(
     pairs = materialize(pairs)
     if pairs.count() <= BROADCAST_MAX_PAIRS:
         pairs = F.broadcast(pairs)
-    rec = records.where(F.col(name_col).isNotNull() & (F.col(name_col) != "")).withColumn(
-        "_a", normalize_bn(name_col)
-    )
-    qs = queries.where(F.col(query_col).isNotNull() & (F.col(query_col) != "")).withColumn(
-        "_b", normalize_bn(query_col)
-    )
+    rec = records.where(F.col(name_col) != "").select("*", normalize_bn(name_col).alias("_a"))
+    qs = queries.where(F.col(query_col) != "").select("*", normalize_bn(query_col).alias("_b"))
     qside = F.broadcast(qs) if strategy == "broadcast" else qs
     return rec.join(pairs, "_a", "inner").join(qside, "_b", "inner").drop("_a", "_b")

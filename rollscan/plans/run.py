@@ -22,7 +22,7 @@ from rollscan.operators.stats import error_summary, run_stats
 from rollscan.operators.views import result_view
 from rollscan.params import SearchParams
 from rollscan.plans.search import box_matches, text_matches
-from rollscan.session import checkpoint_dir
+from rollscan.session import checkpoint_dir, materialize
 from rollscan.sinks.ledger import Ledger, file_hashes, names_hash
 from rollscan.sinks.results import resolve_format, write_results
 from rollscan.sources.files import scan_pdf_files
@@ -73,13 +73,13 @@ def run_search(
             ledger.clear()
         nhash = names_hash(queries)
         # Small (path, file_hash) rows, written once: used by the lookup and the append.
-        hashes = file_hashes(files).checkpoint(eager=True)
-        misses = ledger.misses(hashes, nhash, now).checkpoint(eager=True)
+        hashes = materialize(file_hashes(files))
+        misses = materialize(ledger.misses(hashes, nhash, now))
         hits, todo = ledger.lookup(files, nhash, now, hashes)
-        hits = hits.checkpoint(eager=True)
+        hits = materialize(hits)
         todo = todo.drop("file_hash")
 
-    ocr = ocr_pages(todo, page_fn, params).checkpoint(eager=True)
+    ocr = materialize(ocr_pages(todo, page_fn, params))
     errors = error_rows(ocr)
     if params.box_level:
         searched_pages = ocr.where(F.col("level").isNull() & F.col("words").isNotNull())
@@ -88,7 +88,7 @@ def run_search(
     else:
         searched_pages = page_rows(ocr)
         fresh = text_matches(searched_pages, queries, params)
-    fresh = fresh.checkpoint(eager=True)
+    fresh = materialize(fresh)
 
     if ledger is not None:
         # Searched files = misses without a file-level error (small rows, no file bytes).

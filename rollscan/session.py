@@ -48,13 +48,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and return the read-back plan.
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder and read it back.
 
     Used for intermediate tables that a plan reads more than once; it also
-    cuts the lineage, so a lost executor recomputes from the checkpoint.
+    cuts the lineage, so a lost executor re-reads the table instead of
+    recomputing it.  (``Dataset.checkpoint`` would compute an unpersisted
+    input twice: once for its eager count and once to write the files.)
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rollscan-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 _SHIPPED: set[int] = set()
