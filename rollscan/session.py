@@ -60,7 +60,7 @@ def materialize(df):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/rollscan-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[int] = set()
