@@ -24,7 +24,7 @@ from rollscan.functions.similarity import (
 from rollscan.functions.text import normalize_bn, py_split, py_strip
 from rollscan.operators.filters import filter_words
 from rollscan.params import SearchParams
-from rollscan.session import checkpoint_dir, materialize
+from rollscan.session import materialize
 
 # Exploded (page, token, length) rows up to this many are broadcast to the
 # word scan (counted first); beyond it both sides shuffle on (path, page, length).
@@ -131,6 +131,35 @@ def record_tokens(records: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def _word_rows(words: DataFrame) -> DataFrame:
+    return words.select(
+        F.col("path").alias("_wpath"),
+        F.col("page").alias("_wpage"),
+        "word_pos",
+        F.col("text").alias("w_text"),
+        F.col("confidence").alias("w_conf"),
+        F.col("bbox").alias("w_bbox"),
+        normalize_bn("text").alias("_w"),
+    )
+
+
+def _arg_max(scored: DataFrame) -> DataFrame:
+    """Highest score per (page, token), the earliest word on ties (partial + final aggregate)."""
+    best = scored.groupBy("path", "page", "_t").agg(
+        F.max(
+            F.struct(
+                F.col("w_score"),
+                (-F.col("word_pos")).alias("neg_pos"),
+                F.col("word_pos"),
+                F.col("w_text"),
+                F.col("w_conf"),
+                F.col("w_bbox"),
+            )
+        ).alias("best")
+    )
+    return best.select("path", "page", "_t", "best.*").drop("neg_pos")
+
+
 def best_words(
     tokens: DataFrame, words: DataFrame, threshold: int, key: list[str], broadcast_tokens: bool | None = None
 ) -> DataFrame:
@@ -138,32 +167,37 @@ def best_words(
 
     The best word depends only on the page and the normalised token, so each
     distinct (page, normalised token) is scored once and the winners are
-    joined back to every token.  Candidates: equi-join on (path, page,
-    normalised word length) over the lengths that can reach the threshold,
-    native Levenshtein bound, exact LCS check; then arg-max per token with
-    the earliest word winning ties (a partial + final aggregate, no window).
+    joined back to every token.  Only identical normalised strings score 100,
+    so a token with an exact match on its page takes its earliest exact
+    match (an equi-join, no scoring); only the other tokens go through the
+    fuzzy path: equi-join on (path, page, normalised word length) over the
+    lengths that can reach the threshold, native Levenshtein bound, exact LCS
+    check, arg-max with the earliest word winning ties.
     """
     t = int(threshold)
-    tk = tokens.withColumn("_t", normalize_bn("token"))
-    uniq = tk.select("path", "page", "_t").distinct().withColumn("_tl", F.length("_t"))
+    tk = tokens.select("*", normalize_bn("token").alias("_t"))
+    uniq = tk.select("path", "page", "_t").distinct()
+    if broadcast_tokens is None:
+        broadcast_tokens = uniq.count() <= BROADCAST_MAX_TOKEN_ROWS
+    side = F.broadcast if broadcast_tokens else (lambda d: d)
+    wk = _word_rows(words)
+
+    exact = wk.join(
+        side(uniq),
+        (F.col("_wpath") == F.col("path")) & (F.col("_wpage") == F.col("page")) & (F.col("_w") == F.col("_t")),
+        "inner",
+    ).select("path", "page", "_t", F.lit(100.0).alias("w_score"), "word_pos", "w_text", "w_conf", "w_bbox")
+    best_exact = _arg_max(exact)
+
+    rest = uniq.join(best_exact.select("path", "page", "_t"), ["path", "page", "_t"], "left_anti")
+    rest = rest.select("*", F.length("_t").alias("_tl"))
     if t > 0:
         lo, hi = length_window(F.col("_tl"), t)
         lengths = F.when(F.col("_tl") == 0, F.array(F.lit(0))).otherwise(F.sequence(lo, hi))
     else:
         lengths = F.sequence(F.lit(0), F.lit(1 << 12))
-    uniq = uniq.withColumn("_wl", F.explode(lengths))
-    if broadcast_tokens is None:
-        broadcast_tokens = uniq.count() <= BROADCAST_MAX_TOKEN_ROWS
-    wk = words.select(
-        F.col("path").alias("_wpath"),
-        F.col("page").alias("_wpage"),
-        "word_pos",
-        F.col("text").alias("w_text"),
-        F.col("confidence").alias("w_conf"),
-        F.col("bbox").alias("w_bbox"),
-        normalize_bn("text").alias("_w"),
-    ).withColumn("_wlen", F.length("_w"))
-    uniq = F.broadcast(uniq) if broadcast_tokens else uniq
+    rest = rest.select("*", F.explode(lengths).alias("_wl"))
+    wl = wk.select("*", F.length("_w").alias("_wlen"))
     budget = indel_budget(F.col("_tl"), F.col("_wlen"), t)
     cond = (
         (F.col("_wpath") == F.col("path"))
@@ -171,28 +205,15 @@ def best_words(
         & (F.col("_wlen") == F.col("_wl"))
         & levenshtein_within(F.col("_t"), F.col("_w"), budget)
     )
-    cand = wk.join(uniq, cond, "inner")
-    scored = cand.withColumn("_lcs", lcs_udf(F.col("_t"), F.col("_w"))).withColumn(
-        "w_score", ratio_score(F.col("_lcs"), F.col("_tl"), F.col("_wlen"))
-    )
-    scored = scored.where(ratio_at_least(F.col("_lcs"), F.col("_tl"), F.col("_wlen"), t)).where(
-        F.col("w_score") > 0
-    )
-    best = scored.groupBy("path", "page", "_t").agg(
-        F.max(
-            F.struct(
-                F.col("w_score"),
-                (-F.col("word_pos")).alias("neg_pos"),
-                F.col("word_pos"),
-                F.col("w_text"),
-                F.col("w_conf"),
-                F.col("w_bbox"),
-            )
-        ).alias("best")
-    )
-    best = best.select("path", "page", "_t", "best.*").drop("neg_pos")
-    best = F.broadcast(best) if broadcast_tokens else best
-    return tk.join(best, ["path", "page", "_t"], "inner").select(
+    cand = wl.join(side(rest), cond, "inner")
+    scored = cand.select("*", lcs_udf(F.col("_t"), F.col("_w")).alias("_lcs"))
+    scored = scored.where(ratio_at_least(F.col("_lcs"), F.col("_tl"), F.col("_wlen"), t)).select(
+        "path", "page", "_t",
+        ratio_score(F.col("_lcs"), F.col("_tl"), F.col("_wlen")).alias("w_score"),
+        "word_pos", "w_text", "w_conf", "w_bbox",
+    ).where(F.col("w_score") > 0)
+    best = best_exact.unionByName(_arg_max(scored))
+    return tk.join(side(best), ["path", "page", "_t"], "inner").select(
         *key, "field", "tok_pos", "word_pos", "w_text", "w_conf", "w_bbox", "w_score"
     )
 
@@ -222,19 +243,23 @@ def field_boxes(best: DataFrame, key: list[str]) -> DataFrame:
 
 
 def locate_records(
-    matches: DataFrame, words: DataFrame, params: SearchParams | None = None, key: list[str] | None = None
+    matches: DataFrame,
+    words: DataFrame,
+    params: SearchParams | None = None,
+    key: list[str] | None = None,
+    materialize_matches: bool = True,
 ) -> DataFrame:
     """X3 for matched records: add ``name_bbox``, ``father_bbox``, ``confidence`` and ``bbox``.
 
-    The matched rows are checkpointed to the shared checkpoint folder (they
-    are needed twice, are few, and the lineage behind them is the whole
-    search); the count of the exploded token rows decides whether they are
-    broadcast to the word scan or shuffled.
+    The matched rows are written once to the shared checkpoint folder (the
+    token count, the word lookup and the final join all read them, and the
+    lineage behind them is the whole search); the count of the distinct page
+    tokens decides whether they are broadcast to the word scan or shuffled.
     """
     params = params or SearchParams()
     key = key or [c for c in RECORD_KEY + ["record_pos"] if c in matches.columns]
-    checkpoint_dir(matches.sparkSession)
-    matches = materialize(matches)
+    if materialize_matches:
+        matches = materialize(matches)
     recs = matches.select(*key, "name", "father").dropDuplicates(key)
     tokens = record_tokens(recs, key)
     kept = filter_words(words, params.min_confidence)

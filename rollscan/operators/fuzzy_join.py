@@ -417,9 +417,9 @@ def fuzzy_join(
             out = _verify(_candidates(a, b, t, broadcast_b=True, max_len=max_len), t)
         return _drop_work(out)
     pairs = match_pairs(records, queries, t, strategy, name_col, query_col, max_len)
-    # The pair table is written once (it is the end of the CPU-heavy part) and
-    # counted: broadcast to the records when small, so records never shuffle;
-    # otherwise a shuffle join, where AQE splits skewed names.
+    # The pair table is written once (it ends the CPU-heavy part) and counted:
+    # broadcast to the records when small, so records never shuffle; otherwise
+    # a shuffle join, where AQE splits skewed names.
     pairs = materialize(pairs)
     if pairs.count() <= BROADCAST_MAX_PAIRS:
         pairs = F.broadcast(pairs)

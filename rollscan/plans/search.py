@@ -17,12 +17,7 @@ from rollscan.operators.filters import cap_pages
 from rollscan.operators.fuzzy_join import fuzzy_join
 from rollscan.operators.views import result_view
 from rollscan.params import SearchParams
-from rollscan.session import materialize
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes for scans), as for broadcast decisions."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+from rollscan.session import estimated_bytes, materialize
 
 
 def _materialize(source: DataFrame, params: SearchParams) -> bool:

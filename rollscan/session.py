@@ -47,6 +47,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def estimated_bytes(df) -> int:
+    """Catalyst's size estimate of a plan (file sizes for scans), as for broadcast decisions."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def materialize(df):
     """Write ``df`` once as a Parquet table in the shared checkpoint folder and read it back.
 
