@@ -123,3 +123,19 @@ def test_cli_search(spark):
                  "--ledger", os.path.join(root, "ledger")], spark=spark) == 0
     text = "".join(open(os.path.join(out, f), encoding="utf-8").read() for f in os.listdir(out) if f.endswith(".csv"))
     assert text.startswith("file,page,name,father") and text.count("রহীম আলী") == 2
+
+
+def test_box_run_reuses_ledger_with_boxes(spark):
+    root, pdfs = _setup()
+    queries = names_from_list(spark, ["রহিম আলী"])
+    params = SearchParams(threshold=82, box_level=True, layout="lines")
+    ledger = os.path.join(root, "ledger")
+    first = run_search(spark, pdfs, queries, box_page_fn, params, ledger_root=ledger, now=NOW)
+    rows = sorted(map(str, first.results.collect()))
+
+    def no_ocr(path, content):
+        raise AssertionError("ledger hit expected")
+        yield  # pragma: no cover
+
+    again = run_search(spark, pdfs, queries, no_ocr, params, ledger_root=ledger, now=NOW)
+    assert sorted(map(str, again.results.collect())) == rows and len(rows) == 3
