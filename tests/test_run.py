@@ -139,3 +139,13 @@ def test_box_run_reuses_ledger_with_boxes(spark):
 
     again = run_search(spark, pdfs, queries, no_ocr, params, ledger_root=ledger, now=NOW)
     assert sorted(map(str, again.results.collect())) == rows and len(rows) == 3
+
+
+def test_run_on_folder_without_pdfs(spark):
+    root = tempfile.mkdtemp(prefix="rollscan-empty-")
+    with open(os.path.join(root, "notes.txt"), "w") as f:
+        f.write("x")
+    out = run_search(spark, root, names_from_list(spark, ["রহিম"]), page_fn, SearchParams(), now=NOW)
+    assert out.results.count() == 0
+    s = out.stats.first()
+    assert (s.files_processed, s.files_failed, s.pages_processed, s.matches_found) == (0, 0, 0, 0)
