@@ -69,7 +69,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         results = search_text(read_pages(spark, args.pages, params=params), names, params)
         if args.output:
             write_results(results, args.output, args.format)
-        report_view(results).show(20, truncate=False)
+        report_view(results.orderBy("file", "page")).show(20, truncate=False)
         return 0
     if not args.directory or not args.page_fn:
         print("a PDF folder needs --page-fn (or search a pages table with --pages)", file=sys.stderr)
@@ -81,7 +81,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         ledger_root=args.ledger, output_path=args.output, output_format=args.format,
         clear_ledger=args.clear_ledger,
     )
-    report_view(out.results).show(20, truncate=False)
+    # first rows in (file, page) order: a top-k, not a full sort of the results
+    report_view(out.results.orderBy("file", "page")).show(20, truncate=False)
     out.stats.show(truncate=False)
     out.error_summary.show(truncate=False)
     return 0
