@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 
 from rollscan.operators.views import csv_view
 
+# Error messages of the format dispatch (same text as the reference).
+MSG_NO_AUTO_FORMAT = (
+    "Cannot auto-detect format from extension '{suffix}'. "
+    "Use .json or .csv, or specify format explicitly."
+)
+MSG_UNSUPPORTED_FORMAT = "Unsupported export format: {fmt}. Use 'json' or 'csv'."
+
 
 def resolve_format(output_path: str, fmt: str = "auto") -> str:
     """K3: explicit format wins; ``auto`` picks by suffix; anything else is an error.
@@ -26,13 +33,10 @@ def resolve_format(output_path: str, fmt: str = "auto") -> str:
             return "json"
         if suffix == ".csv":
             return "csv"
-        raise ValueError(
-            f"Cannot auto-detect format from extension '{suffix}'. "
-            f"Use .json or .csv, or specify format explicitly."
-        )
+        raise ValueError(MSG_NO_AUTO_FORMAT.format(suffix=suffix))
     if fmt in ("json", "csv"):
         return fmt
-    raise ValueError(f"Unsupported export format: {fmt}. Use 'json' or 'csv'.")
+    raise ValueError(MSG_UNSUPPORTED_FORMAT.format(fmt=fmt))
 
 
 def write_json(results: DataFrame, output_path: str, json_array: bool = False) -> None:

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from rollscan.functions.text import basename
 from rollscan.params import SearchParams
 
-# PDF magic number and the byte size of one MB.
+# PDF magic number, the byte size of one MB, and the validation
+# messages (same text as the reference; %.1f takes the size in MB).
 PDF_MAGIC = b"%PDF-"
 MB = 1024 * 1024
+MSG_TOO_LARGE = "PDF file too large: %.1fMB (max: {max}MB)"
+MSG_NOT_PDF = "File is not a valid PDF: "
 
 
 def scan_pdf_files(spark: SparkSession, root: str) -> DataFrame:
@@ -37,10 +40,8 @@ def size_mb(length: Column) -> Column:
 def file_error(path: Column, length: Column, content: Column, params: SearchParams) -> Column:
     """F2 then F3: the first failing check's message, or null for a valid file."""
     mb = size_mb(length)
-    too_large = F.format_string(
-        f"PDF file too large: %.1fMB (max: {params.max_pdf_size_mb}MB)", mb
-    )
-    not_pdf = F.concat(F.lit("File is not a valid PDF: "), path)
+    too_large = F.format_string(MSG_TOO_LARGE.format(max=params.max_pdf_size_mb), mb)
+    not_pdf = F.concat(F.lit(MSG_NOT_PDF), path)
     return F.when(mb > F.lit(float(params.max_pdf_size_mb)), too_large).when(
         F.substring(content, 1, len(PDF_MAGIC)) != F.lit(bytearray(PDF_MAGIC)), not_pdf
     )

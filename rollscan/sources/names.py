@@ -9,9 +9,14 @@ from rollscan.functions.text import py_strip
 from rollscan.params import SearchParams
 from rollscan.sources.files import MB
 
-# Python's universal newlines: the line ends recognised when a text file is iterated.
+# Python's universal newlines (the line ends recognised when a
+# text file is iterated), the byte order mark, and the name-list messages
+# (same text as the reference).
 LINE_BREAKS = "\r\n|\r|\n"
 BOM = "\ufeff"
+MSG_TOO_LARGE = "Names file too large: {mb:.1f}MB (max: {max}MB)"
+MSG_NOT_UTF8 = "Names file must be UTF-8 encoded"
+MSG_NO_NAMES = "No names provided in file"
 
 
 def names_from_texts(texts: DataFrame, params: SearchParams | None = None, text_col: str = "value") -> DataFrame:
@@ -54,14 +59,12 @@ def load_names(spark: SparkSession, path: str, params: SearchParams | None = Non
         F.count_if(~F.col("utf8")).alias("not_utf8"),
     ).first()
     if bad["max_len"] is not None and bad["max_len"] > limit:
-        raise ValueError(
-            f"Names file too large: {bad['max_len'] / MB:.1f}MB (max: {params.max_names_file_size_mb}MB)"
-        )
+        raise ValueError(MSG_TOO_LARGE.format(mb=bad["max_len"] / MB, max=params.max_names_file_size_mb))
     if bad["not_utf8"]:
-        raise ValueError("Names file must be UTF-8 encoded")
+        raise ValueError(MSG_NOT_UTF8)
     names = names_from_texts(checked.select("path", "value"), params)
     if names.limit(1).count() == 0:
-        raise ValueError("No names provided in file")
+        raise ValueError(MSG_NO_NAMES)
     return names
 
 
