@@ -75,7 +75,11 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``rollscan`` importable on executors (``addPyFile`` of a zip of the package).
 
     Python UDFs and ``mapInPandas`` functions refer to this package by module
-    name; on a cluster the executors need a copy.  Done once per session.
+    name; on a cluster the executors need a copy.  The zip is staged on the
+    driver only for the upload: Spark serves it to every executor, and no job
+    reads or writes data there.  (Jobs submitted with ``--py-files`` already
+    ship it; this covers drivers that import the repository directly.)  Done
+    once per SparkContext.
     """
     import os
     import zipfile
