@@ -1,0 +1,251 @@
+"""Secret scans with structural confirmation.
+
+Three base kinds are found by pattern (``assign``, ``access``, ``hex``).  The
+method adds kinds that a pattern alone cannot assert: a candidate run of
+base64 or hex characters is decoded and its bytes are parsed, and it is
+reported only if the structure holds to the last byte:
+
+* ``der``      private key in DER (PKCS#1, PKCS#8, encrypted PKCS#8, SEC 1, DSA): nested
+               tag-length-value lengths must fill their parents exactly
+* ``openssh``  OpenSSH private key container: magic and nested 32-bit lengths
+* ``jwt``      signed token: header and payload decode to JSON objects, the header names an
+               algorithm and the signature has the length that algorithm needs
+
+Spans are code points of the text, end exclusive, over the whole match (the
+whole armoured block for keys between BEGIN and END lines).
+
+Defined results: a null or empty text has no spans; null or repeated
+``doc_id`` rows are scanned like any other row, one output row per input row;
+other columns of the input are ignored, so their names cannot clash; texts
+are scanned whole, whatever their length.
+"""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rollscan.llm.common import prepare, text_or_empty
+
+#: Kinds in report order; the first three are the base kinds.
+KINDS = ("assign", "access", "hex", "der", "openssh", "jwt")
+BASE_KINDS = KINDS[:3]
+RANK = {k: i for i, k in enumerate(KINDS)}
+
+ASSIGN = re.compile(
+    r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    re.IGNORECASE | re.ASCII,
+)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{24,}")  # a greedy maximal run, so the length can be asked for at once
+
+ARMOUR = re.compile(
+    r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)"
+    r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"
+)
+B64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){32,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){32,}(?![0-9A-Za-z])")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+
+#: Signature bytes by algorithm name (RFC 7518); RSA ones are at least 128.
+SIGNATURE_BYTES = {
+    "HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "ES256K": 64, "EdDSA": 64, "none": 0,
+}
+MAGIC = b"openssh-key-v1\x00"
+INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+
+
+def decode_base64(run: str) -> bytes | None:
+    """Bytes of a base64 or base64url run, padded or not; None if it is neither."""
+    run = run.rstrip("=").translate(str.maketrans("-_", "+/"))
+    if len(run) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def children(data: bytes, start: int, stop: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, stop) of the DER values that fill data[start:stop] exactly; None if they don't."""
+    out, i = [], start
+    while i < stop:
+        if i + 2 > stop or data[i] & 0x1F == 0x1F:
+            return None
+        tag, size = data[i], data[i + 1]
+        i += 2
+        if size & 0x80:
+            n = size & 0x7F
+            if not 1 <= n <= 4 or i + n > stop:
+                return None
+            size = int.from_bytes(data[i : i + n], "big")
+            if size < 0x80 or data[i] == 0:  # DER asks for the shortest length
+                return None
+            i += n
+        if i + size > stop:
+            return None
+        out.append((tag, i, i + size))
+        i += size
+    return out
+
+
+def is_der_key(data: bytes) -> bool:
+    """A private key in one of the common DER layouts, nested lengths included."""
+    top = children(data, 0, len(data)) if data[:1] == b"\x30" else None
+    if not top or len(top) != 1:
+        return False
+    inner = children(data, *top[0][1:])
+    if not inner or len(inner) < 2:
+        return False
+    tags = [t for t, _, _ in inner]
+    if tags[0] == SEQUENCE:  # encrypted PKCS#8: algorithm, octets
+        return tags == [SEQUENCE, OCTETS] and starts_with_oid(data, inner[0]) and inner[1][2] - inner[1][1] >= 16
+    if tags[0] != INTEGER or inner[0][2] - inner[0][1] != 1:
+        return False
+    version = data[inner[0][1]]
+    if tags[1] == SEQUENCE:  # PKCS#8: version, algorithm, octets, attributes
+        return version in (0, 1) and len(tags) >= 3 and tags[2] == OCTETS and starts_with_oid(data, inner[1]) and inner[2][2] > inner[2][1]
+    if tags[1] == OCTETS:  # SEC 1: version 1, secret
+        return version == 1 and inner[1][2] - inner[1][1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
+    if all(t == INTEGER for t in tags):  # PKCS#1 has nine integers, DSA six
+        return version in (0, 1) and len(tags) in (6, 9) and inner[1][2] - inner[1][1] >= 32
+    return False
+
+
+def starts_with_oid(data: bytes, value: tuple[int, int, int]) -> bool:
+    parts = children(data, value[1], value[2])
+    return bool(parts) and parts[0][0] == OID and parts[0][2] > parts[0][1]
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """Magic, cipher, kdf and options, number of keys, public blobs and the private blob, to the last byte."""
+    if not data.startswith(MAGIC):
+        return False
+    i = len(MAGIC)
+
+    def blob() -> bytes | None:
+        nonlocal i
+        size = int.from_bytes(data[i : i + 4], "big")
+        if i + 4 + size > len(data):
+            return None
+        i += 4 + size
+        return data[i - size : i]
+
+    cipher, kdf, options = blob(), blob(), blob()
+    if not cipher or not kdf or options is None or i + 4 > len(data):
+        return False
+    keys = int.from_bytes(data[i : i + 4], "big")
+    i += 4
+    if not 1 <= keys <= 16 or any(not blob() for _ in range(keys)):
+        return False
+    private = blob()
+    return bool(private) and i == len(data) and len(private) % 8 == 0
+
+
+def key_kind(data: bytes | None) -> str | None:
+    if not data:
+        return None
+    return "openssh" if is_openssh_key(data) else "der" if is_der_key(data) else None
+
+
+def json_object(segment: str) -> dict | None:
+    data = decode_base64(segment)
+    try:
+        value = json.loads(data) if data else None
+    except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def is_signed_token(header: str, payload: str, signature: str) -> bool:
+    head = json_object(header)
+    alg = head.get("alg") if head else None
+    if not isinstance(alg, str) or json_object(payload) is None:
+        return False
+    sign = decode_base64(signature) if signature else b""
+    if sign is None:
+        return False
+    need = SIGNATURE_BYTES.get(alg)
+    return len(sign) == need if need is not None else len(sign) >= (128 if alg[:2] in ("RS", "PS") else 16)
+
+
+def find_spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every span of the text, by start, then kind in the order of ``KINDS``."""
+    out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    out += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    out += [("hex", *m.span()) for m in HEX.finditer(text)]
+    blocks = []
+    for m in ARMOUR.finditer(text):
+        if kind := key_kind(decode_base64(re.sub(r"\\[nr]|\s", "", m[1]))):
+            out.append((kind, *m.span()))
+            blocks.append(m.span())
+    inside = lambda m: any(a <= m.start() and m.end() <= b for a, b in blocks)
+    for m in B64_RUN.finditer(text):
+        if (kind := key_kind(decode_base64(m[0]))) and not inside(m):
+            out.append((kind, *m.span()))
+    for m in HEX_RUN.finditer(text):
+        if kind := key_kind(bytes.fromhex(m[0])):
+            out.append((kind, *m.span()))
+    out += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(*m.groups())]
+    return sorted(out, key=lambda s: (s[1], RANK[s[0]], s[2]))
+
+
+SPANS = "array<struct<kind:string,start:int,end:int>>"
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """One row per document: its id and ``spans``; with ``keep_text`` also the text itself."""
+    prepare(docs.sparkSession)
+    slim = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
+    kind = slim.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, spans {SPANS}" + (", text string" if keep_text else "")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            spans = [[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t)] for t in b["text"]]
+            cols = {id_col: b[id_col], "spans": pd.Series(spans, index=b.index, dtype=object)}
+            yield pd.DataFrame(cols | ({"text": b["text"]} if keep_text else {}))
+
+    return slim.mapInPandas(scan, schema)
+
+
+def redact(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:
+    """The text with every span replaced by the mark; overlapping spans become one."""
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """The rows of ``docs`` with all columns, secrets in ``text_col`` replaced by the mark; null texts stay null."""
+    prepare(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else redact(t, [(s, e) for _, s, e in find_spans(t)], mark))
+
+    return docs.withColumn(text_col, cleaned(F.col(text_col)))
+
+
+def secret_digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Counts of the base kinds, digest of the base spans, and all spans as one string."""
+    line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return scanned.select(
+        F.col(id_col),
+        *[count(k).alias(f"n_{k}") for k in BASE_KINDS],
+        F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", line), ",").alias("spans"),
+        (F.size("spans") - F.size(base)).cast("long").alias("n_confirmed"),
+    )
