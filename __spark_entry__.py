@@ -45,6 +45,13 @@ from rollscan.sources.files import content_hash, size_mb, validate_files
 from rollscan.sources.names import names_from_texts
 from rollscan.sources.ocr import error_rows, ocr_pages, page_rows
 
+try:  # the training-data operators and the pipeline can be taken away as a whole
+    from rollscan.llm import queries as llm_queries
+except ModuleNotFoundError as e:
+    if e.name not in ("rollscan.llm", "corpus_pipeline"):
+        raise
+    llm_queries = None
+
 
 # ---------------------------------------------------------------------------
 # Spark side
@@ -316,7 +323,8 @@ def _shipped(fn):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _shipped(v) for k, v in _queries_raw().items()}
+    found = _queries_raw() | (llm_queries.queries() if llm_queries else {})
+    return {k: _shipped(v) for k, v in found.items()}
 
 
 def _queries_raw() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -639,6 +647,10 @@ pdfs AS (SELECT path, sha256(content) AS file_hash FROM doc_files WHERE {PDF_WHE
 
 
 def oracle_sql() -> dict[str, str]:
+    return _oracle_raw() | (llm_queries.oracle_sql() if llm_queries else {})
+
+
+def _oracle_raw() -> dict[str, str]:
     pages = rolls.ROLL_PAGES_SQL
     files = rolls.DOC_FILES_SQL
     ocr = _with(files, OCR_SQL)
