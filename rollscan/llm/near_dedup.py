@@ -26,7 +26,7 @@ null ``component_id`` and is kept; other input columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -188,32 +188,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
-def near_duplicates(
-    docs: DataFrame, percent: int = THRESHOLD_PERCENT, words: int = SHINGLE_WORDS, bins: int = BINS, rows: int = ROWS
-) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_shingles, set_key, group, component_id, kept.
+def group_buckets(in_buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Groups of similar sets: node and root for every set that is linked to another one.
 
-    ``group`` is the key of the component (null for empty sets), ``component_id`` the
-    least doc_id in it, ``kept`` whether the document is the one that stays.
+    ``in_buckets`` has bucket, set_key and n (set size); pairs that share no
+    bucket are not candidates.  ``sets_of`` gets the keys (``set_key``) in
+    buckets of two or more and returns their full sets (set_key, set).
     """
-    signed = materialize(signatures(docs, words, bins, rows))
-    nodes = materialize(
-        signed.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(
-            F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")
-        )
-    )
-    in_bands = nodes.select("set_key", "n", F.explode("bands").alias("bucket"))
-    sizes = in_bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(in_bands.join(sizes, "bucket"))
+    sizes = in_buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(in_buckets.join(sizes, "bucket"))
     company = members.groupBy("set_key").agg(F.sum("size").alias("weight"))
     members = materialize(members.join(company, "set_key").select("bucket", "set_key", "n", F.struct("weight", "n", "set_key").alias("rank")))
+    sets = materialize(sets_of(members.select("set_key").distinct()))
 
-    wanted = members.select("set_key").distinct().join(nodes, "set_key").select("doc_id")
-    have = docs.join(wanted.select(F.col("doc_id").alias("wanted_id")), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = shingle_sets(have, words).groupBy("set_key").agg(F.first("set").alias("set"))
-    sets = materialize(sets)
-
-    spark = docs.sparkSession
+    spark = in_buckets.sparkSession
     links = tested = spark.createDataFrame([], "a binary, b binary")
     labels = spark.createDataFrame([], "node binary, root binary")
     centres = 1
@@ -226,7 +214,7 @@ def near_duplicates(
         ).where("low <> high").select("bucket", "size", "top")
         members = materialize(open_rows.join(split, "bucket"))
         if members.isEmpty():
-            break
+            return labels
         if centres == 1:  # a star in every bucket
             heads = members.where(F.col("set_key") == F.col("top.set_key"))
         else:
@@ -250,6 +238,29 @@ def near_duplicates(
         members = members.select("bucket", "set_key", "n", "rank")
         centres = CENTRES if centres == 1 else 2 * centres
 
+
+def near_duplicates(
+    docs: DataFrame, percent: int = THRESHOLD_PERCENT, words: int = SHINGLE_WORDS, bins: int = BINS, rows: int = ROWS
+) -> DataFrame:
+    """One row per document: doc_id, text_hash, n_shingles, set_key, group, component_id, kept.
+
+    ``group`` is the key of the component (null for empty sets), ``component_id`` the
+    least doc_id in it, ``kept`` whether the document is the one that stays.
+    """
+    signed = materialize(signatures(docs, words, bins, rows))
+    nodes = materialize(
+        signed.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(
+            F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")
+        )
+    )
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        """Sets of one document for each key, from its text."""
+        wanted = keys.join(nodes, "set_key").select(F.col("doc_id").alias("wanted_id")).distinct()
+        have = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+        return shingle_sets(have, words).groupBy("set_key").agg(F.first("set").alias("set"))
+
+    labels = group_buckets(nodes.select("set_key", "n", F.explode("bands").alias("bucket")), sets_of, percent)
     named = nodes.join(labels, F.col("set_key") == F.col("node"), "left").select(
         "set_key", F.coalesce("root", "set_key").alias("group"), "doc_id"
     )
