@@ -5,7 +5,7 @@ passages of its labelled training rows.  A text is compressed with each
 dictionary; the language whose dictionary makes it smallest is chosen, and
 the choice is rejected when the runner-up is nearly as small.  Long texts are
 compressed passage by passage, all of them, so that the dictionary and not
-the text's own beginning decides.
+the text's own beginning decides.  Texts and samples are lower-cased first.
 
 The training sample is bounded: ``PASSAGES`` documents per language, taken by
 a hash of their ids among all training rows, one passage of at most
@@ -15,8 +15,8 @@ Defined results: a text that is null or has no letter is ``und`` with score 0;
 without any training row every text is; with one learned language every text
 with a letter is that language with score 1; rows with null or repeated
 ``doc_id`` are classified like any other (rows with a null id are never
-learned from); ties go to the first language by name; other input columns are
-ignored.
+learned from); ties go to the language with more training rows, then to the
+first by name; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from rollscan.llm.common import prepare
 
-PASSAGES = 64
+PASSAGES = 128
 PASSAGE_CHARS = 2000
 #: Bytes of a text that are compressed at a time.
 PASSAGE_BYTES = 4096
@@ -47,9 +47,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def training_rows(docs: DataFrame) -> DataFrame:
+    return docs.where(
+        F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")
+    )
+
+
 def sample_passages(docs: DataFrame, passages: int = PASSAGES, chars: int = PASSAGE_CHARS) -> DataFrame:
     """lang, passage: the bounded training sample."""
-    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    rows = training_rows(docs)
     # the limit by rank is applied in each task before rows are exchanged
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = rows.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= passages)
@@ -62,11 +68,13 @@ def sample_passages(docs: DataFrame, passages: int = PASSAGES, chars: int = PASS
 
 
 def learn(docs: DataFrame, **options) -> dict[str, bytes]:
-    """Dictionary content of each language, at most PASSAGES * PASSAGE_CHARS characters of it."""
+    """Dictionary content of each language, at most PASSAGES * PASSAGE_CHARS characters of it; frequent languages first."""
     found: dict[str, list] = {}
     for r in sample_passages(docs, **options).collect():
         found.setdefault(r["lang"], []).append((r["place"], r["passage"]))
-    return {k: "\n".join(p for _, p in sorted(v)).encode("utf-8", "surrogatepass") for k, v in sorted(found.items())}
+    rows = {r["lang"]: r["n"] for r in training_rows(docs).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    order = sorted(found, key=lambda k: (-rows[k], k))
+    return {k: "\n".join(p for _, p in sorted(found[k])).lower().encode("utf-8", "surrogatepass") for k in order}
 
 
 class Judge:
@@ -86,10 +94,10 @@ class Judge:
         """The language and the relative margin to the second; und and 0 if there is nothing to judge."""
         if not text or not self.languages or not LETTER.search(text):
             return UNKNOWN, 0.0
-        data = text.encode("utf-8", "surrogatepass")
+        data = text.lower().encode("utf-8", "surrogatepass")
         parts = [data[i : i + PASSAGE_BYTES] for i in range(0, len(data), PASSAGE_BYTES)]
-        sizes = sorted((sum(len(c.compress(p)) for p in parts), k) for k, c in zip(self.languages, self.compressors))
-        return sizes[0][1], 1.0 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
+        sizes = sorted((sum(len(c.compress(p)) for p in parts), i) for i, c in enumerate(self.compressors))
+        return self.languages[sizes[0][1]], 1.0 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
 
 
 def identify(docs: DataFrame, contents: dict[str, bytes], level: int = LEVEL, min_margin: float = MIN_MARGIN) -> DataFrame:
