@@ -80,6 +80,15 @@ def block_grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndar
     return words, keys, counts
 
 
+def arrays(flat: np.ndarray, cuts: np.ndarray) -> pd.Series:
+    """Column of arrays: ``flat`` split at the cuts; no rows if it is empty."""
+    parts = np.split(flat, cuts) if len(flat) else []
+    out = pd.Series([None] * len(parts), dtype=object)
+    for i, part in enumerate(parts):
+        out.iat[i] = part
+    return out
+
+
 def gather(blocked: DataFrame, bits: int) -> DataFrame:
     """block, part, grams and their counts in the block: a row for each hash range that the block has n-grams in."""
 
@@ -90,8 +99,8 @@ def gather(blocked: DataFrame, bits: int) -> DataFrame:
         rows = {
             "block": batch["block"].iloc[0],
             "part": part[np.concatenate([[0], cuts])[: len(keys)]].astype(np.int64),
-            "grams": np.split(keys.view(np.int64), cuts) if len(keys) else [],
-            "n": np.split(counts.astype(np.int32), cuts) if len(keys) else [],
+            "grams": arrays(keys.view(np.int64), cuts),
+            "n": arrays(counts.astype(np.int32), cuts),
         }
         return pd.DataFrame(rows)
 
@@ -107,7 +116,7 @@ def totals(gathered: DataFrame) -> DataFrame:
         keys, at = np.unique(grams, return_inverse=True)  # the count table of this hash range
         table = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
         ends = np.cumsum([len(g) for g in rows["grams"]])[:-1]
-        return pd.DataFrame({"block": rows["block"], "part": rows["part"], "total": np.split(table[at], ends)})
+        return pd.DataFrame({"block": rows["block"], "part": rows["part"], "total": arrays(table[at], ends).set_axis(rows.index)})
 
     return gathered.groupBy("part").applyInPandas(count, "block long, part long, total array<long>")
 
