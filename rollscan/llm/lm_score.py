@@ -83,10 +83,10 @@ def block_grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndar
 def arrays(flat: np.ndarray, cuts: np.ndarray) -> pd.Series:
     """Column of arrays: ``flat`` split at the cuts; no rows if it is empty."""
     parts = np.split(flat, cuts) if len(flat) else []
-    out = pd.Series([None] * len(parts), dtype=object)
+    out = np.empty(len(parts), object)
     for i, part in enumerate(parts):
-        out.iat[i] = part
-    return out
+        out[i] = part
+    return pd.Series(out, dtype=object)
 
 
 def gather(blocked: DataFrame, bits: int) -> DataFrame:
