@@ -12,27 +12,28 @@ engine's operators run on them unchanged.
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollscan.functions.text import NORMALIZE_DELETE, PY_WHITESPACE, WS_CLASS
 from rollscan.operators.extract import extract_records, split_blocks
-from rollscan.operators.filters import cap_pages
+from rollscan.operators.filters import cap_pages, truncated_files
 from rollscan.functions.text import normalize_bn
 from rollscan.params import SearchParams
 from rollscan.plans import rolls
 from rollscan.operators.boxes import best_words, page_texts, record_tokens
 from rollscan.operators.filters import filter_words
 from rollscan.operators.fuzzy_join import fuzzy_join
-from rollscan.operators.views import csv_view, report_view
+from rollscan.operators.views import csv_view, report_view, result_view
 from rollscan.functions.text import basename
 from rollscan.operators.filters import normalize_path, pdf_suffix, within_base
 from rollscan.operators.stats import error_summary, run_stats
 from rollscan.plans.search import search_boxes, search_text, text_matches
 from rollscan.session import checkpoint_dir, materialize, ship_package
 from rollscan.sinks.ledger import (
+    Ledger,
     ledger_key,
     names_hash,
     names_hash_expr,
@@ -42,7 +43,9 @@ from rollscan.sinks.ledger import (
     valid_predicate,
 )
 from rollscan.sources.files import content_hash, size_mb, validate_files
-from rollscan.sources.names import names_from_texts
+from rollscan.sinks.results import write_results
+from rollscan.sources.names import names_from_texts, truncated_lists
+from rollscan.sources.pages import read_pages
 from rollscan.sources.ocr import error_rows, ocr_pages, page_rows
 
 try:  # the training-data operators and the pipeline can be taken away as a whole
@@ -96,7 +99,7 @@ def q_page_cap(spark, sf_dir):
     return cap_pages(_pages(spark, sf_dir), 3).select("path", "page", F.length("text").alias("chars"))
 
 
-def _fuzzy(threshold: int, strategy: str = "broadcast"):
+def _fuzzy(threshold: int, strategy: str = "auto"):
     def run(spark, sf_dir):
         params = SearchParams(threshold=threshold, strategy=strategy)
         return search_text(_pages(spark, sf_dir), _queries(spark, sf_dir), params)
@@ -115,10 +118,10 @@ def _words(spark, sf_dir):
     return rolls.roll_words(spark, sf_dir)
 
 
-BOX_LINES = SearchParams(box_level=True, layout="lines", strategy="broadcast")
+BOX_LINES = SearchParams(box_level=True, layout="lines")
 # Flat layout (reference): a page is one block and its "name" runs to the page
 # end, so only a low threshold yields matches to compare.
-BOX_FLAT = SearchParams(box_level=True, layout="flat", strategy="broadcast", threshold=10)
+BOX_FLAT = SearchParams(box_level=True, layout="flat", threshold=10)
 
 
 def q_word_filter(spark, sf_dir):
@@ -179,7 +182,8 @@ def q_report_view(spark, sf_dir):
 
 
 # -- file-level operators on the document "PDF" files ------------------------
-FILE_PARAMS = SearchParams(max_pdf_size_mb=0.02, max_pdf_pages=3)
+# The size limit is the feature of ``validate_files``, the page cap that of ``page_cap`` and ``truncated_files``.
+FILE_PARAMS = SearchParams(max_pdf_size_mb=0.02)
 
 
 def _files(spark, sf_dir):
@@ -215,7 +219,7 @@ def q_extract_records_all(spark, sf_dir):
 
 def q_report_view_text(spark, sf_dir):
     """K7 in text mode (no Confidence column) over the flagship search."""
-    return report_view(search_text(_pages(spark, sf_dir), _queries(spark, sf_dir), SearchParams(strategy="broadcast")))
+    return report_view(search_text(_pages(spark, sf_dir), _queries(spark, sf_dir), SearchParams()))
 
 
 def q_content_hash(spark, sf_dir):
@@ -224,25 +228,36 @@ def q_content_hash(spark, sf_dir):
 
 
 def q_ocr_pages(spark, sf_dir):
-    """T1 + E1 + F2/F3 + F5/L2: per-file page function over the PDF-suffixed files; invalid
-    files and failed pages become error rows, pages after the third are not requested."""
+    """T1 + E1 + F3: per-file page function over all pages of the PDF-suffixed files; files that
+    are no PDF and failed pages become error rows."""
     files = _files(spark, sf_dir).where(pdf_suffix("path"))
-    out = ocr_pages(files, rolls.text_page_fn, FILE_PARAMS)
+    out = ocr_pages(files, rolls.text_page_fn, SearchParams())
     return out.select("path", "page", "text", "level", "message")
 
 
+def q_truncated_files(spark, sf_dir):
+    """F5's report: files with more than three pages, as warnings."""
+    return truncated_files(_pages(spark, sf_dir), 3).select("path", "page", "level", "message")
+
+
+def q_truncated_lists(spark, sf_dir):
+    """L1's report: name lists with more than 300 names, as warnings."""
+    texts = rolls.roll_name_files(spark, sf_dir)
+    return truncated_lists(texts, SearchParams(max_search_names=300)).select("path", "page", "level", "message")
+
+
 def _ocr(spark, sf_dir):
-    """OCR output is used by several steps: written once to the checkpoint folder."""
-    files = _files(spark, sf_dir).where(pdf_suffix("path"))
+    """OCR output of the documents and the rolls is used by several steps: written once to the checkpoint folder."""
+    files = _files(spark, sf_dir).drop("doc_id").where(pdf_suffix("path")).unionByName(rolls.roll_files(spark, sf_dir))
     checkpoint_dir(spark)
-    return files, materialize(ocr_pages(files, rolls.text_page_fn, FILE_PARAMS))
+    return files, materialize(ocr_pages(files, rolls.page_fn, SearchParams()))
 
 
 def q_run_stats(spark, sf_dir):
-    """A1 + A6: run statistics of a text search over the OCR'd document pages."""
+    """A1 + A6: run statistics, with the first errors, of a text search over the OCR'd pages of all documents and rolls."""
     files, out = _ocr(spark, sf_dir)
     pages = page_rows(out)
-    matches = search_text(pages, _queries(spark, sf_dir), SearchParams(strategy="broadcast"))
+    matches = search_text(pages, _queries(spark, sf_dir), SearchParams())
     return run_stats(files, error_rows(out), pages, matches)
 
 
@@ -252,13 +267,13 @@ def q_error_summary(spark, sf_dir):
     return error_summary(error_rows(out))
 
 
-def _names(spark, sf_dir):
-    return names_from_texts(rolls.roll_name_files(spark, sf_dir), SearchParams(max_search_names=300))
+def _names(spark, sf_dir, most=None):
+    return names_from_texts(rolls.roll_name_files(spark, sf_dir), SearchParams(max_search_names=most))
 
 
 def q_query_list(spark, sf_dir):
     """S2 + F7 + L1: name-list files → stripped, non-blank names, first 300 per file."""
-    return _names(spark, sf_dir)
+    return _names(spark, sf_dir, 300)
 
 
 def q_names_hash(spark, sf_dir):
@@ -305,6 +320,101 @@ def q_ledger_expire(spark, sf_dir):
     )
 
 
+def q_ledger_param_change(spark, sf_dir):
+    """P6 + J3 over one ledger with two settings of a result-changing parameter (page cap): stored rows by setting."""
+    nhash = names_hash(_queries(spark, sf_dir))
+    files = _files(spark, sf_dir).where(pdf_suffix("path")).select("path", content_hash("content").alias("file_hash"))
+    ledger = rolls.doc_ledger(spark, sf_dir, nhash)
+    found = []
+    for name, params in (("all pages", LEDGER_PARAMS), ("first 5", LEDGER_PARAMS.with_(max_pdf_pages=5))):
+        hits, _ = split_hits(files, search_entries(ledger, nhash, params, LEDGER_NOW))
+        found.append(hits.select(F.lit(name).alias("setting"), "path", "page", "name"))
+    return found[0].unionByName(found[1])
+
+
+def _round_trip_folder(spark):
+    return f"{checkpoint_dir(spark).rstrip('/')}/round-trips/{uuid.uuid4().hex}"
+
+
+def q_json_round_trip(spark, sf_dir):
+    """K1 + K3 + N10: all results written as JSON by suffix and read back."""
+    out = _round_trip_folder(spark) + "/results.json"
+    write_results(search_text(_pages(spark, sf_dir), _queries(spark, sf_dir), SearchParams()), out)
+    return spark.read.schema("file string, page int, name string, father string").json(out)
+
+
+def q_csv_round_trip(spark, sf_dir):
+    """K2 + K3 + P3: all box results written as CSV by suffix and read back as text; names padded by a blank."""
+    out = _round_trip_folder(spark) + "/results.csv"
+    found = search_boxes(_words(spark, sf_dir), _queries(spark, sf_dir), BOX_LINES)
+    write_results(found.withColumn("name", F.concat(F.lit(" "), "name", F.lit(" "))), out)
+    read = spark.read.option("header", "true").option("escape", '"').option("lineSep", "\r\n")
+    back = read.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(out)
+    return back.select([F.coalesce(c, F.lit("")).alias(c) for c in back.columns])
+
+
+def q_pages_scan(spark, sf_dir):
+    """S3: page texts written as a table and read back by the page source."""
+    out = _round_trip_folder(spark) + "/pages"
+    _pages(spark, sf_dir).select("path", "page", "text").write.parquet(out)
+    return read_pages(spark, out)
+
+
+def q_run_union(spark, sf_dir):
+    """U1 + P2: fresh text results and the stored rows of ledger hits as one bag."""
+    files, entries = _ledger_inputs(spark, sf_dir)
+    hits, _ = split_hits(files, entries)
+    fresh = search_text(_pages(spark, sf_dir), _queries(spark, sf_dir), SearchParams())
+    return fresh.unionByName(result_view(hits))
+
+
+def _new_ledger(spark, sf_dir):
+    """A ledger of its own folder with one run over the PDF documents: a result row for two files of three."""
+    ledger = Ledger(spark, _round_trip_folder(spark) + "/ledger", LEDGER_PARAMS)
+    nhash = names_hash(_queries(spark, sf_dir))
+    files = _files(spark, sf_dir).where(pdf_suffix("path"))
+    hashes = materialize(files.select("path", "doc_id", content_hash("content").alias("file_hash")))
+    rows = hashes.where("doc_id % 3 > 0").select(
+        "path", basename(F.col("path")).alias("file"), F.lit(1).alias("page"),
+        F.concat(F.lit("name "), F.col("doc_id").cast("string")).alias("name"), F.lit("guardian").alias("father"),
+    )
+    late = hashes.where("doc_id % 4 > 0")
+    ledger.append(late, rows, nhash, 1, LEDGER_NOW)
+    ledger.append(hashes.where("doc_id % 4 = 0"), rows, nhash, 1, LEDGER_NOW - datetime.timedelta(days=31))
+    return ledger, nhash, hashes
+
+
+def q_ledger_round_trip(spark, sf_dir):
+    """K4 + S5 + J3: entries appended to a ledger folder and looked up again; expired ones don't count."""
+    ledger, nhash, hashes = _new_ledger(spark, sf_dir)
+    hits, todo = ledger.lookup(hashes.select("path"), nhash, LEDGER_NOW, hashes.select("path", "file_hash"))
+    found = hits.select("path", "name", F.lit("hit").alias("kind"))
+    return found.unionByName(todo.select("path", F.lit(None).cast("string").alias("name"), F.lit("todo").alias("kind")))
+
+
+def q_ledger_upkeep(spark, sf_dir):
+    """K6 + K5 + A5: entry counts of a ledger before and after expiry, and after clearing; how many each removed."""
+    ledger, _, _ = _new_ledger(spark, sf_dir)
+    stats = lambda step: ledger.stats().select(F.lit(step).alias("step"), "total_entries", "ttl_days")
+    out = [materialize(stats("written"))]
+    removed = [0, ledger.clear_expired(LEDGER_NOW)]
+    out.append(materialize(stats("expired")))
+    removed.append(ledger.clear())
+    out.append(materialize(stats("cleared")))
+    rows = [o.withColumn("removed", F.lit(r).cast("long")) for o, r in zip(out, removed)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def _fuzzy_words(threshold, strategy):
+    def run(spark, sf_dir):
+        params = SearchParams(threshold=threshold, strategy=strategy)
+        found = fuzzy_join(rolls.document_words(spark, sf_dir), rolls.benchmark_names(spark, sf_dir), params)
+        return found.select("name", "query")
+
+    run.__doc__ = f"J1 over all long words of the documents and benchmark texts, threshold {threshold}, {strategy} strategy."
+    return run
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: text-mode search of the sf0.001 roll pages at threshold 82."""
     ship_package(spark)
@@ -335,9 +445,9 @@ def _queries_raw() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "extract_records_strict": q_extract_records_strict,
         "page_cap": q_page_cap,
         "fuzzy_search": _fuzzy(82, "auto"),
-        "fuzzy_search_t70": _fuzzy(70, "broadcast"),
-        "fuzzy_search_t100": _fuzzy(100, "broadcast"),
-        "fuzzy_search_t50": _fuzzy(50, "broadcast"),
+        "fuzzy_search_t70": _fuzzy(70, "auto"),
+        "fuzzy_search_t100": _fuzzy(100, "auto"),
+        "fuzzy_search_t50": _fuzzy(50, "auto"),
         "fuzzy_search_shuffled": _fuzzy(82, "shuffle"),
         "fuzzy_search_shuffled_t70": _fuzzy(70, "shuffle"),
         "fuzzy_search_detail": q_fuzzy_search_detail,
@@ -363,15 +473,34 @@ def _queries_raw() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ledger_keys": q_ledger_keys,
         "extract_records_all": q_extract_records_all,
         "report_view_text": q_report_view_text,
+        "truncated_files": q_truncated_files,
+        "truncated_lists": q_truncated_lists,
+        "ledger_param_change": q_ledger_param_change,
+        "ledger_round_trip": q_ledger_round_trip,
+        "ledger_upkeep": q_ledger_upkeep,
+        "json_round_trip": q_json_round_trip,
+        "csv_round_trip": q_csv_round_trip,
+        "pages_scan": q_pages_scan,
+        "run_union": q_run_union,
+        "fuzzy_words": _fuzzy_words(82, "auto"),
+        "fuzzy_words_shuffled": _fuzzy_words(82, "shuffle"),
     }
 
 
 # ---------------------------------------------------------------------------
 # DuckDB oracle
 # ---------------------------------------------------------------------------
-WS = "||".join(f"chr({ord(c)})" for c in PY_WHITESPACE)
+# Spelled out here, not taken from the engine: a wrong constant there must not stay unseen.
+NORMALIZE_DELETE = "\u0983\u0964\u09cd "
+WS_CODES = (
+    9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202,
+    8232, 8233, 8239, 8287, 12288,
+)
+WS_CLASS = "[" + "".join(f"\\x{{{c:x}}}" for c in WS_CODES) + "]"
+WS = "||".join(f"chr({c})" for c in WS_CODES)
 NPAT = f"(?m)নাম{WS_CLASS}*[:：]{WS_CLASS}*(.{{1,200}}?)(?:\\n|$)"
 NPAT_STRICT = f"(?m)^নাম{WS_CLASS}*[:：]{WS_CLASS}*(.{{1,200}}?)(?:\\n|$)"
+ANY_FIELD = f"(?m)(^নাম|পিতার নাম|স্বামীর নাম){WS_CLASS}*[:：]{WS_CLASS}*(.{{1,200}}?)(?:\\n|$)"
 GPAT = f"(?m)(পিতার নাম|স্বামীর নাম){WS_CLASS}*[:：]{WS_CLASS}*(.{{1,200}}?)(?:\\n|$)"
 
 
@@ -405,14 +534,14 @@ blocks AS (
 BLOCKS_SQL = _blocks_sql()
 
 
-def _records_sql(npat: str = NPAT, max_pages: int = 100) -> str:
+def _records_sql(npat: str = NPAT) -> str:
     return f"""
 recs0 AS (
   SELECT path, file, page, block_pos,
          regexp_extract(block, '{npat}', 1) AS n0,
          regexp_extract(block, '{GPAT}', 2) AS f0,
          regexp_extract(block, '{GPAT}', 1) AS relation
-  FROM blocks WHERE page <= {max_pages}),
+  FROM blocks),
 recs AS (
   SELECT path, file, page, block_pos, {_strip('n0')} AS name, {_strip('f0')} AS father, relation
   FROM recs0 WHERE n0 <> '' AND f0 <> '')
@@ -574,6 +703,7 @@ RESOLVED = (
     "lambda acc, seg: CASE WHEN seg = '..' THEN acc[1:len(acc) - 1] ELSE list_append(acc, seg) END, "
     "[]::VARCHAR[]), '/')"
 )
+NO_PDF = "CASE WHEN NOT starts_with(hex(content), '255044462D') THEN 'File is not a valid PDF: ' || path END"
 FILE_ERROR = (
     "CASE WHEN octet_length(content) / 1048576.0 > 0.02 "
     "THEN printf('PDF file too large: %.1fMB (max: 0.02MB)', octet_length(content) / 1048576.0) "
@@ -582,7 +712,7 @@ FILE_ERROR = (
 OCR_SQL = f"""
 chk AS (
   SELECT f.doc_id, f.path, {FILE_OF.replace('path', 'f.path')} AS file, f.content, d.text,
-         {FILE_ERROR.replace('path', 'f.path')} AS error
+         {NO_PDF.replace('path', 'f.path')} AS error
   FROM doc_files f JOIN documents d ON f.doc_id = d.doc_id WHERE {PDF_WHERE.replace('path', 'f.path')}),
 lns AS (
   SELECT path, file, l.i AS i, l.ln AS ln
@@ -597,10 +727,11 @@ ocr AS (
          CASE WHEN contains(text, '@') THEN 'page' END AS level,
          CASE WHEN contains(text, '@') THEN 'Error processing page ' || CAST(page AS VARCHAR)
               || ': page holds an e-mail address' END AS message
-  FROM pg WHERE page <= 3
+  FROM pg
   UNION ALL
   SELECT path, file, CAST(NULL AS INTEGER), NULL, 'file', file || ': ' || error FROM chk WHERE error IS NOT NULL),
 doc_pages AS (SELECT path, file, page, text FROM ocr WHERE level IS NULL),
+all_pages AS (SELECT * FROM doc_pages UNION ALL SELECT path, file, page, text FROM roll_pages),
 errs AS (SELECT path, file, page, level, message FROM ocr WHERE level IS NOT NULL)
 """
 NAME_FILES_SQL = """
@@ -618,13 +749,23 @@ kept_names AS (
 names AS (
   SELECT path, CAST(n.i AS INTEGER) AS query_pos, n.q AS query
   FROM kept_names, LATERAL (SELECT unnest(names) AS q, generate_subscripts(names, 1) AS i) n
-  WHERE n.i <= 300)
+  )
 """
-NH_SQL = "(SELECT substr(sha256(string_agg(query, '|' ORDER BY query)), 1, 16) FROM roll_queries)"
+# names hash: count and the sums of the eight 32-bit words of every name's digest
+_NH_SUMS = " || '|' || ".join(f"CAST(sum(('0x' || substr(sha256(query), {8 * i + 1}, 8))::BIGINT) AS VARCHAR)" for i in range(8))
+NH_SQL = f"(SELECT substr(sha256(CAST(count(*) AS VARCHAR) || '|' || {_NH_SUMS}), 1, 16) FROM roll_queries)"
+
+
+def _settings_sql(threshold: int = 82, pages: str = "none") -> str:
+    """Digest of the result-changing parameters, spelled out."""
+    return (
+        f"substr(sha256('threshold={threshold}|box_level=false|min_confidence=60|max_pdf_size_mb=50|max_pdf_pages={pages}"
+        "|word_match_threshold=70|layout=flat|strict_labels=false|all_records=false'), 1, 16)"
+    )
 LEDGER_SQL = f"""
 le0 AS (
   SELECT doc_id, sha256(content) AS file_hash, {NH_SQL} AS names_hash,
-         CASE WHEN doc_id % 3 = 0 THEN 90 ELSE 82 END AS threshold, false AS box_level, 60.0 AS min_confidence,
+         CASE WHEN doc_id % 3 = 0 THEN 90 ELSE 82 END AS threshold, CASE WHEN doc_id % 13 = 0 THEN {_settings_sql(pages='5')} ELSE {_settings_sql()} END AS settings,
          CASE WHEN doc_id % 11 = 0 THEN '0.9' ELSE '1.0' END AS version,
          TIMESTAMP '{rolls.LEDGER_NOW}' - to_days(CAST(doc_id % 45 AS INTEGER)) AS ts, path AS pdf_path,
          CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS n_results, 1 AS res_page
@@ -632,20 +773,28 @@ le0 AS (
 ledger AS (
   SELECT * FROM le0
   UNION ALL
-  SELECT doc_id, file_hash, names_hash, threshold, box_level, min_confidence, version,
+  SELECT doc_id, file_hash, names_hash, threshold, settings, version,
          ts - INTERVAL 1 DAY, pdf_path, n_results, 2 FROM le0 WHERE doc_id % 7 = 0),
 valid AS (
   SELECT * FROM ledger
-  WHERE names_hash = {NH_SQL} AND threshold = 82 AND NOT box_level AND min_confidence = 60.0
+  WHERE names_hash = {NH_SQL} AND threshold = 82 AND settings = {_settings_sql()}
     AND version = '1.0' AND ts >= TIMESTAMP '{rolls.LEDGER_NOW}' - INTERVAL 30 DAY),
 newest AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY file_hash, names_hash, threshold, box_level, min_confidence, version
+    SELECT *, row_number() OVER (PARTITION BY file_hash, names_hash, threshold, settings, version
                                  ORDER BY ts DESC, pdf_path DESC) AS rn FROM valid) WHERE rn = 1),
 pdfs AS (SELECT path, sha256(content) AS file_hash FROM doc_files WHERE {PDF_WHERE})
 """
 
 
+# One token on either side: the score is 200 * common / (sum of lengths); lengths that cannot reach 82 are left out first.
+WORDS_SQL = _with(rolls.WORD_NAMES_SQL) + f"""
+, near AS (
+  SELECT name, query FROM word_names, word_queries WHERE 200 * least(length(name), length(query)) >= 82 * (length(name) + length(query)))
+SELECT name, query FROM near WHERE 200 * {_lcs('name', 'query')} >= 82 * (length(name) + length(query))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return _oracle_raw() | (llm_queries.oracle_sql() if llm_queries else {})
 
@@ -653,7 +802,7 @@ def oracle_sql() -> dict[str, str]:
 def _oracle_raw() -> dict[str, str]:
     pages = rolls.ROLL_PAGES_SQL
     files = rolls.DOC_FILES_SQL
-    ocr = _with(files, OCR_SQL)
+    ocr = _with(files, rolls.ROLL_PAGES_SQL, OCR_SQL)
     words = _with(pages, rolls.ROLL_WORDS_SQL, KEPT_SQL)
     return {
         "path_filter": _with(files, f"np AS (SELECT path, {RESOLVED} AS resolved FROM doc_files)")
@@ -664,17 +813,73 @@ def _oracle_raw() -> dict[str, str]:
         f"octet_length(content) / 1048576.0 AS size_mb, {FILE_ERROR} AS error "
         f"FROM doc_files WHERE {PDF_WHERE}",
         "ledger_keys": _with(files, rolls.ROLL_QUERIES_SQL)
-        + f"SELECT path, sha256(content) || '_' || {NH_SQL} || '_82_text_60' AS ledger_key "
+        + f"SELECT path, sha256(content) || '_' || {NH_SQL} || '_82_' || {_settings_sql()} AS ledger_key "
         f"FROM doc_files WHERE {PDF_WHERE}",
         "extract_records_all": _with(pages, BLOCKS_SQL)
-        + f"""SELECT path, file, page, block_pos, CAST(r.i - 1 AS INTEGER) AS record_pos,
-  {_strip('r.n')} AS name, {_strip('r.f')} AS father, r.rel AS relation
-FROM blocks, LATERAL (
-  SELECT unnest(ns) AS n, unnest(fs) AS f, unnest(rs) AS rel, generate_subscripts(ns, 1) AS i
-  FROM (SELECT regexp_extract_all(block, '{NPAT_STRICT}', 1) AS ns,
-               regexp_extract_all(block, '{GPAT}', 2) AS fs,
-               regexp_extract_all(block, '{GPAT}', 1) AS rs)) r
-WHERE r.n IS NOT NULL AND r.f IS NOT NULL""",
+        + f"""
+, fields AS (
+  SELECT path, file, page, block_pos, f.i, f.label, f.value
+  FROM blocks, LATERAL (
+    SELECT unnest(ls) AS label, unnest(vs) AS value, generate_subscripts(ls, 1) AS i
+    FROM (SELECT regexp_extract_all(block, '{ANY_FIELD}', 1) AS ls, regexp_extract_all(block, '{ANY_FIELD}', 2) AS vs)) f),
+around AS (
+  SELECT *, lead(label) OVER w AS next_label, lead(value) OVER w AS next_value,
+         first_value(label) OVER w AS first_label, first_value(value) OVER w AS first_value,
+         count(*) FILTER (WHERE label = 'নাম') OVER (PARTITION BY path, page, block_pos ORDER BY i
+                                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nth
+  FROM fields WINDOW w AS (PARTITION BY path, page, block_pos ORDER BY i)),
+paired AS (
+  SELECT path, file, page, block_pos, CAST(nth - 1 AS INTEGER) AS record_pos, value,
+         CASE WHEN next_label <> 'নাম' THEN next_label WHEN nth = 1 AND first_label <> 'নাম' THEN first_label END AS relation,
+         CASE WHEN next_label <> 'নাম' THEN next_value WHEN nth = 1 AND first_label <> 'নাম' THEN first_value END AS g
+  FROM around WHERE label = 'নাম')
+SELECT path, file, page, block_pos, record_pos, {_strip('value')} AS name, {_strip('g')} AS father, relation
+FROM paired WHERE relation IS NOT NULL""",
+        "truncated_files": _with(pages)
+        + "SELECT path, CAST(NULL AS INTEGER) AS page, 'warning' AS level, "
+        "'searched the first 3 of ' || CAST(max(page) AS VARCHAR) || ' pages' AS message FROM roll_pages GROUP BY path HAVING max(page) > 3",
+        "truncated_lists": _with(NAMES_SQL)
+        + "SELECT path, CAST(NULL AS INTEGER) AS page, 'warning' AS level, "
+        "'searched the first 300 of ' || CAST(count(*) AS VARCHAR) || ' names' AS message FROM names GROUP BY path HAVING count(*) > 300",
+        "ledger_param_change": _with(files, rolls.ROLL_QUERIES_SQL, LEDGER_SQL)
+        + f"""
+, by_setting AS (
+  SELECT *, row_number() OVER (PARTITION BY file_hash, settings ORDER BY ts DESC, pdf_path DESC) AS rn FROM ledger
+  WHERE threshold = 82 AND version = '1.0' AND ts >= TIMESTAMP '{rolls.LEDGER_NOW}' - INTERVAL 30 DAY)
+SELECT CASE WHEN settings = {_settings_sql()} THEN 'all pages' ELSE 'first 5' END AS setting,
+  p.path, b.res_page AS page, 'name ' || CAST(b.doc_id AS VARCHAR) AS name
+FROM by_setting b JOIN pdfs p ON p.file_hash = b.file_hash WHERE rn = 1 AND n_results > 0""",
+        "ledger_round_trip": _with(files)
+        + f"""
+, p AS (SELECT path, doc_id, sha256(content) AS h FROM doc_files WHERE {PDF_WHERE}),
+e AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY path DESC) AS rn FROM p WHERE doc_id % 4 > 0)
+SELECT p.path, 'name ' || CAST(e.doc_id AS VARCHAR) AS name, 'hit' AS kind
+FROM p JOIN e ON p.h = e.h AND e.rn = 1 WHERE e.doc_id % 3 > 0
+UNION ALL
+SELECT p.path, NULL, 'todo' FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.h = p.h)""",
+        "ledger_upkeep": _with(files)
+        + f"""
+, p AS (SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 4 > 0) AS young FROM doc_files WHERE {PDF_WHERE})
+SELECT 'written' AS step, n AS total_entries, 30 AS ttl_days, CAST(0 AS BIGINT) AS removed FROM p
+UNION ALL SELECT 'expired', young, 30, n - young FROM p
+UNION ALL SELECT 'cleared', CAST(0 AS BIGINT), 30, young FROM p""",
+        "json_round_trip": _fuzzy_sql(82),
+        "csv_round_trip": _box_sql(
+            "lines",
+            "SELECT file, CAST(page AS VARCHAR) AS page, ' ' || name || ' ' AS name, father, "
+            + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in ("bbox_left", "bbox_top", "bbox_width", "bbox_height"))
+            + ", CASE WHEN confidence IS NULL THEN '' ELSE printf('%.2f', confidence) END AS confidence FROM results",
+        ),
+        "pages_scan": _with(pages) + "SELECT path, file, page, text FROM roll_pages",
+        "run_union": _with(rolls.ROLL_PAGES_SQL, rolls.ROLL_QUERIES_SQL, BLOCKS_SQL, _records_sql(), _pairs_sql(82), files, LEDGER_SQL)
+        + f"""
+SELECT r.file, r.page, r.name, r.father FROM recs r JOIN pairs p ON {_norm('r.name')} = p.a
+JOIN roll_queries q ON {_norm('q.query')} = p.b WHERE r.name <> '' AND q.query <> ''
+UNION ALL
+SELECT {FILE_OF.replace('path', 'f.path')}, n.res_page, 'name ' || CAST(n.doc_id AS VARCHAR), 'guardian'
+FROM pdfs f JOIN newest n ON f.file_hash = n.file_hash WHERE n.n_results > 0""",
+        "fuzzy_words": WORDS_SQL,
+        "fuzzy_words_shuffled": WORDS_SQL,
         "report_view_text": _with(rolls.ROLL_PAGES_SQL, rolls.ROLL_QUERIES_SQL, BLOCKS_SQL, _records_sql(), _pairs_sql(82))
         + f"""SELECT r.file AS "File", CAST(r.page AS VARCHAR) AS "Page", r.name AS "Name", r.father AS "Father / Guardian"
 FROM recs r JOIN pairs p ON {_norm('r.name')} = p.a
@@ -683,19 +888,22 @@ WHERE r.name <> '' AND q.query <> ''""",
         "content_hash": _with(files) + "SELECT path, sha256(content) AS file_hash FROM doc_files",
         "ocr_pages": ocr + "SELECT path, page, text, level, message FROM ocr",
         "run_stats": _with(
-            files, OCR_SQL, rolls.ROLL_QUERIES_SQL, _blocks_sql("doc_pages"), _records_sql(), _pairs_sql(82),
+            files, rolls.ROLL_PAGES_SQL, OCR_SQL, rolls.ROLL_QUERIES_SQL, _blocks_sql("all_pages"), _records_sql(), _pairs_sql(82),
             """matches AS (
   SELECT r.file FROM recs r JOIN pairs p ON """ + _norm("r.name") + """ = p.a
   JOIN roll_queries q ON """ + _norm("q.query") + """ = p.b WHERE r.name <> '' AND q.query <> '')""",
         )
         + f"""SELECT
-  (SELECT count(*) FROM chk WHERE error IS NULL) AS files_processed,
+  (SELECT count(*) FROM chk WHERE error IS NULL) + (SELECT count(DISTINCT path) FROM roll_pages) AS files_processed,
   (SELECT count(*) FROM chk WHERE error IS NOT NULL) AS files_failed,
-  (SELECT count(*) FROM doc_pages) AS pages_processed,
+  (SELECT count(*) FROM all_pages) AS pages_processed,
   (SELECT count(*) FROM matches) AS matches_found,
-  (SELECT count(*) FROM errs) AS error_count""",
+  (SELECT count(*) FROM errs) AS error_count,
+  (SELECT list(m ORDER BY path, page NULLS FIRST, m) FROM (
+     SELECT path, page, CASE WHEN level = 'page' THEN file || ': ' || message ELSE message END AS m
+     FROM errs ORDER BY path, page NULLS FIRST, m LIMIT 10)) AS errors""",
         "error_summary": _with(
-            files, OCR_SQL,
+            files, rolls.ROLL_PAGES_SQL, OCR_SQL,
             "msgs AS (SELECT path, page, CASE WHEN level = 'page' THEN file || ': ' || message ELSE message END AS message FROM errs)",
             "top AS (SELECT * FROM msgs ORDER BY path, page NULLS FIRST, message LIMIT 10)",
             "cnt AS (SELECT count(*) AS n FROM msgs)",
@@ -703,7 +911,7 @@ WHERE r.name <> '' AND q.query <> ''""",
         + """SELECT n AS error_count,
   (SELECT list(message ORDER BY path, page NULLS FIRST, message) FROM top) AS first_errors,
   CASE WHEN n > 10 THEN '... and ' || CAST(n - 10 AS VARCHAR) || ' more' END AS more FROM cnt""",
-        "query_list": _with(NAMES_SQL) + "SELECT path, query_pos, query FROM names",
+        "query_list": _with(NAMES_SQL) + "SELECT path, query_pos, query FROM names WHERE query_pos <= 300",
         "names_hash": _with(NAMES_SQL)
         + "SELECT path, substr(sha256(string_agg(query, '|' ORDER BY query)), 1, 16) AS names_hash FROM names GROUP BY path",
         "ledger_hits": _with(files, rolls.ROLL_QUERIES_SQL, LEDGER_SQL)

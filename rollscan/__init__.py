@@ -18,7 +18,7 @@ Main entry points (all take and return DataFrames):
 * ``run_stats`` / ``error_summary``      run statistics
 """
 
-from rollscan.functions.similarity import fuzzy_match_py, token_set_ratio  # noqa: F401
+from rollscan.functions.similarity import token_set_ratio  # noqa: F401
 from rollscan.functions.text import normalize_bn  # noqa: F401
 from rollscan.operators.boxes import locate_records, page_texts  # noqa: F401
 from rollscan.operators.extract import extract_records, split_blocks  # noqa: F401

@@ -12,7 +12,7 @@ import argparse
 import importlib
 import sys
 
-from rollscan.params import DEFAULT_THRESHOLD, SearchParams
+from rollscan.params import DEFAULT_MIN_CONFIDENCE, DEFAULT_THRESHOLD, SearchParams
 
 
 def _page_fn(spec: str):
@@ -36,7 +36,9 @@ def build_parser() -> argparse.ArgumentParser:
     s.add_argument("--ledger", help="result ledger folder (skip files already searched)")
     s.add_argument("--clear-ledger", action="store_true", help="clear the ledger first")
     s.add_argument("--box-level", action="store_true", help="word boxes and confidence (box mode)")
-    s.add_argument("--min-confidence", type=float, default=60.0, help="OCR word confidence floor 0..100")
+    s.add_argument("--min-confidence", type=float, default=DEFAULT_MIN_CONFIDENCE, help="OCR word confidence floor 0..100")
+    s.add_argument("--max-pages", type=int, help="search only the first pages of each file (reported)")
+    s.add_argument("--max-names", type=int, help="search only the first names of the list (reported)")
     s.add_argument("--layout", default="flat", choices=["flat", "lines"], help="box-mode page layout")
     return p
 
@@ -48,7 +50,19 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         box_level=args.box_level,
         min_confidence=args.min_confidence,
         layout=args.layout,
+        max_pdf_pages=args.max_pages,
+        max_search_names=args.max_names,
     )
+    if args.pages:
+        # a table of page texts has no words, files or ledger entries
+        unfit = [o for o, v in (
+            ("--box-level", args.box_level), ("--ledger", args.ledger), ("--clear-ledger", args.clear_ledger),
+            ("--page-fn", args.page_fn), ("--min-confidence", args.min_confidence != DEFAULT_MIN_CONFIDENCE),
+            ("--layout", args.layout != "flat"), ("a PDF folder", args.directory),
+        ) if v]
+        if unfit:
+            print(f"--pages cannot be used with {', '.join(unfit)}", file=sys.stderr)
+            return 2
     if args.output:
         from rollscan.sinks.results import resolve_format
 
@@ -62,10 +76,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
     names = load_names(spark, args.names_file, params)
     if args.pages:
+        from rollscan.operators.filters import truncated_files
         from rollscan.plans.search import search_text
         from rollscan.sinks.results import write_results
         from rollscan.sources.pages import read_pages
 
+        if params.max_pdf_pages is not None:
+            truncated_files(read_pages(spark, args.pages), params.max_pdf_pages).show(20, truncate=False)
         results = search_text(read_pages(spark, args.pages, params=params), names, params)
         if args.output:
             write_results(results, args.output, args.format)
@@ -85,6 +102,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     report_view(out.results.orderBy("file", "page")).show(20, truncate=False)
     out.stats.show(truncate=False)
     out.error_summary.show(truncate=False)
+    if params.max_pdf_pages is not None:
+        out.warnings.show(20, truncate=False)
+    out.drop()
     return 0
 
 

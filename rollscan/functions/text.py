@@ -113,6 +113,13 @@ def guardian_pattern() -> str:
     )
 
 
+def field_pattern() -> str:
+    """Java pattern of any field, in text order: group 1 = label (a name label at a line start, or
+    a guardian label), group 2 = value."""
+    labels = "|".join((f"^{NAME_LABEL}", *GUARDIAN_LABELS))
+    return f"(?dm)({labels}){WS_CLASS}*[{LABEL_COLONS}]{WS_CLASS}*(.{{1,{MAX_FIELD_CHARS}}}?)(?:\\n|$)"
+
+
 @_reuse_for_names
 def basename(c) -> Column:
     """Last path segment (the reference's result ``file``)."""

@@ -177,8 +177,11 @@ def best_words(
     t = int(threshold)
     tk = tokens.select("*", normalize_bn("token").alias("_t"))
     uniq = tk.select("path", "page", "_t").distinct()
+    lo, hi = length_window(F.length("_t"), max(t, 1))
     if broadcast_tokens is None:
-        broadcast_tokens = uniq.count() <= BROADCAST_MAX_TOKEN_ROWS
+        # the largest table that is broadcast: one row per token and word length that can reach the threshold
+        per_token = F.greatest(hi - lo + 1, F.lit(1)) if t > 0 else F.lit(1)
+        broadcast_tokens = (uniq.agg(F.sum(per_token.cast("long"))).first()[0] or 0) <= BROADCAST_MAX_TOKEN_ROWS
     side = F.broadcast if broadcast_tokens else (lambda d: d)
     wk = _word_rows(words)
 
@@ -194,17 +197,13 @@ def best_words(
     if t > 0:
         lo, hi = length_window(F.col("_tl"), t)
         lengths = F.when(F.col("_tl") == 0, F.array(F.lit(0))).otherwise(F.sequence(lo, hi))
-    else:
-        lengths = F.sequence(F.lit(0), F.lit(1 << 12))
-    rest = rest.select("*", F.explode(lengths).alias("_wl"))
+        rest = rest.select("*", F.explode(lengths).alias("_wl"))
     wl = wk.select("*", F.length("_w").alias("_wlen"))
     budget = indel_budget(F.col("_tl"), F.col("_wlen"), t)
-    cond = (
-        (F.col("_wpath") == F.col("path"))
-        & (F.col("_wpage") == F.col("page"))
-        & (F.col("_wlen") == F.col("_wl"))
-        & levenshtein_within(F.col("_t"), F.col("_w"), budget)
-    )
+    cond = (F.col("_wpath") == F.col("path")) & (F.col("_wpage") == F.col("page"))
+    if t > 0:
+        cond &= (F.col("_wlen") == F.col("_wl")) & levenshtein_within(F.col("_t"), F.col("_w"), budget)
+    # at threshold 0 every word of the page qualifies, whatever its length
     cand = wl.join(side(rest), cond, "inner")
     scored = cand.select("*", lcs_udf(F.col("_t"), F.col("_w")).alias("_lcs"))
     scored = scored.where(ratio_at_least(F.col("_lcs"), F.col("_tl"), F.col("_wlen"), t)).select(

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollscan.functions.text import guardian_pattern, name_pattern, py_strip
+from rollscan.functions.text import NAME_LABEL, field_pattern, guardian_pattern, name_pattern, py_strip
 from rollscan.params import SearchParams
 
 # Fixed value: record blocks are separated by exactly one blank line.
@@ -63,13 +63,15 @@ def extract_records(
     A record exists only when both labels match in the block (tested before
     stripping, so a captured blank still counts).  Output: the page's key
     columns, ``block_pos``, ``name``, ``father`` and ``relation`` (which
-    guardian label matched).  With ``all_records`` the k-th name of a block
-    pairs with its k-th guardian field instead of keeping only the first;
-    name labels are then anchored to line starts (otherwise every guardian
-    line would also count as a name line and shift the pairing).
+    guardian label matched).  With ``all_records`` every name of a block pairs
+    with the guardian field that follows it before the next name; the first
+    name may also take the guardian field that opens the block, if none
+    follows it.  A name without one gives no record.  Name labels are then
+    anchored to line starts (a guardian label ends with the name label), and
+    ``record_pos`` is the name's number in the block.
     """
     params = params or SearchParams()
-    npat = name_pattern(params.strict_labels or params.all_records)
+    npat = name_pattern(params.strict_labels)
     gpat = guardian_pattern()
     if not params.all_records:
         keep = [c for c in pages.columns if c != text_col]
@@ -77,20 +79,21 @@ def extract_records(
         return pages.select(*keep, found).select(*keep, *finish)
     blocks = split_blocks(pages, text_col)
     keep = [c for c in blocks.columns if c != "block"]
-    zipped = blocks.select(
-        *keep,
-        F.posexplode(
-            F.arrays_zip(
-                F.regexp_extract_all("block", F.lit(npat), 1).alias("n"),
-                F.regexp_extract_all("block", F.lit(gpat), 2).alias("f"),
-                F.regexp_extract_all("block", F.lit(gpat), 1).alias("r"),
-            )
-        ).alias("record_pos", "rec"),
-    ).where(F.col("rec.n").isNotNull() & F.col("rec.f").isNotNull())
-    return zipped.select(
+    field = F.lit(field_pattern())
+    found = F.arrays_zip(
+        F.regexp_extract_all("block", field, F.lit(1)).alias("label"), F.regexp_extract_all("block", field, F.lit(2)).alias("value")
+    )
+    fields = blocks.select(*keep, found.alias("fields")).select(*keep, "fields", F.posexplode("fields").alias("at", "name"))
+    is_name = F.col("name.label") == NAME_LABEL
+    after = F.get("fields", F.col("at") + 1)
+    first = F.get("fields", F.lit(0))
+    earlier = F.filter(F.slice("fields", F.lit(1), F.col("at")), lambda f: f["label"] == NAME_LABEL)
+    guardian = F.when(after["label"] != NAME_LABEL, after).when((F.size(earlier) == 0) & (F.col("at") > 0), first)
+    paired = fields.where(is_name).select(*keep, F.size(earlier).alias("record_pos"), F.col("name.value").alias("n"), guardian.alias("g"))
+    return paired.where(F.col("g").isNotNull()).select(
         *keep,
         "record_pos",
-        py_strip("rec.n").alias("name"),
-        py_strip("rec.f").alias("father"),
-        F.col("rec.r").alias("relation"),
+        py_strip("n").alias("name"),
+        py_strip("g.value").alias("father"),
+        F.col("g.label").alias("relation"),
     )

@@ -37,9 +37,21 @@ def within_base(path_col: str, base: str) -> Column:
     return (p == b) | p.startswith(F.concat(F.when(b == "/", F.lit("")).otherwise(b), F.lit("/")))
 
 
-def cap_pages(pages: DataFrame, max_pages: int, page_col: str = "page") -> DataFrame:
-    """Keep pages 1..max_pages (pushed to the scan as a range filter)."""
-    return pages.where(F.col(page_col) <= F.lit(int(max_pages)))
+def cap_pages(pages: DataFrame, max_pages: int | None, page_col: str = "page") -> DataFrame:
+    """Keep pages 1..max_pages (pushed to the scan as a range filter); ``None``: all pages."""
+    return pages if max_pages is None else pages.where(F.col(page_col) <= F.lit(int(max_pages)))
+
+
+def truncated_files(pages: DataFrame, max_pages: int | None) -> DataFrame:
+    """F5's report: one ``warning`` row in the errors schema for every file with pages beyond the cap."""
+    last = pages.groupBy("path").agg(F.max("page").alias("last"))
+    cut = last.where(F.lit(False) if max_pages is None else F.col("last") > F.lit(int(max_pages)))
+    return cut.select(
+        "path",
+        F.lit(None).cast("int").alias("page"),
+        F.lit("warning").alias("level"),
+        F.format_string("searched the first %d of %d pages", F.lit(int(max_pages or 0)), F.col("last")).alias("message"),
+    )
 
 
 def filter_words(words: DataFrame, min_confidence: float) -> DataFrame:

@@ -57,7 +57,7 @@ from rollscan.functions.similarity import (
 )
 from rollscan.functions.text import MAX_FIELD_CHARS, has_inner_whitespace, normalize_bn, py_split
 from rollscan.params import SearchParams
-from rollscan.session import materialize
+from rollscan.session import materialize, ship_package
 
 # Below this threshold the length window of a query grows past the longest
 # name, so it is capped at the longest name present (one small aggregate).
@@ -68,6 +68,7 @@ _MAX_UNFORCED_THRESHOLD = 66
 # Matching (name, query) pair tables up to this many rows are broadcast to the
 # records (counted after they are written once); larger ones shuffle.
 BROADCAST_MAX_PAIRS = 1_000_000
+BROADCAST_MAX_PAIR_BYTES = 64 * 1024 * 1024
 
 _KEY = "struct<kind:string,len:int,tok:string,cnt:bigint,occ:int>"
 _ELEM = "struct<cnt:bigint,g:string,k:int>"
@@ -93,16 +94,18 @@ def _elem_key(length: Column, e: Column) -> Column:
     return _key("P", length, e["g"], e["cnt"], e["k"])
 
 
-def _indexed_bigrams(c: Column) -> Column:
-    """Bigram occurrences ``(g, k)``: the k-th occurrence of bigram g (multiset as a set)."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, 2))
-    grams = F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(grams)
-    return F.transform(
-        grams,
-        lambda g, i: F.struct(
-            g.alias("g"), F.size(F.filter(F.slice(grams, 1, i + 1), lambda x: x == g)).cast("int").alias("k")
-        ),
-    )
+def _indexed_bigrams(df: DataFrame, p: str) -> DataFrame:
+    """Bigram occurrences ``(g, k)`` of each string: the k-th occurrence of bigram g (a
+    multiset as a set); a string shorter than a bigram keeps one row with null ``g``.
+
+    Bigrams are counted per string and the counts numbered, so the work is
+    linear in the length of the strings.
+    """
+    c = F.col(p + "_k")
+    starts = F.when(F.length(c) >= 2, F.sequence(F.lit(1), F.length(c) - 1))
+    grams = df.select(p, F.explode_outer(F.transform(starts, lambda i: F.substring(c, i, F.lit(2)))).alias("g"))
+    counted = grams.groupBy(p, "g").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return counted.select(p, "g", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
 
 
 def _required_common(total: Column, t: int) -> Column:
@@ -122,16 +125,12 @@ def _sorted_elements(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     string forms are functions of the string, so they are recomputed after
     the regrouping instead of joined back.
     """
-    ea = a.select(F.explode(_indexed_bigrams(F.col("_a_k"))).alias("e"))
-    eb = b.select(F.explode(_indexed_bigrams(F.col("_b_k"))).alias("e"))
-    freq = ea.unionByName(eb).groupBy(F.col("e.g").alias("g"), F.col("e.k").alias("k")).agg(
-        F.count(F.lit(1)).alias("cnt")
-    )
+    ea, eb = _indexed_bigrams(a, "_a"), _indexed_bigrams(b, "_b")
+    held = ea.select("g", "k").unionByName(eb.select("g", "k")).where(F.col("g").isNotNull())
+    freq = held.groupBy("g", "k").agg(F.count(F.lit(1)).alias("cnt"))
 
     def attach(df: DataFrame, p: str) -> DataFrame:
-        rows = df.select(p, F.explode_outer(_indexed_bigrams(F.col(p + "_k"))).alias("e"))
-        rows = rows.select(p, F.col("e.g").alias("g"), F.col("e.k").alias("k"))
-        rows = rows.join(freq, ["g", "k"], "left")
+        rows = (ea if p == "_a" else eb).join(freq, ["g", "k"], "left")
         elem = F.when(F.col("g").isNotNull(), F.struct("cnt", "g", "k"))
         grouped = rows.groupBy(p).agg(
             F.array_sort(F.collect_list(elem)).cast(f"array<{_ELEM}>").alias(p + "_s")
@@ -320,14 +319,22 @@ def _drop_work(df: DataFrame) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Round-robin the (CPU-heavy) distinct strings over one partition per core.
+    """Deal the (CPU-heavy) distinct strings over the shuffle partitions.
 
     AQE coalesces small shuffle outputs into very few partitions by byte
     size; candidate scoring costs CPU per row, not per byte, so the distinct
-    names are spread again (a shuffle of distinct strings only) over the
-    cluster's cores — more partitions than cores would only add task overhead.
+    names (after a map-side combine, so a frequent name is one row per task)
+    are spread again over as many partitions as shuffles are set to have.
     """
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1))
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _small_enough(pairs: DataFrame) -> bool:
+    """Size check of the pair table by rows and by bytes of its strings."""
+    row = pairs.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("_a") + F.octet_length("_b") + 64), F.lit(0)).alias("b")
+    ).first()
+    return row["n"] <= BROADCAST_MAX_PAIRS and row["b"] <= BROADCAST_MAX_PAIR_BYTES
 
 
 def match_pairs(
@@ -398,6 +405,7 @@ def fuzzy_join(
     """
     params = params or SearchParams()
     t = int(params.threshold)
+    ship_package(records.sparkSession)
     queries = _rename_collisions(queries, records.columns, query_col)
     # Longest name, only needed below threshold 10: measured in batches; in the
     # stream form the extractor's field cap bounds it.
@@ -421,7 +429,7 @@ def fuzzy_join(
     # broadcast to the records when small, so records never shuffle; otherwise
     # a shuffle join, where AQE splits skewed names.
     pairs = materialize(pairs)
-    if pairs.count() <= BROADCAST_MAX_PAIRS:
+    if _small_enough(pairs):
         pairs = F.broadcast(pairs)
     rec = records.where(F.col(name_col) != "").select("*", normalize_bn(name_col).alias("_a"))
     qs = queries.where(F.col(query_col) != "").select("*", normalize_bn(query_col).alias("_b"))

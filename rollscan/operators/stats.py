@@ -28,7 +28,10 @@ def error_messages(errors: DataFrame) -> DataFrame:
 
 
 def run_stats(files: DataFrame, errors: DataFrame, pages: DataFrame, matches: DataFrame) -> DataFrame:
-    """A1 + A6: one row ``files_processed, files_failed, pages_processed, matches_found, error_count``.
+    """A1 + A6: one row ``files_processed, files_failed, pages_processed, matches_found, error_count, errors``.
+
+    ``errors`` holds the first ten error messages in (path, page) order; the
+    errors table holds all of them.
 
     ``files``: one row per discovered file (``path``); ``errors``: E1 table;
     ``pages``: pages searched in this run; ``matches``: result rows.  Every
@@ -39,11 +42,15 @@ def run_stats(files: DataFrame, errors: DataFrame, pages: DataFrame, matches: Da
     outcome = files.select("path").distinct().join(
         failed_files.withColumn("_failed", F.lit(True)), "path", "left"
     )
+    first = error_messages(errors).orderBy("path", F.col("page").asc_nulls_first(), "message").limit(ERROR_PREVIEW)
+    first = first.select(F.lit("message").alias("kind"), F.struct("path", F.col("page").cast("int").alias("page"), "message").alias("e"))
     kinds = (
         outcome.select(F.when(F.col("_failed"), "failed").otherwise("processed").alias("kind"))
         .unionByName(pages.select(F.lit("page").alias("kind")))
         .unionByName(matches.select(F.lit("match").alias("kind")))
         .unionByName(errors.select(F.lit("error").alias("kind")))
+        .withColumn("e", F.lit(None).cast("struct<path:string,page:int,message:string>"))
+        .unionByName(first)
     )
     return kinds.agg(
         F.count_if(F.col("kind") == "processed").alias("files_processed"),
@@ -51,6 +58,7 @@ def run_stats(files: DataFrame, errors: DataFrame, pages: DataFrame, matches: Da
         F.count_if(F.col("kind") == "page").alias("pages_processed"),
         F.count_if(F.col("kind") == "match").alias("matches_found"),
         F.count_if(F.col("kind") == "error").alias("error_count"),
+        F.transform(F.array_sort(F.collect_list("e")), lambda e: e["message"]).alias("errors"),
     )
 
 

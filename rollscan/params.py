@@ -6,6 +6,7 @@ a job builds one ``SearchParams`` on the driver and passes it down.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, replace
 
 
@@ -20,6 +21,12 @@ WORD_MATCH_THRESHOLD = 70
 LEDGER_TTL_DAYS = 30
 LEDGER_VERSION = "1.0"
 
+# Parameters that change result rows: a ledger entry is valid for one setting of all of them.
+RESULT_PARAMS = (
+    "threshold", "box_level", "min_confidence", "max_pdf_size_mb", "max_pdf_pages",
+    "word_match_threshold", "layout", "strict_labels", "all_records",
+)
+
 
 @dataclass(frozen=True)
 class SearchParams:
@@ -27,9 +34,10 @@ class SearchParams:
     box_level: bool = False
     min_confidence: float = DEFAULT_MIN_CONFIDENCE
     max_pdf_size_mb: float = MAX_PDF_SIZE_MB
-    max_pdf_pages: int = MAX_PDF_PAGES
+    # None: no cap.  A cap is reported for every file that it truncates.
+    max_pdf_pages: int | None = None
     max_names_file_size_mb: float = MAX_NAMES_FILE_SIZE_MB
-    max_search_names: int = MAX_SEARCH_NAMES
+    max_search_names: int | None = None
     word_match_threshold: int = WORD_MATCH_THRESHOLD
     ttl_days: int = LEDGER_TTL_DAYS
     ledger_version: str = LEDGER_VERSION
@@ -68,8 +76,17 @@ class SearchParams:
         if self.strategy not in ("auto", "broadcast", "shuffle"):
             raise ValueError(f"strategy must be auto, broadcast or shuffle, got {self.strategy!r}")
         for name in ("max_pdf_size_mb", "max_pdf_pages", "max_search_names", "ttl_days"):
-            if float(getattr(self, name)) < 0:
+            if getattr(self, name) is not None and float(getattr(self, name)) < 0:
                 raise ValueError(f"{name} must not be negative")
 
+    def settings(self) -> str:
+        """Digest of every parameter that changes result rows (16 hex digits)."""
+
+        def text(v) -> str:
+            return str(v).lower() if v is None or isinstance(v, bool) else f"{v:g}" if isinstance(v, (int, float)) else str(v)
+
+        named = "|".join(f"{k}={text(getattr(self, k))}" for k in RESULT_PARAMS)
+        return hashlib.sha256(named.encode()).hexdigest()[:16]
+
     def with_(self, **changes) -> "SearchParams":
         return replace(self, **changes)

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollscan.params import SearchParams
+
 NL = "\n"
 KEYS_PER_FILE = 1000
 KEYS_PER_PAGE = 200
@@ -268,6 +270,41 @@ def text_page_fn(path: str, content: bytes):
         yield PageError("page holds an e-mail address") if "@" in page else page
 
 
+def roll_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``binaryFile``-shaped rows of the rolls: a PDF header line, then the pages of a roll, form feeds between."""
+    pages = roll_pages(spark, sf_dir).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
+    body = F.concat(F.lit("%PDF-1.7\n"), F.array_join(F.transform("p", lambda x: x["text"]), "\f"))
+    content = F.encode(body, "UTF-8")
+    return pages.select(
+        "path", F.lit(LEDGER_NOW).cast("timestamp").alias("modificationTime"),
+        F.octet_length(content).cast("long").alias("length"), content.alias("content"),
+    )
+
+
+def page_fn(path: str, content: bytes):
+    """Stand-in page function: pages of a roll at form feeds, of a document by ``text_page_fn``."""
+    if path.startswith("/data/rolls/"):
+        yield from content.decode("utf-8").split("\n", 1)[1].split("\f")
+    else:
+        yield from text_page_fn(path, content)
+
+
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``records(path, page, block_pos, name)`` of high cardinality: every distinct word of at least eight
+    characters of all documents, as a name on a page of its own."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", "[^a-zA-Z]+")).alias("name"))
+    words = d.where(F.length("name") >= 8).distinct()
+    return words.select(
+        F.concat(F.lit("/data/words/"), F.col("name")).alias("path"), F.lit(1).alias("page"), F.lit(0).alias("block_pos"), "name"
+    )
+
+
+def benchmark_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``queries(query)``: every distinct word of at least twelve characters of the benchmark texts."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.split("text", "[^a-zA-Z]+")).alias("query"))
+    return b.where(F.length("query") >= 12).distinct()
+
+
 def doc_ledger(spark: SparkSession, sf_dir: str, nhash: str) -> DataFrame:
     """Ledger entries "written by earlier runs" for the document files.
 
@@ -294,6 +331,9 @@ def doc_ledger(spark: SparkSession, sf_dir: str, nhash: str) -> DataFrame:
             F.when(F.col("doc_id") % 3 == 0, 90).otherwise(82).alias("threshold"),
             F.lit(False).alias("box_level"),
             F.lit(60.0).alias("min_confidence"),
+            # entries of other settings: F5's cap was 5 pages when doc_id mod 13 = 0
+            F.when(F.col("doc_id") % 13 == 0, SearchParams(max_pdf_pages=5).settings())
+            .otherwise(SearchParams().settings()).alias("settings"),
             F.when(F.col("doc_id") % 11 == 0, "0.9").otherwise("1.0").alias("version"),
             (now - F.make_dt_interval(((F.col("doc_id") % 45) + age_extra).cast("int"))).alias("ts"),
             F.col("path").alias("pdf_path"),
@@ -314,6 +354,13 @@ def item_type() -> str:
     return RESULT_ITEM.simpleString()
 
 
+WORD_NAMES_SQL = """
+word_names AS (
+  SELECT DISTINCT name FROM (SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS name FROM documents) WHERE length(name) >= 8),
+word_queries AS (
+  SELECT DISTINCT query FROM (SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS query FROM benchmark) WHERE length(query) >= 12)
+"""
+
 DOC_FILES_SQL = """
 doc_files AS (
   SELECT doc_id,

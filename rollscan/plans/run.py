@@ -22,11 +22,11 @@ from rollscan.operators.stats import error_summary, run_stats
 from rollscan.operators.views import result_view
 from rollscan.params import SearchParams
 from rollscan.plans.search import box_matches, text_matches
-from rollscan.session import checkpoint_dir, materialize
+from rollscan.session import checkpoint_dir, drop_tables, materialize, ship_package, written_tables
 from rollscan.sinks.ledger import Ledger, file_hashes, names_hash
 from rollscan.sinks.results import resolve_format, write_results
-from rollscan.sources.files import scan_pdf_files
-from rollscan.sources.ocr import PageFn, error_rows, ocr_pages, page_rows, word_rows
+from rollscan.sources.files import fits, scan_pdf_files
+from rollscan.sources.ocr import PageFn, error_rows, ocr_pages, page_rows, warning_rows, word_rows
 
 
 @dataclass
@@ -35,6 +35,14 @@ class RunOutput:
     errors: DataFrame
     stats: DataFrame
     error_summary: DataFrame
+    # F5's report: files of which only the first pages were searched.
+    warnings: DataFrame
+    # Intermediate tables behind these results.
+    tables: list[str]
+
+    def drop(self) -> None:
+        """Delete the run's intermediate tables, once its results have been used."""
+        drop_tables(self.results.sparkSession, self.tables)
 
 
 def run_search(
@@ -59,6 +67,8 @@ def run_search(
     if output_path:
         resolve_format(output_path, output_format)  # fail before any job runs
     checkpoint_dir(spark)
+    ship_package(spark)
+    before = set(written_tables(spark))
 
     files = scan_pdf_files(spark, pdf_root)
     empty_hits = spark.createDataFrame(
@@ -73,11 +83,13 @@ def run_search(
             ledger.clear()
         nhash = names_hash(queries)
         # Small (path, file_hash) rows, written once: used by the lookup and the append.
-        hashes = materialize(file_hashes(files))
+        # Files beyond the size limit are errors, never hits, and are not read.
+        sized = files.where(fits(params))
+        hashes = materialize(file_hashes(sized))
         misses = materialize(ledger.misses(hashes, nhash, now))
-        hits, todo = ledger.lookup(files, nhash, now, hashes)
+        hits, todo = ledger.lookup(sized, nhash, now, hashes)
         hits = materialize(hits)
-        todo = todo.drop("file_hash")
+        todo = todo.unionByName(files.where(~fits(params)))
 
     ocr = materialize(ocr_pages(todo, page_fn, params))
     errors = error_rows(ocr)
@@ -101,5 +113,6 @@ def run_search(
     if output_path:
         write_results(results, output_path, output_format)
     stats = run_stats(files, errors, searched_pages, results)
-    return RunOutput(results, errors, stats, error_summary(errors))
+    tables = [t for t in written_tables(spark) if t not in before]
+    return RunOutput(results, errors, stats, error_summary(errors), warning_rows(ocr), tables)
 

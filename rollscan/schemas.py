@@ -87,6 +87,7 @@ LEDGER = T.StructType(
         T.StructField("threshold", T.IntegerType()),
         T.StructField("box_level", T.BooleanType()),
         T.StructField("min_confidence", T.DoubleType()),
+        T.StructField("settings", T.StringType()),
         T.StructField("version", T.StringType()),
         T.StructField("ts", T.TimestampType()),
         T.StructField("pdf_path", T.StringType()),

@@ -37,10 +37,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a scratch one only where none is configured."""
+    """The shared checkpoint folder; a scratch one only where none is configured and all tasks run in this process."""
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="rollscan-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
@@ -64,11 +66,36 @@ def materialize(df):
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/rollscan-tables/{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SHIPPED: set[int] = set()
+# Intermediate tables written so far, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def written_tables(spark: SparkSession) -> list[str]:
+    """Paths of the intermediate tables that this application has written and not dropped."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def drop_tables(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete intermediate tables (all of this application's by default).
+
+    Results that still read them can no longer be computed: call it when
+    their last action is done.
+    """
+    own = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in written_tables(spark) if paths is None else paths:
+        if path in own:  # nothing but tables of this application
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+            own.remove(path)
+
+
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -84,7 +111,7 @@ def ship_package(spark: SparkSession) -> None:
     import os
     import zipfile
 
-    key = id(spark.sparkContext)
+    key = spark.sparkContext.applicationId
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))

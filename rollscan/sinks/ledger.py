@@ -8,14 +8,15 @@ to a new generation folder (``gen=N+1``), then older generations are
 deleted.  Folder listing and deletion use the Hadoop file system of the
 path, so the same code runs on HDFS or object stores.
 
-Entry key: file content hash, names hash, threshold, box mode and minimum
-confidence (the last two added so text and box runs do not share entries),
-and the ledger version.
+Entry key: file content hash, names hash, a digest of every parameter that
+changes result rows (``SearchParams.settings``) and the ledger version, so a
+run never reuses rows of other settings.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 from rollscan.functions.text import basename
 from rollscan.params import SearchParams
 from rollscan.schemas import LEDGER, RESULT_ITEM
+from rollscan.session import materialize
 from rollscan.sources.files import MB, content_hash
 
-KEY = ["file_hash", "names_hash", "threshold", "box_level", "min_confidence", "version"]
-# Size check for broadcasting ledger entries or missed files (rows of a hash and a path).
+KEY = ["file_hash", "names_hash", "settings", "version"]
+# Size check for broadcasting paths of hit or missed files (rows of a path).
 BROADCAST_MAX_ROWS = 1_000_000
 
 
@@ -36,50 +38,37 @@ def file_hashes(files: DataFrame) -> DataFrame:
 
 
 def names_hash_expr(query: Column) -> Column:
-    """A7 as an aggregate: first 16 hex of SHA-256 over the names sorted by code point, joined by '|'."""
-    return F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(query)), "|"), 256), 1, 16)
-
+    """A7 as an aggregate: first 16 hex of SHA-256 over the names sorted by code point, joined by '|'.
 
-# Name lists up to this size get the exact A7 hash (gathered in one row);
-# larger ones a distributed, order-independent digest.
-EXACT_NAMES_HASH_MAX = 100_000
+    For the names of one list file, which is one row of bounded size to begin with (S2).
+    """
+    return F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(query)), "|"), 256), 1, 16)
 
 
 def names_hash(queries: DataFrame, query_col: str = "query") -> str:
-    """A7 as a literal (for partition pruning of the ledger).
+    """Hash of a list of searched names as a literal (for partition pruning of the ledger).
 
-    Lists up to ``EXACT_NAMES_HASH_MAX`` names: first 16 hex of SHA-256 over
-    the names sorted by code point and joined by '|'.  Longer lists never go
-    through one row: their key hashes the count and two sums of per-name
-    64/32-bit hashes (order-independent, counts duplicates), prefixed ``x``.
+    One definition for lists of any size, independent of their order: the
+    number of names and, for each of the eight 32-bit words of a name's
+    SHA-256, the sum over all names; first 16 hex of the SHA-256 of these
+    nine numbers joined by '|'.  A map-side aggregate, no list is gathered.
     """
-    q = F.col(query_col)
-    row = queries.agg(F.count(F.lit(1)).alias("n")).first()
-    if row["n"] <= EXACT_NAMES_HASH_MAX:
-        return queries.agg(names_hash_expr(q).alias("h")).first()["h"]
-    digest = queries.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64(q).cast("decimal(38,0)")).alias("s1"),
-        F.sum(F.hash(q).cast("decimal(38,0)")).alias("s2"),
-    ).select(F.substring(F.sha2(F.concat_ws("|", "n", "s1", "s2"), 256), 1, 15).alias("h"))
-    return "x" + digest.first()["h"]
+    digest = F.sha2(F.col(query_col), 256)
+    word = lambda i: F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")
+    kept = queries.where(F.col(query_col).isNotNull())
+    row = kept.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(word(i)), F.lit(0)) for i in range(8)]).first()
+    return hashlib.sha256("|".join(str(int(v)) for v in row).encode()).hexdigest()[:16]
 
 
 def ledger_key(file_hash: Column, names_hash_col: Column, params: SearchParams) -> Column:
-    """``filehash_nameshash_threshold`` extended with box mode and minimum confidence."""
-    return F.concat_ws(
-        "_",
-        file_hash,
-        names_hash_col,
-        F.lit(str(int(params.threshold))),
-        F.lit("box" if params.box_level else "text"),
-        F.lit(f"{float(params.min_confidence):g}"),
-    )
+    """``filehash_nameshash_threshold`` extended with the digest of all result-changing parameters."""
+    return F.concat_ws("_", file_hash, names_hash_col, F.lit(str(int(params.threshold))), F.lit(params.settings()))
 
 
 def ts_literal(now: dt.datetime) -> Column:
-    """A run's fixed "now" as a timestamp literal in the session time zone (repeatable runs)."""
-    return F.lit(now.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
+    """A run's fixed "now" (UTC if it names no zone) as a timestamp, the same instant in every session zone."""
+    now = now.replace(tzinfo=dt.timezone.utc) if now.tzinfo is None else now
+    return F.timestamp_micros(F.lit((now - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)))
 
 
 def oldest_valid(now: dt.datetime, params: SearchParams) -> Column:
@@ -106,8 +95,7 @@ def search_entries(entries: DataFrame, nhash: str, params: SearchParams, now: dt
     mine = entries.where(
         (F.col("names_hash") == F.lit(nhash))
         & (F.col("threshold") == F.lit(int(params.threshold)))
-        & (F.col("box_level") == F.lit(bool(params.box_level)))
-        & (F.col("min_confidence") == F.lit(float(params.min_confidence)))
+        & (F.col("settings") == F.lit(params.settings()))
     )
     return newest_per_key(mine.where(valid_predicate(now, params)))
 
@@ -146,8 +134,8 @@ def entries_from_results(
     """K4 rows: one entry per searched file (also files with zero matches).
 
     ``files``: ``path, file_hash``; ``results``: result rows with ``path``.
-    Each file's rows are gathered into its entry's ``results`` array (one
-    file's matches, bounded by its pages).
+    Each file's rows are gathered into its entry's ``results`` array: one
+    file's matches, which grow with its pages and the searched names.
     """
     cols = []
     for f in RESULT_ITEM.fields:
@@ -161,6 +149,7 @@ def entries_from_results(
         F.lit(int(params.threshold)).alias("threshold"),
         F.lit(bool(params.box_level)).alias("box_level"),
         F.lit(float(params.min_confidence)).alias("min_confidence"),
+        F.lit(params.settings()).alias("settings"),
         F.lit(params.ledger_version).alias("version"),
         ts_literal(now).alias("ts"),
         F.col("path").alias("pdf_path"),
@@ -233,25 +222,21 @@ class Ledger:
 
         ``misses(...)`` gives the same files as small ``(path, file_hash)`` rows.
 
-        File bytes never go through a shuffle: the hashes are small
-        ``(path, file_hash)`` rows (pass ``hashes`` when already computed), and
-        the side that passes a size check is broadcast — the valid entries
-        (first runs, small ledgers) or else the missed files (reruns, where
-        most files hit); only when both are large do the file rows shuffle.
+        Entries hold result rows, so they are never broadcast; what decides is
+        small rows of hashes and paths, and of the hit and the missed paths the
+        fewer are broadcast (checked by count), so file bytes are not shuffled.
+        Only when both lists are beyond the check do the file rows shuffle.
         """
         hashes = hashes if hashes is not None else file_hashes(files)
         entries = self._valid(nhash, now)
-        if entries.count() <= BROADCAST_MAX_ROWS:
-            entries = F.broadcast(entries)
-            hits, _ = split_hits(hashes, entries)
-            todo = files.withColumn("file_hash", content_hash("content")).join(
-                entries.select("file_hash"), "file_hash", "left_anti"
-            )
-            return hits, todo
         hits, miss = split_hits(hashes, entries)
-        miss = miss.select("path")
-        if miss.count() <= BROADCAST_MAX_ROWS:
-            miss = F.broadcast(miss)
+        miss = materialize(miss.select("path"))
+        found = hashes.select("path").join(miss, "path", "left_anti")
+        n_miss, n_all = miss.count(), hashes.count()
+        if n_miss <= min(n_all - n_miss, BROADCAST_MAX_ROWS):
+            return hits, files.join(F.broadcast(miss), "path", "left_semi")
+        if n_all - n_miss <= BROADCAST_MAX_ROWS:
+            return hits, files.join(F.broadcast(found), "path", "left_anti")
         return hits, files.join(miss, "path", "left_semi")
 
     def _valid(self, nhash: str, now: dt.datetime) -> DataFrame:
@@ -288,13 +273,11 @@ class Ledger:
         self._drop_older(cur + 1)
         return expired
 
-    def stats(self) -> dict:
-        """A5: entry count, stored size in MB, TTL days, location."""
+    def stats(self) -> DataFrame:
+        """A5: one row with entry count, stored size in MB, TTL days, location (fixed column names)."""
         path = self._Path(self._gen_path(self._current()))
         size = self._fs.getContentSummary(path).getLength()
-        return {
-            "cache_dir": self.root,
-            "total_entries": self.entries().count(),
-            "total_size_mb": size / MB,
-            "ttl_days": int(self.params.ttl_days),
-        }
+        return self.entries().agg(F.count(F.lit(1)).alias("total_entries")).select(
+            F.lit(self.root).alias("cache_dir"), "total_entries",
+            F.lit(size / MB).alias("total_size_mb"), F.lit(int(self.params.ttl_days)).alias("ttl_days"),
+        )

@@ -12,7 +12,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollscan.operators.views import csv_view
+from rollscan.operators.views import RESULT_COLUMNS, csv_view
 
 # Error messages of the format dispatch (same text as the reference).
 MSG_NO_AUTO_FORMAT = (
@@ -62,16 +62,20 @@ def write_json(results: DataFrame, output_path: str, json_array: bool = False) -
 def write_csv(results: DataFrame, output_path: str) -> None:
     """K2: header ``file,page,name,father`` (+ bbox_* and confidence in box mode).
 
-    Quotes are doubled inside quoted fields and rows end in CRLF as in
-    Python's csv module; null box and confidence give empty cells; an empty
-    result still writes the header.
+    Quotes are doubled inside quoted fields, white space is kept and rows end in
+    CRLF as in Python's csv module; null box and confidence give empty cells; an
+    empty result writes the header of text mode (four columns) in either mode.
     """
+    rows = csv_view(results)
+    if len(rows.columns) > len(RESULT_COLUMNS) and rows.isEmpty():
+        rows = rows.select(RESULT_COLUMNS)
     (
-        csv_view(results)
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("header", "true")
         .option("escape", '"')
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", "false")
+        .option("ignoreTrailingWhiteSpace", "false")
         .option("lineSep", "\r\n")
         .csv(output_path)
     )

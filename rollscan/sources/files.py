@@ -21,7 +21,8 @@ def scan_pdf_files(spark: SparkSession, root: str) -> DataFrame:
 
     Columns: ``path, modificationTime, length, content`` (binaryFile).  The
     ``content`` column is only read when a later step uses it (Catalyst
-    prunes it otherwise), and a filter on ``length`` is pushed into the scan.
+    prunes it otherwise), and a filter on ``length`` (``fits``) is pushed into
+    the scan, so bytes of files beyond the size limit are never read.
     Spark's file index skips names starting with ``_`` or ``.``.
     """
     return (
@@ -47,6 +48,11 @@ def file_error(path: Column, length: Column, content: Column, params: SearchPara
     )
 
 
+def fits(params: SearchParams) -> Column:
+    """F2 on the length alone, in a form that the scan takes as a pushed filter."""
+    return F.col("length") <= F.lit(int(float(params.max_pdf_size_mb) * MB))
+
+
 def validate_files(files: DataFrame, params: SearchParams | None = None) -> DataFrame:
     """F2 + F3 + P1: add ``file`` (basename) and ``error`` (null when valid)."""
     params = params or SearchParams()

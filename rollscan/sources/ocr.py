@@ -15,10 +15,12 @@ mode).  ``ocr_pages`` runs it inside ``mapInPandas`` over the validated
   fails the file: its earlier pages are dropped and a ``file`` error is
   reported;
 * an invalid file (F2/F3) is a ``file`` error without calling ``page_fn``;
-* pages after ``max_pdf_pages`` are never requested (F5/L2).
+* of the pages after ``max_pdf_pages`` (F5/L2; no cap by default) one is
+  requested, and if there is one, the file gets a ``warning`` row.
 
 Output rows: ``path, file, page, text, words, level, message``; pages have
-``level`` null, errors have ``level`` in ('page', 'file').
+``level`` null, errors have ``level`` in ('page', 'file'), truncated files
+have a row with ``level`` 'warning'.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from pyspark.sql import types as T
 
 from rollscan.params import SearchParams
 from rollscan.schemas import BBOX
-from rollscan.sources.files import validate_files
+from rollscan.session import ship_package
+from rollscan.sources.files import fits, validate_files
 
 WORD = T.StructType(
     [
@@ -66,13 +69,27 @@ class PageError(Exception):
 PageFn = Callable[[str, bytes], Iterable]
 
 
-def _run_file(path: str, file: str, content: bytes, page_fn: PageFn, max_pages: int) -> list[dict]:
+# Messages of failed pages (same text as the reference).
+MSG_TIMEOUT = "OCR timeout on page {page}"
+MSG_PAGE = "Error processing page {page}: {error}"
+MSG_FILE = "Unexpected error processing {file}: {error}"
+
+
+def _run_file(path: str, file: str, content: bytes, page_fn: PageFn, max_pages: int | None) -> list[dict]:
     rows: list[dict] = []
     errors: list[dict] = []
     try:
         pages = iter(page_fn(path, content))
         page_no = 0
-        while page_no < max_pages:
+        while True:
+            if page_no == max_pages:
+                try:
+                    more = next(pages, None) is not None
+                except Exception:  # noqa: BLE001 - a page beyond the cap that fails is one all the same
+                    more = True
+                if more:
+                    errors.append(_err(path, file, None, "warning", f"searched the first {page_no} pages only"))
+                break
             page_no += 1
             try:
                 result = next(pages)
@@ -80,14 +97,14 @@ def _run_file(path: str, file: str, content: bytes, page_fn: PageFn, max_pages:
                 break
             except RuntimeError as e:
                 if "timeout" in str(e).lower():
-                    errors.append(_err(path, file, page_no, "page", f"OCR timeout on page {page_no}"))
+                    errors.append(_err(path, file, page_no, "page", MSG_TIMEOUT.format(page=page_no)))
                     continue
                 raise
             except Exception as e:  # noqa: BLE001 - page-level isolation
-                errors.append(_err(path, file, page_no, "page", f"Error processing page {page_no}: {e}"))
+                errors.append(_err(path, file, page_no, "page", MSG_PAGE.format(page=page_no, error=e)))
                 continue
             if isinstance(result, Exception):
-                errors.append(_err(path, file, page_no, "page", f"Error processing page {page_no}: {result}"))
+                errors.append(_err(path, file, page_no, "page", MSG_PAGE.format(page=page_no, error=result)))
                 continue
             if isinstance(result, str):
                 rows.append(dict(path=path, file=file, page=page_no, text=result, words=None, level=None, message=None))
@@ -97,7 +114,7 @@ def _run_file(path: str, file: str, content: bytes, page_fn: PageFn, max_pages:
     except RuntimeError as e:
         return errors + [_err(path, file, None, "file", f"{file}: {e}")]
     except Exception as e:  # noqa: BLE001 - file-level isolation, partial rows kept
-        return rows + errors + [_err(path, file, None, "file", f"Unexpected error processing {file}: {e}")]
+        return rows + errors + [_err(path, file, None, "file", MSG_FILE.format(file=file, error=e))]
     return rows + errors
 
 
@@ -108,30 +125,40 @@ def _err(path, file, page, level, message) -> dict:
 def ocr_pages(files: DataFrame, page_fn: PageFn, params: SearchParams | None = None) -> DataFrame:
     """``binaryFile`` rows → page rows and error rows (see module doc).
 
-    One task handles the files of its input split one by one.  The scan packs
-    files into splits of at most ``spark.sql.files.maxPartitionBytes`` (plus
-    one file), which also bounds the Arrow batch that carries their bytes to
-    Python; lower it to spread files over more tasks (and less memory per
-    task) rather than shuffling the file bytes.  Every step before this one
-    (validation, ledger anti-join against a broadcast side) keeps that
-    partitioning.
+    Files beyond the size limit become error rows from their length alone; the
+    limit is a filter that the scan takes, so their bytes are never read.  One
+    task handles the files of its input split one by one and hands on each
+    file's rows before the next file begins.  The scan packs files into splits
+    of at most ``spark.sql.files.maxPartitionBytes`` (plus one file), which also
+    bounds the Arrow batch that carries their bytes to Python; lower it to
+    spread files over more tasks (and less memory per task) rather than
+    shuffling the file bytes.  Every step before this one (validation, ledger
+    anti-join against a broadcast side) keeps that partitioning.
     """
     params = params or SearchParams()
-    checked = validate_files(files, params).select("path", "file", "content", "error")
-    max_pages = int(params.max_pdf_pages)
+    ship_package(files.sparkSession)
+    checked = validate_files(files.where(fits(params)), params).select(
+        "path", "file", F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error"
+    )
+    max_pages = None if params.max_pdf_pages is None else int(params.max_pdf_pages)
+    too_large = validate_files(files.where(~fits(params)).withColumn("content", F.lit(None).cast("binary")), params)
+    too_large = too_large.select(
+        "path", "file", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text"),
+        F.lit(None).cast(T.ArrayType(WORD)).alias("words"), F.lit("file").alias("level"),
+        F.concat("file", F.lit(": "), "error").alias("message"),
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: list[dict] = []
             for path, file, content, error in zip(batch["path"], batch["file"], batch["content"], batch["error"]):
                 if error is not None:
-                    out.append(_err(path, file, None, "file", f"{file}: {error}"))
-                    continue
-                out.extend(_run_file(path, file, bytes(content), page_fn, max_pages))
-            if out:
-                yield pd.DataFrame(out, columns=[f.name for f in OCR_OUT.fields])
+                    rows = [_err(path, file, None, "file", f"{file}: {error}")]
+                else:
+                    rows = _run_file(path, file, bytes(content), page_fn, max_pages)
+                if rows:
+                    yield pd.DataFrame(rows, columns=[f.name for f in OCR_OUT.fields])
 
-    return checked.mapInPandas(run, OCR_OUT)
+    return checked.mapInPandas(run, OCR_OUT).unionByName(too_large)
 
 
 def page_rows(ocr_out: DataFrame) -> DataFrame:
@@ -147,4 +174,9 @@ def word_rows(ocr_out: DataFrame) -> DataFrame:
 
 def error_rows(ocr_out: DataFrame) -> DataFrame:
     """``errors(path, page, level, message)``."""
-    return ocr_out.where(F.col("level").isNotNull()).select("path", "page", "level", "message")
+    return ocr_out.where(F.col("level").isin("page", "file")).select("path", "page", "level", "message")
+
+
+def warning_rows(ocr_out: DataFrame) -> DataFrame:
+    """F5's report: files whose pages were cut off, in the errors schema."""
+    return ocr_out.where(F.col("level") == "warning").select("path", "page", "level", "message")

@@ -13,7 +13,7 @@ from rollscan.params import SearchParams
 def read_pages(
     spark: SparkSession, path: str, fmt: str = "parquet", params: SearchParams | None = None
 ) -> DataFrame:
-    """Read a pages table; the page cap is a range filter pushed into the scan."""
+    """Read a pages table; a page cap, if set, is a range filter pushed into the scan (``truncated_files`` reports it)."""
     params = params or SearchParams()
     df = spark.read.format(fmt).load(path)
     if "file" not in df.columns:

@@ -2,8 +2,9 @@
 
 Record extraction is per row and the broadcast fuzzy join is a stream-static
 join (no distinct step, no state), so the text-mode search runs unchanged
-on ``readStream`` input.  Only the broadcast strategy is allowed: the
-shuffle strategy's distinct names would make the query stateful.
+on ``readStream`` input while the name list passes the broadcast check.
+Beyond it ``start_search_stream`` runs the batch join on every micro-batch
+(the shuffle strategy's distinct names would make one query stateful).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from rollscan.functions.text import MAX_FIELD_CHARS
 from rollscan.operators.fuzzy_join import choose_strategy
 from rollscan.params import SearchParams
 from rollscan.operators.extract import extract_records
@@ -18,16 +20,15 @@ from rollscan.operators.filters import cap_pages
 from rollscan.operators.fuzzy_join import fuzzy_join
 from rollscan.operators.views import result_view
 from rollscan.schemas import PAGES
-from rollscan.session import checkpoint_dir
+from rollscan.plans.search import search_text
+from rollscan.session import checkpoint_dir, drop_tables, ship_package, written_tables
 
 
 def stream_matches(pages: DataFrame, queries: DataFrame, params: SearchParams | None = None) -> DataFrame:
     """Detail rows of a streaming text search (``pages`` is a streaming DataFrame)."""
     params = params or SearchParams()
-    from rollscan.functions.text import MAX_FIELD_CHARS
-
     if choose_strategy(queries, params, max_len=MAX_FIELD_CHARS) != "broadcast":
-        raise ValueError("a streaming search needs a name list small enough to broadcast")
+        raise ValueError("this name list is too large for a single streaming plan: use start_search_stream")
     params = params.with_(strategy="broadcast")
     records = extract_records(cap_pages(pages, params.max_pdf_pages), params)
     return fuzzy_join(records, queries, params, dedupe=False)
@@ -52,12 +53,22 @@ def start_search_stream(
     The stream's checkpoint lives in the session's shared checkpoint folder,
     so a restarted job resumes where it stopped (exactly-once file sink).
     """
+    params = params or SearchParams()
+    ship_package(spark)
     pages = spark.readStream.schema(PAGES).parquet(pages_dir)
-    out = stream_search(pages, queries, params)
-    writer = (
-        out.writeStream.format("parquet")
-        .option("checkpointLocation", f"{checkpoint_dir(spark).rstrip('/')}/{name}")
-        .outputMode("append")
-    )
+    checkpoint = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    if choose_strategy(queries, params, max_len=MAX_FIELD_CHARS) == "broadcast":
+        writer = stream_search(pages, queries, params).writeStream.format("parquet").outputMode("append")
+        writer = writer.option("path", output_dir)
+    else:
+
+        def search(batch: DataFrame, number: int) -> None:
+            # a folder per micro-batch, overwritten if the batch runs again: no row twice
+            before = set(written_tables(spark))
+            search_text(batch, queries, params).write.mode("overwrite").parquet(f"{output_dir}/batch={number}")
+            drop_tables(spark, [t for t in written_tables(spark) if t not in before])
+
+        writer = pages.writeStream.foreachBatch(search)
+    writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
-    return writer.start(output_dir)
+    return writer.start()

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from rollscan.functions.similarity import fuzzy_match_py, indel_ratio, lcs_length, token_set_ratio
+from brute import matches
+from rollscan.functions.similarity import indel_ratio, lcs_length, token_set_ratio
 from rollscan.operators.fuzzy_join import fuzzy_join
 from rollscan.params import SearchParams
 
@@ -44,7 +45,7 @@ def test_fuzzy_join_equals_brute_force(spark, cases, strategy, threshold):
         (i, j)
         for i, n in enumerate(names)
         for j, q in enumerate(queries)
-        if fuzzy_match_py(n, q, threshold)
+        if matches(n, q, threshold)
     )
     assert got_pairs == want
 
@@ -53,14 +54,14 @@ def test_scores_golden():
     # FIXTURES N2/N4 golden cases
     assert token_set_ratio("রহিম", "রহিম") == 100
     assert token_set_ratio("রহিম", "করিম") == 75
-    assert not fuzzy_match_py("", "", 80)
+    assert not matches("", "", 80)
     assert round(token_set_ratio("রহিমআলী", "আলীরহিম"), 1) == 57.1
     assert round(token_set_ratio("রহিমআলী", "রহিম"), 1) == 72.7
     assert token_set_ratio("রহিম\tআলী", "আলী\tরহিম") == 100
-    assert not fuzzy_match_py("রহিম", "রহীম", 80)
-    assert fuzzy_match_py("রহিম", "রহিম", 100)
-    assert not fuzzy_match_py("রহিম", "করিম", 90)
-    assert fuzzy_match_py("।", "রহিম", 0) and not fuzzy_match_py("।", "রহিম", 1)
+    assert not matches("রহিম", "রহীম", 80)
+    assert matches("রহিম", "রহিম", 100)
+    assert not matches("রহিম", "করিম", 90)
+    assert matches("।", "রহিম", 0) and not matches("।", "রহিম", 1)
     assert indel_ratio("", "") == 100
     assert lcs_length("smallring", "ringsmall") == 5
     assert lcs_length("abcbdab", "bdcaba") == 4
@@ -95,7 +96,7 @@ def test_shuffle_prefix_filter_on_skewed_bigrams(spark, threshold):
     got = fuzzy_join(rec, qs, SearchParams(threshold=threshold, strategy="shuffle"))
     got_pairs = sorted((x.rid, x.query_pos) for x in got.select("rid", "query_pos").collect())
     want = sorted(
-        (i, j) for i, n in enumerate(names) for j, q in enumerate(queries) if fuzzy_match_py(n, q, threshold)
+        (i, j) for i, n in enumerate(names) for j, q in enumerate(queries) if matches(n, q, threshold)
     )
     assert got_pairs == want and len(want) > 0
 
@@ -122,7 +123,7 @@ def test_hot_name_is_combined_before_the_shuffle(spark):
     qs = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "query_pos int, query string")
     got = fuzzy_join(rec, qs, SearchParams(threshold=70, strategy="broadcast"))
     pairs = sorted((x.rid, x.query_pos) for x in got.select("rid", "query_pos").collect())
-    want = sorted((i, j) for i, n in enumerate(names) for j, q in enumerate(queries) if fuzzy_match_py(n, q, 70))
+    want = sorted((i, j) for i, n in enumerate(names) for j, q in enumerate(queries) if matches(n, q, 70))
     assert pairs == want and sum(1 for i, _ in want if names[i] == hot) >= 600
     from rollscan.operators.fuzzy_join import match_pairs
 
@@ -132,3 +133,48 @@ def test_hot_name_is_combined_before_the_shuffle(spark):
     # the pair table is small: records are not shuffled for the join back
     final = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final
+
+
+def test_long_names_cost_in_proportion(spark):
+    """Bigram numbering is linear in the length of a name."""
+    import time
+
+    from rollscan.operators.fuzzy_join import _forms_of_normalised, _indexed_bigrams
+
+    took = {}
+    for n in (100, 400):
+        rows = [("".join(chr(97 + (i * j + j * j) % 26) for j in range(n)),) for i in range(2000)]
+        names = _forms_of_normalised(spark.createDataFrame(rows, "_a string").distinct(), "_a")
+        for _ in range(2):
+            t = time.perf_counter()
+            _indexed_bigrams(names, "_a").write.format("noop").mode("overwrite").save()
+            took[n] = time.perf_counter() - t
+    assert took[400] < 10 * took[100] + 2
+    few = _forms_of_normalised(spark.createDataFrame([("abab",), ("x",)], "_a string"), "_a")
+    got = sorted((r["_a"], r["g"] or "", r["k"]) for r in _indexed_bigrams(few, "_a").collect())
+    assert got == [("abab", "ab", 1), ("abab", "ab", 2), ("abab", "ba", 1), ("x", "", 1)]
+
+
+def test_word_lookup_at_threshold_0_takes_words_of_any_length(spark):
+    from rollscan.operators.boxes import best_words
+
+    word = "x" * 5000 + "কখ"
+    words = spark.createDataFrame(
+        [("p", 1, 0, word, 90.0, (0, 0, 1, 1))],
+        "path string, page int, word_pos int, text string, confidence double, bbox struct<left:int,top:int,width:int,height:int>",
+    )
+    tokens = spark.createDataFrame([("p", 1, 0, "name", 0, "কখ")], "path string, page int, block_pos int, field string, tok_pos int, token string")
+    got = best_words(tokens, words, 0, ["path", "page", "block_pos"]).collect()
+    assert [r["w_text"] for r in got] == [word]
+
+
+def test_broadcast_checks_do_not_change_rows(spark, monkeypatch):
+    import rollscan.operators.fuzzy_join as fj
+
+    records = spark.createDataFrame([(i, f"name {i % 7} abcd") for i in range(50)], "id int, name string")
+    queries = spark.createDataFrame([(f"name {i} abce",) for i in range(9)], "query string")
+    run = lambda p: sorted(map(str, fj.fuzzy_join(records, queries, p).collect()))
+    want = run(fj.SearchParams(threshold=80))
+    assert want and run(fj.SearchParams(threshold=80, broadcast_max_bytes=1)) == want
+    monkeypatch.setattr(fj, "BROADCAST_MAX_PAIR_BYTES", 1)
+    assert run(fj.SearchParams(threshold=80)) == want

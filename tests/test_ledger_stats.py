@@ -29,10 +29,35 @@ def _results(spark, rows):
 
 
 def test_names_hash_matches_python(spark):
-    names = ["রহিম", "করিম", "আলী", "করিম"]
-    q = spark.createDataFrame([(n,) for n in names], "query string")
-    want = hashlib.sha256("|".join(sorted(names)).encode()).hexdigest()[:16]
-    assert names_hash(q) == want
+    names = ["রহিম", "করিম", "আলী", "করিম", None]
+    digests = [hashlib.sha256(n.encode()).hexdigest() for n in names if n]
+    numbers = [len(digests)] + [sum(int(d[8 * i : 8 * i + 8], 16) for d in digests) for i in range(8)]
+    want = hashlib.sha256("|".join(map(str, numbers)).encode()).hexdigest()[:16]
+    frame = lambda rows: spark.createDataFrame([(n,) for n in rows], "query string")
+    assert names_hash(frame(names)) == names_hash(frame(names[::-1])) == want
+    assert names_hash(frame(names[:3])) != want and len(names_hash(frame([]))) == 16
+
+
+def test_settings_hold_every_parameter_that_changes_rows():
+    base = SearchParams()
+    changed = [dict(threshold=81), dict(box_level=True), dict(min_confidence=61), dict(max_pdf_size_mb=49), dict(max_pdf_pages=100),
+               dict(word_match_threshold=71), dict(layout="lines"), dict(strict_labels=True), dict(all_records=True)]
+    assert len({base.settings(), *(SearchParams(**c).settings() for c in changed)}) == len(changed) + 1
+    assert base.settings() == SearchParams(ttl_days=3, strategy="shuffle", min_confidence=60).settings()
+
+
+def test_now_is_the_same_instant_in_every_session_zone(spark):
+    from rollscan.sinks.ledger import ts_literal
+
+    found = set()
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Asia/Dhaka"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            found.add(spark.range(1).select(F.unix_micros(ts_literal(NOW)).alias("t")).first()["t"])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found == {int(NOW.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)}
 
 
 def test_ledger_round_trip(spark):
@@ -65,11 +90,11 @@ def test_ledger_round_trip(spark):
     hits, _ = led.lookup(files, "abc", NOW + dt.timedelta(hours=2))
     assert [r.name for r in hits.collect()] == ["new"]
 
-    st = led.stats()
+    st = led.stats().first()
     assert st["total_entries"] == 4 and st["total_size_mb"] > 0 and st["ttl_days"] == 30
 
     assert led.clear_expired(NOW + dt.timedelta(days=30, minutes=30)) == 2
-    assert led.stats()["total_entries"] == 2
+    assert led.stats().first()["total_entries"] == 2
     assert led.clear() == 2
     assert led.lookup(files, "abc", NOW)[1].count() == 2  # miss after clear
 
@@ -85,6 +110,7 @@ def test_run_stats_and_error_summary(spark):
     matches = spark.createDataFrame([(1,)] * 3, "x int")
     s = run_stats(files, errors, pages, matches).first()
     assert (s.files_processed, s.files_failed, s.pages_processed, s.matches_found, s.error_count) == (3, 2, 7, 3, 13)
+    assert s.errors[:2] == ["f0.pdf: Error processing page 1: x", "f0.pdf: Error processing page 2: x"] and len(s.errors) == 10
     e = error_summary(errors).first()
     assert e.error_count == 13 and len(e.first_errors) == 10 and e.more == "... and 3 more"
     assert e.first_errors[0] == "f0.pdf: Error processing page 1: x"
@@ -94,28 +120,21 @@ def test_lookup_never_shuffles_file_bytes(spark):
     root = tempfile.mkdtemp(prefix="rollscan-ledger-")
     files = _files(spark, os.path.join(root, "pdfs"), {"a.pdf": b"%PDF-a", "b.pdf": b"%PDF-b"})
     led = Ledger(spark, os.path.join(root, "ledger"), SearchParams())
-    led.append(file_hashes(files), _results(spark, []), "h", 1, NOW)
-    _, todo = led.lookup(files, "h", NOW)
+    hashes = file_hashes(files)
+    for done in (hashes.limit(0), hashes.where("path like '%a.pdf'"), hashes):
+        led.append(done, _results(spark, []), "h", 1, NOW)
+        _, todo = led.lookup(files, "h", NOW)
+        plan = todo._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     plan = todo._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
 
 
-def test_names_hash_large_lists_are_distributed(spark, monkeypatch):
-    import rollscan.sinks.ledger as ledger_mod
-
-    monkeypatch.setattr(ledger_mod, "EXACT_NAMES_HASH_MAX", 2)
-    a = spark.createDataFrame([("x",), ("y",), ("z",)], "query string")
-    b = spark.createDataFrame([("z",), ("x",), ("y",)], "query string")
-    c = spark.createDataFrame([("z",), ("x",), ("y",), ("y",)], "query string")
-    ha, hb, hc = (ledger_mod.names_hash(d) for d in (a, b, c))
-    assert ha == hb and ha != hc and ha.startswith("x") and len(ha) == 16
-
-
 def test_unfinished_generation_is_ignored(spark):
     root = tempfile.mkdtemp(prefix="rollscan-ledger-")
     files = _files(spark, os.path.join(root, "pdfs"), {"a.pdf": b"%PDF-a"})
     led = Ledger(spark, os.path.join(root, "ledger"), SearchParams())
     led.append(file_hashes(files), _results(spark, []), "h", 1, NOW)
     os.makedirs(os.path.join(root, "ledger", "gen=000099"))  # a rewrite that died before committing
-    assert led.stats()["total_entries"] == 1
+    assert led.stats().first()["total_entries"] == 1
     assert led.clear() == 1 and not os.path.exists(os.path.join(root, "ledger", "gen=000099"))

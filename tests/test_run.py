@@ -141,6 +141,38 @@ def test_box_run_reuses_ledger_with_boxes(spark):
     assert sorted(map(str, again.results.collect())) == rows and len(rows) == 3
 
 
+def test_ledger_runs_of_other_settings_do_not_share_rows(spark):
+    root, pdfs = _setup()
+    ledger = os.path.join(root, "ledger2")
+    run = lambda **p: sorted(
+        tuple(r) for r in run_search(spark, pdfs, names_from_list(spark, ["রহিম আলী"]), page_fn, SearchParams(**p), ledger_root=ledger, now=NOW).results.collect()
+    )
+    fresh = lambda **p: sorted(
+        tuple(r) for r in run_search(spark, pdfs, names_from_list(spark, ["রহিম আলী"]), page_fn, SearchParams(**p), now=NOW).results.collect()
+    )
+    for p in (dict(max_pdf_pages=1), dict(), dict(threshold=100), dict(strict_labels=True)):
+        want = fresh(**p)
+        assert run(**p) == want and run(**p) == want, p
+    assert fresh(max_pdf_pages=1) != fresh()
+
+
+def test_run_tables_can_be_dropped(spark):
+    _, pdfs = _setup()
+    out = run_search(spark, pdfs, names_from_list(spark, ["রহিম আলী"]), page_fn, SearchParams(max_pdf_pages=1), now=NOW)
+    assert out.results.count() >= 0 and [r.path.split("/")[-1] for r in out.warnings.collect()] == ["a.pdf"]
+    folders = [t.removeprefix("file:") for t in out.tables]
+    assert folders and all(map(os.path.exists, folders))
+    out.drop()
+    assert not any(map(os.path.exists, folders))
+
+
+def test_cli_refuses_options_that_do_not_fit(spark, capsys):
+    from rollscan.cli import main
+
+    assert main(["search", "--pages", "x", "-n", "y", "--box-level", "--ledger", "z"], spark) == 2
+    assert "--box-level, --ledger" in capsys.readouterr().err
+
+
 def test_run_on_folder_without_pdfs(spark):
     root = tempfile.mkdtemp(prefix="rollscan-empty-")
     with open(os.path.join(root, "notes.txt"), "w") as f:

@@ -37,8 +37,8 @@ def test_params_rejected(kw):
 
 def test_defaults_match_reference():
     p = SearchParams()
-    assert (p.threshold, p.min_confidence, p.max_pdf_size_mb, p.max_pdf_pages) == (82, 60.0, 50, 100)
-    assert (p.max_search_names, p.word_match_threshold, p.ttl_days, p.ledger_version) == (1000, 70, 30, "1.0")
+    assert (p.threshold, p.min_confidence, p.max_pdf_size_mb, p.max_pdf_pages) == (82, 60.0, 50, None)
+    assert (p.max_search_names, p.word_match_threshold, p.ttl_days, p.ledger_version) == (None, 70, 30, "1.0")
     assert p.box_level is False
 
 

@@ -101,6 +101,76 @@ def test_ocr_pages_isolates_errors(spark, scratch):
     assert errs == [("a.pdf", 2, "page"), ("b.pdf", None, "file"), ("c.pdf", None, "file")]
 
 
+def test_oversize_file_is_an_error_whose_bytes_are_not_read(spark, scratch):
+    _write(f"{scratch}/o/a.pdf", b"%PDF-1 ok")
+    _write(f"{scratch}/o/big.pdf", b"%PDF-" + b"x" * 300_000)
+    limit = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "200000")  # reading the large file would raise
+    try:
+        out = ocr_pages(scan_pdf_files(spark, f"{scratch}/o"), _page_fn, SearchParams(max_pdf_size_mb=0.1)).collect()
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", limit)
+    large = [r for r in out if r.path.endswith("big.pdf")]
+    assert [(r.level, r.message) for r in large] == [("file", "big.pdf: PDF file too large: 0.3MB (max: 0.1MB)")]
+    assert any(r.path.endswith("a.pdf") and r.level is None for r in out)
+
+
+def _many_pages(path, content):
+    yield from ("p1", "p2", "p3")
+
+
+def test_page_cap_is_reported(spark, scratch):
+    from rollscan.sources.ocr import warning_rows
+
+    _write(f"{scratch}/o/a.pdf", b"%PDF-1 ok")
+    files = scan_pdf_files(spark, f"{scratch}/o")
+    for cap, pages, warned in ((None, 3, 0), (3, 3, 0), (2, 2, 1)):
+        out = ocr_pages(files, _many_pages, SearchParams(max_pdf_pages=cap))
+        assert (page_rows(out).count(), warning_rows(out).count(), error_rows(out).count()) == (pages, warned, 0)
+
+
+def test_name_cap_is_reported(spark, scratch):
+    _write(f"{scratch}/names.txt", "a\nb\nc\n".encode())
+    with pytest.warns(UserWarning, match="first 2 of 3 names"):
+        load_names(spark, f"{scratch}/names.txt", SearchParams(max_search_names=2))
+    with pytest.warns(UserWarning, match="first 1 of 2 names"):
+        names_from_list(spark, ["a", "b"], SearchParams(max_search_names=1))
+    assert load_names(spark, f"{scratch}/names.txt").count() == 3
+
+
+def test_csv_keeps_white_space_and_empty_box_header(spark, scratch):
+    rows = spark.createDataFrame([(" a.pdf", 1, "b ", "\tc")], "file string, page int, name string, father string")
+    write_results(rows.coalesce(1), f"{scratch}/w.csv")
+    text = "".join(open(os.path.join(f"{scratch}/w.csv", f), newline="").read() for f in os.listdir(f"{scratch}/w.csv") if f.endswith(".csv"))
+    assert list(csv.reader(text.splitlines())) == [["file", "page", "name", "father"], [" a.pdf", "1", "b ", "\tc"]]
+    write_results(_results(spark, box=True).limit(0), f"{scratch}/e.csv")
+    text = "".join(open(os.path.join(f"{scratch}/e.csv", f)).read() for f in os.listdir(f"{scratch}/e.csv") if f.endswith(".csv"))
+    assert text.strip() == "file,page,name,father"
+
+
+def test_intermediate_tables_can_be_dropped(spark):
+    from rollscan.session import drop_tables, materialize, written_tables
+
+    before = written_tables(spark)
+    materialize(spark.range(3))
+    new = [t for t in written_tables(spark) if t not in before]
+    assert len(new) == 1 and os.path.exists(new[0].removeprefix("file:"))
+    drop_tables(spark, new + ["/etc"])
+    assert not os.path.exists(new[0].removeprefix("file:")) and written_tables(spark) == before
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from rollscan.session import checkpoint_dir
+
+    cluster = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    )
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(cluster)
+
+
 def test_ocr_pages_empty_input(spark):
     files = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     assert ocr_pages(files, _page_fn).count() == 0

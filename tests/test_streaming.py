@@ -33,3 +33,12 @@ def test_stream_equals_batch(spark):
     sq = start_search_stream(spark, os.path.join(root, "in", "*"), queries, os.path.join(root, "out"), params, name=f"t_{os.path.basename(root)}")
     sq.awaitTermination(300)
     assert spark.read.parquet(os.path.join(root, "out")).count() == len(want)
+
+    # a name list beyond the broadcast check: the batch join on every micro-batch
+    large = start_search_stream(
+        spark, os.path.join(root, "in", "*"), queries, os.path.join(root, "out2"), params.with_(broadcast_max_queries=1),
+        name=f"t2_{os.path.basename(root)}",
+    )
+    large.awaitTermination(300)
+    rows = spark.read.parquet(os.path.join(root, "out2")).select("file", "page", "name", "father").collect()
+    assert sorted(tuple(r) for r in rows) == want

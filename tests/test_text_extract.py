@@ -78,6 +78,14 @@ def test_all_records(spark):
     text = "নাম : ক" + NL + "পিতার নাম : খ" + NL + "নাম : গ" + NL + "স্বামীর নাম : ঘ"
     assert _records(spark, text) == [("ক", "খ")]
     assert _records(spark, text, all_records=True) == [("ক", "খ"), ("গ", "ঘ")]
+    name, father = "নাম : ", "পিতার নাম : "
+    lines = lambda *x: NL.join(x)
+    # a name takes the guardian before the next name, the first name also the one that opens the block
+    assert _records(spark, lines(name + "A", name + "B", father + "b"), all_records=True) == [("B", "b")]
+    assert _records(spark, lines(father + "b", name + "A"), all_records=True) == [("A", "b")]
+    assert _records(spark, lines(father + "x", name + "A", father + "a", name + "B"), all_records=True) == [("A", "a")]
+    assert _records(spark, lines(name + "A", father + "a", father + "c", name + "B", father + "b"), all_records=True) == [("A", "a"), ("B", "b")]
+    assert _records(spark, lines(father + "x", father + "y"), all_records=True) == []
 
 
 def test_block_split_like_python(spark):
