@@ -68,6 +68,8 @@ _MAX_UNFORCED_THRESHOLD = 66
 # Matching (name, query) pair tables up to this many rows are broadcast to the
 # records (counted after they are written once); larger ones shuffle.
 BROADCAST_MAX_PAIRS = 1_000_000
+# Keys that one name length is split into in the shuffled join (the query side is repeated as often).
+LENGTH_SALTS = 8
 BROADCAST_MAX_PAIR_BYTES = 64 * 1024 * 1024
 
 _KEY = "struct<kind:string,len:int,tok:string,cnt:bigint,occ:int>"
@@ -159,9 +161,11 @@ def _a_prefix(t: int) -> Column:
 
 
 @functools.lru_cache(maxsize=128)
-def _a_keys(use_bigrams: bool) -> Column:
+def _a_keys(use_bigrams: bool, salts: int = 1) -> Column:
+    # a bare length is a key of few values: in the shuffled join names are dealt over ``salts`` of each
+    salt = F.pmod(F.xxhash64("_a"), F.lit(salts)) if salts > 1 else None
     length_key = F.when(
-        F.col("_a_l") > 0, F.array(_key("L", F.col("_a_l"), F.lit("")))
+        F.col("_a_l") > 0, F.array(_key("L", F.col("_a_l"), F.lit(""), occ=salt))
     ).otherwise(F.array().cast(f"array<{_KEY}>"))
     keys = F.concat(length_key, _token_keys("_a"))
     if use_bigrams:
@@ -170,7 +174,7 @@ def _a_keys(use_bigrams: bool) -> Column:
 
 
 @functools.lru_cache(maxsize=128)
-def _b_keys(t: int, use_bigrams: bool, max_len: int | None = None) -> Column:
+def _b_keys(t: int, use_bigrams: bool, max_len: int | None = None, salts: int = 1) -> Column:
     """Keys of a query: per name length that can reach t, either its prefix
     elements (when t forces common bigrams) or the bare length; plus tokens.
     Each key carries ``pl``, the prefix length used for it.  ``max_len`` caps
@@ -185,8 +189,12 @@ def _b_keys(t: int, use_bigrams: bool, max_len: int | None = None) -> Column:
     def plain(k: Column) -> Column:
         return F.struct(k.alias("_kb"), F.lit(0).alias("_b_pl"))
 
+    def bare(n: Column) -> Column:
+        """The length key, under every salt."""
+        return F.array(*[plain(_key("L", n, F.lit(""), occ=F.lit(i))) for i in range(salts)])
+
     if not use_bigrams:
-        length_keys = F.transform(lengths, lambda n: plain(_key("L", n, F.lit(""))))
+        length_keys = F.flatten(F.transform(lengths, bare))
     else:
         n_b = F.size(F.col("_b_s"))
 
@@ -196,7 +204,7 @@ def _b_keys(t: int, use_bigrams: bool, max_len: int | None = None) -> Column:
             pre = F.slice(F.col("_b_s"), 1, pl)
             return F.when(
                 m >= 1, F.transform(pre, lambda e: F.struct(_elem_key(n, e).alias("_kb"), pl.alias("_b_pl")))
-            ).otherwise(F.array(plain(_key("L", n, F.lit("")))))
+            ).otherwise(bare(n))
 
         length_keys = F.flatten(F.transform(lengths, per_length))
     return F.concat(length_keys, F.transform(_token_keys("_b"), plain))
@@ -248,8 +256,9 @@ def _candidates(a: DataFrame, b: DataFrame, t: int, broadcast_b: bool, max_len:
     if use_bigrams:
         a, b = _sorted_elements(a, b)
         a = a.withColumn("_a_pre", _a_prefix(t))
-    ak = a.select("*", F.inline(_a_keys(use_bigrams)))
-    bk = b.select("*", F.inline(_b_keys(t, use_bigrams, max_len)))
+    salts = 1 if broadcast_b else LENGTH_SALTS
+    ak = a.select("*", F.inline(_a_keys(use_bigrams, salts)))
+    bk = b.select("*", F.inline(_b_keys(t, use_bigrams, max_len, salts)))
     bk = F.broadcast(bk) if broadcast_b else bk
     cond = _join_condition(t)
     if use_bigrams:

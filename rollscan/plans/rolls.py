@@ -300,9 +300,9 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``queries(query)``: every distinct word of at least twelve characters of the benchmark texts."""
+    """``queries(query)``: every distinct word of at least nine characters of the benchmark texts."""
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.split("text", "[^a-zA-Z]+")).alias("query"))
-    return b.where(F.length("query") >= 12).distinct()
+    return b.where(F.length("query") >= 9).distinct()
 
 
 def doc_ledger(spark: SparkSession, sf_dir: str, nhash: str) -> DataFrame:
@@ -358,7 +358,7 @@ WORD_NAMES_SQL = """
 word_names AS (
   SELECT DISTINCT name FROM (SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS name FROM documents) WHERE length(name) >= 8),
 word_queries AS (
-  SELECT DISTINCT query FROM (SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS query FROM benchmark) WHERE length(query) >= 12)
+  SELECT DISTINCT query FROM (SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS query FROM benchmark) WHERE length(query) >= 9)
 """
 
 DOC_FILES_SQL = """
