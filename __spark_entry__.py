@@ -760,7 +760,7 @@ def _settings_sql(threshold: int = 82, pages: str = "none") -> str:
     """Digest of the result-changing parameters, spelled out."""
     return (
         f"substr(sha256('threshold={threshold}|box_level=false|min_confidence=60|max_pdf_size_mb=50|max_pdf_pages={pages}"
-        "|word_match_threshold=70|layout=flat|strict_labels=false|all_records=false'), 1, 16)"
+        "|word_match_threshold=70|layout=flat|strict_labels=false|all_records=false|name_label=নাম|guardian_labels=পিতার নাম,স্বামীর নাম'), 1, 16)"
     )
 LEDGER_SQL = f"""
 le0 AS (

@@ -7,6 +7,7 @@ whole-stage code generation; no Python runs per row.
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,7 +90,7 @@ def token_set_key(c) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(py_split(c))), " ")
 
 
-def name_pattern(strict: bool = False) -> str:
+def name_pattern(strict: bool = False, label: str = NAME_LABEL) -> str:
     """Java pattern of the name field: label, colon, lazy 1..200 chars, line end.
 
     ``(?d)`` makes only ``\\n`` a line terminator for ``.`` and ``$`` and
@@ -99,24 +100,24 @@ def name_pattern(strict: bool = False) -> str:
     """
     anchor = "^" if strict else ""
     return (
-        f"(?dm){anchor}{NAME_LABEL}{WS_CLASS}*[{LABEL_COLONS}]{WS_CLASS}*"
+        f"(?dm){anchor}{re.escape(label)}{WS_CLASS}*[{LABEL_COLONS}]{WS_CLASS}*"
         f"(.{{1,{MAX_FIELD_CHARS}}}?)(?:\\n|$)"
     )
 
 
-def guardian_pattern() -> str:
+def guardian_pattern(labels: tuple[str, ...] = GUARDIAN_LABELS) -> str:
     """Java pattern of the guardian field; group 1 = relation label, group 2 = value."""
-    labels = "|".join(GUARDIAN_LABELS)
+    labels = "|".join(map(re.escape, labels))
     return (
         f"(?dm)({labels}){WS_CLASS}*[{LABEL_COLONS}]{WS_CLASS}*"
         f"(.{{1,{MAX_FIELD_CHARS}}}?)(?:\\n|$)"
     )
 
 
-def field_pattern() -> str:
+def field_pattern(label: str = NAME_LABEL, guardians: tuple[str, ...] = GUARDIAN_LABELS) -> str:
     """Java pattern of any field, in text order: group 1 = label (a name label at a line start, or
     a guardian label), group 2 = value."""
-    labels = "|".join((f"^{NAME_LABEL}", *GUARDIAN_LABELS))
+    labels = "|".join((f"^{re.escape(label)}", *map(re.escape, guardians)))
     return f"(?dm)({labels}){WS_CLASS}*[{LABEL_COLONS}]{WS_CLASS}*(.{{1,{MAX_FIELD_CHARS}}}?)(?:\\n|$)"
 
 

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollscan.functions.text import NAME_LABEL, field_pattern, guardian_pattern, name_pattern, py_strip
+from rollscan.functions.text import field_pattern, guardian_pattern, name_pattern, py_strip
 from rollscan.params import SearchParams
 
 # Fixed value: record blocks are separated by exactly one blank line.
@@ -71,24 +71,25 @@ def extract_records(
     ``record_pos`` is the name's number in the block.
     """
     params = params or SearchParams()
-    npat = name_pattern(params.strict_labels)
-    gpat = guardian_pattern()
+    label = params.name_label
+    npat = name_pattern(params.strict_labels, label)
+    gpat = guardian_pattern(tuple(params.guardian_labels))
     if not params.all_records:
         keep = [c for c in pages.columns if c != text_col]
         found, finish = _first_record_columns(text_col, npat, gpat)
         return pages.select(*keep, found).select(*keep, *finish)
     blocks = split_blocks(pages, text_col)
     keep = [c for c in blocks.columns if c != "block"]
-    field = F.lit(field_pattern())
+    field = F.lit(field_pattern(label, tuple(params.guardian_labels)))
     found = F.arrays_zip(
         F.regexp_extract_all("block", field, F.lit(1)).alias("label"), F.regexp_extract_all("block", field, F.lit(2)).alias("value")
     )
     fields = blocks.select(*keep, found.alias("fields")).select(*keep, "fields", F.posexplode("fields").alias("at", "name"))
-    is_name = F.col("name.label") == NAME_LABEL
+    is_name = F.col("name.label") == label
     after = F.get("fields", F.col("at") + 1)
     first = F.get("fields", F.lit(0))
-    earlier = F.filter(F.slice("fields", F.lit(1), F.col("at")), lambda f: f["label"] == NAME_LABEL)
-    guardian = F.when(after["label"] != NAME_LABEL, after).when((F.size(earlier) == 0) & (F.col("at") > 0), first)
+    earlier = F.filter(F.slice("fields", F.lit(1), F.col("at")), lambda f: f["label"] == label)
+    guardian = F.when(after["label"] != label, after).when((F.size(earlier) == 0) & (F.col("at") > 0), first)
     paired = fields.where(is_name).select(*keep, F.size(earlier).alias("record_pos"), F.col("name.value").alias("n"), guardian.alias("g"))
     return paired.where(F.col("g").isNotNull()).select(
         *keep,

@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, replace
 
+from rollscan.functions.text import GUARDIAN_LABELS, NAME_LABEL
+
 
 # Fixed values that must equal the reference defaults.
 DEFAULT_THRESHOLD = 82
@@ -24,7 +26,7 @@ LEDGER_VERSION = "1.0"
 # Parameters that change result rows: a ledger entry is valid for one setting of all of them.
 RESULT_PARAMS = (
     "threshold", "box_level", "min_confidence", "max_pdf_size_mb", "max_pdf_pages",
-    "word_match_threshold", "layout", "strict_labels", "all_records",
+    "word_match_threshold", "layout", "strict_labels", "all_records", "name_label", "guardian_labels",
 )
 
 
@@ -48,6 +50,9 @@ class SearchParams:
     # Extraction options (defaults keep reference behaviour).
     strict_labels: bool = False
     all_records: bool = False
+    # Label words of a record's name and guardian fields.
+    name_label: str = NAME_LABEL
+    guardian_labels: tuple[str, ...] = GUARDIAN_LABELS
     # Fuzzy-join strategy: "auto", "broadcast" or "shuffle".
     strategy: str = "auto"
     # Largest query side (rows) that the broadcast strategy accepts.
@@ -75,6 +80,8 @@ class SearchParams:
             raise ValueError(f"layout must be 'flat' or 'lines', got {self.layout!r}")
         if self.strategy not in ("auto", "broadcast", "shuffle"):
             raise ValueError(f"strategy must be auto, broadcast or shuffle, got {self.strategy!r}")
+        if not self.name_label or not self.guardian_labels or not all(self.guardian_labels):
+            raise ValueError("labels must not be empty")
         for name in ("max_pdf_size_mb", "max_pdf_pages", "max_search_names", "ttl_days"):
             if getattr(self, name) is not None and float(getattr(self, name)) < 0:
                 raise ValueError(f"{name} must not be negative")
@@ -83,6 +90,8 @@ class SearchParams:
         """Digest of every parameter that changes result rows (16 hex digits)."""
 
         def text(v) -> str:
+            if isinstance(v, (tuple, list)):
+                return ",".join(v)
             return str(v).lower() if v is None or isinstance(v, bool) else f"{v:g}" if isinstance(v, (int, float)) else str(v)
 
         named = "|".join(f"{k}={text(getattr(self, k))}" for k in RESULT_PARAMS)

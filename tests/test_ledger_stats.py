@@ -41,7 +41,8 @@ def test_names_hash_matches_python(spark):
 def test_settings_hold_every_parameter_that_changes_rows():
     base = SearchParams()
     changed = [dict(threshold=81), dict(box_level=True), dict(min_confidence=61), dict(max_pdf_size_mb=49), dict(max_pdf_pages=100),
-               dict(word_match_threshold=71), dict(layout="lines"), dict(strict_labels=True), dict(all_records=True)]
+               dict(word_match_threshold=71), dict(layout="lines"), dict(strict_labels=True), dict(all_records=True),
+               dict(name_label="Name"), dict(guardian_labels=("Father",))]
     assert len({base.settings(), *(SearchParams(**c).settings() for c in changed)}) == len(changed) + 1
     assert base.settings() == SearchParams(ttl_days=3, strategy="shuffle", min_confidence=60).settings()
 

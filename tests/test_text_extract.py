@@ -88,6 +88,13 @@ def test_all_records(spark):
     assert _records(spark, lines(father + "x", father + "y"), all_records=True) == []
 
 
+def test_labels_are_parameters(spark):
+    text = "Name (full): A" + NL + "Father: B"
+    labels = dict(name_label="Name (full)", guardian_labels=("Father", "Husband"))
+    assert _records(spark, text) == []
+    assert _records(spark, text, **labels) == [("A", "B")] == _records(spark, text, all_records=True, **labels)
+
+
 def test_block_split_like_python(spark):
     text = "a\n\n\nb\n\n"
     pages = spark.createDataFrame([("p", "f", 1, text)], "path string, file string, page int, text string")
