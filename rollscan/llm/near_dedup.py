@@ -10,13 +10,13 @@
    exact copies of any size costs one row after a map-side aggregate.
 3. Inside a bucket, candidate edges form a star: every member is tested
    against the centre only, the member with the most company over all its
-   buckets.  A bucket of m members gives m - 1 pairs.
-4. Pairs are confirmed on the full sets and the links are joined to connected
-   components.  Buckets whose members still lie in several components go on:
-   small ones test their remaining cross-component pairs, large ones get
-   further centres (twice as many each round), until no untested pair of
-   different components is left in any bucket.  So no link between
-   candidates is lost, while large groups of copies never give all pairs.
+   buckets.  A bucket of m members gives m - 1 pairs.  Pairs are confirmed on
+   the full sets and the links are joined to connected components.
+4. Sets in buckets that still hold several components are compared once more,
+   exactly: two alike sets share one of their rarest shingles, and only sets
+   outside the largest component under a shingle are paired with the others.
+   So no link between sets that share a bucket is lost, and a large group of
+   copies never gives all its pairs.
 
 Defined results: a null or empty text has an empty set, is linked with
 nothing and has its own ``doc_id`` as component; repeated ``doc_id`` rows are
@@ -33,7 +33,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollscan.llm.common import prepare, text_or_empty
@@ -45,10 +45,6 @@ BINS = 640
 ROWS = 8
 #: Places of its detour that an empty bin tries at first; nearly all find a filled one.
 DETOUR = 64
-#: Buckets of at most so many members test their cross-component pairs at once (at most 120 pairs).
-SMALL_BUCKET = 16
-#: Centres of a large bucket in its second round; twice as many in each later one.
-CENTRES = 4
 #: Up to so many keys (16 bytes each) a key list is broadcast to filter the sets; beyond, the join shuffles.
 BROADCAST_KEYS = 500_000
 
@@ -208,14 +204,45 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets whose members have several roots, with root, bucket size and the bucket's top rank."""
-    rooted = members.select("bucket", "set_key", "n", "rank").join(labels, F.col("set_key") == F.col("node"), "left").select(
-        "bucket", "set_key", "n", "rank", F.coalesce("root", "set_key").alias("root")
-    )
-    split = rooted.groupBy("bucket").agg(
-        F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("rank").alias("top")
-    ).where("low <> high").select("bucket", "size", "top")
-    return materialize(rooted.join(split, "bucket"))
+    """The sets (set_key, n, root) in buckets whose members have several roots."""
+    rooted = members.join(labels, F.col("set_key") == F.col("node"), "left")
+    rooted = rooted.select("bucket", "set_key", "n", F.coalesce("root", "set_key").alias("root"))
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return materialize(rooted.join(split, "bucket", "left_semi").select("set_key", "n", "root").distinct())
+
+
+def needed(a: str, b: str, percent: int) -> Column:
+    """Least number of common shingles of two alike sets of these sizes."""
+    return F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent))
+
+
+def rare_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b, n_a, n_b) of live sets with different roots that can be alike.
+
+    Exact: with shingles in one common order, the rarest first, two alike sets
+    share one among the first ``n - needed + 1`` of each.  Under each such
+    shingle only sets outside its most frequent root are paired with the
+    others, so a large group of one root is never paired with itself.
+    """
+    keys = materialize(live.select(F.col("set_key").alias("key")))
+    held = materialize(only_keys(sets, "set_key", keys).select("set_key", F.explode("set").alias("shingle")))
+    often = held.groupBy("shingle").agg(F.count("*").alias("holders"))
+    ordered = held.join(often, "shingle").groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("s"))
+    # the partner may be as small as percent of n: that is the longest prefix
+    longest = F.size("s") - F.ceil(percent * F.size("s") / 100).cast("int") + 1
+    first = ordered.select("set_key", F.posexplode(F.slice("s", F.lit(1), longest)).alias("at", "e"))
+    first = first.where("e.holders > 1").select("set_key", "at", "e.shingle").join(live, "set_key")
+    sizes = live.groupBy("root").agg(F.count("*").alias("nodes"))
+    first = materialize(first.join(sizes, "root"))
+    top = first.groupBy("shingle").agg(F.max(F.struct("nodes", "root")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high"))
+    top = top.where("low <> high").select("shingle", F.col("top.root").alias("top"))
+    of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "root", "at")] + [F.col("set_key").alias(x), "shingle"]
+    left = first.join(top, "shingle").where("root <> top").select(*of("a"))
+    right = first.join(top.select("shingle"), "shingle", "left_semi").select(*of("b"))
+    need = needed("n_a", "n_b", percent)
+    fits = (F.col("at_a") <= F.col("n_a") - need) & (F.col("at_b") <= F.col("n_b") - need)
+    pairs = left.join(right, "shingle").where((F.col("root_a") != F.col("root_b")) & close_enough(percent) & fits)
+    return pairs.select("a", "b", "n_a", "n_b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).dropDuplicates(["lo", "hi"])
 
 
 def group_buckets(in_buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -231,35 +258,21 @@ def group_buckets(in_buckets: DataFrame, sets_of: Callable[[DataFrame], DataFram
     members = materialize(members.join(company, "set_key").select("bucket", "set_key", "n", F.struct("weight", "n", "set_key").alias("rank")))
     sets = materialize(sets_of(members.select("set_key").distinct()))
 
-    spark = in_buckets.sparkSession
-    tested = spark.createDataFrame([], "a binary, b binary")
-    labels = spark.createDataFrame([], "node binary, root binary")
-    centres = 1
-    while True:
-        members = undecided(members, labels)
-        if members.isEmpty():
-            return labels
-        if centres == 1:  # a star in every bucket
-            heads = members.where(F.col("set_key") == F.col("top.set_key"))
-        else:
-            place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank")))
-            large = members.where(F.col("size") > SMALL_BUCKET).withColumn("place", place).where(F.col("place") <= centres)
-            heads = members.where(F.col("size") <= SMALL_BUCKET).unionByName(large.drop("place"))
-        heads = heads.select("bucket", F.col("set_key").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-        heads = materialize(heads)
-        rest = members.select("bucket", F.col("set_key").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-        pairs = rest.join(heads, "bucket").where((F.col("root_a") != F.col("root_b")) & close_enough(percent))
-        pairs = pairs.select("a", "b", "n_a", "n_b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-        pairs = pairs.dropDuplicates(["lo", "hi"]).join(tested.select(F.col("a").alias("lo"), F.col("b").alias("hi")), ["lo", "hi"], "left_anti")
-        pairs = materialize(pairs)
-        new = materialize(confirmed(pairs, sets, percent))
-        tested = tested.unionByName(pairs.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
-        if not new.isEmpty():
-            labels = merged(labels, new)
-        # a centre has met every member of its bucket
-        members = members.join(heads.select("bucket", F.col("a").alias("set_key")), ["bucket", "set_key"], "left_anti")
-        members = members.select("bucket", "set_key", "n", "rank")
-        centres = CENTRES if centres == 1 else 2 * centres
+    # a star in every bucket, around the member with the most company
+    centres = members.groupBy("bucket").agg(F.max("rank").alias("top"))
+    centres = centres.select("bucket", F.col("top.set_key").alias("a"), F.col("top.n").alias("n_a"))
+    rest = members.select("bucket", F.col("set_key").alias("b"), F.col("n").alias("n_b"))
+    star = rest.join(centres, "bucket").where((F.col("a") != F.col("b")) & close_enough(percent))
+    star = star.select("a", "b", "n_a", "n_b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    star = materialize(star.dropDuplicates(["lo", "hi"]))
+    nothing = in_buckets.sparkSession.createDataFrame([], "node binary, root binary")
+    labels = merged(nothing, materialize(confirmed(star, sets, percent)))
+
+    live = undecided(members, labels)
+    if live.isEmpty():
+        return labels
+    more = rare_pairs(live, sets, percent).join(star.select("lo", "hi"), ["lo", "hi"], "left_anti")
+    return merged(labels, materialize(confirmed(materialize(more), sets, percent)))
 
 
 def near_duplicates(
