@@ -20,6 +20,7 @@ ignored.  Texts are tokenised whole.
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,8 +35,6 @@ from rollscan.session import materialize
 
 SEQ_LEN = 2048
 END_ID = 0
-#: Pieces of one length that are ranked together in one task, about.
-RANK_ROWS = 100_000
 
 
 class Encoder:
@@ -180,7 +179,8 @@ def place(pieces: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = best_fit_plan(histogram, seq_len)
-    chunks = max(1, sum(histogram.values()) // RANK_ROWS)
+    # of one length, as many chunks as rows in a chunk: neither ranking nor adding up is long for a frequent length
+    chunks = max(1, math.isqrt(sum(histogram.values())))
     keyed = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks)))
     # rank within the length: position inside the chunk plus the rows of the chunks before it
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
