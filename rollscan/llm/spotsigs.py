@@ -41,7 +41,9 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 #: Characters of text in a bucket of the order by doc_id, about, and rows to look at for its bounds.
-BUCKET_CHARS = 8 << 20
+BUCKET_CHARS = 4 << 20
+#: Buckets at most; beyond BUCKET_CHARS times so many characters the buckets grow (each is sorted with spilling).
+MAX_BUCKETS = 1 << 16
 GLUE = "\x01"
 
 
@@ -89,6 +91,23 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     return d.select("doc_id", F.size("spots").alias("n_spots"), "spots", fingerprint(F.col("spots")).alias("fingerprint"))
 
 
+def bounds_passed(key: Column, bounds: list[int]) -> Column:
+    """Number of sorted bounds at or below the key, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded into one literal
+    middle = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
+    pair = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+    def step(s: Column, _: Column) -> Column:
+        passed = F.get(table, middle(s)) <= key
+        halved = F.when(passed, pair(middle(s) + 1, s["high"])).otherwise(pair(s["low"], middle(s)))
+        return F.when(s["low"] < s["high"], halved).otherwise(s)
+
+    rounds = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.aggregate(rounds, pair(F.lit(0), F.lit(len(bounds))), step, lambda s: s["low"])
+
+
 def with_next(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """doc_id, text, spots and those of the next document by doc_id (after the last, the first).
 
@@ -98,14 +117,11 @@ def with_next(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """
     d = docs.select("doc_id", text_or_empty().alias("text"))
     chars, = d.agg(F.sum(F.length("text"))).first()
-    n = max(1, (chars or 0) // bucket_chars)
+    n = min(MAX_BUCKETS, max(1, (chars or 0) // bucket_chars))
     cuts = [i / n for i in range(1, n)]
-    bounds = d.agg(F.percentile_approx("doc_id", cuts, 100 * n)).first()[0] if cuts else []
-    bounds = sorted(set(bounds or []))
-    # number of bounds at or below the id; null ids come first
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(bucket)
-    d = d.select("doc_id", "text", spots(F.col("text")).alias("spots"), bucket.cast("long").alias("bucket"))
+    bounds = d.agg(F.percentile_approx("doc_id", cuts, 20 * n)).first()[0] if cuts else []
+    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(bounds_passed(F.col("doc_id"), sorted(set(bounds or []))))
+    d = d.select("doc_id", "text", bucket.cast("long").alias("bucket"))
 
     # first id of each bucket that has rows, and the bucket before it; as many rows as buckets
     firsts = docs.select("doc_id", bucket.cast("long").alias("bucket")).groupBy("bucket").agg(F.min(F.struct("doc_id")).alias("first"))
@@ -116,10 +132,10 @@ def with_next(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
         F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(ends)).alias("before"),
     )
     guests = d.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("bucket") == F.col("of")))
-    guests = guests.groupBy("before").agg(F.min(F.struct("text", "spots")).alias("g")).select(
-        F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "g.text", "g.spots", F.col("before").alias("bucket"), F.lit(True).alias("guest")
+    guests = guests.groupBy("before").agg(F.min("text").alias("text")).select(
+        F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.col("before").alias("bucket"), F.lit(True).alias("guest")
     )
-    rows = d.withColumn("guest", F.lit(False)).unionByName(guests)
+    rows = d.withColumn("guest", F.lit(False)).unionByName(guests).withColumn("spots", spots(F.col("text")))
     place = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
     rows = rows.withColumn("next_text", F.lead("text").over(place)).withColumn("next_spots", F.lead("spots").over(place))
     return rows.where(~F.col("guest")).drop("guest", "bucket")

@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from rollscan.llm.spotsigs import edited_likeness, fingerprints, similar_groups, with_next
+from rollscan.llm.spotsigs import bounds_passed, edited_likeness, fingerprints, similar_groups, with_next
 
 
 def next_texts(rows):
@@ -36,6 +36,17 @@ def test_edits(docs, sample, no_docs, spark):
     check_edits(spark.createDataFrame([(1, "only the one here")], "doc_id long, text string"))
 
 
+def test_bounds_are_found_by_halving(spark):
+    from bisect import bisect_right
+
+    from pyspark.sql import functions as F
+
+    keys = spark.range(-3, 60)
+    for bounds in ([], [5], [0, 1], [3, 9, 27], list(range(0, 50, 7)), list(range(17))):
+        got = keys.select("id", bounds_passed(F.col("id"), bounds).alias("n")).collect()
+        assert all(r["n"] == bisect_right(bounds, r["id"]) for r in got)
+
+
 def test_next_over_many_buckets(sample):
     rows = [tuple(r) for r in sample.select("doc_id", "text").collect()]
     got = sorted((r["doc_id"], r["text"], r["next_text"]) for r in with_next(sample, bucket_chars=20_000).collect())
