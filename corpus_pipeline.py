@@ -6,7 +6,7 @@ reread table to the next stage.  All stages but the last return the columns
 of ``documents``:
 
 1. quality rules drop the documents that they reject (rows whose ``doc_id`` is null are judged like any other);
-2. near-dedup leaves one document of each group (documents without words all stay);
+2. near-dedup leaves one document of each group (five-word shingles, Jaccard 0.8; documents without words all stay);
 3. the secret scan replaces every span it reports by ``[SECRET]`` and renews ``n_chars``;
 4. mixing repeats or leaves out documents so that the sources meet their target weights;
 5. packing returns the pieces of all documents with their sequence and offset.
@@ -28,6 +28,8 @@ from rollscan.llm.secret_scan import redact_secrets
 from rollscan.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of a shingle in the near-dedup stage; four words are the contract of op2_minhash_near_dedup only.
+DEDUP_WORDS = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs.select(COLUMNS))
+    return drop_near_duplicates(docs.select(COLUMNS), words=DEDUP_WORDS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
