@@ -18,7 +18,7 @@ from rollscan.llm.near_dedup import near_duplicates
 from rollscan.llm.packing import pack_documents
 from rollscan.llm.quality_rules import quality_verdicts
 from rollscan.llm.secret_scan import scan_secrets, secret_digest
-from rollscan.llm.spotsigs import edited_likeness
+from rollscan.llm.spotsigs import grouped_likeness
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +104,8 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts, and how alike they are."""
-    return edited_likeness(documents(spark, sf_dir))
+    """Fingerprints of all documents and of their edited texts, how alike they are, and groups of near-duplicates among all documents."""
+    return grouped_likeness(documents(spark, sf_dir))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

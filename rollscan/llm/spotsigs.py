@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollscan.llm.common import text_or_empty
-from rollscan.llm.near_dedup import group_buckets
+from rollscan.llm.near_dedup import BROADCAST_KEYS, group_buckets
 from rollscan.session import materialize
 
 #: Common words of English, German, French and Spanish (a fixed list, by language).
@@ -157,15 +157,20 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     )
 
 
-def similar_groups(docs: DataFrame, percent: int = 80, chain: int = CHAIN) -> DataFrame:
-    """One row per document: doc_id and group_id, the least doc_id it reaches by likeness of at least ``percent``.
+def set_key() -> Column:
+    """Digest that names a non-empty set of spots, from its fingerprint."""
+    return F.when(F.col("n_spots") > 0, F.unhex(F.md5("fingerprint")))
 
-    Documents with equal fingerprints are one entry; documents without spots
-    stay alone.
+
+def set_groups(prints: DataFrame, percent: int = 80) -> DataFrame:
+    """set_key and group_id, the least doc_id a set reaches, of every set of several documents or alike to another one.
+
+    ``prints`` has doc_id, set_key and spots of every document; it is read once.
     """
-    prints = materialize(fingerprints(docs, chain).withColumn("set_key", F.when(F.col("n_spots") > 0, F.unhex(F.md5("fingerprint")))))
-    one = prints.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.first("spots").alias("spots"), F.min("doc_id").alias("least"))
-    one = materialize(one.select("set_key", "least", F.array_sort("spots").alias("spots"), F.size("spots").alias("n")))
+    one = prints.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(
+        F.first("spots").alias("spots"), F.min("doc_id").alias("least"), F.count("*").alias("copies")
+    )
+    one = materialize(one.select("set_key", "least", "copies", F.array_sort("spots").alias("spots"), F.size("spots").alias("n")))
     share = percent / 100
     # lengths within the threshold of each other are in the same partition or the next
     part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / share)) + 1e-9).cast("int")
@@ -175,8 +180,35 @@ def similar_groups(docs: DataFrame, percent: int = 80, chain: int = CHAIN) -> Da
     entered = entered.select("set_key", "n", "part", F.explode("first").alias("spot"))
     buckets = entered.select(F.xxhash64("part", "spot").alias("bucket"), "set_key", F.col("n").cast("long").alias("n"))
     labels = group_buckets(buckets, lambda keys: one.join(keys, "set_key", "left_semi").select("set_key", F.col("spots").alias("set")), percent)
-    named = one.join(labels, F.col("set_key") == F.col("node"), "left").select("set_key", F.coalesce("root", "set_key").alias("group"), "least")
+    named = one.select("set_key", "least", "copies").join(labels, F.col("set_key") == F.col("node"), "left")
+    named = named.where((F.col("copies") > 1) | F.col("root").isNotNull())
+    named = materialize(named.select("set_key", F.coalesce("root", "set_key").alias("group"), "least"))
     ids = named.groupBy("group").agg(F.min("least").alias("group_id"))
-    named = named.select("set_key", "group").join(ids, "group").select("set_key", "group_id")
-    out = prints.join(named, "set_key", "left")
-    return out.select("doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"))
+    return materialize(named.select("set_key", "group").join(ids, "group").select("set_key", "group_id"))
+
+
+def with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, set_key, ...) with group_id in place of set_key; the own doc_id where no group is named."""
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_KEYS else groups
+    others = [c for c in rows.columns if c != "set_key"]
+    return rows.join(groups, "set_key", "left").select(*others, F.coalesce("group_id", "doc_id").alias("group_id"))
+
+
+def similar_groups(docs: DataFrame, percent: int = 80, chain: int = CHAIN) -> DataFrame:
+    """One row per document: doc_id and group_id, the least doc_id it reaches by likeness of at least ``percent``.
+
+    Documents with equal fingerprints are one entry; documents without spots
+    stay alone.
+    """
+    prints = materialize(fingerprints(docs, chain).select("doc_id", set_key().alias("set_key"), "spots"))
+    return with_group(prints.select("doc_id", "set_key"), set_groups(prints, percent))
+
+
+def grouped_likeness(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``edited_likeness`` with group_id, as ``similar_groups`` finds it among all documents.
+
+    A broadcast or join by set names the groups, so the fingerprints of the
+    rows are written for the comparison only, once per distinct set.
+    """
+    prints = fingerprints(docs).select("doc_id", set_key().alias("set_key"), "spots")
+    return with_group(edited_likeness(docs).withColumn("set_key", set_key()), set_groups(prints, percent))
