@@ -21,6 +21,9 @@ are ignored.
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,7 +99,38 @@ KNOWN = (
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 )
 
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright [^\n]*|\(c\) [^\n]*|©[^\n]*|all rights reserved[^\n]*)$"
+#: Entire texts in the folder license_texts, by licence id.
+ENTIRE = ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense")
+#: Titles that files put above a text which has none of its own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero-Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+UNLICENSE_URLS = ("<https://unlicense.org>", "<https://unlicense.org/>", "<http://unlicense.org>", "<http://unlicense.org/>")
+#: Last line of texts without their appendix on how to apply them.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+#: Words after "copyright" at the start of a line that go on with a clause; other lines that begin so are copyright statements.
+CLAUSE = (
+    "notices?|holders?|owners?|licen[cs]es?|laws?|and|or|in|is|interests?|statements?|rights?|protection|to|of|as|on|for|"
+    "permission|claims?|infringement|treaty|acts?|material|status|disclaimer|that|which|may|shall|will|does|are|was|has"
+)
+#: Words after "(c)" that make it the mark of a list entry.
+LISTED = "you|your|if|for|under|any|to|in|it|that|is|are|must|may|shall|where|when|the (?:licen[cs]e|work|copyright)"
+COPYRIGHT_LINE = (
+    rf"(?m)^[^\p{{L}}\p{{N}}\n]*(copyright (?!\s*(?:{CLAUSE})(?![\p{{L}}\p{{N}}]))[^\n]*|"
+    rf"\(c\) (?!\s*(?:{LISTED}))[^\n]*|©[^\n]*|all rights reserved[^\n]*)$"
+)
+#: Names that users fill into the texts, in canonical form, and the names that stand for them.
+FILLED = (
+    (r"neither the name of [^\n]{1,120}? nor the names of (?:its|the) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"this software is provided by [^\n]{1,120}? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    (r"in no event shall [^\n]{1,120}? be liable for any direct", "in no event shall the copyright holder or contributors be liable for any direct"),
+)
 
 
 def canonical(text: Column) -> Column:
@@ -104,7 +138,25 @@ def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
     for other, one in SPELLINGS:
         out = F.replace(out, F.lit(other), F.lit(one))
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    for other, one in FILLED:
+        out = F.regexp_replace(out, other, one)
+    return out
+
+
+def entire_texts() -> tuple:
+    """Known texts as whole files: (license, text) with the titles, bullets and endings that are in use."""
+    folder = files("rollscan.llm") / "license_texts"
+    texts = [(k, (folder / f"{k}.txt").read_text("utf-8")) for k in ENTIRE]
+    bsd = dict(texts)["BSD-3-Clause"]
+    texts.append(("BSD-2-Clause", re.sub(r"(?s)3\. Neither .*?permission\.\n", "", bsd)))
+    texts += [(k, t + end) for k, t in texts if k == "Unlicense" for end in ("\nFor more information, please refer to " + u for u in UNLICENSE_URLS)]
+    texts += [(k, re.sub(r"(?m)^\d\. ", "* ", t)) for k, t in texts if k.startswith("BSD")]
+    texts += [(k, t[: t.index(TERMS_END) + with_line * len(TERMS_END)]) for k, t in texts if TERMS_END in t for with_line in (0, 1)]
+    # the line of the address below the copyright line of older texts
+    texts += [(k, re.sub(r"(?m)^.*Franklin Street.*\n", "", t, count=1)) for k, t in texts if "Franklin Street" in t]
+    texts += [(k, t) for k, t in KNOWN if k in ("MIT", "ISC", "0BSD") and len(t) > 200]
+    return tuple(texts + [(k, f"{title}\n\n{t}") for k, t in texts for title in TITLES.get(k, ())])
 
 
 def digest(text: Column) -> Column:
@@ -119,10 +171,17 @@ def known_digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
     return found.where(F.col("digest") != F.sha2(F.lit(""), 256)).groupBy("digest").agg(F.min("license").alias("license"))
 
 
+def shipped_digests(spark: SparkSession) -> DataFrame:
+    """The digests of all shipped notices and texts, as a table of literals (the texts stay out of the plan)."""
+    rows = known_digests(spark, KNOWN + entire_texts()).collect()
+    pairs = F.array(*[F.struct(F.lit(r["license"]).alias("license"), F.lit(r["digest"]).alias("digest")) for r in rows])
+    return spark.range(1).select(F.explode(pairs).alias("k")).select("k.license", "k.digest")
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, whole_license, n_license_lines and licenses (sorted, distinct, of text and lines)."""
     if known is None:
-        known = F.broadcast(known_digests(docs.sparkSession))  # the fixed list above
+        known = F.broadcast(shipped_digests(docs.sparkSession))  # a fixed list
     elif known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     # numbers rows, not documents: repeated rows stay apart
