@@ -2,7 +2,7 @@
 
 Three base kinds are found by pattern (``assign``, ``access``, ``hex``).  The
 method adds kinds that a pattern alone cannot assert: a candidate run of
-base64 or hex characters is decoded and its bytes are parsed, and it is
+base64 (also over several lines, quoted or commented) or hex characters is decoded and its bytes are parsed, and it is
 reported only if the structure holds to the last byte:
 
 * ``der``      private key in DER (PKCS#1, PKCS#8, encrypted PKCS#8, SEC 1, DSA): nested
@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import binascii
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -47,11 +48,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a greedy maximal run, so the length can be asked for at once
 
 ARMOUR = re.compile(
-    r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)"
+    r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----((?:(?!-----)[\s\S])+)"
     r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"
 )
 B64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){32,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){32,}(?![0-9A-Za-z])")
+HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?((?:[0-9a-fA-F]{2}){32,})(?![0-9A-Za-z])")
+#: What quotes, mail and comments put before a line.
+LINE_START = r"[^\S\n]*+(?:[>#*;][^\S\n]*+|(?://|--)[^\S\n]++)*+"
+#: A line of base64 alone, quoted or not.
+B64_LINE = re.compile(rf"^{LINE_START}[\"'`]?([A-Za-z0-9+/_-]++={{0,2}})(?:\\[nr])*[\"'`]?[^\S\n]*[+,;\\]?[^\S\n]*$", re.MULTILINE)
+MIN_LINE = 40
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 
 #: Signature bytes by algorithm name (RFC 7518); RSA ones are at least 128.
@@ -176,6 +182,41 @@ def is_signed_token(header: str, payload: str, signature: str) -> bool:
     return len(sign) == need if need is not None else len(sign) >= (128 if alg[:2] in ("RS", "PS") else 16)
 
 
+def armoured(body: str) -> Iterator[str]:
+    """What the lines of an armoured block may hold: as they stand, and without quotes, comment marks or a common prefix."""
+    yield re.sub(r"\\[nr]|\s", "", body)
+    lines = [x.strip() for x in re.split(r"\\[nr]|[\r\n]", body) if re.search("[A-Za-z0-9]", x)]
+    if not lines:
+        return
+    bare = [re.sub(LINE_START, "", x, count=1) for x in lines]
+    quoted = [m[1] if (m := re.search(r"[\"'`]([^\"'`]*)", x)) and m[1] else re.sub(r"[\"'`].*", "", x) for x in bare]
+    yield "".join(x.rstrip(" \t,;\\") for x in quoted)
+    prefix = re.match(r"[^A-Za-z0-9]*", os.path.commonprefix(lines))[0]
+    yield "".join(x[len(prefix) :].strip() for x in lines)
+
+
+def wrapped_keys(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys over consecutive base64 lines without armour: lines of one width, then one that may be shorter."""
+    run: list[re.Match] = []
+
+    def confirmed_span() -> Iterator[tuple[str, int, int]]:
+        for n in (len(run), len(run) - 1):
+            if n > 1 and (kind := key_kind(decode_base64("".join(m[1] for m in run[:n])))):
+                yield kind, run[0].start(1), run[n - 1].end(1)
+                return
+
+    for m in B64_LINE.finditer(text):
+        width = len(run[0][1]) if run else 0
+        goes_on = run and m.start() == run[-1].end() + 1 and len(run[-1][1]) == width and len(m[1]) <= width
+        if not goes_on:
+            yield from confirmed_span()
+            run = []
+            if len(m[1]) < MIN_LINE:
+                continue
+        run.append(m)
+    yield from confirmed_span()
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span of the text, by start, then kind in the order of ``KINDS``."""
     out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -183,15 +224,16 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
     blocks = []
     for m in ARMOUR.finditer(text):
-        if kind := key_kind(decode_base64(re.sub(r"\\[nr]|\s", "", m[1]))):
+        if kind := next(filter(None, (key_kind(decode_base64(b)) for b in armoured(m[1]))), None):
             out.append((kind, *m.span()))
             blocks.append(m.span())
     inside = lambda m: any(a <= m.start() and m.end() <= b for a, b in blocks)
     for m in B64_RUN.finditer(text):
         if (kind := key_kind(decode_base64(m[0]))) and not inside(m):
             out.append((kind, *m.span()))
+    out += [(k, a, b) for k, a, b in wrapped_keys(text) if not any(c <= a and b <= d for c, d in blocks)]
     for m in HEX_RUN.finditer(text):
-        if kind := key_kind(bytes.fromhex(m[0])):
+        if kind := key_kind(bytes.fromhex(m[1])):
             out.append((kind, *m.span()))
     out += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(*m.groups())]
     return sorted(out, key=lambda s: (s[1], RANK[s[0]], s[2]))
