@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rollscan.llm import license_scan
+from rollscan.llm import exact_topk, license_scan, ranked_search
 from rollscan.llm.chat_format import canonical_turns, format_turns, loss_text, parse_formatted
 from rollscan.llm.common import table, text_or_empty
 from rollscan.llm.lang_id import held_out, identify, learn
@@ -19,6 +19,7 @@ from rollscan.llm.packing import pack_documents
 from rollscan.llm.quality_rules import quality_verdicts
 from rollscan.llm.secret_scan import scan_secrets, secret_digest
 from rollscan.llm.spotsigs import grouped_likeness
+from rollscan.llm.whitening import whiten, whitened_rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +120,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all documents for every benchmark item."""
+    return ranked_search.rank_documents(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of all embeddings, by inner product, for every 50th."""
+    return exact_topk.search_top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened along the 16 leading components."""
+    return whitened_rows(whiten(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -127,10 +143,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_lm_score, op2_minhash_near_dedup, op3_secret_scan, op4_quality_rules, op5_chat_format, op6_license_scan,
-        op7_source_mix, op8_spotsigs, op9_best_fit_packing, op10_language_id, pipeline,
+        op7_source_mix, op8_spotsigs, op9_best_fit_packing, op10_language_id,
+        op11_ranked_search, op12_exact_topk, op13_whitening, pipeline,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": license_scan.oracle_sql()}
+    return {
+        "op6_license_scan": license_scan.oracle_sql(),
+        "op11_ranked_search": ranked_search.oracle_sql(),
+        "op12_exact_topk": exact_topk.oracle_sql(),
+    }
