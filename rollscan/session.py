@@ -8,6 +8,8 @@ from the session and creates a scratch folder only when it is unset (tests).
 from __future__ import annotations
 
 import tempfile
+import threading
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -67,6 +69,8 @@ def materialize(df):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/rollscan-tables/{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    for scope in getattr(_SCOPES, "open", ()):
+        scope.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -75,6 +79,21 @@ def materialize(df):
 _WRITTEN: dict[str, list[str]] = {}
 
 
+# Lists of the table scopes that are open in a thread.
+_SCOPES = threading.local()
+
+
+@contextmanager
+def table_scope():
+    """The paths of the intermediate tables that this thread writes inside the block, as a list that grows."""
+    scope: list[str] = []
+    _SCOPES.open = [*getattr(_SCOPES, "open", ()), scope]
+    try:
+        yield scope
+    finally:
+        _SCOPES.open = [s for s in _SCOPES.open if s is not scope]
+
+
 def written_tables(spark: SparkSession) -> list[str]:
     """Paths of the intermediate tables that this application has written and not dropped."""
     return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
