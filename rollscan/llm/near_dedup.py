@@ -12,11 +12,12 @@
    against the centre only, the member with the most company over all its
    buckets.  A bucket of m members gives m - 1 pairs.  Pairs are confirmed on
    the full sets and the links are joined to connected components.
-4. Sets in buckets that still hold several components are compared once more,
-   exactly: two alike sets share one of their rarest shingles, and only sets
-   outside the largest component under a shingle are paired with the others.
-   So no link between sets that share a bucket is lost, and a large group of
-   copies never gives all its pairs.
+4. Sets in buckets that still hold several components are compared by their
+   rarest shingles, one of which two alike sets must share.  First in turns of
+   stars, with another centre under each shingle in every turn, as long as they
+   join components; then exactly, every pair that is still in two components.
+   So no link between sets that share a bucket is lost, and a family of many
+   alike sets is one component long before all its pairs would be formed.
 
 Defined results: a null or empty text has an empty set, is linked with
 nothing and has its own ``doc_id`` as component; repeated ``doc_id`` rows are
@@ -33,20 +34,24 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollscan.llm.common import prepare, text_or_empty
-from rollscan.session import materialize
+from rollscan.session import drop_tables, materialize, table_scope
 
-SHINGLE_WORDS = 4
+SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 80
 BINS = 640
 ROWS = 8
 #: Places of its detour that an empty bin tries at first; nearly all find a filled one.
 DETOUR = 64
-#: Up to so many keys (16 bytes each) a key list is broadcast to filter the sets; beyond, the join shuffles.
-BROADCAST_KEYS = 500_000
+#: Bytes up to which a table of keys is broadcast; beyond, its join shuffles.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of a row of keys in a broadcast table, with what the table needs for it.
+KEY_BYTES = 64
+#: Turns of stars over the undecided sets at most, and the share of them that a turn must link for another one.
+TURNS, TURN_SHARE = 8, 0.02
 
 MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,9 +143,14 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return docs.select(text_or_empty().alias("text")).mapInArrow(build, "set_key binary, set array<long>")
 
 
+def small(rows: DataFrame, row_bytes: int = KEY_BYTES) -> DataFrame:
+    """A written table of keys, marked for broadcast if it is small enough."""
+    return F.broadcast(rows) if rows.count() * row_bytes <= BROADCAST_BYTES else rows
+
+
 def only_keys(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """Rows whose column is among the keys (one column ``key``, distinct, a written table)."""
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    keys = small(keys)
     return rows.join(keys, F.col(column) == F.col("key"), "left_semi")
 
 
@@ -216,13 +226,11 @@ def needed(a: str, b: str, percent: int) -> Column:
     return F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent))
 
 
-def rare_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair (a, b, n_a, n_b) of live sets with different roots that can be alike.
+def rare_entries(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Entries (shingle, set_key, n, at) of the live sets under their rarest shingles, a written table.
 
-    Exact: with shingles in one common order, the rarest first, two alike sets
-    share one among the first ``n - needed + 1`` of each.  Under each such
-    shingle only sets outside its most frequent root are paired with the
-    others, so a large group of one root is never paired with itself.
+    With shingles in one common order, the rarest first, two alike sets share
+    one among the first ``n - needed + 1`` of each; ``at`` is its place.
     """
     keys = materialize(live.select(F.col("set_key").alias("key")))
     held = materialize(only_keys(sets, "set_key", keys).select("set_key", F.explode("set").alias("shingle")))
@@ -230,28 +238,69 @@ def rare_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ordered = held.join(often, "shingle").groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("s"))
     # the partner may be as small as percent of n: that is the longest prefix
     longest = F.size("s") - F.ceil(percent * F.size("s") / 100).cast("int") + 1
-    first = ordered.select("set_key", F.posexplode(F.slice("s", F.lit(1), longest)).alias("at", "e"))
-    first = first.where("e.holders > 1").select("set_key", "at", "e.shingle").join(live, "set_key")
-    sizes = live.groupBy("root").agg(F.count("*").alias("nodes"))
-    first = materialize(first.join(sizes, "root"))
-    top = first.groupBy("shingle").agg(F.max(F.struct("nodes", "root")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high"))
-    top = top.where("low <> high").select("shingle", F.col("top.root").alias("top"))
-    of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "root", "at")] + [F.col("set_key").alias(x), "shingle"]
-    left = first.join(top, "shingle").where("root <> top").select(*of("a"))
-    right = first.join(top.select("shingle"), "shingle", "left_semi").select(*of("b"))
+    first = ordered.select("set_key", F.size("s").cast("long").alias("n"), F.posexplode(F.slice("s", F.lit(1), longest)).alias("at", "e"))
+    return materialize(first.where("e.holders > 1").select("e.shingle", "set_key", "n", "at"))
+
+
+def divided(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries, with roots, under shingles that sets of several roots hold; a written table."""
+    rooted = entries.join(small(labels, 2 * KEY_BYTES), F.col("set_key") == F.col("node"), "left")
+    rooted = materialize(rooted.select("shingle", "set_key", "n", "at", F.coalesce("root", "set_key").alias("root")))
+    split = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return materialize(rooted.join(split.select("shingle"), "shingle", "left_semi"))
+
+
+def can_link(percent: int) -> Column:
+    """Whether sizes and places of a shared shingle leave room for enough common ones after it."""
     need = needed("n_a", "n_b", percent)
     fits = (F.col("at_a") <= F.col("n_a") - need) & (F.col("at_b") <= F.col("n_b") - need)
-    pairs = left.join(right, "shingle").where((F.col("root_a") != F.col("root_b")) & close_enough(percent) & fits)
+    return (F.col("root_a") != F.col("root_b")) & close_enough(percent) & fits
+
+
+def side(x: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{x}") for c in ("n", "root", "at")] + [F.col("set_key").alias(x), F.col("shingle")]
+
+
+def once(pairs: DataFrame) -> DataFrame:
+    """Every pair (a, b, n_a, n_b) in one direction, with its ends as lo and hi."""
     return pairs.select("a", "b", "n_a", "n_b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).dropDuplicates(["lo", "hi"])
 
 
+def star_pairs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
+    """One star under every shingle: around a set of the largest component at first, around another one in every turn."""
+    sizes = entries.groupBy("root").agg(F.count_distinct("set_key").alias("nodes")) if not turn else None
+    ranked = entries.join(sizes, "root") if not turn else entries.withColumn("nodes", F.lit(0).cast("long"))
+    top = ranked.groupBy("shingle").agg(F.max(F.struct("nodes", F.xxhash64("set_key", F.lit(turn)).alias("by"), "set_key", "n", "root", "at")).alias("c"))
+    centre = top.select("shingle", F.col("c.set_key").alias("a"), *[F.col(f"c.{c}").alias(f"{c}_a") for c in ("n", "root", "at")])
+    return once(entries.select(*side("b")).join(centre, "shingle").where(can_link(percent)))
+
+
+def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Every pair of sets with different roots that can be alike.
+
+    Under each shingle, only sets outside its most frequent root are paired
+    with the others, so a large group of one root is never paired with itself.
+    """
+    sizes = entries.groupBy("root").agg(F.count("*").alias("nodes"))
+    top = entries.join(sizes, "root").groupBy("shingle").agg(F.max(F.struct("nodes", "root")).alias("top"))
+    left = entries.join(top.select("shingle", F.col("top.root").alias("top")), "shingle").where("root <> top").select(*side("a"))
+    return once(left.join(entries.select(*side("b")), "shingle").where(can_link(percent)))
+
+
 def group_buckets(in_buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Groups of similar sets: node and root for every set that is linked to another one.
+    """Groups of similar sets: node and root for every set that is linked to another one, a written table.
 
     ``in_buckets`` has bucket, set_key and n (set size); pairs that share no
     bucket are not candidates.  ``sets_of`` gets the keys (``set_key``) in
     buckets of two or more and returns their full sets (set_key, set).
     """
+    with table_scope() as written:
+        labels = materialize(_grouped(in_buckets, sets_of, percent))
+    drop_tables(in_buckets.sparkSession, written[:-1])
+    return labels
+
+
+def _grouped(in_buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     sizes = in_buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(in_buckets.join(sizes, "bucket"))
     company = members.groupBy("set_key").agg(F.sum("size").alias("weight"))
@@ -262,17 +311,29 @@ def group_buckets(in_buckets: DataFrame, sets_of: Callable[[DataFrame], DataFram
     centres = members.groupBy("bucket").agg(F.max("rank").alias("top"))
     centres = centres.select("bucket", F.col("top.set_key").alias("a"), F.col("top.n").alias("n_a"))
     rest = members.select("bucket", F.col("set_key").alias("b"), F.col("n").alias("n_b"))
-    star = rest.join(centres, "bucket").where((F.col("a") != F.col("b")) & close_enough(percent))
-    star = star.select("a", "b", "n_a", "n_b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    star = materialize(star.dropDuplicates(["lo", "hi"]))
+    star = materialize(once(rest.join(centres, "bucket").where((F.col("a") != F.col("b")) & close_enough(percent))))
     nothing = in_buckets.sparkSession.createDataFrame([], "node binary, root binary")
     labels = merged(nothing, materialize(confirmed(star, sets, percent)))
 
     live = undecided(members, labels)
-    if live.isEmpty():
-        return labels
-    more = rare_pairs(live, sets, percent).join(star.select("lo", "hi"), ["lo", "hi"], "left_anti")
-    return merged(labels, materialize(confirmed(materialize(more), sets, percent)))
+    left = live.count()
+    if left:
+        tested, entries = star.select("lo", "hi"), rare_entries(live, sets, percent)
+        for turn in range(TURNS + 1):
+            rooted = divided(entries, labels)
+            if rooted.isEmpty():
+                break
+            last = turn == TURNS or left == 0
+            pairs = cross_pairs(rooted, percent) if last else star_pairs(rooted, turn, percent)
+            pairs = materialize(pairs.join(tested, ["lo", "hi"], "left_anti"))
+            links = materialize(confirmed(pairs, sets, percent))
+            labels = merged(labels, links)
+            if last:
+                break
+            tested = tested.unionByName(pairs.select("lo", "hi"))
+            # few new links: what is left goes to the exact comparison
+            left = left if links.count() >= TURN_SHARE * left else 0
+    return labels
 
 
 def near_duplicates(
@@ -314,10 +375,12 @@ def drop_near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, word
     found = near_duplicates(docs, percent, words)
     stay = found.where("kept")
     named = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("~"))  # null ids are one name
-    # of repeated rows of the id that stays, one
+    # of repeated rows of the id that stays, the first one by its other columns
     first = stay.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct(named.alias("id"), "text_hash")).alias("row"))
     keep = first.select(F.col("row.id").alias("row_id_"), F.col("row.text_hash").alias("row_hash_")).distinct()
     hashed = docs.withColumn("row_id_", named).withColumn("row_hash_", F.xxhash64("text"))
     words_in = text_or_empty().rlike("[^\\x20\\x09-\\x0D]")
-    one = hashed.where(words_in).dropDuplicates(["row_id_", "row_hash_"]).join(keep, ["row_id_", "row_hash_"], "left_semi")
-    return one.unionByName(hashed.where(~words_in)).select(docs.columns)
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != "text"]))
+    order = Window.partitionBy("row_id_", "row_hash_").orderBy(others)
+    one = hashed.where(words_in).join(keep, ["row_id_", "row_hash_"], "left_semi").withColumn("row_at_", F.row_number().over(order))
+    return one.where("row_at_ = 1").drop("row_at_").unionByName(hashed.where(~words_in)).select(docs.columns)

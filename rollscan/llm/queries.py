@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from rollscan.llm import exact_topk, license_scan, ranked_search
+from rollscan.llm import exact_topk, license_scan, pipeline as corpus, ranked_search
 from rollscan.llm.chat_format import canonical_turns, format_turns, loss_text, parse_formatted
 from rollscan.llm.common import table, text_or_empty
 from rollscan.llm.lang_id import held_out, identify, learn
@@ -33,7 +32,7 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents (four-word shingles, Jaccard 0.8)."""
-    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(documents(spark, sf_dir), words=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +135,8 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages of corpus_pipeline over documents."""
-    return corpus_pipeline.run(spark, sf_dir)
+    """All stages of the corpus pipeline over documents."""
+    return corpus.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,19 +4,20 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from rollscan.llm import near_dedup, queries
 from rollscan.llm.near_dedup import band_keys, components, drop_near_duplicates, near_duplicates, shingles
 
 
-def shingle_set(text):
+def shingle_set(text, words=5):
     w = bytes((text or ""), "utf-8").lower().split()
     if not w:
         return frozenset()
-    return frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3)))
+    return frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1)))
 
 
-def brute(rows):
+def brute(rows, words=5):
     """component of every (position) row by comparing all pairs."""
-    sets = [shingle_set(t) for _, t in rows]
+    sets = [shingle_set(t, words) for _, t in rows]
     up = list(range(len(rows)))
 
     def root(i):
@@ -40,8 +41,8 @@ def result(df):
     return sorted(map(tuple, df.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str)
 
 
-def expected(rows):
-    comp, n = brute(rows)
+def expected(rows, words=5):
+    comp, n = brute(rows, words)
     return sorted(((k, c, m, k == m if m is not None and k is not None else m is None) for (k, _), m, c in zip(rows, comp, n)), key=str)
 
 
@@ -57,7 +58,14 @@ def test_empty(no_docs):
 
 def test_sample(sample):
     rows = [tuple(r) for r in sample.select("doc_id", "text").collect()]
-    assert result(near_duplicates(sample)) == expected(rows)
+    for words in (4, 5):
+        assert result(near_duplicates(sample, words=words)) == expected(rows, words)
+
+
+def test_query_takes_four_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    found = queries.op2_minhash_near_dedup(spark, "/root/testdata/sf0.001")
+    assert result(found) == expected([tuple(r) for r in docs.collect()], 4)
 
 
 def edited(words, rng, share):
@@ -85,6 +93,34 @@ def test_chains_hubs_and_shared_passages(spark, seed):
     assert result(found) == expected(rows)
 
 
+def test_pairs_of_a_template_family_grow_with_its_size(spark, monkeypatch):
+    """Documents that share a template and differ in a few slots: pairs to confirm for each stay as many, links are all kept."""
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(220)]
+
+    def family(n):
+        rows = []
+        for i in range(n):
+            words = list(template)
+            for at in rng.sample(range(220), rng.choice((2, 4, 6, 9))):
+                words[at] = f"w{rng.randrange(10**6)}"
+            rows.append((i, " ".join(words)))
+        return rows
+
+    seen = []
+    whole = near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, sets, percent: seen.append(pairs.count()) or whole(pairs, sets, percent))
+    each = {}
+    for n in (150, 600):
+        rows = family(n)
+        seen.clear()
+        found = result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+        each[n] = sum(seen) / n
+        if n == 150:
+            assert found == expected(rows)
+    assert each[600] <= 1.5 * each[150] + 2, each
+
+
 def test_drop_keeps_one_of_each_group(docs, sample):
     kept = sorted(str(r[0]) for r in drop_near_duplicates(docs).select("doc_id").collect())
     # one of 1, 2, 3; one of the repeated 8; documents without words stay
@@ -109,7 +145,7 @@ def test_bands_of_similar_sets_meet():
 
 
 def test_shingles_ascii_only_lowering():
-    assert len(shingles("A b C d")) == 1 and (shingles("A b C d") == shingles("a B c D")).all()
+    assert len(shingles("A b C d e")) == 1 and (shingles("A b C d e") == shingles("a B c D E")).all()
     assert (shingles("É b c d") != shingles("é b c d")).all()
     assert len(shingles("a\xa0b c")) == 1 and len(shingles(" \t ")) == 0
 
