@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollscan.operators.ordering import total_order
+
 RESULT_COLUMNS = ["file", "page", "name", "father"]
 
 
@@ -54,7 +56,19 @@ def report_view(results: DataFrame) -> DataFrame:
     return results.select(*cols)
 
 
+ORDER_COLUMNS = ["path", "file", "page", "block_pos", "query_pos", "query"]
+
+
+def order_columns(results: DataFrame) -> list[str]:
+    """Columns of the deterministic order (file walk, page, record, query) that the rows have."""
+    return [c for c in ORDER_COLUMNS if c in results.columns]
+
+
 def ordered(results: DataFrame) -> DataFrame:
-    """O1: deterministic order (file walk, page, record, query) on request only."""
-    keys = [c for c in ("path", "file", "page", "block_pos", "query_pos") if c in results.columns]
-    return results.orderBy(*keys)
+    """O1: the deterministic order, on request only (a range sort)."""
+    return results.orderBy(*order_columns(results))
+
+
+def positioned(results: DataFrame, position: str = "result_pos", parts: int | None = None) -> DataFrame:
+    """O1 as a column: the place of every row in the deterministic order, from 1."""
+    return total_order(results, *order_columns(results), position=position, parts=parts)

@@ -1,12 +1,16 @@
 """Result ledger: skip files already searched.
 
-The ledger is a Parquet table in a shared folder, partitioned by
-``names_hash`` and ``threshold`` so a lookup prunes to one search's
-entries.  Writes are appends; the newest entry per key wins on read.
-Clearing and expiring never overwrite the folder being read: survivors go
-to a new generation folder (``gen=N+1``), then older generations are
-deleted.  Folder listing and deletion use the Hadoop file system of the
-path, so the same code runs on HDFS or object stores.
+The ledger is a Spark table over a shared folder, partitioned by
+``names_hash``, ``threshold`` and the UTC day of an entry, and bucketed and
+sorted by ``file_hash``.  A lookup prunes to one search's entries and joins
+them where they lie: only the small rows of the files asked for are shuffled,
+into the table's buckets.  Writes are appends; the newest entry per key wins
+on read.
+
+Expiry drops the days that lie wholly beyond the limit and rewrites the one
+that it cuts by Spark's dynamic partition overwrite (written aside, put in
+place on commit).  An entry that another run appends meanwhile goes to the
+day of that run, which expiry does not touch.
 
 Entry key: file content hash, names hash, a digest of every parameter that
 changes result rows (``SearchParams.settings``) and the ledger version, so a
@@ -28,8 +32,14 @@ from rollscan.session import materialize
 from rollscan.sources.files import MB, content_hash
 
 KEY = ["file_hash", "names_hash", "settings", "version"]
-# Size check for broadcasting paths of hit or missed files (rows of a path).
-BROADCAST_MAX_ROWS = 1_000_000
+# Size check for broadcasting paths of hit or missed files: bytes of the paths and of what a row needs besides.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+ROW_BYTES = 64
+# Buckets of the ledger table; a part of its layout on disk.
+BUCKETS = 64
+# Names up to so many bytes are hashed in one aggregate; longer lists are read in order, a part at a time.
+NAMES_IN_ONE_ROW = 64 * 1024 * 1024
+DAY_MICROS = 86_400_000_000
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
@@ -38,26 +48,26 @@ def file_hashes(files: DataFrame) -> DataFrame:
 
 
 def names_hash_expr(query: Column) -> Column:
-    """A7 as an aggregate: first 16 hex of SHA-256 over the names sorted by code point, joined by '|'.
-
-    For the names of one list file, which is one row of bounded size to begin with (S2).
-    """
+    """A7 as an aggregate: first 16 hex of SHA-256 over the names sorted by code point (O2), joined by '|'."""
     return F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(query)), "|"), 256), 1, 16)
 
 
-def names_hash(queries: DataFrame, query_col: str = "query") -> str:
-    """Hash of a list of searched names as a literal (for partition pruning of the ledger).
+def names_hash(queries: DataFrame, query_col: str = "query", most: int = NAMES_IN_ONE_ROW) -> str:
+    """A7 of a list of searched names as a literal (for partition pruning of the ledger).
 
-    One definition for lists of any size, independent of their order: the
-    number of names and, for each of the eight 32-bit words of a name's
-    SHA-256, the sum over all names; first 16 hex of the SHA-256 of these
-    nine numbers joined by '|'.  A map-side aggregate, no list is gathered.
+    The value of ``names_hash_expr`` for a list of any size: beyond ``most``
+    bytes the names are sorted by Spark and pass the hash function in order, a
+    part of the sorted table at a time.
     """
-    digest = F.sha2(F.col(query_col), 256)
-    word = lambda i: F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")
-    kept = queries.where(F.col(query_col).isNotNull())
-    row = kept.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(word(i)), F.lit(0)) for i in range(8)]).first()
-    return hashlib.sha256("|".join(str(int(v)) for v in row).encode()).hexdigest()[:16]
+    kept = queries.where(F.col(query_col).isNotNull()).select(F.col(query_col).alias("query"))
+    size = kept.agg(F.sum(F.octet_length("query") + F.lit(ROW_BYTES))).first()[0] or 0
+    if size <= most:
+        return kept.agg(names_hash_expr(F.col("query"))).first()[0]
+    digest, glue = hashlib.sha256(), b""
+    for row in kept.orderBy("query").toLocalIterator(prefetchPartitions=True):
+        digest.update(glue + row["query"].encode())
+        glue = b"|"
+    return digest.hexdigest()[:16]
 
 
 def ledger_key(file_hash: Column, names_hash_col: Column, params: SearchParams) -> Column:
@@ -159,124 +169,132 @@ def entries_from_results(
     )
 
 
+def entry_day() -> Column:
+    """UTC day number of an entry's time."""
+    return F.floor(F.unix_micros("ts") / F.lit(DAY_MICROS)).cast("int")
+
+
+def path_bytes(paths: DataFrame) -> int:
+    """Size of a table of paths, as a broadcast would hold it."""
+    return paths.agg(F.sum(F.octet_length("path") + F.lit(ROW_BYTES))).first()[0] or 0
+
+
 class Ledger:
-    """The ledger table under ``root`` (a shared folder, never a machine-local one on a cluster)."""
+    """The ledger table under ``root`` (a shared folder, never a machine-local one on a cluster).
+
+    The folder is all there is to a ledger: a session that opens it declares
+    the table over it and finds the partitions that are there.
+    """
 
     def __init__(self, spark: SparkSession, root: str, params: SearchParams | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.params = params or SearchParams()
-        jvm = spark.sparkContext._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
+        self.table = "rollscan_ledger_" + hashlib.sha256(self.root.encode()).hexdigest()[:16]
+        self._Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    # -- generations ---------------------------------------------------------
-    def _generations(self, complete_only: bool = True) -> list[int]:
-        """Generation folders; by default only completely written ones (``_SUCCESS``),
-        so a rewrite that died midway is never read."""
-        root = self._Path(self.root)
-        if not self._fs.exists(root):
-            return []
-        gens = []
-        for st in self._fs.listStatus(root):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith("gen="):
-                done = self._fs.exists(self._Path(st.getPath(), "_SUCCESS"))
-                if done or not complete_only:
-                    gens.append(int(name[4:]))
-        return sorted(gens)
-
-    def _gen_path(self, gen: int) -> str:
-        return f"{self.root}/gen={gen:06d}"
-
-    def _current(self) -> int:
-        gens = self._generations()
-        if not gens:
-            self._write(self.spark.createDataFrame([], LEDGER), 0, "overwrite")
-            return 0
-        return gens[-1]
-
-    def _write(self, entries: DataFrame, gen: int, mode: str) -> None:
-        entries.select(*[f.name for f in LEDGER.fields]).write.mode(mode).partitionBy(
-            "names_hash", "threshold"
-        ).parquet(self._gen_path(gen))
-
-    def _drop_older(self, keep: int) -> None:
-        """Delete generations below ``keep`` (and unfinished ones), once ``keep`` is complete."""
-        complete = set(self._generations())
-        if keep not in complete:
-            return
-        for g in self._generations(complete_only=False):
-            if g != keep and (g < keep or g not in complete):
-                self._fs.delete(self._Path(self._gen_path(g)), True)
+        self._fs.mkdirs(self._Path(self.root))
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in LEDGER.fields)
+        place = self.root.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.table} ({columns}, day int) USING parquet PARTITIONED BY (names_hash, threshold, day) "
+            f"CLUSTERED BY (file_hash) SORTED BY (file_hash) INTO {BUCKETS} BUCKETS LOCATION '{place}'"
+        )
 
     # -- reads -----------------------------------------------------------------
     def entries(self) -> DataFrame:
-        path = self._gen_path(self._current())
-        return self.spark.read.schema(LEDGER).option("basePath", path).parquet(path)
+        """All entries, those of other sessions included."""
+        self.spark.sql(f"ALTER TABLE {self.table} RECOVER PARTITIONS")
+        self.spark.catalog.refreshTable(self.table)
+        return self.spark.table(self.table)
+
+    def valid(self, nhash: str, now: dt.datetime) -> DataFrame:
+        """The valid, newest entries of one search."""
+        days = F.col("day") >= F.floor(F.unix_micros(oldest_valid(now, self.params)) / F.lit(DAY_MICROS))
+        return search_entries(self.entries().where(days), nhash, self.params, now)
 
     def lookup(
         self, files: DataFrame, nhash: str, now: dt.datetime, hashes: DataFrame | None = None
     ) -> tuple[DataFrame, DataFrame]:
         """(hit result rows, files to search, still holding ``content``).
 
-        ``misses(...)`` gives the same files as small ``(path, file_hash)`` rows.
-
-        Entries hold result rows, so they are never broadcast; what decides is
-        small rows of hashes and paths, and of the hit and the missed paths the
-        fewer are broadcast (checked by count), so file bytes are not shuffled.
-        Only when both lists are beyond the check do the file rows shuffle.
+        For rows that carry file bytes.  Entries hold result rows, so they are
+        never broadcast or shuffled; what decides is small rows of hashes and
+        paths, and of the hit and the missed paths the smaller list is broadcast
+        (checked by bytes), so file bytes are not shuffled either.  Only when
+        both lists are beyond the check do the file rows shuffle; a run then
+        reads by plan (``sources.planned``), which needs neither.
         """
         hashes = hashes if hashes is not None else file_hashes(files)
-        entries = self._valid(nhash, now)
-        hits, miss = split_hits(hashes, entries)
+        hits, miss = split_hits(hashes, self.valid(nhash, now))
         miss = materialize(miss.select("path"))
         found = hashes.select("path").join(miss, "path", "left_anti")
-        n_miss, n_all = miss.count(), hashes.count()
-        if n_miss <= min(n_all - n_miss, BROADCAST_MAX_ROWS):
+        missed, every = path_bytes(miss), path_bytes(hashes)
+        if missed <= min(every - missed, BROADCAST_MAX_BYTES):
             return hits, files.join(F.broadcast(miss), "path", "left_semi")
-        if n_all - n_miss <= BROADCAST_MAX_ROWS:
+        if every - missed <= BROADCAST_MAX_BYTES:
             return hits, files.join(F.broadcast(found), "path", "left_anti")
         return hits, files.join(miss, "path", "left_semi")
 
-    def _valid(self, nhash: str, now: dt.datetime) -> DataFrame:
-        return search_entries(self.entries(), nhash, self.params, now)
-
     def misses(self, hashes: DataFrame, nhash: str, now: dt.datetime) -> DataFrame:
         """Files without a valid entry, as ``(path, file_hash)`` rows (no file bytes)."""
-        return split_hits(hashes, self._valid(nhash, now))[1].select("path", "file_hash")
+        return split_hits(hashes, self.valid(nhash, now))[1].select("path", "file_hash")
 
     # -- writes ----------------------------------------------------------------
+    def _columns(self, entries: DataFrame) -> DataFrame:
+        """Entries in the table's column order, dealt as its buckets, so each task writes one bucket."""
+        rows = entries.select(*[f.name for f in LEDGER.fields]).withColumn("day", entry_day())
+        return rows.repartition(BUCKETS, "file_hash").select(self.spark.table(self.table).columns)
+
     def append(self, hashes: DataFrame, results: DataFrame, nhash: str, num_names: int, now: dt.datetime) -> None:
         """K4: store one entry per searched file; ``hashes`` holds ``path, file_hash``."""
-        self._write(
-            entries_from_results(hashes.select("path", "file_hash"), results, nhash, num_names, self.params, now),
-            self._current(),
-            "append",
-        )
+        new = entries_from_results(hashes.select("path", "file_hash"), results, nhash, num_names, self.params, now)
+        self._columns(new).write.insertInto(self.table)
+
+    def _drop_partitions(self, which: DataFrame) -> None:
+        """Remove whole partitions (names_hash, threshold, day): few rows, one for each run and day."""
+        for r in which.collect():
+            spec = f"names_hash='{r['names_hash']}', threshold={r['threshold']}, day={r['day']}"
+            self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS PARTITION ({spec})")
+            self._fs.delete(self._Path(f"{self.root}/names_hash={r['names_hash']}/threshold={r['threshold']}/day={r['day']}"), True)
 
     def clear(self) -> int:
         """K5: remove all entries; returns how many there were."""
-        cur = self._current()
-        n = self.entries().count()
-        self._write(self.spark.createDataFrame([], LEDGER), cur + 1, "overwrite")
-        self._drop_older(cur + 1)
+        entries = self.entries()
+        n = entries.count()
+        self._drop_partitions(entries.select("names_hash", "threshold", "day").distinct())
         return n
 
     def clear_expired(self, now: dt.datetime) -> int:
         """K6: remove entries older than the TTL; returns how many were removed."""
-        cur = self._current()
-        entries = self.entries()
         oldest = oldest_valid(now, self.params)
-        expired = entries.where(F.col("ts") < oldest).count()
-        self._write(entries.where(F.col("ts") >= oldest), cur + 1, "overwrite")
-        self._drop_older(cur + 1)
-        return expired
+        limit = F.floor(F.unix_micros(oldest) / F.lit(DAY_MICROS))
+        aged = self.entries().where(F.col("day") <= limit).groupBy("names_hash", "threshold", "day").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts") < oldest).alias("expired")
+        )
+        aged = materialize(aged)  # one row for each run and day
+        gone = aged.where("expired > 0")
+        self._drop_partitions(gone.where("expired = n"))
+        cut = gone.where("expired < n")
+        if not cut.isEmpty():
+            parts = F.broadcast(cut.select("names_hash", "threshold", "day"))
+            stay = self.entries().where(F.col("day") == limit).join(parts, ["names_hash", "threshold", "day"], "left_semi")
+            self._overwrite(stay.where(F.col("ts") >= oldest))
+        return aged.agg(F.coalesce(F.sum("expired"), F.lit(0))).first()[0]
+
+    def _overwrite(self, entries: DataFrame) -> None:
+        """Replace the partitions that the entries are of, and no others."""
+        conf, key = self.spark.conf, "spark.sql.sources.partitionOverwriteMode"
+        before = conf.get(key)
+        conf.set(key, "dynamic")
+        try:
+            self._columns(entries).write.insertInto(self.table, overwrite=True)
+        finally:
+            conf.set(key, before)
 
     def stats(self) -> DataFrame:
         """A5: one row with entry count, stored size in MB, TTL days, location (fixed column names)."""
-        path = self._Path(self._gen_path(self._current()))
-        size = self._fs.getContentSummary(path).getLength()
+        size = self._fs.getContentSummary(self._Path(self.root)).getLength()
         return self.entries().agg(F.count(F.lit(1)).alias("total_entries")).select(
             F.lit(self.root).alias("cache_dir"), "total_entries",
             F.lit(size / MB).alias("total_size_mb"), F.lit(int(self.params.ttl_days)).alias("ttl_days"),

@@ -1,8 +1,8 @@
 """K1 JSON sink, K2 CSV sink, K3 format dispatch.
 
 Sinks write Spark output folders (one part file per task), so results of
-any size are written in parallel.  ``json_array=True`` writes one JSON array
-document instead (one part file): meant for small results only.
+any size are written in parallel.  ``json_array=True`` writes parts that
+together are one JSON array: concatenated by name they are a valid document.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollscan.operators.views import RESULT_COLUMNS, csv_view
+from rollscan.operators.ordering import range_parts, total_order
+from rollscan.operators.views import RESULT_COLUMNS, csv_view, order_columns
 
 # Error messages of the format dispatch (same text as the reference).
 MSG_NO_AUTO_FORMAT = (
@@ -39,24 +40,32 @@ def resolve_format(output_path: str, fmt: str = "auto") -> str:
     raise ValueError(MSG_UNSUPPORTED_FORMAT.format(fmt=fmt))
 
 
-def write_json(results: DataFrame, output_path: str, json_array: bool = False) -> None:
-    """K1: JSON lines (default) or one JSON array document; null fields are kept as keys."""
-    if not json_array:
+def write_json(results: DataFrame, output_path: str, json_array: bool = False, parts: int | None = None) -> None:
+    """K1: JSON lines (default), or the parts of one JSON array document; null fields are kept as keys."""
+    if json_array:
+        json_array_lines(results, parts).write.mode("overwrite").text(output_path)
+    else:
         results.write.mode("overwrite").option("ignoreNullFields", "false").json(output_path)
-        return
+
+
+def json_array_lines(results: DataFrame, parts: int | None = None) -> DataFrame:
+    """The lines of one JSON array, a row each, in as many ordered partitions as ``parts``.
+
+    Every row knows its place in the result order, so the first row opens the
+    array, the last one closes it and every other one begins with a comma: no
+    part needs another one, and none has to hold all rows.
+    """
     spark = results.sparkSession
-    body = results.select(
-        F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"}).alias("j")
-    ).coalesce(1)
-    body = body.select(
-        F.when(F.monotonically_increasing_id() == 0, F.concat(F.lit("  "), "j"))
-        .otherwise(F.concat(F.lit(", "), "j"))
-        .alias("value")
-    )
-    doc = spark.createDataFrame([("[",)], "value string").unionByName(body).unionByName(
-        spark.createDataFrame([("]",)], "value string")
+    body = F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"})
+    placed = total_order(results.select("*", body.alias("_json")), *order_columns(results), position="_pos")
+    n = placed.count()
+    if not n:
+        return spark.createDataFrame([("[]",)], "value string")
+    line = F.concat(
+        F.when(F.col("_pos") == 1, F.lit("[")).otherwise(F.lit(",")), F.col("_json"), F.when(F.col("_pos") == n, F.lit("]")).otherwise(F.lit(""))
     )
-    doc.coalesce(1).write.mode("overwrite").text(output_path)
+    ranged = placed.repartitionByRange(parts or range_parts(n), "_pos").sortWithinPartitions("_pos")
+    return ranged.select(line.alias("value"))
 
 
 def write_csv(results: DataFrame, output_path: str) -> None:

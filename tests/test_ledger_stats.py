@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rollscan.operators.stats import error_summary, run_stats
 from rollscan.params import SearchParams
-from rollscan.sinks.ledger import Ledger, file_hashes, names_hash
+from rollscan.session import materialize
+from rollscan.sinks.ledger import Ledger, file_hashes, names_hash, names_hash_expr
 from rollscan.sources.files import scan_pdf_files
 
 NOW = dt.datetime(2026, 1, 31, 12, 0, 0)
@@ -29,13 +30,12 @@ def _results(spark, rows):
 
 
 def test_names_hash_matches_python(spark):
-    names = ["রহিম", "করিম", "আলী", "করিম", None]
-    digests = [hashlib.sha256(n.encode()).hexdigest() for n in names if n]
-    numbers = [len(digests)] + [sum(int(d[8 * i : 8 * i + 8], 16) for d in digests) for i in range(8)]
-    want = hashlib.sha256("|".join(map(str, numbers)).encode()).hexdigest()[:16]
+    names = ["রহিম", "করিম", "আলী", "করিম", "z|a", None]
+    want = hashlib.sha256("|".join(sorted(n for n in names if n)).encode()).hexdigest()[:16]
     frame = lambda rows: spark.createDataFrame([(n,) for n in rows], "query string")
-    assert names_hash(frame(names)) == names_hash(frame(names[::-1])) == want
+    assert names_hash(frame(names)) == names_hash(frame(names[::-1])) == names_hash(frame(names), most=0) == want
     assert names_hash(frame(names[:3])) != want and len(names_hash(frame([]))) == 16
+    assert frame(names).agg(names_hash_expr(F.col("query"))).first()[0] == want  # the form of the query by list
 
 
 def test_settings_hold_every_parameter_that_changes_rows():
@@ -131,11 +131,54 @@ def test_lookup_never_shuffles_file_bytes(spark):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
 
 
-def test_unfinished_generation_is_ignored(spark):
+def test_another_session_sees_the_entries(spark):
+    """The folder is the ledger: a second declaration of the table over it finds what is there."""
     root = tempfile.mkdtemp(prefix="rollscan-ledger-")
     files = _files(spark, os.path.join(root, "pdfs"), {"a.pdf": b"%PDF-a"})
     led = Ledger(spark, os.path.join(root, "ledger"), SearchParams())
     led.append(file_hashes(files), _results(spark, []), "h", 1, NOW)
-    os.makedirs(os.path.join(root, "ledger", "gen=000099"))  # a rewrite that died before committing
-    assert led.stats().first()["total_entries"] == 1
-    assert led.clear() == 1 and not os.path.exists(os.path.join(root, "ledger", "gen=000099"))
+    spark.sql(f"DROP TABLE {led.table}")
+    again = Ledger(spark, os.path.join(root, "ledger"), SearchParams())
+    assert again.stats().first()["total_entries"] == 1 and again.misses(file_hashes(files), "h", NOW).count() == 0
+
+
+def test_lookup_shuffles_no_ledger_entries(spark):
+    root = tempfile.mkdtemp(prefix="rollscan-ledger-")
+    files = _files(spark, os.path.join(root, "pdfs"), {f"{i}.pdf": b"%PDF-" + bytes([i]) for i in range(9)})
+    led = Ledger(spark, os.path.join(root, "ledger"), SearchParams())
+    hashes = materialize(file_hashes(files))
+    led.append(hashes.where("path not like '%8.pdf'"), _results(spark, []), "h", 1, NOW)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        misses = led.misses(hashes, "h", NOW)
+        plan = misses._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange") == 1 and "SortMergeJoin" in plan
+        assert [r["path"][-5:] for r in misses.collect()] == ["8.pdf"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_expiry_keeps_what_is_appended_meanwhile(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="rollscan-ledger-")
+    files = _files(spark, os.path.join(root, "pdfs"), {n: b"%PDF-" + n.encode() for n in ("old.pdf", "cut.pdf", "edge.pdf", "new.pdf")})
+    hashes = materialize(file_hashes(files))
+    one = lambda n: hashes.where(F.col("path").endswith(n))
+    led = Ledger(spark, os.path.join(root, "ledger"), SearchParams())
+    limit = NOW - dt.timedelta(days=30)
+    led.append(one("old.pdf"), _results(spark, []), "h", 1, limit - dt.timedelta(days=3))
+    led.append(one("cut.pdf"), _results(spark, []), "h", 1, limit - dt.timedelta(minutes=1))
+    led.append(one("edge.pdf"), _results(spark, []), "h", 1, limit)  # the same day as the one before, still valid
+    whole, other = Ledger._drop_partitions, Ledger(spark, os.path.join(root, "ledger"), SearchParams())
+
+    def meanwhile(self, which):
+        other.append(one("new.pdf"), _results(spark, []), "h", 1, NOW)
+        whole(self, which)
+
+    monkeypatch.setattr(Ledger, "_drop_partitions", meanwhile)
+    assert led.clear_expired(NOW) == 2
+    left = sorted(os.path.basename(r["pdf_path"]) for r in led.entries().collect())
+    assert left == ["edge.pdf", "new.pdf"]
+    assert sorted(r["path"][-7:] for r in led.misses(hashes, "h", NOW).collect()) == ["cut.pdf", "old.pdf"]
+    monkeypatch.undo()
+    assert led.clear_expired(NOW) == 0 and led.stats().first()["total_entries"] == 2
