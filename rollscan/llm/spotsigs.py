@@ -13,9 +13,10 @@ Jaccard similarity of two sets.
 Near-duplicates (``similar_groups``) are found without comparing all: sets are
 partitioned by length so that a pair at or above the threshold lies in the
 same or in neighbouring partitions, each set is entered under its first
-signatures only (in hash order, as many as a similar set cannot miss), and a
-pair is compared in full only if its lengths allow the threshold.  Entries
-are grouped by the star turns of ``near_dedup``, never as all pairs.
+signatures only (as many as a similar set cannot miss, in an order that has
+signatures of frequent hash buckets last), and a pair is compared in full only
+if its lengths allow the threshold.  Entries are grouped by the star turns of
+``near_dedup``, never as all pairs.
 
 Everything is DataFrame expressions.
 
@@ -40,7 +41,7 @@ from rollscan.session import drop_tables, materialize, table_scope
 ANCHORS = 200
 ANCHOR_PERCENT = 60
 #: Longer words are no anchors (common words are short); it keeps the count of rare words out of the shuffle.
-ANCHOR_CHARS = 12
+ANCHOR_CHARS = 6
 #: Words whose hash is 0 modulo this number are anchors as well.
 HASHED_ONE_IN = 16
 CHAIN = 2
@@ -50,6 +51,10 @@ BUCKET_CHARS = 4 << 20
 MAX_BUCKETS = 1 << 16
 #: Sub-buckets of one id (rows of a repeated or null id), at most.
 SUB_BUCKETS = 1 << 20
+#: Hash buckets by which the frequency of signatures is told; the counts are a literal of so many numbers.
+FREQUENCY_BUCKETS = 1 << 16
+#: A partition by length spans this power of the least length ratio; only sets near its lower end also enter the one below.
+SPAN = 4
 GLUE = "\x01"
 LONGS = "array<bigint>"
 
@@ -215,6 +220,18 @@ def set_key(spot_set: Column) -> Column:
     return F.unhex(F.concat(half(1), half(2)))
 
 
+def frequent_last(sets: DataFrame) -> Column:
+    """The signatures of a set (column spots) in one common order: by the number of entries in their hash bucket, then by value."""
+    bucket = lambda h: F.pmod(h, F.lit(FREQUENCY_BUCKETS))
+    found = sets.select(F.explode(F.transform("spots", bucket)).alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()
+    counts = [0] * FREQUENCY_BUCKETS
+    for r in found:  # a row per bucket at most
+        counts[r["b"]] = r["n"]
+    table = F.split(F.lit(",".join(map(str, counts))), ",").cast(LONGS)  # folded into one literal
+    ranked = F.transform("spots", lambda h: F.named_struct(F.lit("n"), F.get(table, bucket(h).cast("int")), F.lit("h"), h))
+    return F.transform(F.sort_array(ranked), lambda r: r["h"])
+
+
 def set_groups(spotted: DataFrame, percent: int = 80) -> DataFrame:
     """set_key and group_id, the least doc_id a set reaches, of every set of several documents or alike to another one.
 
@@ -229,11 +246,12 @@ def set_groups(spotted: DataFrame, percent: int = 80) -> DataFrame:
         # the empty set is one row here; a filter before would take the spots of every text once more
         one = materialize(one.withColumn("n", F.size("spots"))).where("n > 0")
         share = percent / 100
-        # lengths within the threshold of each other are in the same partition or the next
-        part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / share)) + 1e-9).cast("int")
+        # a set of n can be alike to one of share * n: that may lie in the partition below
+        part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(share**-SPAN)) + 1e-9).cast("int")
+        below = F.floor(F.log(F.col("n") * share) / F.log(F.lit(share**-SPAN)) - 1e-9).cast("int")
         # two sets above the threshold share one of their first signatures in any common order
-        first = F.slice("spots", F.lit(1), F.col("n") - F.ceil(F.col("n") * share - 1e-9).cast("int") + 1)
-        entered = one.select("set_key", "n", F.explode(F.array(part, part - 1)).alias("part"), first.alias("first"))
+        first = F.slice(frequent_last(one), F.lit(1), F.col("n") - F.ceil(F.col("n") * share - 1e-9).cast("int") + 1)
+        entered = one.select("set_key", "n", F.explode(F.array_distinct(F.array(part, below))).alias("part"), first.alias("first"))
         entered = entered.select("set_key", "n", "part", F.explode("first").alias("spot"))
         buckets = entered.select(F.xxhash64("part", "spot").alias("bucket"), "set_key", F.col("n").cast("long").alias("n"))
         sets = lambda keys: one.join(keys, "set_key", "left_semi").select("set_key", F.col("spots").alias("set"))
