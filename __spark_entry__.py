@@ -27,10 +27,11 @@ from rollscan.plans import rolls
 from rollscan.operators.boxes import best_words, page_texts, record_tokens
 from rollscan.operators.filters import filter_words
 from rollscan.operators.fuzzy_join import fuzzy_join
-from rollscan.operators.views import csv_view, report_view, result_view
+from rollscan.operators.views import csv_view, positioned, report_view, result_view
 from rollscan.functions.text import basename
 from rollscan.operators.filters import normalize_path, pdf_suffix, within_base
 from rollscan.operators.stats import error_summary, run_stats
+from rollscan.plans.run import run_search
 from rollscan.plans.search import search_boxes, search_text, text_matches
 from rollscan.session import checkpoint_dir, materialize, ship_package
 from rollscan.sinks.ledger import (
@@ -43,11 +44,13 @@ from rollscan.sinks.ledger import (
     split_hits,
     valid_predicate,
 )
-from rollscan.sources.files import content_hash, size_mb, validate_files
-from rollscan.sinks.results import write_results
+from rollscan.sources.files import content_hash, scan_pdf_files, size_mb, validate_files
+from rollscan.sinks.results import write_json, write_results
 from rollscan.sources.names import names_from_texts, truncated_lists
 from rollscan.sources.pages import read_pages
 from rollscan.sources.ocr import error_rows, ocr_pages, page_rows
+from rollscan.sources.planned import file_sizes, read_files, read_planned
+from rollscan.sources.words import read_ocr_tsv
 
 try:  # the training-data operators and the pipeline can be taken away as a whole, and need more packages than the rest
     from rollscan.llm import queries as llm_queries
@@ -247,25 +250,92 @@ def q_truncated_lists(spark, sf_dir):
     return truncated_lists(texts, SearchParams(max_search_names=300)).select("path", "page", "level", "message")
 
 
-def _ocr(spark, sf_dir):
-    """OCR output of the documents and the rolls is used by several steps: written once to the checkpoint folder."""
-    files = _files(spark, sf_dir).drop("doc_id").where(pdf_suffix("path")).unionByName(rolls.roll_files(spark, sf_dir))
-    checkpoint_dir(spark)
-    return files, materialize(ocr_pages(files, rolls.page_fn, SearchParams()))
-
-
 def q_run_stats(spark, sf_dir):
-    """A1 + A6: run statistics, with the first errors, of a text search over the OCR'd pages of all documents and rolls."""
-    files, out = _ocr(spark, sf_dir)
-    pages = page_rows(out)
+    """A1 + A6: run statistics, with the first errors, of a text search over the pages of all documents and rolls."""
+    out = materialize(rolls.doc_ocr(spark, sf_dir))
+    pages = page_rows(out).unionByName(_pages(spark, sf_dir))
+    files = out.select("path").distinct().unionByName(_pages(spark, sf_dir).select("path").distinct())
     matches = search_text(pages, _queries(spark, sf_dir), SearchParams())
     return run_stats(files, error_rows(out), pages, matches)
 
 
 def q_error_summary(spark, sf_dir):
     """A9 + L3 + E1: error count, first 10 errors, "... and N more"."""
-    _, out = _ocr(spark, sf_dir)
-    return error_summary(error_rows(out))
+    return error_summary(error_rows(rolls.doc_ocr(spark, sf_dir)))
+
+
+def q_file_scan(spark, sf_dir):
+    """S1 + T1 + E1 by planned reads: all documents written as files, listed, and each opened in its task."""
+    root = rolls.write_files(rolls.document_pdfs(spark, sf_dir), _round_trip_folder(spark) + "/files")
+    out = read_planned(file_sizes(scan_pdf_files(spark, root)), rolls.text_page_fn)
+    return out.where("level is null or level <> 'read'").select("file", "page", "text", "level", F.regexp_replace("message", ": [^ ]*/files/", ": /").alias("message"))
+
+
+def q_file_hashes(spark, sf_dir):
+    """S1 + P5 by planned reads: content hash of every valid document file."""
+    root = rolls.write_files(rolls.document_pdfs(spark, sf_dir), _round_trip_folder(spark) + "/files")
+    return read_files(read_planned(file_sizes(scan_pdf_files(spark, root)), rolls.text_page_fn)).select(
+        basename(F.col("path")).alias("file"), "file_hash"
+    )
+
+
+def _two_runs(spark, sf_dir):
+    """All rolls written as files and searched by the whole run, twice with one ledger."""
+    folder = _round_trip_folder(spark)
+    root = rolls.write_files(rolls.roll_pdfs(spark, sf_dir), folder + "/pdfs")
+    queries = _queries(spark, sf_dir)
+    return [
+        run_search(spark, root, queries, rolls.roll_page_fn, SearchParams(), ledger_root=folder + "/ledger", now=LEDGER_NOW)
+        for _ in range(2)
+    ]
+
+
+def q_search_run(spark, sf_dir):
+    """T2 end to end: results of the run over files and of a second one, which takes them from the ledger."""
+    found = [o.results.select(F.lit(i + 1).alias("run"), "file", "page", "name", "father") for i, o in enumerate(_two_runs(spark, sf_dir))]
+    return found[0].unionByName(found[1])
+
+
+def q_search_run_stats(spark, sf_dir):
+    """T2 + A1 end to end: statistics of both runs."""
+    found = [o.stats.select(F.lit(i + 1).alias("run"), "*").drop("errors") for i, o in enumerate(_two_runs(spark, sf_dir))]
+    return found[0].unionByName(found[1])
+
+
+def q_ocr_words(spark, sf_dir):
+    """The OCR engine's TSV files of all rolls, written and read back as word rows."""
+    root = rolls.write_files(rolls.word_tsv(spark, sf_dir), _round_trip_folder(spark) + "/tsv")
+    w = read_ocr_tsv(spark, root)
+    return w.select(
+        basename(F.col("path")).alias("file"), "page", "word_pos", "block_num", "par_num", "line_num", "text", "confidence",
+        *[F.col(f"bbox.{k}").alias(f"bbox_{k}") for k in ("left", "top", "width", "height")],
+    )
+
+
+def q_result_order(spark, sf_dir):
+    """O1: the place of every match in the order by file, page, record and query."""
+    m = text_matches(_pages(spark, sf_dir), _queries(spark, sf_dir), SearchParams())
+    return positioned(m.select("path", "page", "block_pos", "query", "name"))
+
+
+def q_json_array_round_trip(spark, sf_dir):
+    """K1, array form: results written as the parts of one JSON array and read back line by line; which line opens and closes it."""
+    out = _round_trip_folder(spark) + "/results.json"
+    m = text_matches(_pages(spark, sf_dir), _queries(spark, sf_dir), SearchParams()).select("path", "page", "block_pos", "query", "name")
+    write_json(m, out, json_array=True, parts=4)
+    v = spark.read.text(out).where("value <> ''")
+    row = F.from_json(F.regexp_replace(F.regexp_replace("value", "^[\\[,]", ""), "\\]$", ""), "path string, page int, block_pos int, query string, name string")
+    return v.select(row.alias("r"), F.col("value").startswith("[").alias("opens"), F.col("value").endswith("]").alias("closes")).select("r.*", "opens", "closes")
+
+
+def q_empty_results(spark, sf_dir):
+    """K1 + K2 of a search that finds nothing: the lines of the CSV and of the JSON array."""
+    nothing = search_text(_pages(spark, sf_dir), _queries(spark, sf_dir).select(F.lit("\u2603").alias("query")).distinct(), SearchParams())
+    out = _round_trip_folder(spark)
+    write_results(nothing, out + "/r.csv")
+    write_results(nothing, out + "/r.json", json_array=True)
+    read = lambda kind: spark.read.text(f"{out}/r.{kind}").select(F.lit(kind).alias("kind"), F.regexp_replace("value", "\r", "").alias("line")).where("line <> ''")
+    return read("csv").distinct().unionByName(read("json"))
 
 
 def _names(spark, sf_dir, most=None):
@@ -412,7 +482,7 @@ def _fuzzy_words(threshold, strategy):
         found = fuzzy_join(rolls.document_words(spark, sf_dir), rolls.benchmark_names(spark, sf_dir), params)
         return found.select("name", "query")
 
-    run.__doc__ = f"J1 over all long words of the documents and benchmark texts, threshold {threshold}, {strategy} strategy."
+    run.__doc__ = f"J1 over all words of the documents and benchmark texts, threshold {threshold}, {strategy} strategy."
     return run
 
 
@@ -485,6 +555,15 @@ def _queries_raw() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_union": q_run_union,
         "fuzzy_words": _fuzzy_words(82, "auto"),
         "fuzzy_words_shuffled": _fuzzy_words(82, "shuffle"),
+        "fuzzy_words_t50": _fuzzy_words(50, "shuffle"),
+        "file_scan": q_file_scan,
+        "file_hashes": q_file_hashes,
+        "search_run": q_search_run,
+        "search_run_stats": q_search_run_stats,
+        "ocr_words": q_ocr_words,
+        "result_order": q_result_order,
+        "json_array_round_trip": q_json_array_round_trip,
+        "empty_results": q_empty_results,
     }
 
 
@@ -752,9 +831,8 @@ names AS (
   FROM kept_names, LATERAL (SELECT unnest(names) AS q, generate_subscripts(names, 1) AS i) n
   )
 """
-# names hash: count and the sums of the eight 32-bit words of every name's digest
-_NH_SUMS = " || '|' || ".join(f"CAST(sum(('0x' || substr(sha256(query), {8 * i + 1}, 8))::BIGINT) AS VARCHAR)" for i in range(8))
-NH_SQL = f"(SELECT substr(sha256(CAST(count(*) AS VARCHAR) || '|' || {_NH_SUMS}), 1, 16) FROM roll_queries)"
+# names hash: the names sorted by code point, joined by '|'
+NH_SQL = "(SELECT substr(sha256(string_agg(query, '|' ORDER BY query)), 1, 16) FROM roll_queries)"
 
 
 def _settings_sql(threshold: int = 82, pages: str = "none") -> str:
@@ -788,13 +866,28 @@ pdfs AS (SELECT path, sha256(content) AS file_hash FROM doc_files WHERE {PDF_WHE
 """
 
 
-# One token on either side: the score is 200 * common / (sum of lengths); lengths that cannot reach 82 are left out first.
+# One token on either side: the score is 200 * common / (sum of lengths).  Pairs whose lengths, or whose edit distance
+# (never above that of insertions and deletions alone), cannot reach 82 are left out first.
 WORDS_SQL = _with(rolls.WORD_NAMES_SQL) + f"""
 , near AS (
-  SELECT name, query FROM word_names, word_queries WHERE 200 * least(length(name), length(query)) >= 82 * (length(name) + length(query)))
+  SELECT name, query FROM word_names, word_queries
+  WHERE 200 * least(length(name), length(query)) >= 82 * (length(name) + length(query))
+    AND levenshtein(name, query) <= 18 * (length(name) + length(query)) // 100
+      * CASE WHEN strlen(name) + strlen(query) = length(name) + length(query) THEN 1 ELSE 4 END)  -- it counts bytes
 SELECT name, query FROM near WHERE 200 * {_lcs('name', 'query')} >= 82 * (length(name) + length(query))
 """
 
+def _run_sql() -> str:
+    return _with(rolls.ROLL_PAGES_SQL, rolls.ROLL_QUERIES_SQL, BLOCKS_SQL, _records_sql(), _pairs_sql(82), RUN_SQL)
+
+
+RUN_SQL = f"""
+hits AS (
+  SELECT r.path, r.file, r.page, r.block_pos, r.name, r.father, q.query
+  FROM recs r JOIN pairs p ON {_norm('r.name')} = p.a
+  JOIN roll_queries q ON {_norm('q.query')} = p.b WHERE r.name <> '' AND q.query <> '')
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return _oracle_raw() | (llm_queries.oracle_sql() if llm_queries else {})
@@ -879,6 +972,31 @@ JOIN roll_queries q ON {_norm('q.query')} = p.b WHERE r.name <> '' AND q.query <
 UNION ALL
 SELECT {FILE_OF.replace('path', 'f.path')}, n.res_page, 'name ' || CAST(n.doc_id AS VARCHAR), 'guardian'
 FROM pdfs f JOIN newest n ON f.file_hash = n.file_hash WHERE n.n_results > 0""",
+        "file_scan": ocr + "SELECT split_part(path, '/', 3) || '_' || file AS file, page, text, level, "
+        "CASE WHEN level = 'file' THEN split_part(path, '/', 3) || '_' || file || ': File is not a valid PDF: /' || split_part(path, '/', 3) || '_' || file "
+        "ELSE message END AS message FROM ocr",
+        "file_hashes": ocr + "SELECT split_part(path, '/', 3) || '_' || file AS file, sha256(content) AS file_hash FROM chk WHERE error IS NULL",
+        "search_run": _run_sql() + "SELECT run, file, page, name, father FROM hits, (SELECT unnest([1, 2]) AS run)",
+        "search_run_stats": _run_sql()
+        + """, f AS (SELECT DISTINCT path, CAST(substr(file, 6, 5) AS INTEGER) AS k FROM roll_pages),
+n AS (SELECT count(*) AS files, count(*) FILTER (WHERE k % 7 = 0) AS bad, count(*) FILTER (WHERE k % 5 = 0) AS unreadable FROM f)
+SELECT run, n.files AS files_processed, n.bad AS files_failed,
+  CASE WHEN run = 1 THEN (SELECT count(*) FROM roll_pages) ELSE 0 END AS pages_processed,
+  (SELECT count(*) FROM hits) AS matches_found,
+  n.bad + CASE WHEN run = 1 THEN n.unreadable ELSE 0 END AS error_count
+FROM n, (SELECT unnest([1, 2]) AS run)""",
+        "ocr_words": _with(pages, rolls.ROLL_WORDS_SQL)
+        + """SELECT regexp_extract(path, '[^/]*$') AS file, page,
+  ((CAST(block_num AS BIGINT) * 1000 + 1) * 1000 + line_num) * 10000 + word_pos % 100 + 1 AS word_pos, block_num, par_num,
+  CAST(line_num AS INTEGER) AS line_num,
+  CASE WHEN word_pos % 10 = 3 THEN text || '"' ELSE text END AS text, confidence, bbox_left, bbox_top, bbox_width, bbox_height
+FROM roll_words""",
+        "result_order": _run_sql()
+        + "SELECT path, page, block_pos, query, name, row_number() OVER (ORDER BY path, page, block_pos, query, name) AS result_pos FROM hits",
+        "json_array_round_trip": _run_sql()
+        + """, o AS (SELECT *, row_number() OVER (ORDER BY path, page, block_pos, query, name) AS n, count(*) OVER () AS total FROM hits)
+SELECT path, page, block_pos, query, name, n = 1 AS opens, n = total AS closes FROM o""",
+        "empty_results": "SELECT 'csv' AS kind, 'file,page,name,father' AS line UNION ALL SELECT 'json', '[]'",
         "fuzzy_words": WORDS_SQL,
         "fuzzy_words_shuffled": WORDS_SQL,
         "report_view_text": _with(rolls.ROLL_PAGES_SQL, rolls.ROLL_QUERIES_SQL, BLOCKS_SQL, _records_sql(), _pairs_sql(82))

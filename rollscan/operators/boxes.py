@@ -10,25 +10,20 @@ records match).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rollscan.functions.similarity import (
-    indel_budget,
-    lcs_udf,
-    length_window,
-    levenshtein_within,
-    ratio_at_least,
-    ratio_score,
-)
+from rollscan.functions.similarity import lcs_of_many
 from rollscan.functions.text import normalize_bn, py_split, py_strip
 from rollscan.operators.filters import filter_words
 from rollscan.params import SearchParams
-from rollscan.session import materialize
+from rollscan.session import materialize, ship_package
 
-# Exploded (page, token, length) rows up to this many are broadcast to the
-# word scan (counted first); beyond it both sides shuffle on (path, page, length).
-BROADCAST_MAX_TOKEN_ROWS = 500_000
+# Pages with matched records up to so many bytes (of their paths, and what a row needs besides)
+# are broadcast to the word scan, so that words of other pages are not shuffled.
+BROADCAST_MAX_PAGE_BYTES = 64 * 1024 * 1024
 
 RECORD_KEY = ["path", "page", "block_pos"]
 
@@ -131,90 +126,76 @@ def record_tokens(records: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def _word_rows(words: DataFrame) -> DataFrame:
-    return words.select(
-        F.col("path").alias("_wpath"),
-        F.col("page").alias("_wpage"),
-        "word_pos",
-        F.col("text").alias("w_text"),
-        F.col("confidence").alias("w_conf"),
-        F.col("bbox").alias("w_bbox"),
-        normalize_bn("text").alias("_w"),
-    )
-
-
-def _arg_max(scored: DataFrame) -> DataFrame:
-    """Highest score per (page, token), the earliest word on ties (partial + final aggregate)."""
-    best = scored.groupBy("path", "page", "_t").agg(
-        F.max(
-            F.struct(
-                F.col("w_score"),
-                (-F.col("word_pos")).alias("neg_pos"),
-                F.col("word_pos"),
-                F.col("w_text"),
-                F.col("w_conf"),
-                F.col("w_bbox"),
-            )
-        ).alias("best")
-    )
-    return best.select("path", "page", "_t", "best.*").drop("neg_pos")
-
-
-def best_words(
-    tokens: DataFrame, words: DataFrame, threshold: int, key: list[str], broadcast_tokens: bool | None = None
-) -> DataFrame:
+class PageIndex:
+    """The words of one page by their normalised form, and the forms by length."""
+
+    def __init__(self, forms: list[str]):
+        """``forms`` in reading order; of equal forms only the earliest can be chosen."""
+        self.first: dict[str, int] = {}
+        for i, w in enumerate(forms):
+            self.first.setdefault(w, i)
+        self.by_length: dict[int, list[str]] = {}
+        for w in self.first:
+            self.by_length.setdefault(len(w), []).append(w)
+
+    def best(self, token: str, threshold: int) -> tuple[int, float] | None:
+        """W1 + F11: place and score of the word with the highest ratio >= threshold, the earliest on ties.
+
+        Only an equal form scores 100.  Other lengths are tried from the one
+        that can score highest down to where even a contained form would be
+        below the threshold or the best so far.
+        """
+        if token in self.first:
+            return self.first[token], 100.0
+        n, best, place = len(token), 0.0, -1
+        reach = lambda m: 200.0 * min(n, m) / (n + m) if n + m else 100.0
+        for m in sorted(self.by_length, key=reach, reverse=True):
+            if reach(m) < max(best, threshold) or not n or not m:
+                break
+            forms = self.by_length[m]
+            for w, common in zip(forms, lcs_of_many(token, forms)):
+                score = 200.0 * common / (n + m)
+                if 200 * common >= threshold * (n + m) and (score > best or score == best and self.first[w] < place):
+                    best, place = score, self.first[w]
+        return (place, best) if best > 0 else None
+
+
+def best_words(tokens: DataFrame, words: DataFrame, threshold: int, key: list[str]) -> DataFrame:
     """J2 + W1 + F11: per token, the page word with the highest ratio >= threshold.
 
-    The best word depends only on the page and the normalised token, so each
-    distinct (page, normalised token) is scored once and the winners are
-    joined back to every token.  Only identical normalised strings score 100,
-    so a token with an exact match on its page takes its earliest exact
-    match (an equi-join, no scoring); only the other tokens go through the
-    fuzzy path: equi-join on (path, page, normalised word length) over the
-    lengths that can reach the threshold, native Levenshtein bound, exact LCS
-    check, arg-max with the earliest word winning ties.
+    Tokens and words of a page meet once, co-grouped by (path, page): one index
+    of the page's words answers every distinct token, exactly or by score.
+    Words are exchanged once; those of pages without tokens only if the list of
+    pages is beyond the broadcast check.
     """
+    ship_package(tokens.sparkSession)
     t = int(threshold)
-    tk = tokens.select("*", normalize_bn("token").alias("_t"))
-    uniq = tk.select("path", "page", "_t").distinct()
-    lo, hi = length_window(F.length("_t"), max(t, 1))
-    if broadcast_tokens is None:
-        # the largest table that is broadcast: one row per token and word length that can reach the threshold
-        per_token = F.greatest(hi - lo + 1, F.lit(1)) if t > 0 else F.lit(1)
-        broadcast_tokens = (uniq.agg(F.sum(per_token.cast("long"))).first()[0] or 0) <= BROADCAST_MAX_TOKEN_ROWS
-    side = F.broadcast if broadcast_tokens else (lambda d: d)
-    wk = _word_rows(words)
-
-    exact = wk.join(
-        side(uniq),
-        (F.col("_wpath") == F.col("path")) & (F.col("_wpage") == F.col("page")) & (F.col("_w") == F.col("_t")),
-        "inner",
-    ).select("path", "page", "_t", F.lit(100.0).alias("w_score"), "word_pos", "w_text", "w_conf", "w_bbox")
-    best_exact = _arg_max(exact)
-
-    rest = uniq.join(best_exact.select("path", "page", "_t"), ["path", "page", "_t"], "left_anti")
-    rest = rest.select("*", F.length("_t").alias("_tl"))
-    if t > 0:
-        lo, hi = length_window(F.col("_tl"), t)
-        lengths = F.when(F.col("_tl") == 0, F.array(F.lit(0))).otherwise(F.sequence(lo, hi))
-        rest = rest.select("*", F.explode(lengths).alias("_wl"))
-    wl = wk.select("*", F.length("_w").alias("_wlen"))
-    budget = indel_budget(F.col("_tl"), F.col("_wlen"), t)
-    cond = (F.col("_wpath") == F.col("path")) & (F.col("_wpage") == F.col("page"))
-    if t > 0:
-        cond &= (F.col("_wlen") == F.col("_wl")) & levenshtein_within(F.col("_t"), F.col("_w"), budget)
-    # at threshold 0 every word of the page qualifies, whatever its length
-    cand = wl.join(side(rest), cond, "inner")
-    scored = cand.select("*", lcs_udf(F.col("_t"), F.col("_w")).alias("_lcs"))
-    scored = scored.where(ratio_at_least(F.col("_lcs"), F.col("_tl"), F.col("_wlen"), t)).select(
-        "path", "page", "_t",
-        ratio_score(F.col("_lcs"), F.col("_tl"), F.col("_wlen")).alias("w_score"),
-        "word_pos", "w_text", "w_conf", "w_bbox",
-    ).where(F.col("w_score") > 0)
-    best = best_exact.unionByName(_arg_max(scored))
-    return tk.join(side(best), ["path", "page", "_t"], "inner").select(
-        *key, "field", "tok_pos", "word_pos", "w_text", "w_conf", "w_bbox", "w_score"
-    )
+    asked = tokens.select(*key, "field", "tok_pos", normalize_bn("token").alias("_t"))
+    pages = tokens.select("path", "page").distinct()
+    size = pages.agg(F.sum(F.octet_length("path") + F.lit(64))).first()[0] or 0
+    held = words.select("path", "page", "word_pos", F.col("text").alias("w_text"), F.col("confidence").alias("w_conf"),
+                        F.col("bbox").alias("w_bbox"), normalize_bn("text").alias("_w"))
+    if size <= BROADCAST_MAX_PAGE_BYTES:
+        held = held.join(F.broadcast(pages), ["path", "page"], "left_semi")
+    out = T.StructType([asked.schema[c] for c in [*key, "field", "tok_pos"]] + [
+        T.StructField("word_pos", words.schema["word_pos"].dataType), T.StructField("w_text", T.StringType()),
+        T.StructField("w_conf", T.DoubleType()), T.StructField("w_bbox", words.schema["bbox"].dataType), T.StructField("w_score", T.DoubleType()),
+    ])
+    named = [*key, "field", "tok_pos"]
+
+    def look_up(tokens: pa.Table, words: pa.Table) -> pa.Table:
+        words = words.sort_by("word_pos")
+        index, found = PageIndex(words["_w"].to_pylist()), {}
+        for token in set(tokens["_t"].to_pylist()):
+            found[token] = index.best(token, t)
+        hits = [found[token] for token in tokens["_t"].to_pylist()]
+        kept = tokens.select(named).filter(pa.array([h is not None for h in hits], pa.bool_()))
+        chosen = words.take(pa.array([h[0] for h in hits if h], pa.int64()))
+        for c in ("word_pos", "w_text", "w_conf", "w_bbox"):
+            kept = kept.append_column(c, chosen[c])
+        return kept.append_column("w_score", pa.array([h[1] for h in hits if h], pa.float64()))
+
+    return asked.groupBy("path", "page").cogroup(held.groupBy("path", "page")).applyInArrow(look_up, out)
 
 
 def field_boxes(best: DataFrame, key: list[str]) -> DataFrame:
@@ -251,9 +232,8 @@ def locate_records(
     """X3 for matched records: add ``name_bbox``, ``father_bbox``, ``confidence`` and ``bbox``.
 
     The matched rows are written once to the shared checkpoint folder (the
-    token count, the word lookup and the final join all read them, and the
-    lineage behind them is the whole search); the count of the distinct page
-    tokens decides whether they are broadcast to the word scan or shuffled.
+    list of pages, the word lookup and the final join all read them, and the
+    lineage behind them is the whole search).
     """
     params = params or SearchParams()
     key = key or [c for c in RECORD_KEY + ["record_pos"] if c in matches.columns]

@@ -7,8 +7,9 @@ definition).  Candidates come from one equi-join on an exploded key column
 whose keys are lossless for the threshold:
 
 * ``L`` keys (length): the query side is exploded by every name length that
-  can still reach ``t`` (LCS <= min length); the join condition adds the
-  native bound ``levenshtein(a, b, budget) >= 0`` (Levenshtein <= Indel).
+  can still reach ``t`` (LCS <= min length); the join condition adds native
+  lower bounds on the Indel distance: a popcount over the character and bigram
+  counts of both strings (``sketch_within``), then ``levenshtein(a, b, budget)``.
 * ``P`` keys (length, bigram occurrence), shuffle strategy only: where ``t``
   forces ``m >= 1`` common bigram occurrences (common bigrams >= 3·LCS − L − 1),
   both sides keep only the prefix of ``n − m + 1`` elements in one global
@@ -31,15 +32,16 @@ names otherwise).  Strategies differ in how the query side meets the names:
 * ``broadcast`` (query side checked small by one aggregate): ``L`` and ``T``
   keys, the exploded query keys are broadcast, names probe them map-side;
 * ``shuffle`` (beyond the check): ``L``, ``P`` and ``T`` keys, both sides
-  shuffled on the key.
+  shuffled on the key.  The rows of every key are counted on both sides first;
+  a key that is much of the work is split: the side with more rows is dealt
+  over its salts, the other one repeated under each (``balanced``).
 
 Stream form (``dedupe=False``): records probe the broadcast query keys
-directly, one pass, no state (a stream-static join).  The verifying UDF
-memoises repeated pairs within an Arrow batch.
+directly, one pass, no state (a stream-static join).
 
-Survivors are verified exactly by the token-set score in an Arrow UDF
-(for single tokens this is the Indel ratio ``200·LCS/L``, compared with
-``t`` without rounding error).
+Survivors are verified exactly by the token-set score, a native expression
+over the bit-parallel LCS (for single tokens this is the Indel ratio
+``200·LCS/L``).
 """
 
 from __future__ import annotations
@@ -53,7 +55,9 @@ from rollscan.functions.similarity import (
     indel_budget,
     length_window,
     levenshtein_within,
-    token_set_ratio_udf,
+    sketch,
+    sketch_within,
+    token_set_ratio,
 )
 from rollscan.functions.text import MAX_FIELD_CHARS, has_inner_whitespace, normalize_bn, py_split
 from rollscan.params import SearchParams
@@ -68,8 +72,8 @@ _MAX_UNFORCED_THRESHOLD = 66
 # Matching (name, query) pair tables up to this many rows are broadcast to the
 # records (counted after they are written once); larger ones shuffle.
 BROADCAST_MAX_PAIRS = 1_000_000
-# Keys that one name length is split into in the shuffled join (the query side is repeated as often).
-LENGTH_SALTS = 8
+# The pairs of a key are split until none has more than this share of the pairs of a shuffle partition.
+SPLIT_SHARE = 16
 BROADCAST_MAX_PAIR_BYTES = 64 * 1024 * 1024
 
 _KEY = "struct<kind:string,len:int,tok:string,cnt:bigint,occ:int>"
@@ -161,11 +165,9 @@ def _a_prefix(t: int) -> Column:
 
 
 @functools.lru_cache(maxsize=128)
-def _a_keys(use_bigrams: bool, salts: int = 1) -> Column:
-    # a bare length is a key of few values: in the shuffled join names are dealt over ``salts`` of each
-    salt = F.pmod(F.xxhash64("_a"), F.lit(salts)) if salts > 1 else None
+def _a_keys(use_bigrams: bool) -> Column:
     length_key = F.when(
-        F.col("_a_l") > 0, F.array(_key("L", F.col("_a_l"), F.lit(""), occ=salt))
+        F.col("_a_l") > 0, F.array(_key("L", F.col("_a_l"), F.lit("")))
     ).otherwise(F.array().cast(f"array<{_KEY}>"))
     keys = F.concat(length_key, _token_keys("_a"))
     if use_bigrams:
@@ -174,7 +176,7 @@ def _a_keys(use_bigrams: bool, salts: int = 1) -> Column:
 
 
 @functools.lru_cache(maxsize=128)
-def _b_keys(t: int, use_bigrams: bool, max_len: int | None = None, salts: int = 1) -> Column:
+def _b_keys(t: int, use_bigrams: bool, max_len: int | None = None) -> Column:
     """Keys of a query: per name length that can reach t, either its prefix
     elements (when t forces common bigrams) or the bare length; plus tokens.
     Each key carries ``pl``, the prefix length used for it.  ``max_len`` caps
@@ -190,8 +192,7 @@ def _b_keys(t: int, use_bigrams: bool, max_len: int | None = None, salts: int =
         return F.struct(k.alias("_kb"), F.lit(0).alias("_b_pl"))
 
     def bare(n: Column) -> Column:
-        """The length key, under every salt."""
-        return F.array(*[plain(_key("L", n, F.lit(""), occ=F.lit(i))) for i in range(salts)])
+        return F.array(plain(_key("L", n, F.lit(""))))
 
     if not use_bigrams:
         length_keys = F.flatten(F.transform(lengths, bare))
@@ -212,26 +213,30 @@ def _b_keys(t: int, use_bigrams: bool, max_len: int | None = None, salts: int =
 
 @functools.lru_cache(maxsize=128)
 def _bound(t: int) -> Column:
-    """Native, lossless pre-filter on the token-set forms: length window + Levenshtein."""
+    """Native, lossless pre-filter on the token-set forms: length window + lower bounds of the distance."""
     lo, hi = length_window(F.col("_b_l"), t)
-    budget = indel_budget(F.col("_a_l"), F.col("_b_l"), t)
     return (
         (F.col("_a_l") > 0)
         & (F.col("_b_l") > 0)
         & (F.col("_a_l") >= lo)
         & (F.col("_a_l") <= hi)
-        & levenshtein_within(F.col("_a_k"), F.col("_b_k"), budget)
+        & _near_enough(t)
     )
 
 
+@functools.lru_cache(maxsize=128)
+def _near_enough(t: int) -> Column:
+    """Neither the sketches nor the Levenshtein distance of the token-set forms rule the pair out."""
+    budget = indel_budget(F.col("_a_l"), F.col("_b_l"), t)
+    return sketch_within(F.col("_a_c"), F.col("_b_c"), budget) & levenshtein_within(F.col("_a_k"), F.col("_b_k"), budget)
+
+
 @functools.lru_cache(maxsize=128)
 def _join_condition(t: int) -> Column:
     kind, tok = F.col("_ka.kind"), F.col("_ka.tok")
     same_key = F.col("_ka") == F.col("_kb")
-    budget = indel_budget(F.col("_a_l"), F.col("_b_l"), t)
-    lev = levenshtein_within(F.col("_a_k"), F.col("_b_k"), budget)
     first_tok = F.array_min(F.array_intersect(F.col("_a_t"), F.col("_b_t")))
-    cond = ((kind == "L") & lev) | (
+    cond = ((kind == "L") & _near_enough(t)) | (
         (kind == "T") & (F.col("_a_m") | F.col("_b_m")) & ~_bound(t) & (tok == first_tok)
     )
     return same_key & cond
@@ -240,11 +245,9 @@ def _join_condition(t: int) -> Column:
 @functools.lru_cache(maxsize=128)
 def _prefix_condition(t: int) -> Column:
     """P keys: the pair is kept only under its smallest shared prefix element."""
-    budget = indel_budget(F.col("_a_l"), F.col("_b_l"), t)
-    lev = levenshtein_within(F.col("_a_k"), F.col("_b_k"), budget)
     elem = F.struct(F.col("_ka.cnt").alias("cnt"), F.col("_ka.tok").alias("g"), F.col("_ka.occ").alias("k"))
     first = F.array_min(F.array_intersect(F.col("_a_pre"), F.slice(F.col("_b_s"), 1, F.col("_b_pl"))))
-    return (F.col("_ka.kind") == "P") & (F.col("_ka") == F.col("_kb")) & (elem == first) & lev
+    return (F.col("_ka.kind") == "P") & (F.col("_ka") == F.col("_kb")) & _near_enough(t) & (elem == first)
 
 
 def _candidates(a: DataFrame, b: DataFrame, t: int, broadcast_b: bool, max_len: int | None = None) -> DataFrame:
@@ -256,17 +259,51 @@ def _candidates(a: DataFrame, b: DataFrame, t: int, broadcast_b: bool, max_len:
     if use_bigrams:
         a, b = _sorted_elements(a, b)
         a = a.withColumn("_a_pre", _a_prefix(t))
-    salts = 1 if broadcast_b else LENGTH_SALTS
-    ak = a.select("*", F.inline(_a_keys(use_bigrams, salts)))
-    bk = b.select("*", F.inline(_b_keys(t, use_bigrams, max_len, salts)))
-    bk = F.broadcast(bk) if broadcast_b else bk
+    ak = a.select("*", F.inline(_a_keys(use_bigrams)))
+    bk = b.select("*", F.inline(_b_keys(t, use_bigrams, max_len)))
     cond = _join_condition(t)
     if use_bigrams:
         cond = cond | _prefix_condition(t)
-    drop = [c for c in ("_ka", "_kb", "_b_pl", "_a_s", "_b_s", "_a_pre") if c in ak.columns + bk.columns]
+    if broadcast_b:
+        bk = F.broadcast(bk)
+    else:
+        ak, bk = balanced(ak, bk)
+        cond = cond & (F.col("_a_salt") == F.col("_b_salt"))
+    drop = [c for c in ("_ka", "_kb", "_b_pl", "_a_s", "_b_s", "_a_pre", "_a_salt", "_b_salt") if c in ak.columns + bk.columns]
     return ak.join(bk, cond, "inner").drop(*drop)
 
 
+def balanced(ak: DataFrame, bk: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt (``_a_salt``, ``_b_salt``), by the measured pairs of their key.
+
+    A key's pairs are the product of its rows on both sides.  Keys that hold
+    more than a ``SPLIT_SHARE``-th of a shuffle partition's share of all pairs
+    are split into as many salts as bring them below: of the side with more
+    rows each row goes to one salt by its hash, those of the other side to all.
+    There are at most SPLIT_SHARE times the shuffle partitions of such keys,
+    so they are broadcast.
+    """
+    parts = parts or int(ak.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    na = ak.groupBy(F.col("_ka").alias("_k")).agg(F.count(F.lit(1)).alias("na"))
+    nb = bk.groupBy(F.col("_kb").alias("_k")).agg(F.count(F.lit(1)).alias("nb"))
+    work = materialize(na.join(nb, "_k").withColumn("pairs", F.col("na").cast("double") * F.col("nb")))
+    total = work.agg(F.sum("pairs")).first()[0] or 0.0
+    most = max(1.0, total / (parts * SPLIT_SHARE))
+    larger = F.greatest("na", "nb").cast("double")
+    salts = F.least(F.ceil(F.col("pairs") / most).cast("double"), larger).cast("int")
+    heavy = work.where(F.col("pairs") > most).select("_k", salts.alias("_salts"), (F.col("na") >= F.col("nb")).alias("_split_a"))
+    heavy = F.broadcast(materialize(heavy))
+
+    def salted(rows: DataFrame, p: str, split: Column) -> DataFrame:
+        keyed = rows.join(heavy, F.col("_k" + p[1]) == F.col("_k"), "left")
+        one = F.array(F.pmod(F.xxhash64(p), F.col("_salts")).cast("int"))
+        every = F.sequence(F.lit(0), F.col("_salts") - 1)
+        salt = F.when(F.col("_salts").isNull(), F.array(F.lit(0))).when(split, one).otherwise(every)
+        return keyed.withColumn(p + "_salt", F.explode(salt)).drop("_k", "_salts", "_split_a")
+
+    return salted(ak, "_a", F.col("_split_a")), salted(bk, "_b", ~F.col("_split_a"))
+
+
 def _longest(records: DataFrame, name_col: str, t: int) -> int | None:
     """Longest normalised name (>= its token-set form), needed only for low thresholds."""
     if t >= _MIN_EXPLODE_THRESHOLD:
@@ -275,9 +312,7 @@ def _longest(records: DataFrame, name_col: str, t: int) -> int | None:
 
 
 def _verify(cand: DataFrame, t: int) -> DataFrame:
-    return cand.withColumn("score", token_set_ratio_udf(F.col("_a"), F.col("_b"))).where(
-        F.col("score") >= F.lit(float(t))
-    )
+    return cand.withColumn("score", token_set_ratio(F.col("_a"), F.col("_b"))).where(F.col("score") >= F.lit(float(t)))
 
 
 def choose_strategy(
@@ -346,6 +381,14 @@ def _small_enough(pairs: DataFrame) -> bool:
     return row["n"] <= BROADCAST_MAX_PAIRS and row["b"] <= BROADCAST_MAX_PAIR_BYTES
 
 
+def count_candidates(names: DataFrame, queries: DataFrame, threshold: int, name_col: str = "name", query_col: str = "query") -> tuple[int, int, int]:
+    """Distinct names, distinct queries, and pairs of them that reach the scorer in the shuffled join."""
+    a = names.where(F.col(name_col) != "").select(normalize_bn(name_col).alias("_a")).distinct()
+    b = queries.where(F.col(query_col) != "").select(normalize_bn(query_col).alias("_b")).distinct()
+    cand = _candidates(_forms_of_normalised(a, "_a"), _forms_of_normalised(b, "_b"), int(threshold), broadcast_b=False)
+    return a.count(), b.count(), cand.select("_a").count()
+
+
 def match_pairs(
     names: DataFrame,
     queries: DataFrame,
@@ -384,6 +427,7 @@ def _form_columns(p: str) -> tuple[Column, ...]:
         key.alias(p + "_k"),
         has_inner_whitespace(p).alias(p + "_m"),
         F.length(key).alias(p + "_l"),
+        sketch(key).alias(p + "_c"),
     )
 
 

@@ -150,7 +150,7 @@ def roll_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toks.select(
         "path",
         F.col("page").cast("int").alias("page"),
-        word_pos.cast("int").alias("word_pos"),
+        word_pos.cast("long").alias("word_pos"),
         F.col("block_num").cast("int").alias("block_num"),
         F.lit(1).alias("par_num"),
         F.col("line_num").cast("int").alias("line_num"),
@@ -210,7 +210,7 @@ roll_tok AS (
                                 generate_subscripts(regexp_split_to_array(trim(line), ' +'), 1) AS i) t),
 roll_words AS (
   SELECT path, CAST(page AS INTEGER) AS page,
-         CAST((block_num * 100 + line_num) * 100 + tok_pos AS INTEGER) AS word_pos,
+         CAST((block_num * 100 + line_num) * 100 + tok_pos AS BIGINT) AS word_pos,
          CAST(block_num AS INTEGER) AS block_num, 1 AS par_num, CAST(line_num AS INTEGER) AS line_num,
          text, CAST(50 + (tok_pos * 7 + page * 11) % 50 AS DOUBLE) AS confidence,
          CAST(tok_pos * 10 AS INTEGER) AS bbox_left,
@@ -281,28 +281,120 @@ def roll_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def page_fn(path: str, content: bytes):
-    """Stand-in page function: pages of a roll at form feeds, of a document by ``text_page_fn``."""
-    if path.startswith("/data/rolls/"):
-        yield from content.decode("utf-8").split("\n", 1)[1].split("\f")
-    else:
-        yield from text_page_fn(path, content)
+def roll_page_fn(path: str, content: bytes):
+    """Stand-in page function of roll files: pages at form feeds; a page of one ``?`` is a failed one."""
+    from rollscan.sources.ocr import PageError
+
+    for page in content.decode("utf-8").split("\n", 1)[1].split("\f"):
+        yield PageError("unreadable") if page == "?" else page
+
+
+def write_files(files: DataFrame, folder: str) -> str:
+    """Write ``files(name, content)`` as files of a folder, each in the task that holds its row."""
+    import pyarrow as pa
+
+    from rollscan.session import ship_package
+    from rollscan.sources.planned import open_file, split_uri
+
+    ship_package(files.sparkSession)
+
+    def write(batches):
+        import os
+
+        scheme, _, local = split_uri(folder)
+        if not scheme:
+            os.makedirs(local, exist_ok=True)
+        for b in batches:
+            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist()):
+                with open_file(f"{folder}/{name}", "wb") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], ["n"])
+
+    files.select("name", "content").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+def roll_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files(name, content)``: every roll as a "PDF"; the pages of every fifth one are followed by an unreadable
+    one, and every seventh has a copy without a PDF header."""
+    rolls = roll_files(spark, sf_dir).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    number = F.substring("name", 6, 5).cast("int")
+    text = F.decode("content", "UTF-8")
+    whole = rolls.select("name", F.encode(F.when(number % 5 == 0, F.concat(text, F.lit("\f?"))).otherwise(text), "UTF-8").alias("content"))
+    broken = rolls.where(number % 7 == 0).select(F.concat(F.lit("bad_"), "name").alias("name"), F.encode(F.substring(text, 2, 1 << 30), "UTF-8").alias("content"))
+    return whole.unionByName(broken)
+
+
+def document_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files(name, content)`` of the document files, in folders by source."""
+    return doc_files(spark, sf_dir).select(F.concat_ws("_", F.element_at(F.split("path", "/"), 3), F.element_at(F.split("path", "/"), -1)).alias("name"), "content")
+
+
+def doc_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages(path, file, page, text, level, message)`` of the document files as an OCR step leaves them, laid out natively:
+    pages of four lines; one with an ``@`` is a page error, a file without PDF header a file error."""
+    from rollscan.operators.filters import pdf_suffix
+    from rollscan.sources.files import validate_files
+    from rollscan.sources.ocr import MSG_PAGE
+
+    files = validate_files(doc_files(spark, sf_dir).where(pdf_suffix("path")))
+    lines = F.split(F.substring(F.decode("content", "UTF-8"), 10, 1 << 30), NL, -1)
+    starts = F.sequence(F.lit(1), F.size("lines"), F.lit(LINES_PER_PAGE))
+    texts = F.transform(starts, lambda i: F.array_join(F.slice("lines", i, F.lit(LINES_PER_PAGE)), NL))
+    pages = files.where("error is null").select("path", "file", lines.alias("lines"))
+    pages = pages.select("path", "file", F.posexplode(texts).alias("at", "text")).withColumn("page", (F.col("at") + 1).cast("int"))
+    failed = F.contains("text", F.lit("@"))
+    message = F.concat(F.lit(MSG_PAGE.split("{page}")[0]), F.col("page").cast("string"), F.lit(": page holds an e-mail address"))
+    pages = pages.select(
+        "path", "file", "page", F.when(~failed, F.col("text")).alias("text"),
+        F.when(failed, "page").alias("level"), F.when(failed, message).alias("message"),
+    )
+    none = F.lit(None).cast("string")
+    bad = files.where("error is not null").select(
+        "path", "file", F.lit(None).cast("int").alias("page"), none.alias("text"), F.lit("file").alias("level"),
+        F.concat("file", F.lit(": "), "error").alias("message"),
+    )
+    return pages.unionByName(bad)
+
+
+def word_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files(name, content)``: the OCR engine's TSV output of every roll: a header, a row of level 1 and no
+    confidence for every page, and the words; every tenth one ends in a quote."""
+    w = roll_words(spark, sf_dir)
+    number = F.col("tok_pos_") + 1
+    w = w.withColumn("tok_pos_", F.pmod("word_pos", F.lit(100)))
+    text = F.when(F.pmod(F.col("word_pos"), F.lit(10)) == 3, F.concat("text", F.lit('"'))).otherwise(F.col("text"))
+    boxed = [F.col(f"bbox.{c}") for c in ("left", "top", "width", "height")]
+    cells = [F.lit(5), F.col("page"), F.col("block_num"), F.col("par_num"), F.col("line_num"), number, *boxed, F.col("confidence"), text]
+    words = w.select("path", "page", "word_pos", F.concat_ws("\t", *[c.cast("string") for c in cells]).alias("line"))
+    heads = w.select("path", "page").distinct().select(
+        "path", "page", F.lit(-1).cast("long").alias("word_pos"),
+        F.concat(F.lit("1\t"), F.col("page").cast("string"), F.lit("\t0\t0\t0\t0\t0\t0\t100\t100\t-1\t")).alias("line"),
+    )
+    rows = words.unionByName(heads).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("page", "word_pos", "line"))).alias("r"))
+    header = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"
+    body = F.concat(F.lit(header + NL), F.array_join(F.transform("r", lambda x: x["line"]), NL), F.lit(NL))
+    return rows.select(F.concat(F.element_at(F.split("path", "/"), -1), F.lit(".tsv")).alias("name"), F.encode(body, "UTF-8").alias("content"))
+
+
+# Words: runs of letters of any script.
+NO_LETTERS = "[^\\p{L}]+"
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``records(path, page, block_pos, name)`` of high cardinality: every distinct word of at least eight
-    characters of all documents, as a name on a page of its own."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", "[^a-zA-Z]+")).alias("name"))
-    words = d.where(F.length("name") >= 8).distinct()
+    """``records(path, page, block_pos, name)`` of high cardinality: every distinct word of all documents, as a name
+    on a page of its own."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", NO_LETTERS)).alias("name"))
+    words = d.where("name <> ''").distinct()
     return words.select(
         F.concat(F.lit("/data/words/"), F.col("name")).alias("path"), F.lit(1).alias("page"), F.lit(0).alias("block_pos"), "name"
     )
 
 
 def benchmark_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``queries(query)``: every distinct word of at least nine characters of the benchmark texts."""
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.split("text", "[^a-zA-Z]+")).alias("query"))
-    return b.where(F.length("query") >= 9).distinct()
+    """``queries(query)``: every distinct word of the benchmark texts."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.split("text", NO_LETTERS)).alias("query"))
+    return b.where("query <> ''").distinct()
 
 
 def doc_ledger(spark: SparkSession, sf_dir: str, nhash: str) -> DataFrame:
@@ -356,9 +448,9 @@ def item_type() -> str:
 
 WORD_NAMES_SQL = """
 word_names AS (
-  SELECT DISTINCT name FROM (SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS name FROM documents) WHERE length(name) >= 8),
+  SELECT DISTINCT name FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{L}]+')) AS name FROM documents) WHERE name <> ''),
 word_queries AS (
-  SELECT DISTINCT query FROM (SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS query FROM benchmark) WHERE length(query) >= 9)
+  SELECT DISTINCT query FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{L}]+')) AS query FROM benchmark) WHERE query <> '')
 """
 
 DOC_FILES_SQL = """

@@ -26,7 +26,8 @@ WORDS = T.StructType(
     [
         T.StructField("path", T.StringType()),
         T.StructField("page", T.IntegerType()),
-        T.StructField("word_pos", T.IntegerType()),
+        # reading order within the page: block, paragraph, line and word number in one
+        T.StructField("word_pos", T.LongType()),
         T.StructField("block_num", T.IntegerType()),
         T.StructField("par_num", T.IntegerType()),
         T.StructField("line_num", T.IntegerType()),

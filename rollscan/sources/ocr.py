@@ -39,7 +39,7 @@ from rollscan.sources.files import fits, validate_files
 
 WORD = T.StructType(
     [
-        T.StructField("word_pos", T.IntegerType()),
+        T.StructField("word_pos", T.LongType()),
         T.StructField("block_num", T.IntegerType()),
         T.StructField("par_num", T.IntegerType()),
         T.StructField("line_num", T.IntegerType()),
