@@ -989,7 +989,7 @@ FROM n, (SELECT unnest([1, 2]) AS run)""",
         + """SELECT regexp_extract(path, '[^/]*$') AS file, page,
   ((CAST(block_num AS BIGINT) * 1000 + 1) * 1000 + line_num) * 10000 + word_pos % 100 + 1 AS word_pos, block_num, par_num,
   CAST(line_num AS INTEGER) AS line_num,
-  CASE WHEN word_pos % 10 = 3 THEN text || '"' ELSE text END AS text, confidence, bbox_left, bbox_top, bbox_width, bbox_height
+  replace(text, chr(9), '_') || CASE WHEN word_pos % 10 = 3 THEN '"' ELSE '' END AS text, confidence, bbox_left, bbox_top, bbox_width, bbox_height
 FROM roll_words""",
         "result_order": _run_sql()
         + "SELECT path, page, block_pos, query, name, row_number() OVER (ORDER BY path, page, block_pos, query, name) AS result_pos FROM hits",

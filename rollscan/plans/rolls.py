@@ -363,7 +363,8 @@ def word_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = roll_words(spark, sf_dir)
     number = F.col("tok_pos_") + 1
     w = w.withColumn("tok_pos_", F.pmod("word_pos", F.lit(100)))
-    text = F.when(F.pmod(F.col("word_pos"), F.lit(10)) == 3, F.concat("text", F.lit('"'))).otherwise(F.col("text"))
+    bare = F.translate("text", "\t", "_")  # a word of the OCR engine holds no white space
+    text = F.when(F.pmod(F.col("word_pos"), F.lit(10)) == 3, F.concat(bare, F.lit('"'))).otherwise(bare)
     boxed = [F.col(f"bbox.{c}") for c in ("left", "top", "width", "height")]
     cells = [F.lit(5), F.col("page"), F.col("block_num"), F.col("par_num"), F.col("line_num"), number, *boxed, F.col("confidence"), text]
     words = w.select("path", "page", "word_pos", F.concat_ws("\t", *[c.cast("string") for c in cells]).alias("line"))

@@ -79,6 +79,19 @@ def materialize(df):
 _WRITTEN: dict[str, list[str]] = {}
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now.
+
+    Spark's cleaner removes them once the driver has collected the plans that
+    made them, which without need of memory may be long after; an operator of
+    many steps calls this where a written table has cut the lineage.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # Lists of the table scopes that are open in a thread.
 _SCOPES = threading.local()
 
