@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollscan.llm.common import prepare, text_or_empty
-from rollscan.session import drop_tables, materialize, table_scope
+from rollscan.session import drop_tables, materialize, release_shuffles, table_scope
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 80
@@ -233,7 +233,7 @@ def rare_entries(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one among the first ``n - needed + 1`` of each; ``at`` is its place.
     """
     keys = materialize(live.select(F.col("set_key").alias("key")))
-    held = materialize(only_keys(sets, "set_key", keys).select("set_key", F.explode("set").alias("shingle")))
+    held = only_keys(sets, "set_key", keys).select("set_key", F.explode("set").alias("shingle"))
     often = held.groupBy("shingle").agg(F.count("*").alias("holders"))
     ordered = held.join(often, "shingle").groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("s"))
     # the partner may be as small as percent of n: that is the longest prefix
@@ -297,6 +297,7 @@ def group_buckets(in_buckets: DataFrame, sets_of: Callable[[DataFrame], DataFram
     with table_scope() as written:
         labels = materialize(_grouped(in_buckets, sets_of, percent))
     drop_tables(in_buckets.sparkSession, written[:-1])
+    release_shuffles(in_buckets.sparkSession)
     return labels
 
 
@@ -306,6 +307,7 @@ def _grouped(in_buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], p
     company = members.groupBy("set_key").agg(F.sum("size").alias("weight"))
     members = materialize(members.join(company, "set_key").select("bucket", "set_key", "n", F.struct("weight", "n", "set_key").alias("rank")))
     sets = materialize(sets_of(members.select("set_key").distinct()))
+    release_shuffles(in_buckets.sparkSession)
 
     # a star in every bucket, around the member with the most company
     centres = members.groupBy("bucket").agg(F.max("rank").alias("top"))
@@ -318,7 +320,9 @@ def _grouped(in_buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], p
     live = undecided(members, labels)
     left = live.count()
     if left:
+        release_shuffles(in_buckets.sparkSession)
         tested, entries = star.select("lo", "hi"), rare_entries(live, sets, percent)
+        release_shuffles(in_buckets.sparkSession)
         for turn in range(TURNS + 1):
             rooted = divided(entries, labels)
             if rooted.isEmpty():

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from rollscan.llm.common import text_or_empty
 from rollscan.llm.near_dedup import group_buckets, small
-from rollscan.session import drop_tables, materialize, table_scope
+from rollscan.session import drop_tables, materialize, release_shuffles, table_scope
 
 #: Anchors are so many words at most, and so many of all words of the corpus at most (in percent).
 ANCHORS = 200
@@ -245,6 +245,7 @@ def set_groups(spotted: DataFrame, percent: int = 80) -> DataFrame:
         )
         # the empty set is one row here; a filter before would take the spots of every text once more
         one = materialize(one.withColumn("n", F.size("spots"))).where("n > 0")
+        release_shuffles(spotted.sparkSession)
         share = percent / 100
         # a set of n can be alike to one of share * n: that may lie in the partition below
         part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(share**-SPAN)) + 1e-9).cast("int")
@@ -262,6 +263,7 @@ def set_groups(spotted: DataFrame, percent: int = 80) -> DataFrame:
         ids = named.groupBy("group").agg(F.min("least").alias("group_id"))
         groups = materialize(named.select("set_key", "group").join(ids, "group").select("set_key", "group_id"))
     drop_tables(spotted.sparkSession, written[:-1])
+    release_shuffles(spotted.sparkSession)
     return groups
 
 
