@@ -20,6 +20,7 @@ ignored.  Texts are tokenised whole.
 from __future__ import annotations
 
 import base64
+import json
 import math
 import zlib
 from collections import defaultdict
@@ -42,8 +43,9 @@ class Encoder:
 
     The rank file of the vocabulary is read with tiktoken, several times
     faster than the JSON file with tokenizers and with the same ids (tested
-    against it); a text that tiktoken refuses goes to tokenizers.  Strings of
-    special tokens inside a text are ordinary text.
+    against it).  A text that holds the string of an added token, or that
+    tiktoken refuses, goes to tokenizers as it is, which gives added tokens
+    their own ids.
     """
 
     def __init__(self, json_path: str | None = None, ranks_path: str | None = None):
@@ -54,19 +56,21 @@ class Encoder:
         with open(ranks_path or public.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(self.json_path, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f).get("added_tokens", ())]
         self.slow = None
 
     def ids(self, text: str) -> list[int]:
-        try:
-            return self.fast.encode_ordinary(text)
-        except BaseException as e:  # a panic of the native library is no Exception
-            if not isinstance(e, Exception) and type(e).__name__ != "PanicException":
-                raise
+        if not any(token in text for token in self.added):
+            try:
+                return self.fast.encode_ordinary(text)
+            except BaseException as e:  # a panic of the native library is no Exception
+                if not isinstance(e, Exception) and type(e).__name__ != "PanicException":
+                    raise
         if self.slow is None:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.json_path)
-            self.slow.encode_special_tokens = True
         return self.slow.encode(text, add_special_tokens=False).ids
 
 

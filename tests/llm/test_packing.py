@@ -25,6 +25,14 @@ def test_ids_agree_with_tokenizers(text):
     assert ENCODER.ids(text) == ids_of(text)
 
 
+def test_strings_of_added_tokens_are_ids_of_their_own():
+    slow = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    for token in ENCODER.added:
+        for text in (token, f"a{token}b", f" {token} {token}x", token[:-1], f"é{token}"):
+            assert ENCODER.ids(text) == slow.encode(text, add_special_tokens=False).ids
+    assert len(ENCODER.ids("a<|endoftext|>b")) == 3
+
+
 def test_ids_of_awkward_texts(sample):
     texts = ["", " " * 5000, "\n" * 3000 + "x", "a" * 20_000, "  a  \t b\r\n\x0b", "　\xa0  x", "don't WE'LL it's", "é‍\U0001f468‍\U0001f469", "١٢٣ Ⅷ ½", "\x00\x1c\x85"]
     for t in texts + [r[0] for r in sample.select("text").collect()]:
