@@ -59,13 +59,16 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda i: F.get("t", F.lit(i))["text"]
     is_roles = lambda *names: roles == F.array(*map(F.lit, names))
     kind = F.pmod("conv_id", F.lit(3))
-    plain = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")))
+    # as in real files, some records have fields besides those that a layout is told by
+    number = F.col("conv_id").cast("string").alias("id")
+    message = lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"), F.array(F.struct(F.lit("f").alias("call"))).alias("tool_calls"))
+    plain = F.to_json(F.struct(F.transform("t", message).alias("messages"), number))
     name = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
     shared = F.to_json(F.struct(F.transform("t", lambda x: F.struct(name(x["role"]).alias("from"), x["text"].alias("value"))).alias("conversations")))
     prompt = F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response")))
     system = F.to_json(F.struct(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response")))
     order = F.to_json(F.struct(text(0).alias("instruction"), F.lit("").alias("input"), text(1).alias("output")))
-    short = F.to_json(F.struct(text(0).alias("instruction"), text(1).alias("output")))
+    short = F.to_json(F.struct(text(0).alias("instruction"), text(1).alias("output"), number))
     usual = F.forall(roles, lambda r: r.isin("system", "user", "assistant"))
     record = (
         F.when(is_roles("user", "assistant"), F.when(kind == 0, prompt).when(kind == 1, order).otherwise(short))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollscan.llm import queries
-from rollscan.llm.chat_format import canonical_turns, escape, fingerprint, format_turns, loss_text, parse_formatted, unescape
+from rollscan.llm.chat_format import canonical_turns, escape, fingerprint, format_turns, loss_text, parse_formatted, unescape, unmapped_layouts
 
 CONTROLS = ["</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>"]
 TEXTS = [
@@ -45,6 +45,48 @@ def test_layouts(spark):
     assert canonical_turns(d.limit(0)).count() == 0
 
 
+def test_fields_besides_the_layout(spark):
+    """Further and optional fields leave a record its layout; what no mapping fits is counted by layout."""
+    mapped = [
+        ({"id": 7, "messages": [{"role": "user", "content": "q", "name": "n", "tool_calls": [{"f": {"a": [1]}}]}]}, [("user", "q")]),
+        ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": None, "weight": 0}], "system": "s"}, [("system", "s"), ("user", "q"), ("assistant", "")]),
+        ({"conversations": [{"from": "gpt", "value": "a"}], "source": "x", "system": ""}, [("assistant", "a")]),
+        ({"prompt": "q", "response": 5, "meta": {"k": 1}}, [("user", "q"), ("assistant", "5")]),
+        ({"instruction": "i", "output": "o", "id": "1", "system": "s"}, [("system", "s"), ("user", "i"), ("assistant", "o")]),
+        ({"messages": []}, []),
+    ]
+    lost = [{"messages": [{"role": "user", "content": [{"type": "text"}]}]}, {"messages": [{"role": "user", "content": [{"type": "x"}]}]},
+            {"messages": [{"role": "user"}]}, {"prompt": "q", "response": "a", "output": "o"}]
+    rows = [(i, json.dumps(r)) for i, r in enumerate([r for r, _ in mapped] + lost)] + [(50, "no json"), (51, None)]
+    turned = canonical_turns(spark.createDataFrame(rows, "id int, record string"))
+    out = {r["id"]: r["turns"] for r in turned.collect()}
+    assert [[tuple(t) for t in out[i]] for i in range(len(mapped))] == [t for _, t in mapped]
+    assert all(out[i] is None for i in (*range(len(mapped), len(mapped) + len(lost)), 50, 51))
+    assert sorted(r["records"] for r in unmapped_layouts(turned).collect()) == [1, 1, 2, 2]
+
+
+def test_edges_of_the_query(spark, tmp_path):
+    """Null texts, roles and ids, repeated turns, a long text, a clashing column; and an empty table."""
+    rows = [(1, 0, None, None), (1, 1, "assistant", None), (2, 0, "user", "a"), (2, 0, "user", "a"), (None, 0, "user", "x"), (None, 1, "assistant", "y"),
+            (3, 0, "user", "word </s> " * 40_000), (3, 1, "assistant", "</s>" * 40_000)]
+    schema = "conv_id long, turn long, role string, text string"
+    for name, some in (("full", rows), ("empty", [])):
+        at = tmp_path / name
+        spark.createDataFrame([(*r, "clash") for r in some], schema + ", record string").write.parquet(f"{at}/conversations.parquet")
+        out = {r["conv_id"]: r for r in queries.op5_chat_format(spark, str(at)).collect()}
+        said = defaultdict(list)
+        for c, t, role, text in some:
+            said[c].append((t, role or "", text or ""))
+        said[-1] = [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]
+        assert set(out) == set(said)
+        for c, turns in said.items():
+            turns = sorted(turns)
+            loss = "".join(x for _, r, x in turns if r == "assistant")
+            assert out[c]["n_turns"] == len(turns) and out[c]["loss_chars"] == len(loss)
+            assert out[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+            assert out[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_fingerprint_is_of_paths_only(spark):
     rows = ['{"a":{"b":[{"c":1,"d":null}]}}', '{"a":{"b":[{"d":"x","c":2.5},{"c":true}]}}', '{"a":{"b":[{"c":1}]}}', '{"a":{"b":{"c":1,"d":2}}}']
     got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "r string").select(fingerprint(F.col("r"))).collect()]
