@@ -61,7 +61,7 @@ _ISC_WARRANTY = (
     "THIS SOFTWARE."
 )
 #: Known texts by licence id (fixed values: the public texts of the licences and of common notices).
-KNOWN = (
+TEXTS = (
     (
         "MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -83,22 +83,58 @@ KNOWN = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "MIT License"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 )
 
+#: Licences whose identifier and name make notices by rule: SPDX identifiers, and the names in "Licensed under the ...".
+NAMES = {
+    "MIT": ("MIT License",), "ISC": ("ISC License",), "0BSD": ("BSD Zero Clause License",), "Unlicense": ("Unlicense",),
+    "Apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0"),
+    "GPL-2.0": ("GNU General Public License v2.0", "GNU General Public License, version 2"),
+    "GPL-3.0": ("GNU General Public License v3.0", "GNU General Public License, version 3"),
+    "LGPL-2.1": ("GNU Lesser General Public License v2.1", "GNU Lesser General Public License, version 2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License v3.0", "GNU Lesser General Public License, version 3"),
+    "CC0-1.0": ("CC0 1.0 Universal",),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License",),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License",),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License",),
+    "AGPL-3.0": ("GNU Affero General Public License v3.0", "GNU Affero General Public License, version 3"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "Zlib": ("zlib License",),
+}
+#: Identifiers that SPDX lines offer as a choice of two, in either order.
+CHOICES = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-or-later", "LGPL-2.1-or-later")
+#: Opening words of a line that names a licence.
+OPENINGS = ("Licensed under the {}.", "Released under the {}.", "This project is licensed under the {}.", "This work is licensed under the {}.")
+
+
+def spdx_forms(license_id: str) -> tuple[str, ...]:
+    """Identifiers of a licence in SPDX lines: those of the GNU family say whether later versions are meant."""
+    gnu = license_id.startswith(("GPL", "LGPL", "AGPL"))
+    return tuple(license_id + end for end in ("", "-only", "-or-later", "+")) if gnu else (license_id,)
+
+
+def notices() -> tuple:
+    """SPDX lines of one licence, of a choice of two (an expression of its own), and sentences that name one."""
+    one = [(k, f"SPDX-License-Identifier: {form}") for k in NAMES for form in spdx_forms(k)]
+    two = [(f"{a} OR {b}", f"SPDX-License-Identifier: {a} OR {b}") for a in CHOICES for b in CHOICES if a != b]
+    named = [(k, opening.format(name)) for k, names in NAMES.items() for name in names for opening in OPENINGS]
+    return tuple(one + two + named)
+
+
+KNOWN = TEXTS + notices()
+
 #: Entire texts in the folder license_texts, by licence id.
 ENTIRE = ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense")
 #: Titles that files put above a text which has none of its own.
@@ -127,9 +163,9 @@ COPYRIGHT_LINE = (
 )
 #: Names that users fill into the texts, in canonical form, and the names that stand for them.
 FILLED = (
-    (r"neither the name of [^\n]{1,120}? nor the names of (?:its|the) contributors", "neither the name of the copyright holder nor the names of its contributors"),
-    (r"this software is provided by [^\n]{1,120}? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
-    (r"in no event shall [^\n]{1,120}? be liable for any direct", "in no event shall the copyright holder or contributors be liable for any direct"),
+    (r"neither the name of [^\n]+? nor the names of (?:its|the) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"this software is provided by [^\n]+? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    (r"in no event shall [^\n]+? be liable for any direct", "in no event shall the copyright holder or contributors be liable for any direct"),
 )
 
 
@@ -166,8 +202,7 @@ def digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
     """license and digest of the known texts, one row per digest."""
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(t).alias("text")) for k, t in known]))
-    found = spark.range(1).select(rows.alias("k")).select("k.license", digest(F.col("k.text")).alias("digest"))
+    found = spark.createDataFrame(list(known), "license string, text string").select("license", digest(F.col("text")).alias("digest"))
     return found.where(F.col("digest") != F.sha2(F.lit(""), 256)).groupBy("digest").agg(F.min("license").alias("license"))
 
 
