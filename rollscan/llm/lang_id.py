@@ -7,9 +7,10 @@ the choice is rejected when the runner-up is nearly as small.  Long texts are
 compressed passage by passage, all of them, so that the dictionary and not
 the text's own beginning decides.  Texts and samples are lower-cased first.
 
-The training sample is bounded: ``PASSAGES`` documents per language, taken by
-a hash of their ids among all training rows, one passage of at most
-``PASSAGE_CHARS`` characters from each, likewise by hash.
+The training sample is bounded: the ``LANGUAGES`` values of ``lang`` with most
+training rows (ties by name; any other value is never predicted), ``PASSAGES``
+documents of each, taken by a hash of their ids among all training rows, one
+passage of at most ``PASSAGE_CHARS`` characters from each, likewise by hash.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 without any training row every text is; with one learned language every text
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from rollscan.llm.common import prepare
 
+LANGUAGES = 200
 PASSAGES = 128
 PASSAGE_CHARS = 2000
 #: Bytes of a text that are compressed at a time.
@@ -67,13 +69,13 @@ def sample_passages(docs: DataFrame, passages: int = PASSAGES, chars: int = PASS
     return texts.select("lang", part.alias("passage"), F.xxhash64("doc_id").alias("place"))
 
 
-def learn(docs: DataFrame, **options) -> dict[str, bytes]:
+def learn(docs: DataFrame, languages: int = LANGUAGES, **options) -> dict[str, bytes]:
     """Dictionary content of each language, at most PASSAGES * PASSAGE_CHARS characters of it; frequent languages first."""
-    found: dict[str, list] = {}
-    for r in sample_passages(docs, **options).collect():
-        found.setdefault(r["lang"], []).append((r["place"], r["passage"]))
-    rows = {r["lang"]: r["n"] for r in training_rows(docs).groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    order = sorted(found, key=lambda k: (-rows[k], k))
+    counted = training_rows(docs).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages)
+    order = [r["lang"] for r in counted.collect()]
+    found: dict[str, list] = {k: [] for k in order}
+    for r in sample_passages(docs.where(F.col("lang").isin(order)), **options).collect():
+        found[r["lang"]].append((r["place"], r["passage"]))
     return {k: "\n".join(p for _, p in sorted(found[k])).lower().encode("utf-8", "surrogatepass") for k in order}
 
 
