@@ -3,7 +3,8 @@
 Same options as the reference's ``search`` command where they still mean
 something on a cluster; the OCR engine is named with ``--page-fn
 module:function`` (see ``rollscan.sources.ocr.ocr_pages``), or a table of
-already OCR'd pages is searched with ``--pages``.
+already OCR'd pages is searched with ``--pages``, one of OCR words, in box mode,
+with ``--words``.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ def build_parser() -> argparse.ArgumentParser:
     s.add_argument("-f", "--format", default="auto", help="json, csv or auto")
     s.add_argument("--page-fn", help="OCR page function as module:function")
     s.add_argument("--pages", help="search this Parquet table of page texts (path, page, text) instead")
+    s.add_argument("--words", help="search this Parquet table of OCR words (path, page, word_pos, text, confidence, bbox, ...) in box mode")
     s.add_argument("--ledger", help="result ledger folder (skip files already searched)")
     s.add_argument("--clear-ledger", action="store_true", help="clear the ledger first")
     s.add_argument("--box-level", action="store_true", help="word boxes and confidence (box mode)")
@@ -53,15 +55,17 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         max_pdf_pages=args.max_pages,
         max_search_names=args.max_names,
     )
-    if args.pages:
-        # a table of page texts has no words, files or ledger entries
+    if args.pages or args.words:
+        # a table has no files to hash, so no ledger entries; one of page texts has no words either
+        table = "--pages" if args.pages else "--words"
         unfit = [o for o, v in (
-            ("--box-level", args.box_level), ("--ledger", args.ledger), ("--clear-ledger", args.clear_ledger),
-            ("--page-fn", args.page_fn), ("--min-confidence", args.min_confidence != DEFAULT_MIN_CONFIDENCE),
-            ("--layout", args.layout != "flat"), ("a PDF folder", args.directory),
+            ("--words", args.pages and args.words), ("--box-level", args.pages and args.box_level),
+            ("--ledger", args.ledger), ("--clear-ledger", args.clear_ledger), ("--page-fn", args.page_fn),
+            ("--min-confidence", args.pages and args.min_confidence != DEFAULT_MIN_CONFIDENCE),
+            ("--layout", args.pages and args.layout != "flat"), ("a PDF folder", args.directory),
         ) if v]
         if unfit:
-            print(f"--pages cannot be used with {', '.join(unfit)}", file=sys.stderr)
+            print(f"{table} cannot be used with {', '.join(unfit)}", file=sys.stderr)
             return 2
     if args.output:
         from rollscan.sinks.results import resolve_format
@@ -75,15 +79,19 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from rollscan.sources.names import load_names
 
     names = load_names(spark, args.names_file, params)
-    if args.pages:
+    if args.pages or args.words:
         from rollscan.operators.filters import truncated_files
-        from rollscan.plans.search import search_text
+        from rollscan.plans.search import search_boxes, search_text
         from rollscan.sinks.results import write_results
         from rollscan.sources.pages import read_pages
 
+        rows = read_pages(spark, args.pages) if args.pages else spark.read.parquet(args.words)
         if params.max_pdf_pages is not None:
-            truncated_files(read_pages(spark, args.pages), params.max_pdf_pages).show(20, truncate=False)
-        results = search_text(read_pages(spark, args.pages, params=params), names, params)
+            truncated_files(rows.select("path", "page"), params.max_pdf_pages).show(20, truncate=False)
+        if args.pages:
+            results = search_text(read_pages(spark, args.pages, params=params), names, params)
+        else:
+            results = search_boxes(rows, names, params.with_(box_level=True))
         if args.output:
             write_results(results, args.output, args.format)
         report_view(results.orderBy("file", "page")).show(20, truncate=False)

@@ -173,6 +173,34 @@ def test_cli_refuses_options_that_do_not_fit(spark, capsys):
     assert "--box-level, --ledger" in capsys.readouterr().err
 
 
+def test_cli_searches_a_table_of_words(spark):
+    from rollscan.cli import main
+    from rollscan.plans import rolls
+
+    root = tempfile.mkdtemp(prefix="rollscan-words-")
+    words = rolls.roll_words(spark, "/root/testdata/sf0.001")
+    words.write.parquet(f"{root}/words")
+    name = spark.read.parquet("/root/testdata/sf0.001/part.parquet").first()["p_name"]
+    with open(f"{root}/names.txt", "w", encoding="utf-8") as f:
+        f.write(name + "\n")
+    assert main(["search", "--words", f"{root}/words", "-n", f"{root}/names.txt", "--layout", "lines", "-o", f"{root}/out.csv"], spark=spark) == 0
+    text = "".join(open(p, encoding="utf-8").read() for p in (os.path.join(f"{root}/out.csv", n) for n in os.listdir(f"{root}/out.csv")) if p.endswith(".csv"))
+    assert text.startswith("file,page,name,father,bbox_left") and name in text
+    assert main(["search", "--words", "x", "-n", "y", "--ledger", "z"], spark) == 2
+
+
+def test_binary_reader_gives_the_same_run(spark):
+    root, pdfs = _setup()
+    names = names_from_list(spark, ["রহিম আলী", "ফাতিমা খাতুন"])
+    runs = {}
+    for reader in ("planned", "binary"):
+        for turn in (1, 2):
+            out = run_search(spark, pdfs, names, page_fn, ledger_root=os.path.join(root, reader), now=NOW, reader=reader)
+            runs[reader, turn] = (sorted(map(str, out.results.collect())), sorted(map(str, out.errors.collect())), out.stats.first())
+    assert runs["planned", 1] == runs["binary", 1] and runs["planned", 2] == runs["binary", 2]
+    assert runs["planned", 1][0] == runs["planned", 2][0] and runs["planned", 2][2]["pages_processed"] == 0
+
+
 def test_run_on_folder_without_pdfs(spark):
     root = tempfile.mkdtemp(prefix="rollscan-empty-")
     with open(os.path.join(root, "notes.txt"), "w") as f:
