@@ -7,7 +7,7 @@ is counted over the whole corpus, the target one over the trusted documents
 among it (labelled good and not toxic); both have ``BUCKETS`` cells and,
 scaled to the same total, a prior count of ``PRIOR`` in each.  A document is kept if it passes the base rule and its
 score reaches ``MIN_SCORE``: a fixed threshold, so every document gets the
-same verdict on every run, whatever the other rows.
+same verdict on every run over the same corpus (the weights are counts of it).
 
 Everything is DataFrame expressions.  The weights are one array of
 ``BUCKETS`` doubles, handed to the scoring scan as a scalar subquery, so
