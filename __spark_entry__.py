@@ -555,7 +555,7 @@ def _queries_raw() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_union": q_run_union,
         "fuzzy_words": _fuzzy_words(82, "auto"),
         "fuzzy_words_shuffled": _fuzzy_words(82, "shuffle"),
-        "fuzzy_words_t50": _fuzzy_words(50, "shuffle"),
+        "fuzzy_words_t66": _fuzzy_words(66, "shuffle"),
         "file_scan": q_file_scan,
         "file_hashes": q_file_hashes,
         "search_run": q_search_run,

@@ -75,6 +75,20 @@ def _lcs_one_word(a: Column, b: Column) -> Column:
     ))
 
 
+def lcs_masks(text: Column) -> Column:
+    """What ``lcs_by_masks`` needs of a string of 1 to 62 characters: its places by character; null for others."""
+    return F.when(F.length(text).between(1, WORD_BITS), let(_chars(text), lambda c: _masks(c, F.lit(0))))
+
+
+def lcs_by_masks(masks: Column, n: Column, text: Column) -> Column:
+    """LCS length of a text and the string of n characters that the masks are of."""
+    full = _shift_left(_long(1), n) - 1
+    used = F.aggregate(
+        F.split(text, ""), full, lambda v, c: _advance(v, F.coalesce(F.try_element_at(masks, c), _long(0)), _long(0)).bitwiseAND(full)
+    )
+    return (n - F.bit_count(used)).cast("int")
+
+
 def _lcs_words(a: Column, b: Column) -> Column:
     """LCS length for any length of ``a``: as many words as it takes, the carry goes from word to word."""
     n = F.size(a)

@@ -53,6 +53,8 @@ from pyspark.sql import functions as F
 
 from rollscan.functions.similarity import (
     indel_budget,
+    lcs_by_masks,
+    lcs_masks,
     length_window,
     levenshtein_within,
     sketch,
@@ -312,7 +314,12 @@ def _longest(records: DataFrame, name_col: str, t: int) -> int | None:
 
 
 def _verify(cand: DataFrame, t: int) -> DataFrame:
-    return cand.withColumn("score", token_set_ratio(F.col("_a"), F.col("_b"))).where(F.col("score") >= F.lit(float(t)))
+    """Exact scores; of single tokens from the query's masks, which are made once per query."""
+    total = F.col("_a_l") + F.col("_b_l")
+    single = ~F.col("_a_m") & ~F.col("_b_m") & (F.col("_a_l") > 0) & F.col("_b_mk").isNotNull()
+    ratio = F.lit(100.0) - F.lit(100) * (total - F.lit(2) * lcs_by_masks(F.col("_b_mk"), F.col("_b_l"), F.col("_a_k"))) / total
+    score = F.when(single, ratio).otherwise(token_set_ratio(F.col("_a"), F.col("_b")))
+    return cand.withColumn("score", score).where(F.col("score") >= F.lit(float(t)))
 
 
 def choose_strategy(
@@ -428,6 +435,7 @@ def _form_columns(p: str) -> tuple[Column, ...]:
         has_inner_whitespace(p).alias(p + "_m"),
         F.length(key).alias(p + "_l"),
         sketch(key).alias(p + "_c"),
+        *([lcs_masks(key).alias(p + "_mk")] if p == "_b" else []),
     )
 
 

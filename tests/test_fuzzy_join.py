@@ -226,7 +226,7 @@ def test_hot_keys_are_split_by_measured_pairs(spark):
 
 
 def test_word_queries_on_a_small_table_equal_brute_force(spark, tmp_path):
-    """The queries over all words, which at threshold 50 have no SQL form that is fast enough."""
+    """The queries over all words, which at threshold 66 have no SQL form that is fast enough."""
     import re
 
     import __spark_entry__ as entry
@@ -236,6 +236,6 @@ def test_word_queries_on_a_small_table_equal_brute_force(spark, tmp_path):
     spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     words = lambda texts: {w for t in texts if t for w in re.findall(r"[^\W\d_]+", t)}
-    for name, t in (("fuzzy_words", 82), ("fuzzy_words_shuffled", 82), ("fuzzy_words_t50", 50)):
+    for name, t in (("fuzzy_words", 82), ("fuzzy_words_shuffled", 82), ("fuzzy_words_t66", 66)):
         got = sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).select("name", "query").collect())
         assert got == sorted((n, q) for n in words(docs) for q in words(asked) if matches(n, q, t)), name
