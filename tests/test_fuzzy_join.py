@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import common, matches, token_set
-from rollscan.functions.similarity import indel_ratio, lcs, lcs_of_many, sketch, sketch_within, token_set_ratio
+from rollscan.functions.similarity import indel_ratio, lcs, lcs_of_block, lcs_of_many, sketch, sketch_within, token_set_ratio
 from rollscan.operators.fuzzy_join import fuzzy_join
 from rollscan.params import SearchParams
 
@@ -239,3 +239,35 @@ def test_word_queries_on_a_small_table_equal_brute_force(spark, tmp_path):
     for name, t in (("fuzzy_words", 82), ("fuzzy_words_shuffled", 82), ("fuzzy_words_t66", 66)):
         got = sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).select("name", "query").collect())
         assert got == sorted((n, q) for n in words(docs) for q in words(asked) if matches(n, q, t)), name
+
+
+def test_lcs_of_block_equals_lcs(spark):
+    """All word sizes, several words with a carry, shared prefixes, strings beyond the kept depth, empty ones."""
+    r = random.Random(13)
+    text = lambda n: "".join(r.choice("abcআই\U0001f600\t") for _ in range(n))
+    for sizes in ((1, 5, 8), (0, 9, 16), (17, 32), (33, 63, 64), (62, 65, 124, 125, 200)):
+        block = [text(r.choice(sizes)) for _ in range(30)]
+        strings = [text(r.choice((0, 1, 3, 20, 31, 32, 33, 64, 130))) for _ in range(20)]
+        strings += [s[:40] + text(20) for s in strings]
+        got = {i: [len(b) - int(x) for b, x in zip(block, left)] for i, left in lcs_of_block(strings, block)}
+        assert got == {i: [common(s, b) for b in block] for i, s in enumerate(strings)}
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+def test_pairs_without_forced_bigrams_are_scored_by_block(spark, monkeypatch, strategy):
+    """Up to threshold 66 no pair of single tokens is scored by itself; blocks of any size give the same rows and scores."""
+    import rollscan.operators.fuzzy_join as fj
+
+    r = random.Random(17)
+    word = lambda n: "".join(r.choice("abcdeআই") for _ in range(n))
+    names = sorted({word(r.choice((1, 3, 6, 8, 8, 8, 90))) for _ in range(150)})
+    queries = sorted({word(r.choice((2, 6, 7, 9, 70))) for _ in range(20)})
+    rec, qs = (spark.createDataFrame([(v,) for v in x], f"{c} string") for x, c in ((names, "name"), (queries, "query")))
+    joined = lambda t: sorted(tuple(x) for x in fj.fuzzy_join(rec, qs, SearchParams(threshold=t, strategy=strategy)).select("name", "query", "score").collect())
+    monkeypatch.setattr(fj, "_verify", None)
+    for names_in, queries_in in ((1 << 20, 1 << 20), (7, 3)):
+        monkeypatch.setattr(fj, "BLOCK_NAMES", names_in)
+        monkeypatch.setattr(fj, "BLOCK_QUERIES", queries_in)
+        for t in (3, 66):
+            score = lambda n, q: 100.0 - 100 * (len(n) + len(q) - 2 * common(n, q)) / (len(n) + len(q))
+            assert joined(t) == sorted((n, q, score(n, q)) for n in names for q in queries if matches(n, q, t)), t
