@@ -3,7 +3,7 @@
 The OCR engine itself is a native per-page library and is not part of the
 engine: the caller plugs it in as ``page_fn(path, content) -> iterable`` of
 page results, each either a text (text mode) or a list of word dicts (box
-mode).  ``ocr_pages`` runs it inside ``mapInPandas`` over the validated
+mode).  ``ocr_pages`` runs it inside ``mapInArrow`` over the validated
 ``binaryFile`` rows, one file at a time, and isolates failures:
 
 * a failed page is yielded as an exception instance (e.g. ``PageError``)
@@ -27,10 +27,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rollscan.params import SearchParams
 from rollscan.schemas import BBOX
@@ -69,6 +70,10 @@ class PageError(Exception):
 PageFn = Callable[[str, bytes], Iterable]
 
 
+# Rows of a batch that the page function's task hands on, and characters of its pages, at least, but for the last.
+BATCH_ROWS = 4096
+BATCH_CHARS = 4 * 1024 * 1024
+
 # Messages of failed pages (same text as the reference).
 MSG_TIMEOUT = "OCR timeout on page {page}"
 MSG_PAGE = "Error processing page {page}: {error}"
@@ -122,13 +127,31 @@ def _err(path, file, page, level, message) -> dict:
     return dict(path=path, file=file, page=page, text=None, words=None, level=level, message=message)
 
 
+def row_batches(files: Iterable[list[dict]], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows of one file after the other: small files share a batch, up to ``BATCH_ROWS`` rows or
+    ``BATCH_CHARS`` characters; one that exceeds them is a batch of its own or the last of one."""
+    arrow = to_arrow_schema(schema)
+    held: list[dict] = []
+    chars = 0
+    for rows in files:
+        held += rows
+        # a word takes about as much as a hundred characters of text
+        chars += sum(len(r["text"] or "") + 100 * len(r["words"] or ()) for r in rows)
+        if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
+            yield pa.RecordBatch.from_pylist(held, schema=arrow)
+            held, chars = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=arrow)
+
+
 def ocr_pages(files: DataFrame, page_fn: PageFn, params: SearchParams | None = None) -> DataFrame:
     """``binaryFile`` rows → page rows and error rows (see module doc).
 
     Files beyond the size limit become error rows from their length alone; the
     limit is a filter that the scan takes, so their bytes are never read.  One
-    task handles the files of its input split one by one and hands on each
-    file's rows before the next file begins.  The scan packs files into splits
+    task handles the files of its input split one by one and hands on the
+    rows of small files together, up to 4,096 rows or 4 M characters
+    (``row_batches``).  The scan packs files into splits
     of at most ``spark.sql.files.maxPartitionBytes`` (plus one file), which also
     bounds the Arrow batch that carries their bytes to Python; lower it to
     spread files over more tasks (and less memory per task) rather than
@@ -148,17 +171,19 @@ def ocr_pages(files: DataFrame, page_fn: PageFn, params: SearchParams | None = N
         F.concat("file", F.lit(": "), "error").alias("message"),
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, file, content, error in zip(batch["path"], batch["file"], batch["content"], batch["error"]):
-                if error is not None:
-                    rows = [_err(path, file, None, "file", f"{file}: {error}")]
-                else:
-                    rows = _run_file(path, file, bytes(content), page_fn, max_pages)
-                if rows:
-                    yield pd.DataFrame(rows, columns=[f.name for f in OCR_OUT.fields])
-
-    return checked.mapInPandas(run, OCR_OUT).unionByName(too_large)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def files_of_batches() -> Iterator[list[dict]]:
+            for batch in batches:
+                columns = [batch.column(c) for c in ("path", "file", "content", "error")]
+                for path, file, content, error in zip(*columns):
+                    if error.is_valid:
+                        yield [_err(path.as_py(), file.as_py(), None, "file", f"{file}: {error}")]
+                    else:
+                        yield _run_file(path.as_py(), file.as_py(), content.as_py(), page_fn, max_pages)
+
+        yield from row_batches(files_of_batches(), OCR_OUT)
+
+    return checked.mapInArrow(run, OCR_OUT).unionByName(too_large)
 
 
 def page_rows(ocr_out: DataFrame) -> DataFrame:

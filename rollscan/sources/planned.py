@@ -5,8 +5,8 @@ its length and deals the files, longest first and back and forth, over bins of
 about equal pages.  The plan is a small table with one part per bin; file
 bytes take no part in it.  ``read_planned`` reads it through a Python data
 source with one partition per bin: the task opens its files one by one, runs
-the page function (see ``ocr``) and hands on each file's rows before the next
-file is opened, so a task holds one file whatever the bin.
+the page function (see ``ocr``) and hands on the rows of small files together
+(``row_batches``), so a task holds one file and a bounded batch whatever the bin.
 
 With ``known``, the content hashes of files searched before, the same read
 decides: a file whose hash may be known is reported by its hash only (level
@@ -33,14 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from rollscan.functions.text import basename
 from rollscan.operators.ordering import total_order
 from rollscan.params import SearchParams
 from rollscan.session import checkpoint_dir, ship_package
 from rollscan.sources.files import MB, MSG_NOT_PDF, MSG_TOO_LARGE, PDF_MAGIC
-from rollscan.sources.ocr import OCR_OUT, PageFn, _err, _run_file
+from rollscan.sources.ocr import OCR_OUT, PageFn, _err, _run_file, row_batches
 
 # Bytes of a scanned page, about, and the pages of a bin where there are more than the cores ask for.
 PAGE_BYTES = 100_000
@@ -222,13 +221,10 @@ class PlannedReader(DataSourceReader):
 
         import pyarrow.parquet as pq
 
-        schema = to_arrow_schema(READ_OUT)
         with open_file(partition.part) as f:
             listed = pq.read_table(io.BytesIO(f.read()), columns=["path", "length"])
-        for path, length in zip(listed["path"].to_pylist(), listed["length"].to_pylist()):
-            rows = [{"file_hash": None} | r for r in self.how.rows(path, length)]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        found = zip(listed["path"].to_pylist(), listed["length"].to_pylist())
+        yield from row_batches(([{"file_hash": None} | r for r in self.how.rows(path, length)] for path, length in found), READ_OUT)
 
 
 def planned_source(plan: ReadPlan, how: FileReading) -> type[DataSource]:

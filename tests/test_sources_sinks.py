@@ -234,3 +234,19 @@ def test_names_from_list(spark):
     q = names_from_list(spark, ["  a ", "", "b"])
     assert set(QUERIES.fieldNames()) <= set(q.columns)
     assert [(r.query_pos, r.query) for r in q.orderBy("query_pos").collect()] == [(1, "a"), (2, "b")]
+
+
+def test_rows_of_small_files_share_a_batch():
+    """One batch for each file costs more than its pages: batches are bounded by rows and characters, and hold every row in order."""
+    from rollscan.sources import ocr
+
+    row = lambda f, p, text: ocr._err(f"/d/{f}", str(f), p, None, None) | {"text": text}
+    small = [[row(f, p, "x" * 10) for p in range(f % 3)] for f in range(10_000)]
+    batches = list(ocr.row_batches(iter(small), ocr.OCR_OUT))
+    assert len(batches) == -(-sum(map(len, small)) // ocr.BATCH_ROWS)
+    assert [r for b in batches for r in b.to_pylist()] == [r for rows in small for r in rows]
+    # long pages are handed on before the next file is asked for
+    asked = []
+    long = ([asked.append(f) or row(f, 1, "y" * ocr.BATCH_CHARS)] for f in range(3))
+    assert [(b.num_rows, list(asked)) for b in ocr.row_batches(long, ocr.OCR_OUT)] == [(1, [0]), (1, [0, 1]), (1, [0, 1, 2])]
+    assert list(ocr.row_batches(iter([[], []]), ocr.OCR_OUT)) == []
