@@ -209,3 +209,21 @@ def test_run_on_folder_without_pdfs(spark):
     assert out.results.count() == 0
     s = out.stats.first()
     assert (s.files_processed, s.files_failed, s.pages_processed, s.matches_found) == (0, 0, 0, 0)
+
+
+def test_box_mode_runs_the_patterns_once_per_page(spark, monkeypatch):
+    """A flat page is one block as long as the page: its patterns must not run again for every match."""
+    import rollscan.plans.search as search
+
+    words = spark.createDataFrame(
+        [("p.pdf", 1, i, 0, 1, 0, w, 90.0, (i, 0, 1, 1)) for i, w in enumerate("নাম : রহিম পিতার নাম : করিম".split())],
+        "path string, page int, word_pos long, block_num int, par_num int, line_num int, text string, confidence double, "
+        "bbox struct<left:int,top:int,width:int,height:int>",
+    )
+    queries = spark.createDataFrame([("রহিম",), ("করিম",)], "query string")
+    seen = []
+    joined = search.fuzzy_join
+    monkeypatch.setattr(search, "fuzzy_join", lambda records, *rest: seen.append(records) or joined(records, *rest))
+    found = search.box_matches(words, queries, SearchParams(box_level=True, layout="flat", threshold=10)).select("page", "query").collect()
+    assert sorted(r["query"] for r in found) == ["করিম", "রহিম"]
+    assert "regexp" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
